@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, neardup, quality
+from folioflow.llm import maxent, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,10 +59,17 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model score of every document, learnt outside the held-out seventh."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
+    return maxent.lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
     "op5_quality": op5_quality,
+    "op10_lm": op10_lm,
 }
 
 SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
