@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import maxent, mixing, neardup, quality
+from folioflow.llm import ann, maxent, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors found for every vector whose id is divisible by 20."""
+    return ann.search(_read(spark, sf_dir, "embeddings").select("vec_id", "embedding"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a mix by source weights takes from each document."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -66,6 +71,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
     "op5_quality": op5_quality,
