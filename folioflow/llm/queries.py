@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, maxent, mixing, neardup, quality
+from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,31 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document that an earlier line of the corpus matches."""
+    return linedup.removed_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP9_SQL = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM documents
+), words AS (
+  SELECT doc_id, line_no, list_filter(regexp_split_to_array(lower(line), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM lines
+), sets AS (
+  SELECT doc_id, line_no, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM words
+), items AS (SELECT doc_id, line_no, len(s) AS n, unnest(s) AS x FROM sets
+), gone AS (
+  SELECT DISTINCT b_doc, b_line FROM (
+    SELECT b.doc_id AS b_doc, b.line_no AS b_line, a.doc_id, a.line_no
+    FROM items a JOIN items b ON a.x = b.x AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.line_no < b.line_no))
+    GROUP BY ALL HAVING count(*) * 100 >= (any_value(a.n) + any_value(b.n) - count(*)) * 75)
+)
+SELECT d.doc_id, len(string_split(d.text, chr(10)))::BIGINT AS n_lines, coalesce(list(g.b_line::INTEGER ORDER BY g.b_line) FILTER (g.b_line IS NOT NULL), []::INTEGER[]) AS removed
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.b_doc GROUP BY d.doc_id, d.text
+"""
+
+
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language-model score of every document, learnt outside the held-out seventh."""
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False))
@@ -75,7 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
     "op5_quality": op5_quality,
+    "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
 }
 
-SQL: dict[str, str] = {"op2_mixing": OP2_SQL}
+SQL: dict[str, str] = {
+    "op2_mixing": OP2_SQL,
+    "op9_linedup": OP9_SQL,
+}
