@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality
+from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, tiff
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,12 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts stored as TIFF pages and read back: digests and a feature of the pixels."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return tiff.media_digest(tiff.page_features(tiff.decode_pages(tiff.encode_texts(docs))))
+
+
 def op9_linedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that an earlier line of the corpus matches."""
     return linedup.removed_lines(_read(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -100,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
     "op5_quality": op5_quality,
+    "op7_tiff": op7_tiff,
     "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
 }
