@@ -40,7 +40,7 @@ from folioflow.store import materialize
 
 CLASSES, SINGLES = 64, 47
 SUFFIX_CLASSES = CLASSES - SINGLES - 1
-PREVIOUS, SKIP, PAIRS = 1024, 64, 16384
+PREVIOUS, SKIP, PAIRS = 1024, 64, 4096
 CONTEXTS = PREVIOUS * SKIP
 END = np.uint64(0xE0D0E0D0E0D0E0D1)
 START = np.uint64(0x57A27057A27057A3)
@@ -51,7 +51,7 @@ _LOWER[65:91] += 32
 @dataclass(frozen=True)
 class MaxentParams:
     rounds: int = 8
-    shards: int = 8
+    shards: int = 6
     prior: float = 4.0
     top_words: int = 500_000
 
