@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, tiff
+from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, tiff, toolchat, urllist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,6 +64,105 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of conversations linked as tool calls and results.
+
+    The table holds plain turns, so they are read as a protocol: a user turn t is call ``c<t>`` of
+    tool ``ask`` (every third of ``look``) with its text and length as arguments, the assistant's turn after it
+    is the result, and a call comes after the user's turn before unless t is a multiple of 8.
+    Every fifth turn's length is sent as text, which the schema refuses.
+    """
+    turns = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    asked = turns.where("role = 'user'")
+    length = F.length("text")
+    text = F.substring(F.to_json(F.array("text")), F.lit(2), F.length(F.to_json(F.array("text"))) - 2)
+    arguments = F.concat(F.lit('{ "text" : '), text, F.lit(', "length" : '), F.when(F.col("turn") % 5 == 4, F.concat(F.lit('"'), length, F.lit('"'))).otherwise(length.cast("string")), F.lit(" }"))
+    calls = asked.select(
+        "conv_id", "turn", F.concat(F.lit("c"), "turn").alias("call_id"), F.when(F.col("turn") % 3 == 0, "look").otherwise("ask").alias("tool"), arguments.alias("arguments"),
+        F.when(F.col("turn") % 8 != 0, F.array(F.concat(F.lit("c"), F.col("turn") - 2))).otherwise(F.array().cast("array<string>")).alias("after"),
+    )
+    results = turns.where("role = 'assistant'").select("conv_id", "turn", F.concat(F.lit("c"), F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    schemas = spark.createDataFrame([(t, n, k, True) for t in ("ask", "look") for n, k in (("text", "string"), ("length", "integer"))], "tool string, name string, kind string, required boolean")
+    linked = toolchat.link_calls(calls, results, schemas)
+    return linked.select("conv_id", "call_id", "tool", "call_turn", "result_turn", "level", "n_calls", "n_results", F.array_join("errors", ",").alias("errors"), "valid", "status", F.md5("message").alias("message_md5"))
+
+
+OP6_SQL = r"""
+WITH calls AS (
+  SELECT conv_id, 'c' || turn AS call_id, min(turn) AS call_turn, count(*) AS n_calls, arg_min(text, text) AS text FROM conversations
+  WHERE role = 'user' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), linked AS (
+  SELECT c.*, CASE WHEN call_turn % 8 <> 0 THEN 'c' || (call_turn - 2) END AS dep, CASE WHEN call_turn % 3 = 0 THEN 'look' ELSE 'ask' END AS tool FROM calls c
+), ordered AS (
+  SELECT a.*, dep IS NOT NULL AND NOT EXISTS (SELECT 1 FROM linked b WHERE b.conv_id = a.conv_id AND b.call_id = a.dep) AS lost FROM linked a
+), chain AS (
+  SELECT *, sum(CASE WHEN dep IS NULL OR lost THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, call_turn % 2 ORDER BY call_turn) AS run FROM ordered
+), levelled AS (SELECT *, (row_number() OVER (PARTITION BY conv_id, call_turn % 2, run ORDER BY call_turn) - 1)::INTEGER AS level FROM chain
+), results AS (
+  SELECT conv_id, 'c' || (turn - 1) AS call_id, min(turn) AS result_turn, count(*) AS n_results, min(text) AS content FROM conversations
+  WHERE role = 'assistant' AND conv_id IS NOT NULL AND turn IS NOT NULL GROUP BY conv_id, turn
+), joined AS (
+  SELECT coalesce(c.conv_id, r.conv_id) AS conv_id, coalesce(c.call_id, r.call_id) AS call_id, tool, call_turn, result_turn, level, coalesce(n_calls, 0) AS n_calls, coalesce(n_results, 0) AS n_results,
+    concat_ws(',', CASE WHEN call_turn % 5 = 4 THEN 'kind:length' END, CASE WHEN lost THEN 'after:' || dep END) AS errors, c.text, content, c.call_id IS NOT NULL AS called, r.call_id IS NOT NULL AS answered
+  FROM levelled c FULL JOIN results r ON c.conv_id = r.conv_id AND c.call_id = r.call_id
+)
+SELECT conv_id, call_id, tool, call_turn, result_turn, level, n_calls, n_results, errors, errors = '' AS valid,
+  CASE WHEN NOT called THEN 'orphan' WHEN NOT answered THEN 'unanswered' ELSE 'linked' END AS status,
+  md5('{' || CASE WHEN called THEN '"arguments":{"length":' || CASE WHEN call_turn % 5 = 4 THEN '"' || length(text) || '"' ELSE length(text)::VARCHAR END || ',"text":' || to_json(text)::VARCHAR || '},' ELSE '' END
+    || '"id":' || to_json(call_id)::VARCHAR || CASE WHEN answered THEN ',"result":' || to_json(content)::VARCHAR ELSE '' END || CASE WHEN called THEN ',"tool":' || to_json(tool)::VARCHAR ELSE '' END || '}') AS message_md5
+FROM joined
+"""
+
+
+def _hex(value, start: int):
+    return F.conv(F.substring(F.md5(value), start, 4), 16, 10).cast("int")
+
+
+def op8_urllist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by the list entries active when it was fetched.
+
+    The table has neither fetch times nor a list, so both follow from it by rule: page p is
+    fetched p * 7919 mod 90 days and p mod 24 hours after 2024-01-01; a quarter of the hosts are listed on
+    one day and taken off on a later one, some are listed again for good, and others have their /en pages listed.
+    """
+    pages = _read(spark, sf_dir, "pages").select("page_id", "url")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    days = lambda n: F.timestamp_seconds(F.unix_seconds(start) + n * 86400)
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(F.unix_seconds(start) + F.col("page_id") * 7919 % 90 * 86400 + F.col("page_id") % 24 * 3600))
+    hosts = pages.select(urllist.host_of(F.col("url")).alias("h")).where("h <> ''").distinct()
+    first, pick = _hex(F.col("h"), 1) % 60, _hex(F.col("h"), 9) % 16
+    off = first + 5 + _hex(F.col("h"), 5) % 40
+    row = lambda kind, value, listed, since: F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(listed).alias("listed"), days(since).alias("since"))
+    events = F.when(pick < 2, F.array(row("domain", F.col("h"), True, first), row("domain", F.col("h"), False, off))).when(
+        pick < 4, F.array(row("domain", F.col("h"), True, first), row("domain", F.col("h"), False, off), row("domain", F.col("h"), True, off + 7))
+    ).when(pick < 6, F.array(row("prefix", F.concat("h", F.lit("/en")), True, first)))
+    entries = hosts.select(F.explode(events).alias("e")).select("e.*")
+    return urllist.judge(captures, entries).select("page_id", "url", "fetched_at", "host", "blocked", "entry_kind", "entry_value", "entry_since")
+
+
+OP8_SQL = r"""
+WITH captures AS (
+  SELECT page_id, url, TIMESTAMP '2024-01-01' + to_seconds((page_id * 7919 % 90) * 86400 + page_id % 24 * 3600) AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]*[^/?#:@.])\.?(?::\d*)?(?:[/?#]|$)', 1)) AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/+([^/?#]+)', 1) AS segment
+  FROM pages
+), hosts AS (
+  SELECT h, ('0x' || substr(md5(h), 1, 4))::INTEGER % 60 AS d, ('0x' || substr(md5(h), 9, 4))::INTEGER % 16 AS pick,
+    ('0x' || substr(md5(h), 1, 4))::INTEGER % 60 + 5 + ('0x' || substr(md5(h), 5, 4))::INTEGER % 40 AS off_day FROM (SELECT DISTINCT host AS h FROM captures WHERE host <> '')
+), spans AS (
+  SELECT 'domain' AS kind, h, h AS value, d AS from_day, off_day AS to_day FROM hosts WHERE pick < 4
+  UNION ALL SELECT 'domain', h, h, off_day + 7, NULL FROM hosts WHERE pick IN (2, 3)
+  UNION ALL SELECT 'prefix', h, h || '/en', d, NULL FROM hosts WHERE pick IN (4, 5)
+), active AS (SELECT *, TIMESTAMP '2024-01-01' + to_days(from_day) AS since, TIMESTAMP '2024-01-01' + to_days(to_day) AS until FROM spans)
+, hits AS (
+  SELECT c.page_id, kind, value, since, row_number() OVER (PARTITION BY c.page_id ORDER BY kind = 'prefix' DESC, length(value) DESC, value DESC) AS r
+  FROM captures c JOIN active s ON ((s.kind = 'domain' AND (c.host = s.value OR c.host LIKE '%.' || s.value)) OR (s.kind = 'prefix' AND c.host = s.h AND c.segment = 'en')) AND s.since <= c.fetched_at AND (s.until IS NULL OR c.fetched_at < s.until)
+)
+SELECT c.page_id, c.url, c.fetched_at, c.host, h.page_id IS NOT NULL AS blocked, h.kind AS entry_kind, h.value AS entry_value, h.since AS entry_since
+FROM captures c LEFT JOIN hits h ON c.page_id = h.page_id AND h.r = 1
+"""
+
+
 def op7_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts stored as TIFF pages and read back: digests and a feature of the pixels."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -106,12 +205,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
     "op5_quality": op5_quality,
+    "op6_toolcalls": op6_toolcalls,
     "op7_tiff": op7_tiff,
+    "op8_urllist": op8_urllist,
     "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
 }
 
 SQL: dict[str, str] = {
     "op2_mixing": OP2_SQL,
+    "op6_toolcalls": OP6_SQL,
+    "op8_urllist": OP8_SQL,
     "op9_linedup": OP9_SQL,
 }
