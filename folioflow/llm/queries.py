@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, tiff, toolchat, urllist
+from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,14 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, with the size and md5 of what they decode to."""
+    vocabulary = sentencepiece.load_vocabulary()
+    encoded = sentencepiece.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
+    decoded = sentencepiece.decode(encoded, vocabulary)
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("decoded_chars"), F.md5("decoded").alias("decoded_md5"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, learnt from labels outside the held-out fifth."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -204,6 +212,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
     "op3_neardup": op3_neardup,
+    "op4_sentencepiece": op4_sentencepiece,
     "op5_quality": op5_quality,
     "op6_toolcalls": op6_toolcalls,
     "op7_tiff": op7_tiff,

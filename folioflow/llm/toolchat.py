@@ -70,18 +70,16 @@ def argument_errors(calls: DataFrame, schemas: DataFrame, max_tools: int = 100_0
     tools = schemas.dropna(subset=["tool", "name", "kind"]).groupBy("tool").agg(F.sort_array(F.collect_set(F.struct("name", "kind", F.coalesce("required", F.lit(False)).alias("required")))).alias("wanted"))
     joined = calls.join(small_side(tools, max_tools), "tool", "left")
     parsed = joined.withColumn("__v", F.try_parse_json("arguments")).withColumn("__o", F.expr("startswith(schema_of_variant(__v), 'OBJECT')"))
-    given = parsed.withColumn("__m", F.when(F.col("__o"), F.from_json("arguments", "map<string,string>"))).withColumn("__raw", F.to_json("__v"))
+    given = parsed.withColumn("__m", F.when(F.col("__o"), F.from_json("arguments", "map<string,variant>"))).withColumn("__raw", F.to_json("__v"))
 
     def found(name):
         return F.array_contains(F.map_keys("__m"), name)
 
     def kind_of(name):
-        # the canonical text tells strings from other kinds, which the map shows as their JSON text
-        value = F.element_at("__m", name)
-        quoted = F.col("__raw").contains(F.concat(F.lit('"'), name, F.lit('":"')))
+        shape = F.schema_of_variant(F.element_at("__m", name))
         return (
-            F.when(quoted, "string").when(value.isNull(), "null").when(value.rlike(r"^-?\d+$"), "integer").when(value.rlike(r"^-?\d+(\.\d+)?([eE][+-]?\d+)?$"), "number")
-            .when(value.isin("true", "false"), "boolean").when(value.startswith("["), "array").otherwise("object")
+            F.when(shape == "STRING", "string").when(shape == "BIGINT", "integer").when(shape.startswith("DECIMAL") | (shape == "DOUBLE"), "number")
+            .when(shape == "BOOLEAN", "boolean").when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("null")
         )
 
     def problem(s):
