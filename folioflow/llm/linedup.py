@@ -11,7 +11,7 @@ line is itself kept. Results therefore do not depend on processing order.
    table of 16,384 word-hash buckets, then the hash. A token is 16 bits of rarity above
    47 bits of hash.
 3. Each line lists its prefix, n - ceil(t n) + 1 rarest tokens; two similar lines share
-   a prefix token. Length and positional filters drop most chance meetings.
+   a prefix token. Length, positional and bitmap filters drop most chance meetings.
 4. A token's list of up to ``SMALL`` lines yields its pairs. In a longer list (a family
    of near copies) each line meets the list's first line; only lines that found no
    match that way meet the others.
@@ -80,12 +80,14 @@ def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
     def coded(value: Column) -> Column:
         return packed(F.shiftleft(F.get(steps, F.pmod(value, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS), value)
 
-    def token(window: Column) -> Column:
-        return packed(F.array_min(window).bitwiseAND(F.lit(-(1 << HASH_BITS))), F.xxhash64(window))
+    def token(i: Column) -> Column:
+        # single elements, as slice() copies the whole array each time; beyond the end they are null and skipped
+        window = [F.get("__w", i + k) for k in range(SHINGLE)]
+        return packed(F.least(*window).bitwiseAND(F.lit(-(1 << HASH_BITS))), F.xxhash64(*window))
 
     words = F.transform(F.transform(words_of_line(F.col("line")), lambda w: F.xxhash64(w)), coded)
-    starts = F.sequence(F.lit(1), F.greatest(F.size("__w") - (SHINGLE - 1), F.lit(1)))
-    tokens = F.sort_array(F.array_distinct(F.transform(starts, lambda i: token(F.slice("__w", i, SHINGLE)))))
+    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - SHINGLE, F.lit(0)))
+    tokens = F.sort_array(F.array_distinct(F.transform(starts, token)))
     none = F.array().cast("array<long>")
     return lines.withColumn("__w", words).withColumn("tokens", F.when(F.size("__w") > 0, tokens).otherwise(none)).drop("__w")
 
@@ -109,11 +111,18 @@ def _most_copied(groups: DataFrame, most: int) -> DataFrame:
     return groups.where(F.floor(F.log2("n") * 8) >= cut)
 
 
+def _bits(tokens: Column) -> Column:
+    """A 64-bit map of a token set; two maps differ in no more bits than the sets differ in tokens."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+
+
 def _met(x: str, y: str, percent: int) -> Column:
-    """Length filter, and positional filter for the first token that two lines share."""
+    """Length filter, positional filter for the first token that two lines share, and bitmap filter."""
     n, m, i, j = F.col(f"{x}_n"), F.col(f"{y}_n"), F.col(f"{x}_at"), F.col(f"{y}_at")
     rest = F.least(n - i, m - j)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
+    differ = F.bit_count(F.col(f"{x}_bits").bitwiseXOR(F.col(f"{y}_bits")))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, steps: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -146,16 +155,16 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # an outer explode, as Spark would push the inner one's size filter below the projection and evaluate the tokens again
-    listed = sets.select("doc_id", "line_no", n.alias("n"), F.posexplode_outer(prefix).alias("at", "token")).where("token is not null")
+    listed = sets.select("doc_id", "line_no", n.alias("n"), _bits(F.col("tokens")).alias("bits"), F.posexplode_outer(prefix).alias("at", "token")).where("token is not null")
     by_token = Window.partitionBy("token")
     shared = materialize(listed.withColumn("size", F.count(F.lit(1)).over(by_token)).where("size > 1"))
 
-    side = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"))
+    side = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
     before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
     key = ["a_doc", "a_line", "b_doc", "b_line"]
     small, large = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
     near = side("a", small).join(side("b", small), "token").where(before & _met("a", "b", percent)).select(*key)
-    head = large.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("f")).select("token", "f.*")
+    head = large.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at", "bits")).alias("f")).select("token", "f.*")
     led = side("a", head).join(side("b", large), "token").where(before & _met("a", "b", percent)).select(*key)
     found = materialize(_verified(near.union(led).distinct(), docs, steps, percent, id_col, text_col))
 
