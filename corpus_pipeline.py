@@ -1,16 +1,61 @@
-"""Cleaning pipeline over documents: quality, line dedup, near dedup, mixing, encoding."""
+"""Cleaning pipeline over documents: quality, line dedup, near dedup, mixing, encoding.
+
+Every stage takes (spark, docs, sf_dir), works on all rows it is given, and returns the
+columns of documents (the last one puts ids and n_tokens in place of the text). ``run``
+writes each stage's result as Parquet in the shared folder and reads it again.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from folioflow.llm import linedup, mixing, neardup, quality, sentencepiece
+from folioflow.store import materialize
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier, learnt outside the held-out fifth of labels, does not reject."""
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label")).where(~held_out)
+    weights = quality.train(docs, labels)
+    return quality.score(docs, weights).where("predicted = 1").select(*docs.columns)
+
+
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that an earlier line of the corpus matches; n_chars follows the text."""
+    return linedup.dedup_lines(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate component."""
+    return neardup.drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mix_documents(docs)
+
+
+def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids in place of the text."""
+    return sentencepiece.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("line dedup", cut_repeated_lines),
+    ("MinHash near-dedup", keep_one_of_each),
+    ("source mixing", mix_sources),
+    ("SentencePiece encoding", encode_pieces),
+]
 
-STAGES: list = []
+# a trained classifier and a merge fold have no SQL; tests hold the stages against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's result is written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
