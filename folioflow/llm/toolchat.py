@@ -22,6 +22,8 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,14 +53,18 @@ def levels(calls: DataFrame) -> DataFrame:
     missing = edges.where("known is null").groupBy(*KEY).agg(F.sort_array(F.collect_set("dep")).alias("missing"))
     open_edges = edges.where("known").drop("known")
     needs = open_edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("needed"))
-    settled = materialize(calls.select(*KEY).join(needs, KEY, "left_anti").withColumn("level", F.lit(0)))
-    done, newest = settled, settled
+    waiting = materialize(needs.withColumn("met", F.lit(0).cast("long")).withColumn("highest", F.lit(-1)))
+    newest = materialize(calls.select(*KEY).join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)))
+    settled = [newest]
+    # every round reads only what the last one settled, so plans stay of one size
     while newest.limit(1).count():
-        reached = open_edges.join(done.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("met"), F.max("level").alias("highest"))
-        ready = reached.join(needs, KEY).where("met = needed").select(*KEY, (F.col("highest") + 1).cast("int").alias("level"))
-        newest = materialize(ready.join(done.select(*KEY), KEY, "left_anti"))
-        done = done.unionByName(newest)
-    return calls.select(*KEY).join(done, KEY, "left").join(missing, KEY, "left")
+        hits = open_edges.join(newest.withColumnRenamed("call_id", "dep"), ["conv_id", "dep"]).groupBy(*KEY).agg(F.count(F.lit(1)).alias("more"), F.max("level").alias("top"))
+        counted = waiting.join(hits, KEY, "left").select(*KEY, "needed", (F.col("met") + F.coalesce("more", F.lit(0))).alias("met"), F.greatest("highest", "top").alias("highest"))
+        counted = materialize(counted)
+        newest = materialize(counted.where("met = needed").select(*KEY, (F.col("highest") + 1).cast("int").alias("level")))
+        waiting = counted.where("met < needed")
+        settled.append(newest)
+    return calls.select(*KEY).join(reduce(DataFrame.unionByName, settled), KEY, "left").join(missing, KEY, "left")
 
 
 def argument_errors(calls: DataFrame, schemas: DataFrame, max_tools: int = 100_000) -> DataFrame:
@@ -100,7 +106,8 @@ def argument_errors(calls: DataFrame, schemas: DataFrame, max_tools: int = 100_0
 def link_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) -> DataFrame:
     """One row per call, and per result without a call: turns, level, errors, status and canonical JSON."""
     own = materialize(first_calls(calls))
-    checked = argument_errors(own, schemas).join(levels(own), KEY)
+    ordered = materialize(levels(own))
+    checked = materialize(argument_errors(own, schemas)).join(ordered, KEY)
     joined = checked.join(first_results(results), KEY, "full")
     cycle = F.col("level").isNull() & F.col("call_turn").isNotNull()
     errors = F.concat(
