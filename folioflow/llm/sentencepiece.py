@@ -6,8 +6,9 @@ whose sums mean nothing, and Viterbi over them gives wrong ids; for such files t
 over the same lattice applies the merges in rank order instead, which gives the library's
 ids. Characters outside the vocabulary become byte pieces.
 
-1. Texts are cut into units where no piece can cross: before each run of spaces, and
-   around tabs and line feeds. Distinct units are counted.
+1. Texts are cut into units between bytes that no piece holds side by side (before
+   spaces, around line feeds, mostly between letters and marks), so no piece crosses a border and units
+   can be encoded by themselves. Distinct units are counted.
 2. Each distinct unit explodes into its substrings of up to the longest piece's length,
    which equi-join to the piece table (broadcast; its size is the vocabulary's). Edges are
    grouped by unit, where they already lie, and a higher-order aggregate folds the best
@@ -39,14 +40,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.functions.binding import let
 from folioflow.llm.hashing import column_bytes, mini_batches, mix, span_hashes
 from folioflow.store import materialize
 
 MAX_UNIT = 192
 SPACE = "▁"
 OWN_SPACE = "\ufdd0"
-_CONTROL = np.zeros(256, dtype=bool)
-_CONTROL[[9, 10]] = True
 
 
 def default_model() -> str:
@@ -61,6 +61,7 @@ class Vocabulary:
 
     pieces: list = field(repr=False)  # (piece, id, score)
     surface: list = field(repr=False)  # bytes by id
+    pairs: np.ndarray = field(repr=False)  # whether two bytes may be neighbours within a piece
     first_byte: int = 3
     unknown_score: float = 0.0
     kind: str = "unigram"  # or "bpe"
@@ -77,6 +78,8 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
     kinds = model.SentencePiece
     normal = [p.score for p in model.pieces if p.type == kinds.NORMAL]
     pieces, surface, bytes_at = [], [], {}
+    pairs = np.zeros((256, 256), dtype=bool)
+    pairs[:, 0x80:0xC0] = True  # never within a character
     for k, p in enumerate(model.pieces):
         surface.append(b"")
         if p.type == kinds.BYTE:
@@ -87,18 +90,20 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
             score = p.score if p.type == kinds.NORMAL else len(p.piece.encode()) * max(normal) - 0.1
             pieces.append((p.piece, k, float(score)))
             surface[k] = p.piece.replace(SPACE, " ").encode()
-            if SPACE in p.piece.lstrip(SPACE) or len(p.piece) > 1 and ("\t" in p.piece or "\n" in p.piece) or OWN_SPACE in p.piece:
-                raise ValueError("a piece crosses unit borders")
+            if OWN_SPACE in p.piece:
+                raise ValueError("the vocabulary holds the mark for a text's own U+2581")
+            near = np.frombuffer(surface[k], np.uint8)
+            pairs[near[:-1], near[1:]] = True
     first = bytes_at[0]
     if any(bytes_at.get(b) != first + b for b in range(256)):
         raise ValueError("the vocabulary lacks byte pieces")
     if model.trainer_spec.model_type not in (1, 2):
         raise ValueError("only unigram and BPE models")
     kind = "unigram" if model.trainer_spec.model_type == 1 else "bpe"
-    return Vocabulary(pieces, surface, first, min(normal) - 10.0, kind, max(len(p[0]) for p in pieces))
+    return Vocabulary(pieces, surface, pairs, first, min(normal) - 10.0, kind, max(len(p[0]) for p in pieces))
 
 
-def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def units_of(texts: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts with the leading space, unit starts and ends, and each text's first unit (n + 1 bounds)."""
     buffer = b"".join([b" " + t if t else t for t in texts])
     data = np.frombuffer(buffer, np.uint8)
@@ -106,9 +111,8 @@ def units_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     if not len(data):
         none = np.zeros(0, np.int64)
         return data, none, none, np.zeros(len(texts) + 1, np.int64)
-    space, control = data == 32, _CONTROL[data]
-    start = control.copy()
-    start[1:] |= control[:-1] | (space[1:] & ~space[:-1])
+    start = np.ones(len(data), dtype=bool)
+    start[1:] = ~pairs[data[:-1], data[1:]]
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(start)
     size = np.diff(np.append(at, len(data)))
@@ -131,14 +135,14 @@ def _text_batches(column) -> Iterator[tuple[int, int, list[bytes]]]:
         yield i, j, [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
 
 
-def count_units(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> DataFrame:
     """(unit, n): distinct units and their counts; tasks send one row per unit of an Arrow batch."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: dict[bytes, int] = {}
             for _, _, texts in _text_batches(batch.column(0)):
-                data, starts, ends, _ = units_of(texts)
+                data, starts, ends, _ = units_of(texts, pairs)
                 if len(starts):
                     _, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
                     raw = data.tobytes()
@@ -205,9 +209,27 @@ def best_path():
 
 
 def merged_path():
-    """Borders after BPE's merges: in each step of the fold, of all edges that join two neighbouring parts the cheapest, then leftmost, drops its middle border."""
+    """Borders after BPE's merges: in each step of the fold, of all edges that join two neighbouring parts the cheapest, then leftmost, drops its middle border.
 
-    def step(cuts, _):
+    Borders of units of up to 61 characters are bits of a long; a longer unit's are an array.
+    """
+    one = F.lit(1).cast("long")
+    bit = lambda p: F.call_function("shiftleft", one, (p - 1).cast("int"))
+    joining = F.filter("edges", lambda e: e["upto"] - e["at"] > 1)
+    coded = F.transform(joining, lambda e: F.struct((bit(e["at"]) + bit(e["upto"])).alias("ends"), (bit(e["upto"]) - bit(e["at"] + 1)).alias("inner")))
+    settled = F.lit(-(1 << 63))
+
+    def merge_bits(edges):
+        def step(borders, _):
+            joins = lambda e: (borders.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(borders.bitwiseAND(e["inner"])) == 1)
+            first = F.get(F.filter(edges, joins), F.lit(0))["inner"]
+            return F.when(borders < 0, borders).otherwise(let(first, lambda inner: F.when(inner.isNull(), borders.bitwiseOR(settled)).otherwise(borders.bitwiseAND(F.bitwise_not(inner)))))
+
+        return F.aggregate(F.sequence(F.lit(1), F.length("unit")), bit(F.length("unit") + 2) - 1, step)
+
+    short = let(let(coded, merge_bits), lambda borders: F.filter(F.sequence(F.lit(1), F.length("unit") + 1), lambda p: borders.bitwiseAND(bit(p)) != 0))
+
+    def merge_array(cuts, _):
         def joins(e):
             place = F.array_position(cuts, e["at"]).cast("int")
             return (place > 0) & (F.get(cuts, place + 1) == e["upto"])
@@ -215,7 +237,8 @@ def merged_path():
         first = F.get(F.filter("edges", joins), F.lit(0))
         return F.when(first.isNull(), cuts).otherwise(F.array_remove(cuts, F.get(cuts, F.array_position(cuts, first["at"]).cast("int"))))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.sequence(F.lit(1), F.length("unit") + 1), step)
+    long = F.aggregate(F.sequence(F.lit(1), F.length("unit")), F.sequence(F.lit(1), F.length("unit") + 1), merge_array)
+    return F.when(F.length("unit") <= 61, short).otherwise(long)
 
 
 @dataclass
@@ -279,12 +302,12 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - counts), counts)
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", top_units: int = 1_500_000) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", top_units: int = 800_000) -> DataFrame:
     """``docs`` with ids (array<int>)."""
     v = vocabulary or load_vocabulary()
     if len(v.surface) > 1 << 16:
         raise ValueError("ids do not fit 16 bits")
-    table = materialize(hashed_units(encode_units(count_units(docs, text_col), v)))
+    table = materialize(hashed_units(encode_units(count_units(docs, v.pairs, text_col), v)))
     frequent, cut = frequent_units(table, top_units)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
@@ -293,7 +316,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
         for batch in batches:
             keys, rare = [], []
             for _, _, texts in _text_batches(batch.column(0)):
-                data, starts, ends, bounds = units_of(texts)
+                data, starts, ends, bounds = units_of(texts, v.pairs)
                 hashes = span_hashes(data, starts, ends, lower=False)
                 _, there = shared.value.find(hashes)
                 gone = ~there
@@ -315,7 +338,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
         for batch in batches:
             keys, packed = [], []
             for _, _, texts in _text_batches(batch.column(text_col)):
-                data, starts, ends, bounds = units_of(texts)
+                data, starts, ends, bounds = units_of(texts, v.pairs)
                 hashes = span_hashes(data, starts, ends, lower=False)
                 keys.append(_text_keys(hashes, bounds))
                 at, there = t.find(hashes)
