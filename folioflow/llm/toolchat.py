@@ -6,7 +6,8 @@ canonical JSON: keys in order, no blanks, one line per linked call. One row per
 leaves the operator; a conversation is never gathered into a row.
 
 Order: ``level`` is 0 for a call that waits for none, else one more than the highest
-level it waits for. Levels come in rounds, each settling the calls whose dependencies
+level it waits for. If no call waits for more than one, pointers that double their reach give
+levels in log(depth) rounds; otherwise each round settles the calls whose dependencies
 are settled, so the number of rounds is the depth of the dependencies.
 
 Defined cases
@@ -53,6 +54,9 @@ def levels(calls: DataFrame) -> DataFrame:
     missing = edges.where("known is null").groupBy(*KEY).agg(F.sort_array(F.collect_set("dep")).alias("missing"))
     open_edges = edges.where("known").drop("known")
     needs = open_edges.groupBy(*KEY).agg(F.count(F.lit(1)).alias("needed"))
+    most = needs.agg(F.max("needed")).first()[0] or 0
+    if most <= 1:
+        return calls.select(*KEY).join(_forest_levels(calls, open_edges), KEY, "left").join(missing, KEY, "left")
     waiting = materialize(needs.withColumn("met", F.lit(0).cast("long")).withColumn("highest", F.lit(-1)))
     newest = materialize(calls.select(*KEY).join(waiting, KEY, "left_anti").withColumn("level", F.lit(0)))
     settled = [newest]
@@ -67,6 +71,20 @@ def levels(calls: DataFrame) -> DataFrame:
     return calls.select(*KEY).join(reduce(DataFrame.unionByName, settled), KEY, "left").join(missing, KEY, "left")
 
 
+def _forest_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """(conv_id, call_id, level) where each call waits for at most one: pointers double their reach, so rounds are the logarithm of the depth."""
+    now = materialize(calls.select(*KEY).join(edges, KEY, "left").select(*KEY, F.col("dep").alias("up"), F.when(F.col("dep").isNotNull(), 1).otherwise(0).alias("level")))
+    left = now.where("up is not null").count()
+    while left:
+        above = now.select("conv_id", F.col("call_id").alias("up"), F.col("up").alias("next"), F.col("level").alias("more"))
+        now = materialize(now.join(above, ["conv_id", "up"], "left").select(*KEY, F.col("next").alias("up"), (F.col("level") + F.coalesce("more", F.lit(0))).cast("int").alias("level")))
+        still = now.where("up is not null").count()
+        if still == left:  # every finite chain would have shortened: what is left runs in circles
+            break
+        left = still
+    return now.select(*KEY, F.when(F.col("up").isNull(), F.col("level")).alias("level"))
+
+
 def argument_errors(calls: DataFrame, schemas: DataFrame, max_tools: int = 100_000) -> DataFrame:
     """``calls`` with canonical arguments and errors, from schemas (tool, name, kind, required).
 
