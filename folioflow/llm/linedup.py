@@ -80,16 +80,18 @@ def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
     def coded(value: Column) -> Column:
         return packed(F.shiftleft(F.get(steps, F.pmod(value, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS), value)
 
-    def token(i: Column) -> Column:
-        # single elements, as slice() copies the whole array each time; beyond the end they are null and skipped
-        window = [F.get("__w", i + k) for k in range(SHINGLE)]
-        return packed(F.least(*window).bitwiseAND(F.lit(-(1 << HASH_BITS))), F.xxhash64(*window))
+    def joined(a: Column, b: Column) -> Column:
+        return packed(F.least(a, b).bitwiseAND(F.lit(-(1 << HASH_BITS))), F.xxhash64(a, b))
 
+    # windows of five by doubling: pairs, pairs of pairs, and one word more; missing words are null and skipped
     words = F.transform(F.transform(words_of_line(F.col("line")), lambda w: F.xxhash64(w)), coded)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("__w") - SHINGLE, F.lit(0)))
-    tokens = F.sort_array(F.array_distinct(F.transform(starts, token)))
+    n = F.size("__w")
+    rows = lines.withColumn("__w", words)
+    rows = rows.withColumn("__p", F.zip_with("__w", F.slice("__w", F.lit(2), n), joined))
+    rows = rows.withColumn("__q", F.zip_with("__p", F.slice("__p", F.lit(3), n), joined))
+    windows = F.slice(F.zip_with("__q", F.slice("__w", F.lit(SHINGLE), n), joined), F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
     none = F.array().cast("array<long>")
-    return lines.withColumn("__w", words).withColumn("tokens", F.when(F.size("__w") > 0, tokens).otherwise(none)).drop("__w")
+    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop("__w", "__p", "__q")
 
 
 def exact_groups(lines: DataFrame) -> DataFrame:
@@ -118,20 +120,17 @@ def _bits(tokens: Column) -> Column:
 
 
 def _met(x: str, y: str, percent: int) -> Column:
-    """Length filter, positional filter for the first token that two lines share, and bitmap filter."""
+    """Length filter, and positional filter for the first token that two lines share."""
     n, m, i, j = F.col(f"{x}_n"), F.col(f"{y}_n"), F.col(f"{x}_at"), F.col(f"{y}_at")
     rest = F.least(n - i, m - j)
-    differ = F.bit_count(F.col(f"{x}_bits").bitwiseXOR(F.col(f"{y}_bits")))
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent) & (differ * (100 + percent) <= (n + m) * (100 - percent))
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, steps: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(doc_id, line_no) of the later lines of pairs (a_doc, a_line, b_doc, b_line) that are similar enough."""
     pairs = materialize(pairs)
     named = materialize(pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")), F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")))).alias("k")).select("k.*").distinct())
-    own_docs = docs.join(small_side(named.select(F.col("doc_id").alias("__id")).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    wanted = lines_of(own_docs, id_col, text_col).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
-    sets = materialize(tokenised(wanted, steps).select("doc_id", "line_no", "tokens"))
+    sets = materialize(_tokens_of(named, docs, steps, id_col, text_col))
     side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("tokens").alias(f"{x}_tokens"))
     joined = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
@@ -139,6 +138,17 @@ def _verified(pairs: DataFrame, docs: DataFrame, steps: Column, percent: int, id
     return good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
 
 
+def _tokens_of(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, line_no, tokens) of the lines named; only their documents are read."""
+    own_docs = docs.join(small_side(named.select(F.col("doc_id").alias("__id")).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
+    wanted = lines_of(own_docs, id_col, text_col).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
+    return tokenised(wanted, steps).select("doc_id", "line_no", "tokens")
+
+
+def _bitmaps(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str) -> DataFrame:
+    return _tokens_of(materialize(named), docs, steps, id_col, text_col).select("doc_id", "line_no", _bits(F.col("tokens")).alias("bits"))
+
+
 def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, line_no) of every line with an earlier match."""
     docs = docs.select(id_col, text_col)
@@ -155,21 +165,25 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # an outer explode, as Spark would push the inner one's size filter below the projection and evaluate the tokens again
-    listed = sets.select("doc_id", "line_no", n.alias("n"), _bits(F.col("tokens")).alias("bits"), F.posexplode_outer(prefix).alias("at", "token")).where("token is not null")
+    listed = sets.select("doc_id", "line_no", n.alias("n"), F.posexplode_outer(prefix).alias("at", "token")).where("token is not null")
     by_token = Window.partitionBy("token")
     shared = materialize(listed.withColumn("size", F.count(F.lit(1)).over(by_token)).where("size > 1"))
 
-    side = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
+    side = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"))
     before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
     key = ["a_doc", "a_line", "b_doc", "b_line"]
     small, large = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
     near = side("a", small).join(side("b", small), "token").where(before & _met("a", "b", percent)).select(*key)
-    head = large.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at", "bits")).alias("f")).select("token", "f.*")
+    head = large.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("f")).select("token", "f.*")
     led = side("a", head).join(side("b", large), "token").where(before & _met("a", "b", percent)).select(*key)
     found = materialize(_verified(near.union(led).distinct(), docs, steps, percent, id_col, text_col))
 
-    open_rows = side("b", large.join(found, ["doc_id", "line_no"], "left_anti"))
-    rest = side("a", large).join(open_rows, "token").where(before & _met("a", "b", percent)).select(*key).join(materialize(led.distinct()), key, "left_anti").distinct()
+    # only here, where many lines may meet, do they also pass a bitmap of their tokens
+    crowd = materialize(large.join(_bitmaps(large.select("doc_id", "line_no").distinct(), docs, steps, id_col, text_col), ["doc_id", "line_no"]))
+    wide = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
+    alike = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
+    open_rows = wide("b", crowd.join(found, ["doc_id", "line_no"], "left_anti"))
+    rest = wide("a", crowd).join(open_rows, "token").where(before & _met("a", "b", percent) & alike).select(*key).distinct()
     more = _verified(rest, docs, steps, percent, id_col, text_col)
     return copies.union(found).union(more).distinct()
 
