@@ -136,20 +136,17 @@ def _text_batches(column) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(unit, n): distinct units and their counts; tasks send one row per unit of an Arrow batch."""
+    """(unit, n): distinct units and their counts; Python hands over one row per unit of some megabytes, and Spark combines them before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen: dict[bytes, int] = {}
             for _, _, texts in _text_batches(batch.column(0)):
                 data, starts, ends, _ = units_of(texts, pairs)
                 if len(starts):
                     _, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
                     raw = data.tobytes()
-                    for s, e, c in zip(starts[first].tolist(), ends[first].tolist(), n.tolist()):
-                        unit = raw[s:e]
-                        seen[unit] = seen.get(unit, 0) + c
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen.keys()), pa.binary()).cast(pa.string()), pa.array(list(seen.values()), pa.int64())], names=["unit", "n"])
+                    units = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()).cast(pa.string()), pa.array(n)], names=["unit", "n"])
 
     return docs.select(text_col).mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -393,23 +390,12 @@ def _text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def decode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """``docs`` with the text of ids; null ids give null. Bytes that are no UTF-8 (a path of foreign ids) become U+FFFD."""
-    v = vocabulary or load_vocabulary()
-    shared = docs.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(v.surface), np.uint8), np.cumsum([0] + [len(s) for s in v.surface])))
-    kept = [f for f in docs.schema.fields if f.name != text_col]
+    """``docs`` with the text of ids; null ids give null. Bytes that are no UTF-8 (a path of foreign ids) become U+FFFD.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        surface, edges = shared.value
-        sizes = np.diff(edges)
-        for batch in batches:
-            out = []
-            for row in batch.column(ids_col):
-                if not row.is_valid:
-                    out.append(None)
-                    continue
-                ids = row.values.to_numpy(zero_copy_only=False)
-                text = surface[_spread(edges[ids], sizes[ids])].tobytes() if len(ids) else b""
-                out.append((text[1:] if text[:1] == b" " else text).decode("utf-8", errors="replace"))
-            yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(out, pa.string())], names=[*(f.name for f in kept), text_col])
-
-    return docs.mapInArrow(work, T.StructType([*kept, T.StructField(text_col, T.StringType())]))
+    The pieces' bytes, as hexadecimal text, are one constant of the vocabulary's size; no Python runs.
+    """
+    v = vocabulary or load_vocabulary()
+    surface = F.split(F.lit(",".join(s.hex() for s in v.surface)), ",")
+    joined = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(surface, i)), ""))
+    text = F.make_valid_utf8(joined.cast("string"))
+    return docs.withColumn(text_col, F.regexp_replace(text, "^ ", ""))
