@@ -73,6 +73,36 @@ def ordinal(n: Column) -> Column:
     return let(F.split(cardinal(n), " "), last_changed)
 
 
+def spelt(n: int) -> str:
+    """Cardinal words of 0 to 9999, for tables."""
+    if n == 0:
+        return "sıfır"
+    thousands, rest = divmod(n, 1000)
+    hundreds, below = divmod(rest, 100)
+    parts = [ONES[thousands] if thousands > 1 else "", "bin" if thousands else "", ONES[hundreds] if hundreds > 1 else "", "yüz" if hundreds else "", TENS[below // 10], ONES[below % 10]]
+    return " ".join(p for p in parts if p)
+
+
+def _table(words) -> Column:
+    """Constant array; one literal, so that plans stay small where a lookup stands in several lambdas."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
+def small_cardinal(n: Column) -> Column:
+    """Cardinal words of 0 to 9999, else null."""
+    return F.get(_table(spelt(k) for k in range(10_000)), n.cast("int"))
+
+
+def small_ordinal(n: Column) -> Column:
+    """Ordinal words of 0 to 9999, else null."""
+
+    def last_changed(words: str) -> str:
+        head, _, last = words.rpartition(" ")
+        return f"{head} {ORDINALS[last]}".strip()
+
+    return F.get(_table(last_changed(spelt(k)) for k in range(10_000)), n.cast("int"))
+
+
 def roman(n: Column) -> Column:
     """Roman numeral of 1 to 3999, else null."""
     text = F.concat(*[_pick(place, _whole(n, 10**k) % 10) for k, place in reversed(list(enumerate(ROMAN_PLACES)))])
