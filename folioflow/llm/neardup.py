@@ -16,6 +16,9 @@ How groups are kept linear
   of what is left, only pairs whose components still differ.
 * In a larger bucket every class is compared with ``PIVOTS`` pivots: the classes
   nearest to the bucket's consensus sketch (a family's original) and the smallest ids.
+  Then classes outside the bucket's largest component meet each other and that component
+  in tiles of ``TILE`` by ``TILE`` rows; again only pairs whose components still differ are verified.
+  One family costs linear work; classes that share a bucket and stay apart cost the square of their number.
 
 The sketch holds two bits of each of the 32 minhashes. Pairs that agree in fewer than
 ``AGREE`` of them are dropped; at similarity 0.75 that happens to 1 pair in 10^5.
@@ -49,6 +52,7 @@ TUPLE = 2
 N_HASHES = 2 * SIDE * TUPLE
 SMALL = 48
 PIVOTS = 4
+TILE = 512
 AGREE = 16
 MAX_BROADCAST_IDS = 4_000_000
 
@@ -113,7 +117,7 @@ def profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def bucket_rows(reps: DataFrame) -> DataFrame:
-    """(key, id, sketch, hot_table) in every table (i, j); hot_table marks the tables used for large buckets."""
+    """(key, id, sketch) in every table (i, j)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -126,10 +130,9 @@ def bucket_rows(reps: DataFrame) -> DataFrame:
                     sketch |= ((sig[:, k] >> np.uint64(9)) & np.uint64(3)) << np.uint64(2 * k)
                 for i in range(SIDE):
                     keys = np.concatenate([mix(parts[i] * np.uint64(3) + parts[SIDE + j] + _TABLES[i, j]) for j in range(SIDE)])
-                    marks = np.repeat([(i + j) % 4 == 0 for j in range(SIDE)], len(ids))
-                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(ids, SIDE)), pa.array(np.tile(sketch, SIDE).view(np.int64)), pa.array(marks)], names=["key", "id", "sketch", "hot_table"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.tile(ids, SIDE)), pa.array(np.tile(sketch, SIDE).view(np.int64))], names=["key", "id", "sketch"])
 
-    return reps.select("doc_id", "sig").mapInArrow(work, "key long, id long, sketch long, hot_table boolean")
+    return reps.select("doc_id", "sig").mapInArrow(work, "key long, id long, sketch long")
 
 
 def _agreement(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -151,7 +154,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     one Arrow batch is held.
     """
 
-    def emit(key, ids, sketch, mark):
+    def emit(key, ids, sketch):
         """Pairs of complete buckets."""
         first = np.empty(len(key), bool)
         first[0] = True
@@ -160,7 +163,7 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
         sizes = np.diff(np.append(starts, len(key)))
         size, start = np.repeat(sizes, sizes), np.repeat(starts, sizes)
         place = np.arange(len(key)) - start
-        hot = np.flatnonzero((size > SMALL) & mark)
+        hot = np.flatnonzero(size > SMALL)
         out = [(key[hot], ids[hot], np.zeros(len(hot), np.int64), sketch[hot], np.full(len(hot), 2, np.int8))]
         alive = np.flatnonzero((size > 1) & (size <= SMALL))
         for d in range(1, SMALL):
@@ -179,27 +182,26 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
 
         held, hot_key = None, None
         for batch in batches:
-            key, ids, sketch, mark = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+            key, ids, sketch = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             sketch = sketch.view(np.uint64)
             if hot_key is not None:  # the rest of a large bucket
                 n = int(np.searchsorted(key, hot_key, side="right"))
-                m = np.flatnonzero(mark[:n])
-                if len(m):
-                    yield table(key[m], ids[m], ids[m], sketch[m], np.full(len(m), 2, np.int8))
-                key, ids, sketch, mark = key[n:], ids[n:], sketch[n:], mark[n:]
+                if n:
+                    yield table(key[:n], ids[:n], ids[:n], sketch[:n], np.full(n, 2, np.int8))
+                key, ids, sketch = key[n:], ids[n:], sketch[n:]
                 if not len(key):
                     continue
                 hot_key = None
             if held is not None:
-                key, ids, sketch, mark = (np.concatenate(c) for c in zip(held, (key, ids, sketch, mark)))
+                key, ids, sketch = (np.concatenate(c) for c in zip(held, (key, ids, sketch)))
                 held = None
             last = int(np.searchsorted(key, key[-1], side="left"))
             if len(key) - last > SMALL:
                 hot_key, last = key[-1], len(key)
             else:
-                held = tuple(c[last:].copy() for c in (key, ids, sketch, mark))
+                held = tuple(c[last:].copy() for c in (key, ids, sketch))
             if last:
-                found = emit(key[:last], ids[:last], sketch[:last], mark[:last])
+                found = emit(key[:last], ids[:last], sketch[:last])
                 if len(found[0]):
                     yield table(*found)
         if held is not None and len(held[0]) > 1:
@@ -228,6 +230,44 @@ def pivot_pairs(hot: DataFrame) -> DataFrame:
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
+def unmatched_pairs(hot: DataFrame, found: DataFrame) -> DataFrame:
+    """(a, b) of each large bucket whose sketches agree and whose components differ.
+
+    A bucket's rows outside its largest component are dealt to blocks of about ``TILE`` by hash, and so
+    is that component; each two blocks are a tile, except two of the largest component. A bucket of one component has none.
+    """
+    rows = hot.select("key", F.col("a").alias("id"), "sketch").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
+    rows = rows.select("key", "id", "sketch", F.coalesce("component", "id").alias("component"))
+    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n")).where("n > in_main")
+    blocks = lambda n: F.ceil(n / TILE).cast("int")
+    parted = rows.join(mixed.select("key", "main", blocks(F.col("in_main")).alias("mains"), blocks(F.col("n") - F.col("in_main")).alias("rests")), "key")
+    is_main = F.col("component") == F.col("main")
+    # blocks of the largest component are numbered -1, -2, ...
+    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    parted = parted.withColumn("block", F.when(is_main, -1 - own).otherwise(own))
+    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
+    with_mains = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda j: F.struct(F.col("block").alias("i"), (-j).alias("j")))
+    tiles = parted.select("key", F.explode(F.when(is_main, with_rests).otherwise(F.concat(with_rests, with_mains))).alias("t"), "block", "id", "sketch", "component")
+    tiles = tiles.select("key", "t.i", "t.j", "block", "id", "sketch", "component")
+
+    def meet(pdf):
+        import pandas as pd
+
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        block, ids, sketch, component = (pdf[c].to_numpy() for c in ("block", "id", "sketch", "component"))
+        sketch = sketch.view(np.uint64)
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        good = (component[left][:, None] != component[right]) & (_agreement(sketch[left][:, None], sketch[right]) >= AGREE)
+        if i == j:
+            good = np.triu(good, 1)
+        x, y = np.nonzero(good)
+        x, y = ids[left[x]], ids[right[y]]
+        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
+
+    return tiles.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -285,7 +325,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     found = materialize(connected_components(links))
 
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-    others = raw.where("kind = 1").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    others = raw.where("kind = 1").select("a", "b").union(unmatched_pairs(hot, found)).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = materialize(others.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
     more = materialize(verified(others, docs, percent, id_col, text_col))
     if more.limit(1).count():

@@ -101,6 +101,22 @@ def test_neardup(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_neardup_shared_template(spark):
+    template = [f"t{k}" for k in range(400)]
+    own = lambda i: [f"d{i}w{k}" for k in range(100)]
+    words = {i: template + own(i) for i in range(400)}
+    for i in range(60):  # 396 + 30 or more of 496 shingles are shared
+        words[200 + i] = template + own(i)[: 30 + i % 8] + own(200 + i)[30 + i % 8 :]
+    texts = {i: " ".join(w) for i, w in words.items()}
+    planted = {(i, 200 + i) for i in range(60)}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    close = {(i, j) for i in sets for j in sets if i < j and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    assert close == planted and all(len(sets[i] & sets[j]) < 0.8 * len(sets[i] | sets[j]) for i, j in planted)
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(documents(spark, [(i, t, "s") for i, t in texts.items()])).collect()}
+    assert all(c == i or (c, i) in planted for i, c in found.items())
+    assert sum(found[j] == i for i, j in planted) >= 0.97 * len(planted)
+
+
 def test_sentencepiece(spark):
     import sentencepiece as library
 
