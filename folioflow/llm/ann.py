@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by cross-polytope hashing.
 
-Vectors are divided by the largest norm and, if norms differ, given one more component
-that makes them unit vectors, so the largest inner product is the smallest angle. Each
-of ``tables`` fast pseudo-rotations (three rounds of random signs and a Hadamard
+Vectors of one length are split into ranges of norms (each ``RATIO`` wide, down from the largest) and
+hashed by direction within a range, so the largest inner products of a range are its smallest
+angles; queries go to every range. Each of ``tables`` fast pseudo-rotations (three rounds of random signs and a Hadamard
 transform) assigns a vector to its nearest signed axis. A query probes its ``probes``
-nearest signed axes in every table; candidates are reranked by exact inner products of
+nearest signed axes in every table of a range; candidates are reranked by exact inner products of
 the original vectors in double precision.
 
 Equal vectors are searched once: a class keeps its top + 1 smallest ids, which is all
@@ -20,8 +20,10 @@ Defined cases
 * null or zero vectors, and vectors with a null or non-finite component, take no part.
 * null ids take no part. An id given twice counts as two rows.
 * vectors of different lengths are never candidates for each other.
-* small tables: below ``exhaustive_below`` classes one table is probed at every axis, so that
-  all candidates are met and fewer than ``top`` come back only if there are fewer.
+* small ranges: below ``exhaustive_below`` classes one table is probed at every axis, so that
+  all candidates are met.
+* queries that met fewer than ``top + 1`` classes probe every axis of one table in every range, so
+  fewer than ``top`` come back only if there are fewer.
 * empty table: empty result. Other columns are ignored.
 """
 
@@ -38,6 +40,9 @@ from pyspark.sql import functions as F
 from folioflow.store import materialize
 
 
+RATIO = 1.25
+
+
 @dataclass(frozen=True)
 class AnnParams:
     tables: int = 8
@@ -66,13 +71,10 @@ def rotate(x: np.ndarray, table: int, seed: int) -> np.ndarray:
     return x
 
 
-def unit_vectors(x: np.ndarray, largest: float, uneven: bool, query: bool) -> np.ndarray:
-    """Unit vectors whose angle orders inner products, padded to a power of two."""
-    norms = np.linalg.norm(x, axis=1, keepdims=True)
-    scaled = x / (norms if query else largest)
-    if uneven:
-        rest = np.zeros_like(norms) if query else np.sqrt(np.maximum(0.0, 1.0 - (norms / largest) ** 2))
-        scaled = np.concatenate((scaled, rest), axis=1)
+def unit_vectors(x: np.ndarray) -> np.ndarray:
+    """Directions, padded to a power of two."""
+    scaled = x / np.abs(x).max(axis=1, keepdims=True)
+    scaled /= np.linalg.norm(scaled, axis=1, keepdims=True)
     size = 1 << max(1, int(np.ceil(np.log2(scaled.shape[1]))))
     return np.pad(scaled, ((0, 0), (0, size - scaled.shape[1]))).astype(np.float32)
 
@@ -107,40 +109,45 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
     # the ids of a class beyond the first top + 1 can never be returned; the rank is limited before the shuffle
     firsts = rows.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= p.top + 1)
     classes = firsts.groupBy("v").agg(F.min("id").alias("class"), F.sort_array(F.collect_list("id")).alias("ids"), F.first("dim").alias("dim"))
-    index = materialize(classes)
+    most = F.array_max(F.transform("v", F.abs))
+    size = F.log(most) + F.log(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / most) * (x / most))) / 2  # the norm's logarithm never overflows
+    sized = materialize(classes.withColumn("size", size))
+    largest = sized.groupBy("dim").agg(F.max("size").alias("largest"))
+    place = F.floor((F.col("largest") - F.col("size")) / float(np.log(RATIO))).cast("int")
+    index = materialize(sized.join(largest, "dim").select("v", "class", "ids", "dim", place.alias("range")))
     asked = rows.where(is_query(F.col("id"))).select("id", "v")
     query_class = materialize(asked.join(index.select("v", "class"), "v").select("id", "class"))
     queries = index.join(query_class.select("class").distinct(), "class", "left_semi").select("class", "v", "dim")
+    ranges = materialize(index.groupBy("dim", "range").agg((F.count(F.lit(1)) >= p.exhaustive_below).alias("dense")))
 
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    facts = index.agg(F.max(norm), F.min(norm), F.count(F.lit(1))).first()
-    largest, smallest, count = float(facts[0] or 1.0), float(facts[1] or 1.0), int(facts[2])
-    uneven = smallest < largest * (1 - 1e-4)
-    tables, probes = (p.tables, p.probes) if count >= p.exhaustive_below else (1, 1 << 30)
-
-    def bucketed(query: bool):
+    def bucketed(query: bool, everywhere: bool = False):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dims = batch.column(2).to_numpy(zero_copy_only=False)
-                for dim in np.unique(dims):
-                    part = batch.filter(pa.array(dims == dim))
-                    unit = unit_vectors(_matrix(part.column(1)), largest, uneven, query)
-                    for t in range(tables):
-                        axes = axes_by_nearness(rotate(unit, t, p.seed), probes if query else 1)
+                dims, dense = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+                for dim, many in sorted(set(zip(dims.tolist(), dense.tolist()))):
+                    part = batch.filter(pa.array((dims == dim) & (dense == many)))
+                    unit = unit_vectors(_matrix(part.column(1)))
+                    for t in range(p.tables if many and not everywhere else 1):
+                        axes = axes_by_nearness(rotate(unit, t, p.seed), (p.probes if many and not everywhere else 1 << 30) if query else 1)
                         each = np.repeat(np.arange(len(unit)), axes.shape[1])
                         keys = (np.int64(dim) << 32) + (np.int64(t) << 24) + axes.ravel()
-                        yield pa.RecordBatch.from_arrays([pa.array(keys), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], names=["bucket", "class", "v"])
+                        yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(each)), pa.array(keys), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], names=["range", "bucket", "class", "v"])
 
         return work
 
-    schema = "bucket long, class long, v array<double>"
-    stored = index.select("class", "v", "dim").mapInArrow(bucketed(False), schema)
-    sizes = stored.groupBy("bucket").count()
-    blocks = materialize(sizes.select("bucket", F.ceil(F.col("count") / p.block_rows).cast("int").alias("blocks")))
-    # at most tables * 2 * padded dimension rows for each vector length; joined, not collected
+    schema = "range int, bucket long, class long, v array<double>"
+    columns = ["class", "v", "dim", "range", "dense"]
+    stored = index.join(ranges, ["dim", "range"]).select(columns).mapInArrow(bucketed(False), schema)
+    sizes = stored.groupBy("range", "bucket").count()
+    blocks = materialize(sizes.select("range", "bucket", F.ceil(F.col("count") / p.block_rows).cast("int").alias("blocks")))
+    # at most tables * 2 * padded dimension rows for each range of each vector length; joined, not collected
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
-    held = stored.join(blocks, "bucket").select("bucket", block.cast("int").alias("block"), F.lit(False).alias("query"), "class", "v")
-    sent = queries.mapInArrow(bucketed(True), schema).join(blocks, "bucket").select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "class", "v")
+    held = stored.join(blocks, ["range", "bucket"]).select("range", "bucket", block.cast("int").alias("block"), F.lit(False).alias("query"), "class", "v")
+
+    def sent(asking: DataFrame, everywhere: bool = False) -> DataFrame:
+        probing = asking.join(ranges, "dim").select(columns).mapInArrow(bucketed(True, everywhere), schema).join(blocks, ["range", "bucket"])
+        return probing.select("range", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "class", "v")
+
     keep = p.top + 1
 
     def rerank(pdf):
@@ -159,8 +166,18 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
             out.append(pd.DataFrame({"query": np.repeat(qid[at : at + 1024], k), "class": ids[near].ravel(), "score": np.take_along_axis(scores, near, axis=1).ravel()}))
         return pd.concat(out)
 
-    near = held.unionByName(sent).groupBy("bucket", "block").applyInPandas(rerank, "query long, class long, score double")
-    merged = near.groupBy("query", "class").agg(F.max("score").alias("approximate"))
+    def met(base: DataFrame, asking: DataFrame) -> DataFrame:
+        near = base.unionByName(asking).groupBy("range", "bucket", "block").applyInPandas(rerank, "query long, class long, score double")
+        return materialize(near.groupBy("query", "class").agg(F.max("score").alias("approximate")))
+
+    merged = met(held, sent(queries))
+    served = merged.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep).select(F.col("query").alias("class"))
+    # where no range is dense every candidate was met already
+    short = materialize(queries.join(ranges.where("dense").select("dim").distinct(), "dim", "left_semi").join(served, "class", "left_anti"))
+    if short.limit(1).count():
+        first_table = F.shiftright("bucket", 24).bitwiseAND(F.lit(255)) == 0
+        again = met(held.where(first_table), sent(short, everywhere=True))
+        merged = merged.unionByName(again).groupBy("query", "class").agg(F.max("approximate").alias("approximate"))
     best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approximate"), "class"))).where(F.col("r") <= keep + 4)
     exact = (
         best.select("query", "class")

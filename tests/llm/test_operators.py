@@ -45,6 +45,32 @@ def test_ann(spark):
     assert ann.search(df.limit(0), lambda c: c == 0).count() == 0
 
 
+@pytest.mark.parametrize("shape", ["uniform", "lognormal", "outlier", "one side"])
+def test_ann_uneven_norms(spark, shape):
+    rng, n = np.random.default_rng(1), 3000
+    x = rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if shape == "uniform":
+        x *= rng.uniform(0.5, 2, size=(n, 1))
+    elif shape == "lognormal":
+        x *= np.exp(rng.normal(scale=0.5, size=(n, 1)))
+    elif shape == "outlier":
+        x[7] *= 100
+    else:  # a few queries lie opposite to all others
+        x = x * 0.1 + np.eye(64)[0]
+        x[::600] *= -1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = {}
+    for r in ann.search(df, lambda c: c % 100 == 0).collect():
+        found.setdefault(r["query_id"], []).append(r["vec_id"])
+    hits = 0
+    for q in range(0, n, 100):
+        scores = x @ x[q]
+        hits += len(set([i for i in np.argsort(-scores) if i != q][:20]) & set(found[q]))
+        assert len(found[q]) == 20
+    assert hits / (20 * n / 100) >= 0.9
+
+
 def test_mixing(spark):
     rows = [(i, prose(i, 10 + i), ["a", "b", None][i % 3]) for i in range(90)] + [(200, None, "a"), (201, "", "b"), (202, "x", "z"), (202, "x", "z"), (None, "y y", "z")]
     df = documents(spark, rows).withColumn("size", F.lit("clash"))
