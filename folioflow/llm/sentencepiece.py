@@ -22,7 +22,8 @@ U+2581, which the format uses for the space, is encoded by its bytes where it st
 
 Defined cases
 * null text: null ids; empty text: no ids.
-* units longer than ``MAX_UNIT`` bytes are cut there, at a character's start.
+* units longer than ``MAX_UNIT`` bytes (runs of one character, mostly) are encoded whole as well, in Python by a
+  heap of merges or a linear Viterbi, as the fold's work grows with the square of a unit's length.
 * ties between paths: the longer last piece wins; between merges: the leftmost.
 * repeated rows are encoded alike; null ids of rows do not matter; extra columns pass through,
   and ``ids`` replaces a column of that name. Empty table: empty result.
@@ -30,6 +31,7 @@ Defined cases
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -115,17 +117,6 @@ def units_of(texts: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndar
     start[1:] = ~pairs[data[:-1], data[1:]]
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(start)
-    size = np.diff(np.append(at, len(data)))
-    if size.max() > MAX_UNIT:
-        extra = []
-        for s, n in zip(at[size > MAX_UNIT], size[size > MAX_UNIT]):
-            cut, end = s + MAX_UNIT, s + n
-            while cut < end:
-                while (data[cut] & 0xC0) == 0x80:
-                    cut -= 1
-                extra.append(cut)
-                cut += MAX_UNIT
-        at = np.sort(np.concatenate((at, np.array(extra, at.dtype))))
     return data, at, np.append(at[1:], len(data)), np.searchsorted(at, offsets)
 
 
@@ -152,6 +143,87 @@ def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> D
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``."""
+    units = materialize(units)
+    long = F.octet_length("unit") > MAX_UNIT
+    return lattice_ids(units.where(~long).repartition("unit"), vocabulary).unionByName(encode_long_units(units.where(long), vocabulary))
+
+
+def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, ids), each unit whole, in time that grows as n log n."""
+    shared = units.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = None
+        for batch in batches:
+            v = shared.value
+            table = table or {piece: (k, score) for piece, k, score in v.pieces}
+            ids = [long_unit_ids(unit.as_py(), table, v) for unit in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+
+    return units.select("unit", "n").mapInArrow(work, "unit string, n long, ids array<int>")
+
+
+def long_unit_ids(unit: str, table: dict, v: Vocabulary) -> list[int]:
+    shown = unit.replace(SPACE, OWN_SPACE).replace(" ", SPACE)
+    cuts = (_best_cuts if v.kind == "unigram" else _merged_cuts)(shown, table, v)
+    ids = []
+    for at, upto in zip(cuts, cuts[1:]):
+        own = table.get(shown[at:upto])
+        ids += [own[0]] if own else [v.first_byte + b for b in unit[at:upto].encode()]
+    return ids
+
+
+def _merged_cuts(shown: str, table: dict, v: Vocabulary) -> list[int]:
+    """As ``merged_path``: the cheapest, then leftmost merge first, from a heap."""
+    n = len(shown)
+    following, before = list(range(1, n + 1)), list(range(-1, n))  # by a part's start; n is the end
+    heap = []
+
+    def offer(at):
+        middle = following[at]
+        if middle < n:
+            upto = following[middle]
+            known = table.get(shown[at:upto]) if upto - at <= v.longest else None
+            if known:
+                heapq.heappush(heap, (-known[1], at, middle, upto))
+
+    for at in range(n):
+        offer(at)
+    gone = bytearray(n)
+    while heap:
+        _, at, middle, upto = heapq.heappop(heap)
+        if gone[at] or following[at] != middle or following[middle] != upto:
+            continue
+        gone[middle] = 1
+        following[at] = upto
+        if upto < n:
+            before[upto] = at
+        offer(at)
+        if before[at] >= 0:
+            offer(before[at])
+    return [at for at in range(n) if not gone[at]] + [n]
+
+
+def _best_cuts(shown: str, table: dict, v: Vocabulary) -> list[int]:
+    """As ``best_path``: the least cost, then the longest last piece."""
+    best, back = [0.0], [0]
+    for upto in range(1, len(shown) + 1):
+        ending = []
+        for at in range(max(0, upto - v.longest), upto):
+            known = table.get(shown[at:upto])
+            if known or upto - at == 1:
+                ending.append((best[at] - (known[1] if known else v.unknown_score), at))
+        cost, at = min(ending)
+        best.append(cost)
+        back.append(at)
+    cuts = [len(shown)]
+    while cuts[-1] > 0:
+        cuts.append(back[cuts[-1]])
+    return cuts[::-1]
+
+
+def lattice_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, n, ids) by the lattice. ``units`` has one row per unit; the grouping keeps its partitioning."""
     v = vocabulary
     spark = units.sparkSession
@@ -268,7 +340,8 @@ def hashed_units(encoded: DataFrame) -> DataFrame:
 
 
 def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int]:
-    """The most frequent units, at most ``most``, and the count from which they are in."""
+    """The most frequent units of up to ``MAX_UNIT`` ids, at most ``most``, and the count from which they are in."""
+    table = table.where(F.octet_length("ids") <= 4 * MAX_UNIT)
     steps = sorted(((r["step"], r["units"], r["least"]) for r in table.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()), reverse=True)
     total, cut = 0, 1 << 62
     for _, units, least in steps:
@@ -324,7 +397,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, rare)], names=["key", "hash"])
 
     rare = docs.select(text_col).mapInArrow(tail, "key long, hash long")
-    found = rare.join(table.where(F.col("n") < cut).select("hash", "ids"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("rare"))
+    found = rare.join(table.where((F.col("n") < cut) | (F.octet_length("ids") > 4 * MAX_UNIT)).select("hash", "ids"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("rare"))
 
     kept = [f for f in docs.schema.fields if f.name not in ("ids", "__key", "__packed")]
     kept_names = [f.name for f in kept]

@@ -158,6 +158,19 @@ def test_sentencepiece(spark):
     assert sentencepiece.encode(df.limit(0), vocabulary).count() == 0
 
 
+def test_sentencepiece_long_runs(spark):
+    import sentencepiece as library
+
+    texts = [f"q{c * n}z" for c in "=-_* a" for n in (300, 500, 5000)] + ["a" * 100_000, " " * 400, "=" * 100_000, "x" * 140_001, "é▁" * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    vocabulary = sentencepiece.load_vocabulary()
+    out = sentencepiece.decode(sentencepiece.encode(df, vocabulary), vocabulary).orderBy("doc_id").collect()
+    assert [r["decoded"] for r in out] == texts
+    model = library.SentencePieceProcessor(model_file=sentencepiece.default_model())
+    for r in out[:-1]:  # the library reads the last text's U+2581 as spaces
+        assert r["ids"] == model.encode(texts[r["doc_id"]])
+
+
 def test_quality(spark):
     good = [(i, prose(i, 60), "s") for i in range(120)]
     bad = [(1000 + i, " ".join(w + "$$$" for w in prose(i, 60).split()), "s") for i in range(60)]
