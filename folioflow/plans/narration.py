@@ -175,7 +175,7 @@ def page_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of lookup of physical pages at every 350th character, with a page border each 500 + 13 * page characters from 40 on."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "n_chars")
-    bounds = F.transform(F.sequence(F.lit(0), F.least(F.floor(F.col("n_chars") / 500), F.lit(60)).cast("int")), lambda k: F.named_struct(F.lit("pos"), k * 513 + 40, F.lit("page"), k + 1))
+    bounds = F.transform(F.sequence(F.lit(0), F.floor(F.col("n_chars") / 500).cast("int")), lambda k: F.named_struct(F.lit("pos"), k * 513 + 40, F.lit("page"), k + 1))
     at = F.explode(F.sequence(F.lit(0), F.col("n_chars").cast("int"), F.lit(350))).alias("at")
     return docs.select("doc_id", bounds.alias("b"), at).select("doc_id", "at", segmentation.source_page(F.col("b"), F.col("at")).alias("page"))
 

@@ -104,3 +104,11 @@ def test_chapter_rules(spark):
     marks = spark.createDataFrame([("b", 0, 1), ("b", 1, 2), ("b", 1, 3), ("c", 2, 1)], "book_id string, level int, ord int")
     assert {tuple(r) for r in chapters.bookmark_level(marks).collect()} == {("b", 1), ("c", 2)}
     assert spark.range(1).select(segmentation.source_page(F.expr("array(struct(0 as pos, 7 as page), struct(20 as pos, 8 as page))"), F.lit(19))).first()[0] == 7
+
+
+def test_source_pages_beyond_sixty(spark, tmp_path):
+    from folioflow.plans import narration
+
+    spark.createDataFrame([(1, 51_300), (2, 100)], "doc_id long, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {(r["doc_id"], r["at"]): r["page"] for r in narration.source_pages(spark, str(tmp_path)).collect()}
+    assert found == {(d, at): max(1, (at - 40) // 513 + 1) for d, n in ((1, 51_300), (2, 100)) for at in range(0, n + 1, 350)}
