@@ -15,6 +15,7 @@ only, which adaptive execution splits; the interval side is broadcast if it has
 
 Defined cases
 * null url or fetch time, and urls without a host: not blocked, no entry named.
+* hosts are compared without regard to case, paths with it, in urls and in entries.
 * two entries of one value at one time: listed wins.
 * repeated captures: judged once per (url, fetch time), one output row each.
 * entries with a null field are ignored. Empty list: nothing is blocked. Empty table: empty result.
@@ -56,9 +57,11 @@ def keys_of(host: Column, path: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(kind, value, since, until) during which a value is listed; until is null if it still is."""
-    one = entries.dropna(subset=["kind", "value", "listed", "since"]).groupBy("kind", "value", "since").agg(F.max("listed").alias("listed"))
+    host = F.substring_index("value", "/", 1)
+    value = F.when(F.col("kind") == "prefix", F.concat(F.lower(host), F.substring("value", F.length(host) + 1, F.length("value")))).otherwise(F.lower("value"))
+    one = entries.dropna(subset=["kind", "value", "listed", "since"]).withColumn("value", value).groupBy("kind", "value", "since").agg(F.max("listed").alias("listed"))
     following = F.lead("since").over(Window.partitionBy("kind", "value").orderBy("since"))
-    return one.withColumn("until", following).where("listed").select("kind", F.lower("value").alias("value"), "since", "until")
+    return one.withColumn("until", following).where("listed").select("kind", "value", "since", "until")
 
 
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", bucket_days: int = 30, max_broadcast: int = 200_000) -> DataFrame:

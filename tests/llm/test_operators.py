@@ -241,6 +241,13 @@ def test_urllist(spark):
     assert urllist.judge(captures, entries.limit(0)).where("blocked").count() == 0 and urllist.judge(captures.limit(0), entries).count() == 0
 
 
+def test_urllist_case(spark):
+    captures = spark.createDataFrame([(1, "http://host.org/Docs/x"), (2, "http://host.org/docs/x"), (3, "http://bad.com/"), (4, "http://HOST.org/Docs")], "page_id int, url string").withColumn("fetched_at", F.lit("2024-03-01"))
+    entries = spark.createDataFrame([("prefix", "Host.org/Docs", True, "2024-01-01"), ("domain", "bad.com", True, "2024-01-01"), ("domain", "Bad.com", False, "2024-02-01")], "kind string, value string, listed boolean, since string")
+    out = urllist.judge(captures, entries.withColumn("since", F.col("since").cast("timestamp"))).orderBy("page_id").collect()
+    assert [(r["blocked"], r["entry_value"]) for r in out] == [(True, "host.org/Docs"), (False, None), (False, None), (True, "host.org/Docs")]
+
+
 def test_linedup(spark):
     rng, pool = random.Random(5), [prose(k, rng_n) for k, rng_n in enumerate([3, 12, 40, 60, 25] * 8)]
     rows = []
