@@ -11,20 +11,31 @@ line is itself kept. Results therefore do not depend on processing order.
    table of 16,384 word-hash buckets, then the hash. A token is 16 bits of rarity above
    47 bits of hash.
 3. Each line lists its prefix, n - ceil(t n) + 1 rarest tokens; two similar lines share
-   a prefix token. Length, positional and bitmap filters drop most chance meetings.
-4. A token's list of up to ``SMALL`` lines yields its pairs. In a longer list (a family
-   of near copies) each line meets the list's first line; only lines that found no
-   match that way meet the others.
-5. Pairs are verified on full token sets.
+   a prefix token. Length and positional filters drop most chance meetings.
+4. A token's list of up to ``SMALL`` lines yields its pairs, which are verified on full sets.
+5. In a longer list (a family of near copies) every line is verified against the list's
+   first line, its leader. Lines that still have no match are joined with the others by
+   what sets them apart: with D(x) the symmetric difference of x and the leader,
+   |x ^ y| = |D(x) ^ D(y)|, so similar lines share much of D, and prefix and positional
+   filters on D (tokens that the leader lacks first) find them without meeting the
+   family's common part again. In a long list of D tokens, too, only lines that its first line
+   does not match meet the others.
+
+Bounds in step 5, with c = (100 - percent) / (100 + percent), l the leader's size: two lines
+match if |D(a)| + |D(b)| - 2 o <= c (|a| + |b|), o their common part. b is not matched by the
+leader, so |D(b)| > c (|b| + l), which gives o > (|D(a)| + c (l - |a|)) / 2; and
+o >= |D| - c (|a| + |b|) >= |D| - |own| (100 - percent) / percent for both.
 
 The lines copied most often are left out of steps 3 to 5 by a broadcast of at most
 ``MAX_GROUPS`` groups (about 40 bytes each), so hot lines never reach a list.
 
 Defined cases
 * null text: no lines, stays null. Null doc_id: the row passes unchanged and takes no part.
-* rows that repeat a doc_id are one document: equal line numbers are the same line.
+* rows that repeat a doc_id: equal texts are one document and lose the same lines; different texts
+  are documents of their own, in order of a hash of the text.
 * a document that loses all lines keeps an empty text. Ties cannot occur, as positions differ.
-* empty table: empty result. Extra columns pass through; names that start with ``__`` are its own.
+* empty and very long texts: no lines, and one row per line. Empty table: empty result.
+* extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,6 +44,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.broadcasts import small_side
+from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 SHINGLE = 5
@@ -43,28 +55,43 @@ HASH_BITS = 47
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
-def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no, line), one row per line with an id."""
+def keyed(docs: DataFrame, copy: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with ``copy``: 0, or a hash of the text where different texts share an id."""
+    ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
+    many = materialize(ids.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("id"))
+    if not many.limit(1).count():
+        return docs.withColumn(copy, F.lit(0).cast("long"))
+    (own,) = free_names(docs, "repeated_id")
+    joined = docs.join(small_side(many.withColumnRenamed("id", own), 4_000_000), F.col(id_col).cast("long") == F.col(own), "left")
+    return joined.withColumn(copy, F.when(F.col(own).isNull(), F.lit(0).cast("long")).otherwise(1 + F.pmod(F.xxhash64(text_col), F.lit(1 << 30)))).drop(own)
+
+
+def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", copy: str | None = None) -> DataFrame:
+    """(doc_id, line_no, line), one row per line with an id; line_no holds ``copy`` above 32 bits of the line's number."""
     rows = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
-    return rows.select(F.col(id_col).cast("long").alias("doc_id"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    above = F.shiftleft(F.col(copy), 32) if copy else F.lit(0)
+    lines = rows.select(F.col(id_col).cast("long").alias("doc_id"), above.alias("above"), F.posexplode(F.split(text_col, "\n")).alias("line_no", "line"))
+    return lines.select("doc_id", (F.col("above") + F.col("line_no")).cast("long").alias("line_no"), "line")
 
 
 def words_of_line(line: Column) -> Column:
-    return F.array_remove(F.split(F.lower(line), WORD_GAP), "")
+    """Words in lower case. Most lines hold no white space but blanks, and one-character splits are fast."""
+    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)
+    return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
 def rarity_steps(docs: DataFrame, text_col: str = "text") -> Column:
-    """Constant array of word counts by hash bucket, in steps of 16 to a doubling.
+    """Constant array of word counts by hash bucket, in steps of 16 to a doubling, above the hash bits.
 
     The counts of ``BUCKETS`` buckets, whatever the corpus holds, pass the driver and
     become a literal, since a subquery cannot stand inside a higher-order function.
     """
-    words = docs.select(F.explode(F.split(F.lower(text_col), WORD_GAP)).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("k")).count()
+    words = docs.select(F.explode(words_of_line(F.col(text_col))).alias("w"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).count()
     steps = [0] * BUCKETS
     for r in counts.select("k", F.floor(F.log2(F.col("count") + 1) * 16).cast("int").alias("s")).collect():
-        steps[r["k"]] = r["s"]
-    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<int>")
+        steps[r["k"]] = r["s"] << HASH_BITS
+    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<long>")
 
 
 def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
@@ -73,30 +100,32 @@ def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
     A word becomes its rarity above part of its hash, so that the least of a shingle's
     words carries the shingle's rarity.
     """
-
-    def packed(rarity: Column, value: Column) -> Column:
-        return rarity.bitwiseOR(F.shiftrightunsigned(value, 64 - HASH_BITS))
+    h, w, p, q = free_names(lines, "h", "w", "p", "q")
 
     def coded(value: Column) -> Column:
-        return packed(F.shiftleft(F.get(steps, F.pmod(value, F.lit(BUCKETS)).cast("int")).cast("long"), HASH_BITS), value)
+        return F.get(steps, value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(value, 64 - HASH_BITS))
 
     def joined(a: Column, b: Column) -> Column:
-        return packed(F.least(a, b).bitwiseAND(F.lit(-(1 << HASH_BITS))), F.xxhash64(a, b))
-
-    # windows of five by doubling: pairs, pairs of pairs, and one word more; missing words are null and skipped
-    words = F.transform(F.transform(words_of_line(F.col("line")), lambda w: F.xxhash64(w)), coded)
-    n = F.size("__w")
-    rows = lines.withColumn("__w", words)
-    rows = rows.withColumn("__p", F.zip_with("__w", F.slice("__w", F.lit(2), n), joined))
-    rows = rows.withColumn("__q", F.zip_with("__p", F.slice("__p", F.lit(3), n), joined))
-    windows = F.slice(F.zip_with("__q", F.slice("__w", F.lit(SHINGLE), n), joined), F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
+        return F.least(a, b).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(a, b), 64 - HASH_BITS))
+
+    # windows of five by doubling: pairs, pairs of pairs, and one word more; missing words are null
+    rows = lines.withColumn(h, F.transform(words_of_line(F.col("line")), lambda x: F.xxhash64(x)))
+    rows = rows.withColumn(w, F.transform(h, coded))
+    n = F.size(w)
+    rows = rows.withColumn(p, F.zip_with(w, F.slice(w, F.lit(2), n), joined))
+    rows = rows.withColumn(q, F.zip_with(p, F.slice(p, F.lit(3), n), joined))
+    windows = F.slice(F.zip_with(q, F.slice(w, F.lit(SHINGLE), n), joined), F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
     none = F.array().cast("array<long>")
-    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop("__w", "__p", "__q")
+    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop(h, w, p, q)
+
+
+def hashed_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, h1, h2) of lines with a word."""
+    return lines.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def exact_groups(lines: DataFrame) -> DataFrame:
-    """(h1, h2, n, first_doc, first_line) of lines whose text occurs more than once; blank lines never do."""
-    hashed = lines.where(F.trim(F.regexp_replace("line", WORD_GAP, " ")) != "").select("doc_id", "line_no", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+def exact_groups(hashed: DataFrame) -> DataFrame:
+    """(h1, h2, n, first_doc, first_line) of lines whose text occurs more than once."""
     groups = hashed.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "line_no")).alias("first")).where("n > 1")
     return groups.select("h1", "h2", "n", F.col("first.doc_id").alias("first_doc"), F.col("first.line_no").alias("first_line"))
 
@@ -113,93 +142,135 @@ def _most_copied(groups: DataFrame, most: int) -> DataFrame:
     return groups.where(F.floor(F.log2("n") * 8) >= cut)
 
 
-def _bits(tokens: Column) -> Column:
-    """A 64-bit map of a token set; two maps differ in no more bits than the sets differ in tokens."""
-    one = F.lit(1).cast("long")
-    return F.aggregate(tokens, F.lit(0).cast("long"), lambda bits, t: bits.bitwiseOR(F.call_function("shiftleft", one, t.bitwiseAND(F.lit(63)).cast("int"))))
+_PAIR = ["a_doc", "a_line", "b_doc", "b_line"]
 
 
-def _met(x: str, y: str, percent: int) -> Column:
-    """Length filter, and positional filter for the first token that two lines share."""
-    n, m, i, j = F.col(f"{x}_n"), F.col(f"{y}_n"), F.col(f"{x}_at"), F.col(f"{y}_at")
-    rest = F.least(n - i, m - j)
-    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (rest * (100 + percent) >= (n + m) * percent)
+def _side(x: str, rows: DataFrame, key: list[str]) -> DataFrame:
+    names = {"doc_id": f"{x}_doc", "line_no": f"{x}_line"}
+    return rows.select(*key, *[F.col(c).alias(names.get(c, f"{x}_{c}")) for c in rows.columns if c not in key])
+
+
+def _near(a: DataFrame, b: DataFrame, key: list[str], percent: int) -> DataFrame:
+    """Pairs of rows (doc_id, line_no, n, d, at) that share ``key``, a before b, which length and position allow.
+
+    n is a line's size, d that of the set whose token number ``at`` is the key: its own, or its difference from a leader.
+    """
+    before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
+    n, m = F.col("a_n"), F.col("b_n")
+    common = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at"))  # for the first token that two lines share
+    lengths = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    enough = common * 2 * (100 + percent) >= (F.col("a_d") + F.col("b_d")) * (100 + percent) - (n + m) * (100 - percent)
+    return _side("a", a, key).join(_side("b", b, key), key).where(before & lengths & enough).select(*_PAIR)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, steps: Column, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, line_no) of the later lines of pairs (a_doc, a_line, b_doc, b_line) that are similar enough."""
-    pairs = materialize(pairs)
-    named = materialize(pairs.select(F.explode(F.array(F.struct(F.col("a_doc").alias("doc_id"), F.col("a_line").alias("line_no")), F.struct(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")))).alias("k")).select("k.*").distinct())
-    sets = materialize(_tokens_of(named, docs, steps, id_col, text_col))
-    side = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("tokens").alias(f"{x}_tokens"))
-    joined = pairs.join(side("b"), ["b_doc", "b_line"]).join(side("a"), ["a_doc", "a_line"])
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, line_no) of the later lines of pairs that are similar enough."""
+    own = lambda x: sets.select(F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("tokens").alias(f"{x}_tokens"))
+    joined = pairs.join(own("b"), ["b_doc", "b_line"]).join(own("a"), ["a_doc", "a_line"])
     shared = F.size(F.array_intersect("a_tokens", "b_tokens"))
     good = joined.where(shared * 100 >= (F.size("a_tokens") + F.size("b_tokens") - shared) * percent)
     return good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
 
 
-def _tokens_of(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str) -> DataFrame:
+def _tokens_of(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str, copy: str) -> DataFrame:
     """(doc_id, line_no, tokens) of the lines named; only their documents are read."""
-    own_docs = docs.join(small_side(named.select(F.col("doc_id").alias("__id")).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col("__id"), "left_semi")
-    wanted = lines_of(own_docs, id_col, text_col).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
+    (own,) = free_names(docs, "named_id")
+    own_docs = docs.join(small_side(named.select(F.col("doc_id").alias(own)).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col(own), "left_semi")
+    wanted = lines_of(own_docs, id_col, text_col, copy).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
     return tokenised(wanted, steps).select("doc_id", "line_no", "tokens")
 
 
-def _bitmaps(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str) -> DataFrame:
-    return _tokens_of(materialize(named), docs, steps, id_col, text_col).select("doc_id", "line_no", _bits(F.col("tokens")).alias("bits"))
+def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Rows (leader, token, doc_id, line_no, n, d, at, first, later) of the prefixes of the members' differences from their leaders.
 
-
-def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, line_no) of every line with an earlier match."""
-    docs = docs.select(id_col, text_col)
-    lines = lines_of(docs, id_col, text_col)
-    groups = materialize(exact_groups(lines))
-    hashed = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line"))
-    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
-    copies = hashed.drop("line").join(groups, ["h1", "h2"]).where(later).select("doc_id", "line_no")
-
-    steps = rarity_steps(docs, text_col)
-    hot = small_side(_most_copied(groups, MAX_GROUPS).drop("n"), MAX_GROUPS)
-    once = hashed.join(hot, ["h1", "h2"], "left").where(F.col("first_doc").isNull() | ~later).select("doc_id", "line_no", "line")
+    ``first``: the row may stand for the earlier line of a pair; ``later``: for the later one, which has no match yet.
+    """
+    lead = sets.select(F.col("doc_id").alias("lead_doc"), F.col("line_no").alias("lead_line"), F.col("tokens").alias("lead"))
+    met = members.join(sets, ["doc_id", "line_no"]).join(lead, ["lead_doc", "lead_line"])
+    met = met.select("lead_doc", "lead_line", "doc_id", "line_no", "open", F.size("tokens").alias("n"), F.size("lead").alias("l"), F.concat(F.array_except("tokens", "lead"), F.array_except("lead", "tokens")).alias("diff"))
+    met = met.withColumn("d", F.size("diff"))
+    far = F.expr(f"d - ({100 - percent} * n) div {percent}")
+    up, down = 100 + percent, 100 - percent
+    as_first = F.col("d") + 1 - F.greatest(F.expr(f"(d * {up} + {down} * (l - n)) div {2 * up} + 1"), far)
+    as_later = F.when(F.col("open"), F.col("d") + 1 - F.greatest(F.lit(1), far)).otherwise(0)
+    met = met.withColumn("as_first", as_first.cast("int")).withColumn("as_later", as_later.cast("int"))
+    rows = met.select("lead_doc", "lead_line", "doc_id", "line_no", "n", "d", "as_first", "as_later", F.posexplode(F.slice("diff", F.lit(1), F.greatest("as_first", "as_later", F.lit(0)))).alias("at", "token"))
+    return rows.select(F.xxhash64("lead_doc", "lead_line").alias("leader"), "token", "doc_id", "line_no", "n", "d", "at", (F.col("at") < F.col("as_first")).alias("first"), (F.col("at") < F.col("as_later")).alias("later"))
+
+
+def _token_lists(once: DataFrame, steps: Column, percent: int) -> DataFrame:
+    """(token, doc_id, line_no, n, d, at, size): the prefix rows whose token several lines list."""
     sets = tokenised(once, steps)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # an outer explode, as Spark would push the inner one's size filter below the projection and evaluate the tokens again
     listed = sets.select("doc_id", "line_no", n.alias("n"), F.posexplode_outer(prefix).alias("at", "token")).where("token is not null")
-    by_token = Window.partitionBy("token")
-    shared = materialize(listed.withColumn("size", F.count(F.lit(1)).over(by_token)).where("size > 1"))
+    sized = listed.withColumn("size", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("size > 1")
+    return sized.select("token", "doc_id", "line_no", "n", F.col("n").alias("d"), "at", "size")
+
+
+def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", copy: str | None = None) -> DataFrame:
+    """(doc_id, line_no) of every line with an earlier match; line_no as in ``lines_of``, with the column ``copy`` or one made here."""
+    if copy is None:
+        (copy,) = free_names(docs, "copy")
+        docs = keyed(docs, copy, id_col, text_col)
+    docs = docs.select(id_col, text_col, copy)
+    lines = lines_of(docs, id_col, text_col, copy)
+    hashed = materialize(hashed_lines(lines))
+    groups = materialize(exact_groups(hashed))
+    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
+    copies = hashed.join(groups, ["h1", "h2"]).where(later).select("doc_id", "line_no")
 
-    side = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"))
-    before = (F.col("a_doc") < F.col("b_doc")) | ((F.col("a_doc") == F.col("b_doc")) & (F.col("a_line") < F.col("b_line")))
-    key = ["a_doc", "a_line", "b_doc", "b_line"]
-    small, large = shared.where(f"size <= {SMALL}"), shared.where(f"size > {SMALL}")
-    near = side("a", small).join(side("b", small), "token").where(before & _met("a", "b", percent)).select(*key)
-    head = large.groupBy("token").agg(F.min(F.struct("doc_id", "line_no", "n", "at")).alias("f")).select("token", "f.*")
-    led = side("a", head).join(side("b", large), "token").where(before & _met("a", "b", percent)).select(*key)
-    found = materialize(_verified(near.union(led).distinct(), docs, steps, percent, id_col, text_col))
-
-    # only here, where many lines may meet, do they also pass a bitmap of their tokens
-    crowd = materialize(large.join(_bitmaps(large.select("doc_id", "line_no").distinct(), docs, steps, id_col, text_col), ["doc_id", "line_no"]))
-    wide = lambda x, rows: rows.select("token", F.col("doc_id").alias(f"{x}_doc"), F.col("line_no").alias(f"{x}_line"), F.col("n").alias(f"{x}_n"), F.col("at").alias(f"{x}_at"), F.col("bits").alias(f"{x}_bits"))
-    alike = F.bit_count(F.col("a_bits").bitwiseXOR(F.col("b_bits"))) * (100 + percent) <= (F.col("a_n") + F.col("b_n")) * (100 - percent)
-    open_rows = wide("b", crowd.join(found, ["doc_id", "line_no"], "left_anti"))
-    rest = wide("a", crowd).join(open_rows, "token").where(before & _met("a", "b", percent) & alike).select(*key).distinct()
-    more = _verified(rest, docs, steps, percent, id_col, text_col)
-    return copies.union(found).union(more).distinct()
+    steps = rarity_steps(docs, text_col)
+    hot = small_side(_most_copied(groups, MAX_GROUPS).drop("n"), MAX_GROUPS)
+    once = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")).join(hot, ["h1", "h2"], "left")
+    once = once.where(F.col("first_doc").isNull() | ~later).select("doc_id", "line_no", "line")
+    shared = materialize(_token_lists(once, steps, percent))
+
+    line, row = ["doc_id", "line_no"], ["doc_id", "line_no", "n", "d", "at"]
+    key = ["token"]
+    small, large = shared.where(f"size <= {SMALL}").select(*key, *row), shared.where(f"size > {SMALL}").select(*key, *row)
+    heads = large.groupBy(*key).agg(F.min(F.struct(*row)).alias("f")).select(*key, "f.*")
+    pairs = materialize(_near(small, small, key, percent).union(_near(heads, large, key, percent)).distinct())
+    ends = F.array(*[F.struct(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line_no")) for x in "ab"])
+    named = materialize(pairs.select(F.explode(ends).alias("k")).select("k.*").union(large.select(*line)).distinct())
+    sets = materialize(_tokens_of(named, docs, steps, id_col, text_col, copy))
+    found = materialize(_similar(pairs, sets, percent))
+
+    members = large.join(heads.select(*key, F.col("doc_id").alias("lead_doc"), F.col("line_no").alias("lead_line")), key).where("doc_id <> lead_doc or line_no <> lead_line")
+    members = members.select("lead_doc", "lead_line", *line).distinct().join(found.withColumn("gone", F.lit(True)), line, "left").withColumn("open", F.col("gone").isNull())
+    apart = materialize(_differences(members, sets, percent))
+    key = ["leader", "token"]
+    sizes = apart.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.max("first").alias("firsts"), F.max("later").alias("laters")).where("size > 1 and firsts and laters")
+    lists = materialize(apart.join(sizes.select(*key, "size"), key))
+    firsts, laters = (lists.where(x).select(*key, *row, "size") for x in ("first", "later"))
+    few, many = (lambda rows: rows.where(f"size <= {SMALL}").drop("size")), (lambda rows: rows.where(f"size > {SMALL}").drop("size"))
+    heads = many(firsts).groupBy(*key).agg(F.min(F.struct(*row)).alias("f")).select(*key, "f.*")
+    pairs = _near(few(firsts), few(laters), key, percent).union(_near(heads, many(laters), key, percent)).distinct()
+    more = materialize(_similar(materialize(pairs), sets, percent))
+    left = many(laters).join(more, line, "left_anti")
+    last = _similar(materialize(_near(many(firsts), left, key, percent).distinct()), sets, percent)
+    return copies.union(found).union(more).union(last).distinct()
 
 
 def dedup_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with later matches cut from the text; same rows and columns."""
-    gone = later_matches(docs, percent, id_col, text_col).groupBy("doc_id").agg(F.collect_set("line_no").alias("__gone")).withColumnRenamed("doc_id", "__id")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("__id"), "left")
+    copy, own, above, lost = free_names(docs, "copy", "own_id", "above", "lost")
+    rows = keyed(docs, copy, id_col, text_col)
+    number = F.col("line_no").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    gone = later_matches(rows, percent, id_col, text_col, copy).groupBy(F.col("doc_id").alias(own), F.shiftright("line_no", 32).alias(above)).agg(F.collect_set(number).alias(lost))
+    joined = rows.join(gone, (F.col(id_col).cast("long") == F.col(own)) & (F.col(copy) == F.col(above)), "left")
     lines = F.split(text_col, "\n")
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains("__gone", i), x)), lambda x: x.isNotNull()), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
+    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(lost, i), x)), lambda x: x.isNotNull()), "\n")
+    text = F.when(F.col(lost).isNull(), F.col(text_col)).otherwise(kept).alias(text_col)
     return joined.select(*[text if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 
 def removed_lines(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_lines, removed), one row per document with an id: line numbers cut, from 0, ascending."""
-    own = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"))
-    gone = later_matches(docs, percent, id_col, text_col).groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("removed"))
-    return own.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
+    (copy,) = free_names(docs, "copy")
+    rows = keyed(docs, copy, id_col, text_col)
+    own = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(copy).alias("above"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n_lines"))
+    number = F.col("line_no").bitwiseAND(F.lit((1 << 32) - 1)).cast("int")
+    gone = later_matches(rows, percent, id_col, text_col, copy).groupBy("doc_id", F.shiftright("line_no", 32).alias("above")).agg(F.sort_array(F.collect_set(number)).alias("removed"))
+    return own.join(gone, ["doc_id", "above"], "left").select("doc_id", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
