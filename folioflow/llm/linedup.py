@@ -57,8 +57,12 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 
 def keyed(docs: DataFrame, copy: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ``copy``: 0, or a hash of the text where different texts share an id."""
-    ids = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h"))
-    many = materialize(ids.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("id"))
+    ids = docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    ids = materialize(ids)
+    if not ids.limit(1).count():
+        return docs.withColumn(copy, F.lit(0).cast("long"))
+    twice = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("h")).join(small_side(ids, 4_000_000), "id", "left_semi")
+    many = materialize(twice.groupBy("id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("lo < hi").select("id"))
     if not many.limit(1).count():
         return docs.withColumn(copy, F.lit(0).cast("long"))
     (own,) = free_names(docs, "repeated_id")
@@ -86,7 +90,8 @@ def rarity_steps(docs: DataFrame, text_col: str = "text") -> Column:
     The counts of ``BUCKETS`` buckets, whatever the corpus holds, pass the driver and
     become a literal, since a subquery cannot stand inside a higher-order function.
     """
-    words = docs.select(F.explode(words_of_line(F.col(text_col))).alias("w"))
+    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
+    words = lines.select(F.explode(words_of_line(F.col("line"))).alias("w"))
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).count()
     steps = [0] * BUCKETS
     for r in counts.select("k", F.floor(F.log2(F.col("count") + 1) * 16).cast("int").alias("s")).collect():
@@ -100,7 +105,7 @@ def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
     A word becomes its rarity above part of its hash, so that the least of a shingle's
     words carries the shingle's rarity.
     """
-    h, w, p, q = free_names(lines, "h", "w", "p", "q")
+    w, p, q = free_names(lines, "w", "p", "q")
 
     def coded(value: Column) -> Column:
         return F.get(steps, value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(value, 64 - HASH_BITS))
@@ -109,14 +114,13 @@ def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
         return F.least(a, b).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(a, b), 64 - HASH_BITS))
 
     # windows of five by doubling: pairs, pairs of pairs, and one word more; missing words are null
-    rows = lines.withColumn(h, F.transform(words_of_line(F.col("line")), lambda x: F.xxhash64(x)))
-    rows = rows.withColumn(w, F.transform(h, coded))
+    rows = lines.withColumn(w, F.transform(words_of_line(F.col("line")), lambda x: coded(F.xxhash64(x))))
     n = F.size(w)
     rows = rows.withColumn(p, F.zip_with(w, F.slice(w, F.lit(2), n), joined))
     rows = rows.withColumn(q, F.zip_with(p, F.slice(p, F.lit(3), n), joined))
     windows = F.slice(F.zip_with(q, F.slice(w, F.lit(SHINGLE), n), joined), F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
     none = F.array().cast("array<long>")
-    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop(h, w, p, q)
+    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop(w, p, q)
 
 
 def hashed_lines(lines: DataFrame) -> DataFrame:
