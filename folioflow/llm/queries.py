@@ -56,8 +56,8 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Piece ids of every document, with the size and md5 of what they decode to."""
-    vocabulary = sentencepiece.load_vocabulary()
+    """Piece ids of every document by Viterbi over unigram scores, with the size and md5 of what they decode to."""
+    vocabulary = sentencepiece.as_unigram(sentencepiece.load_vocabulary())
     encoded = sentencepiece.encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary)
     decoded = sentencepiece.decode(encoded, vocabulary)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.length("decoded").cast("long").alias("decoded_chars"), F.md5("decoded").alias("decoded_md5"))

@@ -1,10 +1,12 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-The vocabulary file gives pieces with scores. For a unigram file an encoding is the path of
-pieces with the largest sum of scores (Viterbi). The scores of a BPE file are merge ranks
-whose sums mean nothing, and Viterbi over them gives wrong ids; for such files the fold
-over the same lattice applies the merges in rank order instead, which gives the library's
-ids. Characters outside the vocabulary become byte pieces.
+The vocabulary file gives pieces with scores. A unigram file's encoding is the path of pieces
+with the largest sum of scores (Viterbi). The scores of a BPE file are merge ranks, whose sums
+mean nothing; ``as_unigram`` gives such a file's pieces unigram scores that fall with the
+logarithm of the rank, and the ids are then those of the library when it is given the same
+pieces and scores as a unigram model. Read as it is, a BPE file is encoded by its merges in rank order, a
+fold over the same lattice, which gives the library's ids for that file. Characters outside the
+vocabulary become byte pieces.
 
 1. Texts are cut into units between bytes that no piece holds side by side (before
    spaces, around line feeds, mostly between letters and marks), so no piece crosses a border and units
@@ -13,7 +15,7 @@ ids. Characters outside the vocabulary become byte pieces.
    which equi-join to the piece table (broadcast; its size is the vocabulary's). Edges are
    grouped by unit, where they already lie, and a higher-order aggregate folds the best
    path over end positions, or the merges.
-3. Texts look up the ``top_units`` most frequent units in a broadcast table (about 20 bytes each) and
+3. Texts look up the ``top_units`` most frequent units in a broadcast table (about 30 bytes each) and
    leave gaps for the rest; the rest meet the unit table in a shuffle join, one row per
    text and rare unit, and fill the gaps.
 
@@ -23,18 +25,19 @@ U+2581, which the format uses for the space, is encoded by its bytes where it st
 Defined cases
 * null text: null ids; empty text: no ids.
 * units longer than ``MAX_UNIT`` bytes (runs of one character, mostly) are encoded whole as well, in Python by a
-  heap of merges or a linear Viterbi, as the fold's work grows with the square of a unit's length.
+  linear Viterbi or a heap of merges, as the fold's work grows with the square of a unit's length.
 * ties between paths: the longer last piece wins; between merges: the leftmost.
-* repeated rows are encoded alike; null ids of rows do not matter; extra columns pass through,
-  and ``ids`` replaces a column of that name. Empty table: empty result.
+* repeated rows are encoded alike; null ids of rows do not matter. Extra columns pass through, whatever their
+  names; ``ids`` replaces a column of that name. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +47,11 @@ from pyspark.sql import types as T
 
 from folioflow.functions.binding import let
 from folioflow.llm.hashing import column_bytes, mini_batches, mix, span_hashes
+from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 MAX_UNIT = 192
+FILL_ROWS = 512
 SPACE = "▁"
 OWN_SPACE = "\ufdd0"
 
@@ -105,6 +110,16 @@ def load_vocabulary(path: str | None = None) -> Vocabulary:
     return Vocabulary(pieces, surface, pairs, first, min(normal) - 10.0, kind, max(len(p[0]) for p in pieces))
 
 
+def as_unigram(vocabulary: Vocabulary) -> Vocabulary:
+    """The vocabulary with unigram scores: -ln(rank + 2), ranks by falling score.
+
+    Scores are whole sixteenths, so that sums are exact in the library's single precision too.
+    """
+    ranks = {k: rank for rank, (_, k, _) in enumerate(sorted(vocabulary.pieces, key=lambda p: (-p[2], p[1])))}
+    pieces = [(piece, k, -round(16 * math.log(ranks[k] + 2)) / 16) for piece, k, _ in vocabulary.pieces]
+    return replace(vocabulary, pieces=pieces, kind="unigram", unknown_score=min(p[2] for p in pieces) - 10.0)
+
+
 def units_of(texts: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of texts with the leading space, unit starts and ends, and each text's first unit (n + 1 bounds)."""
     buffer = b"".join([b" " + t if t else t for t in texts])
@@ -127,30 +142,34 @@ def _text_batches(column) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(unit, n): distinct units and their counts; Python hands over one row per unit of some megabytes, and Spark combines them before the shuffle."""
+    """(unit, hash, n): distinct units, their hashes and counts; Python hands over one row per unit of some megabytes, and Spark combines them before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, texts in _text_batches(batch.column(0)):
                 data, starts, ends, _ = units_of(texts, pairs)
                 if len(starts):
-                    _, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
-                    raw = data.tobytes()
-                    units = [raw[s:e] for s, e in zip(starts[first].tolist(), ends[first].tolist())]
-                    yield pa.RecordBatch.from_arrays([pa.array(units, pa.binary()).cast(pa.string()), pa.array(n)], names=["unit", "n"])
+                    hashes, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
+                    # one buffer of all units' bytes instead of an object for each
+                    sizes = ends[first] - starts[first]
+                    body = data[_spread(starts[first], sizes)]
+                    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+                    units = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(body))
+                    yield pa.RecordBatch.from_arrays([units, pa.array(hashes.view(np.int64)), pa.array(n)], names=["unit", "hash", "n"])
 
-    return docs.select(text_col).mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    counted = docs.select(text_col).mapInArrow(work, "unit string, hash long, n long")
+    return counted.groupBy("unit").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``."""
+    """(unit, hash, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``."""
     units = materialize(units)
     long = F.octet_length("unit") > MAX_UNIT
     return lattice_ids(units.where(~long).repartition("unit"), vocabulary).unionByName(encode_long_units(units.where(long), vocabulary))
 
 
 def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids), each unit whole, in time that grows as n log n."""
+    """(unit, hash, n, ids), each unit whole, in time that grows as n log n."""
     shared = units.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,9 +178,9 @@ def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             v = shared.value
             table = table or {piece: (k, score) for piece, k, score in v.pieces}
             ids = [long_unit_ids(unit.as_py(), table, v) for unit in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["unit", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["unit", "hash", "n", "ids"])
 
-    return units.select("unit", "n").mapInArrow(work, "unit string, n long, ids array<int>")
+    return units.select("unit", "hash", "n").mapInArrow(work, "unit string, hash long, n long, ids array<int>")
 
 
 def long_unit_ids(unit: str, table: dict, v: Vocabulary) -> list[int]:
@@ -224,57 +243,62 @@ def _best_cuts(shown: str, table: dict, v: Vocabulary) -> list[int]:
 
 
 def lattice_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, ids) by the lattice. ``units`` has one row per unit; the grouping keeps its partitioning."""
+    """(unit, hash, n, ids) by the lattice. ``units`` has one row per unit; the grouping keeps its partitioning."""
     v = vocabulary
-    spark = units.sparkSession
-    pieces = F.broadcast(spark.createDataFrame(v.pieces, "piece string, id int, score double"))
+    pieces = F.broadcast(units.sparkSession.createDataFrame(v.pieces, "piece string, id int, score double"))
     # a unit's own U+2581 is put out of reach of pieces, its spaces become U+2581
-    shown = F.translate(F.translate("unit", SPACE, OWN_SPACE), " ", SPACE)
-    spans = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), F.length("shown")),
-            lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(v.longest), F.length("shown") - i + 1)), lambda n: F.struct(i.alias("at"), n.alias("n"))),
-        )
-    )
-    cut = units.withColumn("shown", shown).select("unit", "n", "shown", F.explode(spans).alias("s")).select("unit", "n", F.col("s.at").alias("at"), (F.col("s.at") + F.col("s.n")).alias("upto"), F.substring("shown", F.col("s.at"), F.col("s.n")).alias("piece"))
+    shown = units.withColumn("shown", F.translate(F.translate("unit", SPACE, OWN_SPACE), " ", SPACE))
+    ends = shown.select("unit", "hash", "n", "shown", F.explode(F.sequence(F.lit(2), F.length("shown") + 1)).alias("upto"))
+    spans = ends.select("unit", "hash", "n", "shown", "upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - v.longest), F.col("upto") - 1)).alias("at"))
+    cut = spans.select("unit", "hash", "n", "at", "upto", F.substring("shown", F.col("at"), F.col("upto") - F.col("at")).alias("piece"))
     met = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("upto") - F.col("at") == 1))
-    edge = F.struct((-F.coalesce("score", F.lit(v.unknown_score))).alias("cost"), "at", "upto", F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
-    cuts = grouped.withColumn("cuts", best_path() if v.kind == "unigram" else merged_path())
+    if v.kind == "unigram":
+        # an edge is one number: end, start, and the id plus 1 (0 for a character without a piece)
+        edge = F.shiftleft(F.col("upto").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 32)).bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long"))
+    else:
+        edge = F.struct((-F.coalesce("score", F.lit(v.unknown_score))).alias("cost"), "at", "upto", F.coalesce("id", F.lit(-1)).alias("id"))
+    grouped = met.groupBy("unit").agg(F.first("hash").alias("hash"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def letters(character):
         code = F.hex(F.encode(character, "UTF-8"))
         return F.transform(F.sequence(F.lit(1), F.length(code), F.lit(2)), lambda i: F.conv(F.substring(code, i, F.lit(2)), 16, 10).cast("int") + v.first_byte)
 
+    if v.kind == "unigram":
+        # a character without a piece stands as minus its place in the path
+        path = grouped.withColumn("path", best_path(v))
+        spelt = F.flatten(F.transform("path", lambda k: F.when(k < 0, letters(F.substring(F.col("unit"), -k, F.lit(1)))).otherwise(F.array(k))))
+        return path.select("unit", "hash", "n", F.when(F.exists("path", lambda k: k < 0), spelt).otherwise(F.col("path")).alias("ids"))
+
+    cuts = grouped.withColumn("cuts", merged_path())
+
     def piece_ids(i):
         at, upto = F.get("cuts", i), F.get("cuts", i + 1)
         own = F.get(F.filter("edges", lambda e: (e["at"] == at) & (e["upto"] == upto) & (e["id"] >= 0)), F.lit(0))["id"]
         return F.when(own.isNotNull(), F.array(own)).otherwise(letters(F.substring(F.col("unit"), at, upto - at)))
 
     ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), piece_ids))
-    return cuts.select("unit", "n", ids.alias("ids"))
+    return cuts.select("unit", "hash", "n", ids.alias("ids"))
 
 
-def best_path():
-    """Borders (1-based characters) of the path with the least cost, folded over end positions.
+def best_path(v: Vocabulary):
+    """Ids of the path with the least cost, folded over edges by end and start; minus its place for a character without a piece.
 
-    best[p] is the cost and the start of the last piece of the best path that ends before
-    character p + 1; the way back is a second fold.
+    best[p] is the cost and the ids of the best path that ends before character p + 1. Every end has an
+    edge, as each character has one, so an edge adds the next end or competes for the last.
     """
-    first = F.array(F.struct(F.lit(0.0).alias("cost"), F.lit(1).alias("back")))
-
-    def step(best, upto):
-        ending = F.filter("edges", lambda e: e["upto"] == upto)
-        return F.concat(best, F.array(F.array_min(F.transform(ending, lambda e: F.struct((F.get(best, e["at"] - 1)["cost"] + e["cost"]).alias("cost"), e["at"].alias("back"))))))
-
-    best = F.aggregate(F.sequence(F.lit(2), F.length("unit") + 1), first, step)
-    walk = F.struct(best.alias("best"), F.array(F.length("unit") + 1).alias("cuts"))
+    costs = {k + 1: -score for _, k, score in v.pieces} | {0: -v.unknown_score}
+    cost_of = F.split(F.lit(",".join(repr(float(costs.get(k, 0.0))) for k in range(len(v.surface) + 1))), ",").cast("array<double>")
+    start = F.array(F.struct(F.lit(0.0).alias("cost"), F.array().cast("array<int>").alias("ids")))
 
-    def back(path, _):
-        here = F.get(path["cuts"], F.lit(0))
-        return F.when(here > 1, F.struct(path["best"].alias("best"), F.concat(F.array(F.get(path["best"], here - 1)["back"]), path["cuts"]).alias("cuts"))).otherwise(path)
+    def step(best, edge):
+        at, upto = F.shiftright(edge, 32).bitwiseAND(F.lit(0xFFFF)).cast("int"), F.shiftright(edge, 48).cast("int")
+        piece = edge.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+        before = F.get(best, at - 1)
+        cost = before["cost"] + F.get(cost_of, piece)
+        reached = F.struct(cost.alias("cost"), F.array_append(before["ids"], F.when(piece == 0, -at).otherwise(piece - 1)).alias("ids"))
+        return F.when(F.size(best) < upto, F.array_append(best, reached)).when(cost < F.get(best, upto - 1)["cost"], F.array_append(F.slice(best, F.lit(1), upto - 1), reached)).otherwise(best)
 
-    return F.aggregate(F.sequence(F.lit(1), F.length("unit")), walk, back, lambda path: path["cuts"])
+    return F.aggregate("edges", start, step, lambda best: F.element_at(best, -1)["ids"])
 
 
 def merged_path():
@@ -312,36 +336,47 @@ def merged_path():
 
 @dataclass
 class UnitTable:
-    """Ids of frequent units, sorted by unit hash."""
+    """Ids of frequent units, found by unit hash in an open-addressing table."""
 
     hashes: np.ndarray
     starts: np.ndarray
     counts: np.ndarray
     ids: np.ndarray
+    slots: np.ndarray = field(init=False, repr=False)
 
-    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        if not len(self.hashes):
-            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
-        at = np.minimum(np.searchsorted(self.hashes, values), len(self.hashes) - 1)
-        return at, self.hashes[at] == values
-
-
-def hashed_units(encoded: DataFrame) -> DataFrame:
-    """(hash, n, ids as bytes of 32-bit integers) of encoded units."""
+    def __post_init__(self):
+        self.slots = np.full(1 << max(4, int(2 * len(self.hashes)).bit_length()), -1, np.int32)
+        left = np.arange(len(self.hashes), dtype=np.int32)
+        at = self._home(self.hashes)
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            lost = self.slots[at] != left
+            left, at = left[lost], (at[lost] + 1) & (len(self.slots) - 1)
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(0))
-            hashes = span_hashes(data, offsets[:-1], offsets[1:], lower=False) if batch.num_rows else np.zeros(0, np.uint64)
-            packed = [np.array(x, np.int32).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), batch.column(1), pa.array(packed, pa.binary())], names=["hash", "n", "ids"])
+    def _home(self, values: np.ndarray) -> np.ndarray:
+        return (values & np.uint64(len(self.slots) - 1)).astype(np.int64)
 
-    return encoded.select("unit", "n", "ids").mapInArrow(work, "hash long, n long, ids binary")
+    def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of values in the arrays, and whether each is there."""
+        place, there = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        if not len(self.hashes):
+            return place, there
+        left, at = np.arange(len(values)), self._home(values)
+        while len(left):
+            slot = self.slots[at]
+            used = slot >= 0
+            left, at, slot = left[used], at[used], slot[used]
+            same = self.hashes[slot] == values[left]
+            place[left[same]] = slot[same]
+            there[left[same]] = True
+            left, at = left[~same], (at[~same] + 1) & (len(self.slots) - 1)
+        return place, there
 
 
 def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int]:
     """The most frequent units of up to ``MAX_UNIT`` ids, at most ``most``, and the count from which they are in."""
-    table = table.where(F.octet_length("ids") <= 4 * MAX_UNIT)
+    table = table.where(F.size("ids") <= MAX_UNIT)
     steps = sorted(((r["step"], r["units"], r["least"]) for r in table.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()), reverse=True)
     total, cut = 0, 1 << 62
     for _, units, least in steps:
@@ -352,18 +387,15 @@ def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int]:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            _, offsets = column_bytes(batch.column(1))
-            counts = (np.diff(offsets) // 4).astype(np.uint16)
-            ids = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int32).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary()), pa.array([counts.tobytes()], pa.binary()), pa.array([ids.tobytes()], pa.binary())], names=["hashes", "counts", "ids"])
+            counts = batch.column(1).value_lengths().to_numpy().astype(np.uint16)
+            ids = batch.column(1).flatten().to_numpy().astype(np.uint16)
+            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), counts.tobytes(), ids.tobytes())], names=["hashes", "counts", "ids"])
 
     parts = table.where(F.col("n") >= cut).select("hash", "ids").mapInArrow(pack, "hashes binary, counts binary, ids binary").collect()
-    hashes = np.frombuffer(b"".join(r["hashes"] for r in parts), np.uint64)
-    counts = np.frombuffer(b"".join(r["counts"] for r in parts), np.uint16).astype(np.int32)
-    ids = np.frombuffer(b"".join(r["ids"] for r in parts), np.uint16)
-    starts = np.concatenate(([0], np.cumsum(counts)[:-1])).astype(np.int32) if len(counts) else np.zeros(0, np.int32)
-    order = np.argsort(hashes)
-    return UnitTable(hashes[order], starts[order], counts[order], ids), cut
+    hashes, counts, ids = (np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in (("hashes", np.uint64), ("counts", np.uint16), ("ids", np.uint16)))
+    counts = counts.astype(np.int32)
+    starts = np.concatenate(([0], np.cumsum(counts[:-1], dtype=np.int64))).astype(np.int32) if len(counts) else np.zeros(0, np.int32)
+    return UnitTable(hashes, starts, counts, ids), cut
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -377,40 +409,36 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
     v = vocabulary or load_vocabulary()
     if len(v.surface) > 1 << 16:
         raise ValueError("ids do not fit 16 bits")
-    table = materialize(hashed_units(encode_units(count_units(docs, v.pairs, text_col), v)))
+    table = materialize(encode_units(count_units(docs, v.pairs, text_col), v).select("hash", "n", "ids"))
     frequent, cut = frequent_units(table, top_units)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
+    pairs = v.pairs
 
     def tail(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(key of the text, hash of a rare unit in it)"""
         for batch in batches:
-            keys, rare = [], []
             for _, _, texts in _text_batches(batch.column(0)):
-                data, starts, ends, bounds = units_of(texts, v.pairs)
+                data, starts, ends, bounds = units_of(texts, pairs)
                 hashes = span_hashes(data, starts, ends, lower=False)
-                _, there = shared.value.find(hashes)
-                gone = ~there
-                row = np.repeat(np.arange(len(texts)), np.diff(bounds))
-                keys.append(_text_keys(hashes, bounds)[row[gone]])
-                rare.append(hashes[gone])
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).view(np.int64)) for x in (keys, rare)], names=["key", "hash"])
+                gone = ~shared.value.find(hashes)[1]
+                if gone.any():
+                    row = np.repeat(np.arange(len(texts)), np.diff(bounds))
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_text_keys(hashes, bounds)[row[gone]], hashes[gone])], names=["key", "hash"])
 
     rare = docs.select(text_col).mapInArrow(tail, "key long, hash long")
-    found = rare.join(table.where((F.col("n") < cut) | (F.octet_length("ids") > 4 * MAX_UNIT)).select("hash", "ids"), "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("rare"))
+    others = table.where((F.col("n") < cut) | (F.size("ids") > MAX_UNIT)).select("hash", "ids")
+    found = rare.join(others, "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("rare"))
 
-    kept = [f for f in docs.schema.fields if f.name not in ("ids", "__key", "__packed")]
-    kept_names = [f.name for f in kept]
+    kept = [f for f in docs.schema.fields if f.name != "ids" and f.name != text_col]
+    key, packed, rare_key, rare_units = free_names(docs, "key", "packed", "rare_key", "rare")
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of frequent units, 0 for a gap, and the gaps' hashes, packed."""
         t = shared.value
         for batch in batches:
-            keys, packed = [], []
-            for _, _, texts in _text_batches(batch.column(text_col)):
-                data, starts, ends, bounds = units_of(texts, v.pairs)
+            for i, j, texts in _text_batches(batch.column(text_col)):
+                data, starts, ends, bounds = units_of(texts, pairs)
                 hashes = span_hashes(data, starts, ends, lower=False)
-                keys.append(_text_keys(hashes, bounds))
                 at, there = t.find(hashes)
                 counts = np.where(there, t.counts[at], 1) if len(t.hashes) else np.ones(len(hashes), np.int64)
                 ids = np.zeros(int(counts.sum()), np.uint16)
@@ -420,38 +448,46 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                 edges = np.concatenate(([0], np.cumsum(counts)))[bounds]
                 gaps = hashes[~there]
                 gap_at = np.concatenate(([0], np.cumsum(~there)))[bounds]
+                rows = []
                 for k in range(len(texts)):
                     lost = gaps[gap_at[k] : gap_at[k + 1]]
-                    packed.append(zlib.compress(np.uint32(len(lost)).tobytes() + lost.tobytes() + ids[edges[k] : edges[k + 1]].tobytes(), 1))
-            key = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept_names if n != text_col), pa.array(key), pa.array(packed, pa.binary(), mask=np.array(batch.column(text_col).is_null()))], names=[*(n for n in kept_names if n != text_col), "__key", "__packed"])
+                    rows.append(zlib.compress(np.uint32(len(lost)).tobytes() + lost.tobytes() + ids[edges[k] : edges[k + 1]].tobytes(), 1))
+                null = np.array(batch.column(text_col).slice(i, j - i).is_null())
+                own = [batch.column(f.name).slice(i, j - i) for f in kept]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(_text_keys(hashes, bounds).view(np.int64)), pa.array(rows, pa.binary(), mask=null)], names=[*(f.name for f in kept), key, packed])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for packed, rare in zip(batch.column("__packed"), batch.column("rare")):
-                if not packed.is_valid:
-                    out.append(None)
-                    continue
-                raw = zlib.decompress(packed.as_py())
-                lost = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.uint32, 1)[0]), 4)
-                ids = np.frombuffer(raw, np.uint16, offset=4 + 8 * len(lost)).astype(np.int32)
-                if len(lost):
-                    known = {r["hash"]: np.frombuffer(r["ids"], np.int32) for r in rare.as_py()}
-                    own = [known[h] for h in lost.tolist()]
-                    gaps = np.flatnonzero(ids == 0)
-                    counts = np.ones(len(ids), np.int64)
-                    counts[gaps] = [len(x) for x in own]
-                    filled = np.repeat(ids, counts)
-                    filled[np.repeat(ids == 0, counts)] = np.concatenate(own)
-                    ids = filled
-                out.append(ids)
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in kept_names if n != text_col), pa.array(out, pa.list_(pa.int32()))], names=[*(n for n in kept_names if n != text_col), "ids"])
-
-    others = [f for f in kept if f.name != text_col]
-    half = docs.select(*[F.col(f"`{n}`") for n in kept_names]).mapInArrow(partial, T.StructType([*others, T.StructField("__key", T.LongType()), T.StructField("__packed", T.BinaryType())]))
-    joined = half.join(found, half["__key"] == found["key"], "left").drop("key", "__key")
-    return joined.mapInArrow(fill, T.StructType([*others, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
+            for i in range(0, batch.num_rows, FILL_ROWS):
+                part = batch.slice(i, FILL_ROWS)
+                out = []
+                for raw, rare in zip(part.column(packed), part.column(rare_units)):
+                    if not raw.is_valid:
+                        out.append(None)
+                        continue
+                    raw = zlib.decompress(raw.as_buffer())
+                    lost = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.uint32, 1)[0]), 4)
+                    ids = np.frombuffer(raw, np.uint16, offset=4 + 8 * len(lost)).astype(np.int32)
+                    if len(lost):
+                        units = rare.values
+                        known, at = units.field(0).to_numpy(), units.field(1)
+                        starts, values = at.offsets.to_numpy(), at.values.to_numpy()
+                        order = np.argsort(known)
+                        own = order[np.searchsorted(known[order], lost)]
+                        sizes = (starts[1:] - starts[:-1])[own]
+                        gaps = ids == 0
+                        counts = np.ones(len(ids), np.int64)
+                        counts[gaps] = sizes
+                        filled = np.repeat(ids, counts)
+                        filled[np.repeat(gaps, counts)] = values[_spread(starts[:-1][own], sizes)]
+                        ids = filled
+                    out.append(ids)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(out, pa.list_(pa.int32()))], names=[*(f.name for f in kept), "ids"])
+
+    columns = [F.col(f"`{f.name}`") for f in kept] + [F.col(f"`{text_col}`")]
+    half = docs.select(*columns).mapInArrow(partial, T.StructType([*kept, T.StructField(key, T.LongType()), T.StructField(packed, T.BinaryType())]))
+    joined = half.join(found.select(F.col("key").alias(rare_key), F.col("rare").alias(rare_units)), F.col(key) == F.col(rare_key), "left").drop(key, rare_key)
+    return joined.mapInArrow(fill, T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 
 
 def _text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
