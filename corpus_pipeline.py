@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids in place of the text."""
-    return sentencepiece.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+    return sentencepiece.encode(docs, sentencepiece.as_unigram(sentencepiece.load_vocabulary())).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
 STAGES = [
