@@ -9,8 +9,8 @@ the original vectors in double precision.
 
 Equal vectors are searched once: a class keeps its top + 1 smallest ids, which is all
 that a result can use, since ties go to smaller ids. Buckets are split into blocks of
-rows by hash, queries go to every block, and a block returns each query's best
-classes, so that no task holds more than a block.
+rows by hash, and so are the queries of a bucket; each block of queries meets every block of
+rows, which returns each query's best classes, so that no task holds more than two blocks.
 
 Recall at the default settings on independent random directions in 64 dimensions (the
 hardest case), against brute force: about 0.95 of 2,000 vectors and rising with more,
@@ -20,8 +20,7 @@ Defined cases
 * null or zero vectors, and vectors with a null or non-finite component, take no part.
 * null ids take no part. An id given twice counts as two rows.
 * vectors of different lengths are never candidates for each other.
-* small ranges: below ``exhaustive_below`` classes one table is probed at every axis, so that
-  all candidates are met.
+* ties: a block's candidates are ordered by the measure itself, then id, so ties go to smaller ids everywhere.
 * queries that met fewer than ``top + 1`` classes probe every axis of one table in every range, so
   fewer than ``top`` come back only if there are fewer.
 * empty table: empty result. Other columns are ignored.
@@ -49,7 +48,6 @@ class AnnParams:
     probes: int = 14
     top: int = 20
     block_rows: int = 4096
-    exhaustive_below: int = 1000
     seed: int = 11
 
 
@@ -118,17 +116,17 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
     asked = rows.where(is_query(F.col("id"))).select("id", "v")
     query_class = materialize(asked.join(index.select("v", "class"), "v").select("id", "class"))
     queries = index.join(query_class.select("class").distinct(), "class", "left_semi").select("class", "v", "dim")
-    ranges = materialize(index.groupBy("dim", "range").agg((F.count(F.lit(1)) >= p.exhaustive_below).alias("dense")))
+    ranges = materialize(index.select("dim", "range").distinct())
 
     def bucketed(query: bool, everywhere: bool = False):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dims, dense = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
-                for dim, many in sorted(set(zip(dims.tolist(), dense.tolist()))):
-                    part = batch.filter(pa.array((dims == dim) & (dense == many)))
+                dims = batch.column(2).to_numpy(zero_copy_only=False)
+                for dim in np.unique(dims).tolist():
+                    part = batch.filter(pa.array(dims == dim))
                     unit = unit_vectors(_matrix(part.column(1)))
-                    for t in range(p.tables if many and not everywhere else 1):
-                        axes = axes_by_nearness(rotate(unit, t, p.seed), (p.probes if many and not everywhere else 1 << 30) if query else 1)
+                    for t in range(1 if everywhere else p.tables):
+                        axes = axes_by_nearness(rotate(unit, t, p.seed), (1 << 30 if everywhere else p.probes) if query else 1)
                         each = np.repeat(np.arange(len(unit)), axes.shape[1])
                         keys = (np.int64(dim) << 32) + (np.int64(t) << 24) + axes.ravel()
                         yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(each)), pa.array(keys), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], names=["range", "bucket", "class", "v"])
@@ -136,7 +134,7 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
         return work
 
     schema = "range int, bucket long, class long, v array<double>"
-    columns = ["class", "v", "dim", "range", "dense"]
+    columns = ["class", "v", "dim", "range"]
     stored = index.join(ranges, ["dim", "range"]).select(columns).mapInArrow(bucketed(False), schema)
     sizes = stored.groupBy("range", "bucket").count()
     blocks = materialize(sizes.select("range", "bucket", F.ceil(F.col("count") / p.block_rows).cast("int").alias("blocks")))
@@ -144,10 +142,6 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
     block = F.pmod(F.xxhash64("class"), F.col("blocks"))
     held = stored.join(blocks, ["range", "bucket"]).select("range", "bucket", block.cast("int").alias("block"), F.lit(False).alias("query"), "class", "v")
 
-    def sent(asking: DataFrame, everywhere: bool = False) -> DataFrame:
-        probing = asking.join(ranges, "dim").select(columns).mapInArrow(bucketed(True, everywhere), schema).join(blocks, ["range", "bucket"])
-        return probing.select("range", "bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("query"), "class", "v")
-
     keep = p.top + 1
 
     def rerank(pdf):
@@ -158,27 +152,43 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
             return pd.DataFrame({"query": [], "class": [], "score": []})
         x, ids = np.stack(base["v"].to_numpy()), base["class"].to_numpy()
         q, qid = np.stack(asked_here["v"].to_numpy()), asked_here["class"].to_numpy()
+        longest = np.linalg.norm(x, axis=1).max()
         out = []
         for at in range(0, len(q), 1024):
-            scores = q[at : at + 1024] @ x.T
+            part = q[at : at + 1024]
+            rough = part @ x.T
             k = min(keep, len(ids))
-            near = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-            out.append(pd.DataFrame({"query": np.repeat(qid[at : at + 1024], k), "class": ids[near].ravel(), "score": np.take_along_axis(scores, near, axis=1).ravel()}))
+            slack = 1e-12 * longest * np.linalg.norm(part, axis=1)
+            # all that may be among the best k, then the measure itself, summed in the order of components, and ties by id
+            row, column = np.nonzero(rough >= (np.partition(rough, -k, axis=1)[:, -k] - slack)[:, None])
+            exact = np.zeros(len(row))
+            for c in range(x.shape[1]):
+                exact += part[row, c] * x[column, c]
+            order = np.lexsort((ids[column], -exact, row))
+            row, column, exact = row[order], column[order], exact[order]
+            best = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append(pd.DataFrame({"query": qid[at + row[best]], "class": ids[column[best]], "score": exact[best]}))
         return pd.concat(out)
 
-    def met(base: DataFrame, asking: DataFrame) -> DataFrame:
-        near = base.unionByName(asking).groupBy("range", "bucket", "block").applyInPandas(rerank, "query long, class long, score double")
+    def met(base: DataFrame, asking: DataFrame, everywhere: bool = False) -> DataFrame:
+        """(query, class, approximate): the best of every block of stored rows for every block of queries of its bucket."""
+        probing = materialize(asking.join(ranges, "dim").select(columns).mapInArrow(bucketed(True, everywhere), schema))
+        wanted = probing.groupBy("range", "bucket").agg(F.ceil(F.count(F.lit(1)) / p.block_rows).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("class"), F.col("parts")).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        stored_rows = base.join(wanted, ["range", "bucket"]).select("range", "bucket", "block", every("parts").alias("part"), "query", "class", "v")
+        queries_sent = probing.join(blocks, ["range", "bucket"]).join(wanted, ["range", "bucket"]).select("range", "bucket", every("blocks").alias("block"), part.alias("part"), F.lit(True).alias("query"), "class", "v")
+        near = stored_rows.unionByName(queries_sent).groupBy("range", "bucket", "block", "part").applyInPandas(rerank, "query long, class long, score double")
         return materialize(near.groupBy("query", "class").agg(F.max("score").alias("approximate")))
 
-    merged = met(held, sent(queries))
+    merged = met(held, queries)
     served = merged.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= keep).select(F.col("query").alias("class"))
-    # where no range is dense every candidate was met already
-    short = materialize(queries.join(ranges.where("dense").select("dim").distinct(), "dim", "left_semi").join(served, "class", "left_anti"))
+    short = materialize(queries.join(served, "class", "left_anti"))
     if short.limit(1).count():
         first_table = F.shiftright("bucket", 24).bitwiseAND(F.lit(255)) == 0
-        again = met(held.where(first_table), sent(short, everywhere=True))
+        again = met(held.where(first_table), short, everywhere=True)
         merged = merged.unionByName(again).groupBy("query", "class").agg(F.max("approximate").alias("approximate"))
-    best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approximate"), "class"))).where(F.col("r") <= keep + 4)
+    best = merged.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("approximate"), "class"))).where(F.col("r") <= keep)
     exact = (
         best.select("query", "class")
         .join(index.select(F.col("class").alias("query"), F.col("v").alias("q")), "query")

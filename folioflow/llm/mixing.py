@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.broadcasts import small_side
+from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -82,8 +83,9 @@ def mix_plan(
     kept = [c for c in docs.columns if c not in PLAN_COLUMNS]
     sized = docs.select(*[F.col(f"`{c}`") for c in kept], F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     plan = materialize(source_targets(sized.select("source", "size"), weights, share, cap))
-    side = small_side(plan.withColumnRenamed("source", "__source"), max_broadcast_sources)
-    joined = sized.join(side, F.col("source").eqNullSafe(F.col("__source")), "left").drop("__source")
+    (own,) = free_names(sized, "plan_source")
+    side = small_side(plan.withColumnRenamed("source", own), max_broadcast_sources)
+    joined = sized.join(side, F.col("source").eqNullSafe(F.col(own)), "left").drop(own)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     return (
         joined.withColumn("rate", rate)
@@ -101,5 +103,6 @@ def uniform(column: str, seed: str):
 def mix_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each input row as often as the plan takes it, same columns."""
     plan = mix_plan(docs, **options).where("copies > 0")
-    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias("__copy")
-    return plan.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop("__copy")
+    (copy,) = free_names(docs, "copy")
+    copies = F.explode(F.array_repeat(F.lit(1), F.col("copies"))).alias(copy)
+    return plan.select(*[F.col(f"`{c}`") for c in docs.columns], copies).drop(copy)

@@ -15,10 +15,16 @@ How groups are kept linear
   verified in two steps: first each class against the bucket's smallest id, then,
   of what is left, only pairs whose components still differ.
 * In a larger bucket every class is compared with ``PIVOTS`` pivots: the classes
-  nearest to the bucket's consensus sketch (a family's original) and the smallest ids.
-  Then classes outside the bucket's largest component meet each other and that component
-  in tiles of ``TILE`` by ``TILE`` rows; again only pairs whose components still differ are verified.
-  One family costs linear work; classes that share a bucket and stay apart cost the square of their number.
+  nearest to the bucket's consensus sketch (a family's original, its leader) and the smallest ids.
+  Classes that this leaves outside the leader's component find partners by what sets them apart. With D(x) the
+  symmetric difference of x and the leader, |x ^ y| = |D(x) ^ D(y)|, so similar classes share much
+  of D; an exact prefix and positional join on D (shingles that the leader lacks first) finds them without
+  meeting the part that the whole bucket shares. In long lists of such a join, too, all classes meet the first
+  one, and then only classes whose components still differ meet.
+
+Bounds, with c = (100 - percent) / (100 + percent) and l the leader's size: x and y match if
+|D(x)| + |D(y)| - 2 o <= c (|x| + |y|), o their common part. A class y that the leader does not match has
+|D(y)| > c (|y| + l), so o > (|D(x)| + c (l - |x|)) / 2; and o >= |D| - |own| (100 - percent) / percent for both.
 
 The sketch holds two bits of each of the 32 minhashes. Pairs that agree in fewer than
 ``AGREE`` of them are dropped; at similarity 0.75 that happens to 1 pair in 10^5.
@@ -28,8 +34,8 @@ Defined cases
 * fewer than five words: the whole sequence is the one shingle.
 * null doc_id: a class of its own, component_id null, kept.
 * rows that repeat a doc_id are one document: they share a component, each with the set size of its own text.
-* empty table: empty result. Extra columns pass through ``drop_near_duplicates``; names that start
-  with ``__`` are its own.
+* very long texts are whole sets like others. Empty table: empty result. Extra columns pass through
+  ``drop_near_duplicates``, whatever their names.
 """
 
 from __future__ import annotations
@@ -44,6 +50,7 @@ from pyspark.sql import functions as F
 from folioflow.llm.broadcasts import small_side
 from folioflow.llm.components import connected_components
 from folioflow.llm.hashing import column_bytes, mini_batches, mix, words_of
+from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 SHINGLE = 5
@@ -52,7 +59,6 @@ TUPLE = 2
 N_HASHES = 2 * SIDE * TUPLE
 SMALL = 48
 PIVOTS = 4
-TILE = 512
 AGREE = 16
 MAX_BROADCAST_IDS = 4_000_000
 
@@ -212,8 +218,8 @@ def bucket_pairs(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(work, "key long, a long, b long, sketch long, kind byte")
 
 
-def pivot_pairs(hot: DataFrame) -> DataFrame:
-    """(a, b) between the classes of each large bucket and its pivots.
+def pivots_of(hot: DataFrame) -> DataFrame:
+    """(key, pivot, pivot_sketch, leads): the pivots of each large bucket; the one nearest to the consensus leads.
 
     The consensus sketch comes from partial sums of bits, the pivots from ranked rows
     that Spark limits before the shuffle, so no task holds a bucket.
@@ -222,50 +228,63 @@ def pivot_pairs(hot: DataFrame) -> DataFrame:
     votes = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(64)])
     consensus = votes.select("key", sum((F.when(F.col(f"b{k}") * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k in range(64)), F.lit(0).cast("long")).alias("consensus"))
     rated = hot.select("key", F.col("a").alias("id"), "sketch").join(consensus, "key").withColumn("near", _agreement_column("sketch", "consensus"))
-    nearest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "id"))).where(f"r <= {PIVOTS // 2}")
-    smallest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(f"r <= {PIVOTS - PIVOTS // 2}")
-    pivots = nearest.unionByName(smallest).select("key", F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")).distinct()
+    nearest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "id"))).where(f"r <= {PIVOTS // 2}").withColumn("leads", F.col("r") == 1)
+    smallest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(f"r <= {PIVOTS - PIVOTS // 2}").withColumn("leads", F.lit(False))
+    return nearest.unionByName(smallest).groupBy("key", F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")).agg(F.max("leads").alias("leads"))
+
+
+def pivot_pairs(hot: DataFrame, pivots: DataFrame) -> DataFrame:
+    """(a, b) between the classes of each large bucket and its pivots."""
     met = hot.select("key", F.col("a").alias("id"), "sketch").join(pivots, "key")
     met = met.where((F.col("id") != F.col("pivot")) & (_agreement_column("sketch", "pivot_sketch") >= AGREE))
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
-def unmatched_pairs(hot: DataFrame, found: DataFrame) -> DataFrame:
-    """(a, b) of each large bucket whose sketches agree and whose components differ.
+def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, token, id, n, d, at, first, later): prefixes of the members' differences from their leaders.
 
-    A bucket's rows outside its largest component are dealt to blocks of about ``TILE`` by hash, and so
-    is that component; each two blocks are a tile, except two of the largest component. A bucket of one component has none.
+    ``first``: the row may stand for any class of a pair; ``later``: for one outside the leader's component.
     """
-    rows = hot.select("key", F.col("a").alias("id"), "sketch").join(found.select(F.col("node").alias("id"), "component"), "id", "left")
-    rows = rows.select("key", "id", "sketch", F.coalesce("component", "id").alias("component"))
-    sizes = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("in_main"), F.sum("n").alias("n")).where("n > in_main")
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
-    parted = rows.join(mixed.select("key", "main", blocks(F.col("in_main")).alias("mains"), blocks(F.col("n") - F.col("in_main")).alias("rests")), "key")
-    is_main = F.col("component") == F.col("main")
-    # blocks of the largest component are numbered -1, -2, ...
-    own = F.pmod(F.xxhash64("id"), F.when(is_main, F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    parted = parted.withColumn("block", F.when(is_main, -1 - own).otherwise(own))
-    with_rests = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda j: F.struct(F.greatest("block", j).alias("i"), F.least("block", j).alias("j")))
-    with_mains = F.transform(F.sequence(F.lit(1), F.col("mains")), lambda j: F.struct(F.col("block").alias("i"), (-j).alias("j")))
-    tiles = parted.select("key", F.explode(F.when(is_main, with_rests).otherwise(F.concat(with_rests, with_mains))).alias("t"), "block", "id", "sketch", "component")
-    tiles = tiles.select("key", "t.i", "t.j", "block", "id", "sketch", "component")
-
-    def meet(pdf):
-        import pandas as pd
-
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        block, ids, sketch, component = (pdf[c].to_numpy() for c in ("block", "id", "sketch", "component"))
-        sketch = sketch.view(np.uint64)
-        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        good = (component[left][:, None] != component[right]) & (_agreement(sketch[left][:, None], sketch[right]) >= AGREE)
-        if i == j:
-            good = np.triu(good, 1)
-        x, y = np.nonzero(good)
-        x, y = ids[left[x]], ids[right[y]]
-        return pd.DataFrame({"a": np.minimum(x, y), "b": np.maximum(x, y)})
-
-    return tiles.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long")
+    up, down = 100 + percent, 100 - percent
+    schema = "leader long, token long, id long, n long, d long, at long, first boolean, later boolean"
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                leader, own, is_open = (batch.column(c)[k].as_py() for c in range(3))
+                x, lead = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
+                diff = np.concatenate((np.setdiff1d(x, lead, True), np.setdiff1d(lead, x, True)))
+                n, l, d = len(x), len(lead), len(diff)
+                far = d - down * n // percent
+                as_first = d + 1 - max((d * up + down * (l - n)) // (2 * up) + 1, far)
+                as_later = d + 1 - max(1, far) if is_open else 0
+                size = max(as_first, as_later, 0)
+                at = np.arange(size)
+                same = lambda value: np.full(size, value, np.int64)  # noqa: B023, E731
+                if size:
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(c) for c in (same(leader), diff[:size].view(np.int64), same(own), same(n), same(d), at, at < as_first, at < as_later)],
+                        names=["leader", "token", "id", "n", "d", "at", "first", "later"],
+                    )
+
+    lead = sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))
+    return members.join(sets, "id").join(lead, "leader").select("leader", "id", "open", "set", "lead").mapInArrow(work, schema)
+
+
+def _apart(firsts: DataFrame, laters: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of rows that share (leader, token), in different components, as lengths and positions allow."""
+    key = ["leader", "token"]
+    side = lambda x, rows: rows.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "d", "at", "component")])
+    n, m = F.col("a_n"), F.col("b_n")
+    common = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at"))
+    enough = common * 2 * (100 + percent) >= (F.col("a_d") + F.col("b_d")) * (100 + percent) - (n + m) * (100 - percent)
+    lengths = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    met = side("a", firsts).join(side("b", laters), key).where((F.col("a_component") != F.col("b_component")) & lengths & enough)
+    return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
+
+
+def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,7 +293,13 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str =
     Only documents named by a pair are read into sets. Their ids are broadcast up to
     ``MAX_BROADCAST_IDS`` (32 MB of ids); beyond, the semi join shuffles.
     """
-    named = materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    own = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, id_col, text_col)
+    return similar(pairs, own, percent)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, set): sorted shingle hashes, packed, of the documents whose ids are named."""
+    named = materialize(ids.distinct())
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(small_side(named, MAX_BROADCAST_IDS), "id", "left_semi")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +311,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str =
                 packed += [np.unique(found[bounds[k] : bounds[k + 1]]).tobytes() for k in range(j - i)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "set"])
 
+    return materialize(texts.mapInArrow(sets, "id long, set binary"))
+
+
+def similar(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union."""
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2), batch.column(3)
@@ -300,7 +331,6 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = 75, id_col: str =
                     good[k] = 100 * shared >= percent * (len(both) - shared)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(good)), batch.column(1).filter(pa.array(good))], names=["a", "b"])
 
-    own = materialize(texts.mapInArrow(sets, "id long, set binary"))
     met = pairs.join(own.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b").join(own.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a")
     return met.select("a", "b", "set_a", "set_b").mapInArrow(confirm, "a long, b long")
 
@@ -316,7 +346,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     dealt = bucket_rows(reps).repartition("key").sortWithinPartitions("key", "id")
     raw = materialize(bucket_pairs(dealt).distinct())
     hot = raw.where("kind = 2").select("key", "a", "sketch")
-    first = raw.where("kind = 0").select("a", "b").union(pivot_pairs(hot)).distinct()
+    pivots = materialize(pivots_of(hot))
+    first = raw.where("kind = 0").select("a", "b").union(pivot_pairs(hot, pivots)).distinct()
     links = materialize(verified(materialize(first), docs, percent, id_col, text_col))
 
     node_edges = member.where("doc_id <> class_id").groupBy("doc_id").agg(F.min("class_id").alias("a"), F.max("class_id").alias("b"), F.count(F.lit(1)).alias("n"))
@@ -324,12 +355,35 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     links = links.union(split)
     found = materialize(connected_components(links))
 
+    # small buckets: pairs besides the smallest id's; large ones: members apart from their leader's component
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
-    others = raw.where("kind = 1").select("a", "b").union(unmatched_pairs(hot, found)).distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
-    others = materialize(others.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b"))
-    more = materialize(verified(others, docs, percent, id_col, text_col))
+    others = raw.where("kind = 1").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
+    others = others.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+    leaders = pivots.where("leads").select("key", F.col("pivot").alias("leader"))
+    members = hot.select("key", F.col("a").alias("id")).join(leaders, "key").where("id <> leader").select("leader", "id").distinct()
+    members = _with_component(members, found).join(found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left").withColumn("open", F.col("component") != F.coalesce("led", "leader"))
+    members = materialize(members.select("leader", "id", "open"))
+    members = materialize(members.join(members.where("open").select("leader").distinct(), "leader", "left_semi"))
+    crowded = bool(members.limit(1).count())
+    if crowded:
+        sets = sets_of(members.select("id").union(members.select("leader")), docs, id_col, text_col)
+        rows = materialize(differences(members, sets, percent))
+        sizes = rows.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("size"), F.max("first").alias("firsts"), F.max("later").alias("laters")).where("size > 1 and firsts and laters")
+        rows = materialize(rows.join(sizes.select("leader", "token", "size"), ["leader", "token"]))
+        now = _with_component(rows, found)
+        long = now.where(f"size > {SMALL} and first")
+        heads = long.groupBy("leader", "token").agg(F.min(F.struct("id", "n", "d", "at", "component")).alias("f")).select("leader", "token", "f.*")
+        few = now.where(f"size <= {SMALL}")
+        others = others.union(_apart(few.where("first"), few.where("later"), percent)).union(_apart(heads, now.where(f"size > {SMALL} and later"), percent)).distinct()
+    more = materialize(verified(materialize(others), docs, percent, id_col, text_col))
     if more.limit(1).count():
-        found = materialize(connected_components(links.union(more)))
+        links = links.union(more)
+        found = materialize(connected_components(links))
+    if crowded and rows.where(f"size > {SMALL}").limit(1).count():
+        now = _with_component(rows.where(f"size > {SMALL}"), found)
+        more = materialize(similar(materialize(_apart(now.where("first"), now.where("later"), percent).distinct()), sets, percent))
+        if more.limit(1).count():
+            found = materialize(connected_components(links.union(more)))
 
     in_class = member.groupBy("doc_id").agg(F.min("class_id").alias("node"))
     labelled = in_class.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))
@@ -340,5 +394,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
     """``docs`` without the documents that are not their component's smallest id."""
-    gone = materialize(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(small_side(gone, max_broadcast_ids), F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
+    (own,) = free_names(docs, "gone_id")
+    gone = materialize(near_duplicates(docs, percent, id_col, text_col).where("not kept").select(F.col("doc_id").alias(own)).distinct())
+    return docs.join(small_side(gone, max_broadcast_ids), F.col(id_col).cast("long") == F.col(own), "left_anti")

@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 WIDTH = 64
+EXPANSION = 2800  # no stored byte of any of the schemes becomes more bytes than this
 STRIP_ROWS = 128
 # fixed values of the format: tags, compression codes, field sizes by type
 IMAGE_WIDTH, IMAGE_LENGTH, BITS, COMPRESSION, PHOTOMETRIC, STRIP_OFFSETS, SAMPLES, ROWS_PER_STRIP, STRIP_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279
@@ -214,7 +215,13 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         decode, predictor = _DECODE[f.get(COMPRESSION, [1])[0]], f.get(PREDICTOR, [1])[0]
         tiled = TILE_OFFSETS in f
         across, down = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, [height])[0], height))
-        image = np.zeros((-(-height // max(down, 1)) * down, -(-width // across) * across * samples), np.uint8)
+        stored = min(len(data), sum(f[TILE_COUNTS if tiled else STRIP_COUNTS]))
+        if across < 1 or down < 1:
+            raise ValueError("empty tiles or strips")
+        shape = (-(-height // down) * down, -(-width // across) * across * samples)
+        if shape[0] * shape[1] > 2 * EXPANSION * stored:
+            raise ValueError("more pixels than the file can hold")
+        image = np.zeros(shape, np.uint8)
         columns = -(-width // across)
         for k, (offset, count) in enumerate(zip(f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_COUNTS if tiled else STRIP_COUNTS])):
             part = np.frombuffer(decode(data[offset : offset + count]), np.uint8)
@@ -268,7 +275,7 @@ def decode_pages(files: DataFrame, media_col: str = "media") -> DataFrame:
             for k, x in enumerate(batch.column(media_col)):
                 try:
                     found = [(n, *page, None) for n, page in enumerate(read_pages(x.as_py() or b""))]
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as problem:
+                except (ValueError, KeyError, IndexError, struct.error, zlib.error, MemoryError) as problem:
                     found = [(-1, None, None, None, None, f"{type(problem).__name__}: {problem}"[:200])]
                 rows += [k] * len(found)
                 pages += found

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.broadcasts import small_side
+from folioflow.llm.names import free_names
 
 ADDED = ("host", "blocked", "entry_kind", "entry_value", "entry_since")
 
@@ -67,14 +68,15 @@ def intervals(entries: DataFrame) -> DataFrame:
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at", bucket_days: int = 30, max_broadcast: int = 200_000) -> DataFrame:
     """``captures`` with host, blocked and the entry that decided."""
     kept = [c for c in captures.columns if c not in ADDED]
-    asked = captures.select(F.col(url_col).alias("__url"), F.col(time_col).cast("timestamp").alias("__time")).dropna().distinct()
-    host = host_of(F.col("__url"))
+    url, time, site = free_names(captures, "asked_url", "asked_time", "asked_host")
+    asked = captures.select(F.col(url_col).alias(url), F.col(time_col).cast("timestamp").alias(time)).dropna().distinct()
+    host = host_of(F.col(url))
     bucket = lambda t: F.floor(F.unix_timestamp(t) / (86400 * bucket_days))
     keyed = (
-        asked.withColumn("__host", host)
-        .where("__host <> ''")
-        .select("__url", "__time", bucket(F.col("__time")).alias("bucket"), F.explode(keys_of(F.col("__host"), path_of(F.col("__url")))).alias("k"))
-        .select("__url", "__time", "bucket", "k.kind", "k.value")
+        asked.withColumn(site, host)
+        .where(F.col(site) != "")
+        .select(url, time, bucket(F.col(time)).alias("bucket"), F.explode(keys_of(F.col(site), path_of(F.col(url)))).alias("k"))
+        .select(url, time, "bucket", "k.kind", "k.value")
     )
     ends = captures.agg(F.min(F.col(time_col).cast("timestamp")), F.max(F.col(time_col).cast("timestamp"))).first()
     if ends[0] is None:
@@ -84,8 +86,8 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_co
         alive = intervals(entries).where((F.col("since") <= high) & (F.col("until").isNull() | (F.col("until") > low)))
         last = F.least(F.coalesce("until", high), high)
         held = alive.withColumn("bucket", F.explode(F.sequence(bucket(F.greatest("since", low)), bucket(last))))
-    met = keyed.join(small_side(held, max_broadcast), ["kind", "value", "bucket"]).where((F.col("since") <= F.col("__time")) & (F.col("until").isNull() | (F.col("__time") < F.col("until"))))
-    best = met.groupBy("__url", "__time").agg(F.max(F.struct(F.col("kind") == "prefix", F.length("value"), "value", "kind", "since")).alias("e"))
-    found = best.select("__url", "__time", F.col("e.kind").alias("entry_kind"), F.col("e.value").alias("entry_value"), F.col("e.since").alias("entry_since"))
-    joined = captures.select(*[F.col(f"`{c}`") for c in kept]).join(found, (F.col(url_col) == F.col("__url")) & (F.col(time_col).cast("timestamp") == F.col("__time")), "left")
+    met = keyed.join(small_side(held, max_broadcast), ["kind", "value", "bucket"]).where((F.col("since") <= F.col(time)) & (F.col("until").isNull() | (F.col(time) < F.col("until"))))
+    best = met.groupBy(url, time).agg(F.max(F.struct(F.col("kind") == "prefix", F.length("value"), "value", "kind", "since")).alias("e"))
+    found = best.select(url, time, F.col("e.kind").alias("entry_kind"), F.col("e.value").alias("entry_value"), F.col("e.since").alias("entry_since"))
+    joined = captures.select(*[F.col(f"`{c}`") for c in kept]).join(found, (F.col(url_col) == F.col(url)) & (F.col(time_col).cast("timestamp") == F.col(time)), "left")
     return joined.select(*[F.col(f"`{c}`") for c in kept], host_of(F.col(url_col)).alias("host"), F.col("entry_kind").isNotNull().alias("blocked"), "entry_kind", "entry_value", "entry_since")

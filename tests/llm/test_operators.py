@@ -30,7 +30,7 @@ def test_ann(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(1000, None, 0), (1001, [0.0] * 16, 0), (1002, [float("nan")] * 16, 0), (1003, [None] * 16, 0), (1004, [1.0] * 3, 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, bucket int")
     found = {}
-    for r in ann.search(df, lambda c: c % 20 == 0, ann.AnnParams(exhaustive_below=10, tables=16, probes=10)).collect():
+    for r in ann.search(df, lambda c: c % 20 == 0, ann.AnnParams(tables=16, probes=10)).collect():
         found.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
     hits = 0
     for q in range(0, 400, 20):
