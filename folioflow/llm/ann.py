@@ -4,7 +4,8 @@ Vectors of one length are split into ranges of norms (each ``RATIO`` wide, down
 hashed by direction within a range, so the largest inner products of a range are its smallest
 angles; queries go to every range. Each of ``tables`` fast pseudo-rotations (three rounds of random signs and a Hadamard
 transform) assigns a vector to its nearest signed axis. A query probes its ``probes``
-nearest signed axes in every table of a range; candidates are reranked by exact inner products of
+nearest signed axes in every table of a range, and every axis of one table in the ranges of the longest vectors, which
+hold at most ``wide_share`` of all; candidates are reranked by exact inner products of
 the original vectors in double precision.
 
 Equal vectors are searched once: a class keeps its top + 1 smallest ids, which is all
@@ -48,6 +49,7 @@ class AnnParams:
     probes: int = 14
     top: int = 20
     block_rows: int = 4096
+    wide_share: float = 0.1
     seed: int = 11
 
 
@@ -116,17 +118,21 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
     asked = rows.where(is_query(F.col("id"))).select("id", "v")
     query_class = materialize(asked.join(index.select("v", "class"), "v").select("id", "class"))
     queries = index.join(query_class.select("class").distinct(), "class", "left_semi").select("class", "v", "dim")
-    ranges = materialize(index.select("dim", "range").distinct())
+    # the longest vectors win at wide angles, where hashing finds little, so their ranges are probed at every axis
+    longer = Window.partitionBy("dim").orderBy("range")
+    share = F.sum("n").over(longer) / F.sum("n").over(Window.partitionBy("dim"))
+    ranges = materialize(index.groupBy("dim", "range").agg(F.count(F.lit(1)).alias("n")).select("dim", "range", (share <= p.wide_share).alias("wide")))
 
     def bucketed(query: bool, everywhere: bool = False):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                dims = batch.column(2).to_numpy(zero_copy_only=False)
-                for dim in np.unique(dims).tolist():
-                    part = batch.filter(pa.array(dims == dim))
+                dims, wide = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 4))
+                for dim, whole in sorted(set(zip(dims.tolist(), wide.tolist()))):
+                    part = batch.filter(pa.array((dims == dim) & (wide == whole)))
+                    whole = whole or everywhere
                     unit = unit_vectors(_matrix(part.column(1)))
-                    for t in range(1 if everywhere else p.tables):
-                        axes = axes_by_nearness(rotate(unit, t, p.seed), (1 << 30 if everywhere else p.probes) if query else 1)
+                    for t in range(1 if whole else p.tables):
+                        axes = axes_by_nearness(rotate(unit, t, p.seed), (1 << 30 if whole else p.probes) if query else 1)
                         each = np.repeat(np.arange(len(unit)), axes.shape[1])
                         keys = (np.int64(dim) << 32) + (np.int64(t) << 24) + axes.ravel()
                         yield pa.RecordBatch.from_arrays([part.column(3).take(pa.array(each)), pa.array(keys), part.column(0).take(pa.array(each)), part.column(1).take(pa.array(each))], names=["range", "bucket", "class", "v"])
@@ -134,7 +140,7 @@ def search(vectors: DataFrame, is_query, params: AnnParams = AnnParams(), id_col
         return work
 
     schema = "range int, bucket long, class long, v array<double>"
-    columns = ["class", "v", "dim", "range"]
+    columns = ["class", "v", "dim", "range", "wide"]
     stored = index.join(ranges, ["dim", "range"]).select(columns).mapInArrow(bucketed(False), schema)
     sizes = stored.groupBy("range", "bucket").count()
     blocks = materialize(sizes.select("range", "bucket", F.ceil(F.col("count") / p.block_rows).cast("int").alias("blocks")))
