@@ -98,7 +98,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     total = np.empty(len(part) + 1, dtype=np.uint64)
     total[0] = 0
     with np.errstate(over="ignore"):
-        np.cumsum((_TABLE_LOWER if lower else _TABLE)[part] * _power("up", _BASE, len(part)), out=total[1:])
+        coded = (_TABLE_LOWER if lower else _TABLE).take(part)
+        coded *= _power("up", _BASE, len(part))
+        np.cumsum(coded, out=total[1:])
         raw = (total[ends - lo] - total[starts - lo]) * _power("down", _INVERSE, len(part))[starts - lo]
         return mix(raw + (ends - starts).astype(np.uint64))
 

@@ -129,7 +129,10 @@ def units_of(texts: list[bytes], pairs: np.ndarray) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, np.int64)
         return data, none, none, np.zeros(len(texts) + 1, np.int64)
     start = np.ones(len(data), dtype=bool)
-    start[1:] = ~pairs[data[:-1], data[1:]]
+    near = data[:-1].astype(np.uint16)
+    near <<= 8
+    near |= data[1:]
+    np.logical_not(pairs.ravel().take(near), out=start[1:])
     start[offsets[:-1][np.diff(offsets) > 0]] = True
     at = np.flatnonzero(start)
     return data, at, np.append(at[1:], len(data)), np.searchsorted(at, offsets)
@@ -149,16 +152,21 @@ def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> D
             for _, _, texts in _text_batches(batch.column(0)):
                 data, starts, ends, _ = units_of(texts, pairs)
                 if len(starts):
-                    hashes, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
+                    _, first, n = np.unique(span_hashes(data, starts, ends, lower=False), return_index=True, return_counts=True)
                     # one buffer of all units' bytes instead of an object for each
                     sizes = ends[first] - starts[first]
-                    body = data[_spread(starts[first], sizes)]
                     offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
-                    units = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(body))
-                    yield pa.RecordBatch.from_arrays([units, pa.array(hashes.view(np.int64)), pa.array(n)], names=["unit", "hash", "n"])
+                    units = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data[_spread(starts[first], sizes)]))
+                    yield pa.RecordBatch.from_arrays([units, pa.array(n)], names=["unit", "n"])
 
-    counted = docs.select(text_col).mapInArrow(work, "unit string, hash long, n long")
-    return counted.groupBy("unit").agg(F.first("hash").alias("hash"), F.sum("n").alias("n"))
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = column_bytes(batch.column(0))
+            hashes = span_hashes(data, offsets[:-1], offsets[1:], lower=False) if batch.num_rows else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes.view(np.int64)), batch.column(1)], names=["unit", "hash", "n"])
+
+    counted = docs.select(text_col).mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return counted.mapInArrow(hashed, "unit string, hash long, n long")
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -359,18 +367,21 @@ class UnitTable:
 
     def find(self, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of values in the arrays, and whether each is there."""
-        place, there = np.zeros(len(values), np.int64), np.zeros(len(values), bool)
         if not len(self.hashes):
-            return place, there
-        left, at = np.arange(len(values)), self._home(values)
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        at = self._home(values)
+        place = self.slots.take(at)
+        there = (place >= 0) & (self.hashes.take(place) == values)
+        left = np.flatnonzero((place >= 0) & ~there)
+        at = at[left]
         while len(left):
-            slot = self.slots[at]
-            used = slot >= 0
-            left, at, slot = left[used], at[used], slot[used]
-            same = self.hashes[slot] == values[left]
+            at = (at + 1) & (len(self.slots) - 1)
+            slot = self.slots.take(at)
+            same = (slot >= 0) & (self.hashes.take(slot) == values[left])
             place[left[same]] = slot[same]
             there[left[same]] = True
-            left, at = left[~same], (at[~same] + 1) & (len(self.slots) - 1)
+            on = (slot >= 0) & ~same
+            left, at = left[on], at[on]
         return place, there
 
 
@@ -501,10 +512,14 @@ def _text_keys(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 def decode(docs: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """``docs`` with the text of ids; null ids give null. Bytes that are no UTF-8 (a path of foreign ids) become U+FFFD.
 
-    The pieces' bytes, as hexadecimal text, are one constant of the vocabulary's size; no Python runs.
+    The pieces, or for texts with byte pieces all pieces' bytes as hexadecimal text, are one constant of the vocabulary's size; no Python runs.
     """
     v = vocabulary or load_vocabulary()
     surface = F.split(F.lit(",".join(s.hex() for s in v.surface)), ",")
-    joined = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(surface, i)), ""))
-    text = F.make_valid_utf8(joined.cast("string"))
-    return docs.withColumn(text_col, F.regexp_replace(text, "^ ", ""))
+    bytes_of = F.unhex(F.array_join(F.transform(ids_col, lambda i: F.get(surface, i)), ""))
+    # ids above the byte pieces stand for whole characters
+    whole = F.split(F.lit("\0".join("" if k < v.first_byte + 256 else s.decode() for k, s in enumerate(v.surface))), "\0")
+    joined = F.when(F.array_min(ids_col) >= v.first_byte + 256, F.array_join(F.transform(ids_col, lambda i: F.get(whole, i)), "")).otherwise(F.make_valid_utf8(bytes_of.cast("string")))
+    (own,) = free_names(docs, "joined")
+    rows = docs.withColumn(own, joined)
+    return rows.withColumn(text_col, F.when(F.col(own).startswith(" "), F.substring(own, 2, 1 << 30)).otherwise(F.col(own))).drop(own)
