@@ -58,11 +58,16 @@ def run_summary(outcome: DataFrame) -> DataFrame:
     Failures carry the first 200 characters of their error; the first five pages are listed.
     """
     state = lambda s: F.count_if(F.col("state") == s)
-    failed = F.filter(F.array_sort(F.collect_list(F.when(F.col("state") == "failed", F.struct("page_no", F.left("error", F.lit(200)).alias("error"))))), lambda x: x.isNotNull())
-    return outcome.groupBy("book_id").agg(
+    # ranked before they are gathered: Spark limits the ranks ahead of the shuffle, so no row holds more than five
+    first = Window.partitionBy("book_id").orderBy("page_no", "error")
+    failed = outcome.where("state = 'failed'").select("book_id", "page_no", F.left("error", F.lit(200)).alias("error")).withColumn("r", F.row_number().over(first)).where("r <= 5")
+    failures = failed.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_no", "error"))).alias("first_failures"))
+    sums = outcome.groupBy("book_id").agg(
         F.count(F.lit(1)).alias("selected"), state("skipped").alias("skipped"), state("produced").alias("produced"), state("failed").alias("failed"),
-        F.bround(F.coalesce(F.sum(F.when(F.col("state") == "produced", F.col("duration_ms"))), F.lit(0)) / 1000, 1).alias("audio_s"), F.slice(failed, 1, 5).alias("first_failures"),
+        F.bround(F.coalesce(F.sum(F.when(F.col("state") == "produced", F.col("duration_ms"))), F.lit(0)) / 1000, 1).alias("audio_s"),
     )
+    none = F.array().cast(failures.schema["first_failures"].dataType)
+    return sums.join(failures, "book_id", "left").withColumn("first_failures", F.coalesce("first_failures", none))
 
 
 def real_time_factor(trials: DataFrame) -> DataFrame:

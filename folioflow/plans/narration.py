@@ -225,7 +225,7 @@ def _bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bookmark_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chapters.bookmark_level(_bookmarks(spark, sf_dir).where("ord % 17 = level or level > 4"))
+    return chapters.bookmark_level(_bookmarks(spark, sf_dir))
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:

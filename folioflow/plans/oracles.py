@@ -171,7 +171,7 @@ SQL: dict[str, str] = {
         coalesce(array_to_string(list_sort(list(page_no) FILTER (f = 'R'))[1:5], ','), '') AS first_failures FROM o GROUP BY 1""",
     "page_islands": "WITH e AS (SELECT user_id AS book_id, event_id AS block_no, event_type <> lag(event_type, 1, '') OVER (PARTITION BY user_id ORDER BY event_id) AS changed FROM events) SELECT book_id, block_no, sum(changed::INT) OVER (PARTITION BY book_id ORDER BY block_no)::INT AS page_no FROM e",
     "source_pages": """WITH a AS (SELECT doc_id, n_chars, unnest(range(0, n_chars + 1, 350)) AS p FROM documents)
-      SELECT doc_id, p AS "at", greatest(1, least(floor((p - 40) / 513.0)::INT + 1, least(n_chars // 500, 60) + 1))::INT AS page FROM a""",
+      SELECT doc_id, p AS "at", greatest(1, least(floor((p - 40) / 513.0)::INT + 1, n_chars // 500 + 1))::INT AS page FROM a""",
     "display_formats": rf"""WITH c AS (SELECT *, abs(c_acctbal * 1000)::BIGINT AS v FROM customer), d AS (SELECT *, trunc(abs(c_acctbal * 1000))::BIGINT AS size, {_minutes('trunc(abs(c_acctbal * 1000))')} AS m FROM c)
       SELECT c_custkey, CASE WHEN size >= 1048576 THEN round_even(size / 1048576.0, 0)::BIGINT || ' MB' ELSE round_even(size / 1024.0, 0)::BIGINT || ' KB' END AS size, {SHOWN} AS duration, upper(c_mktsegment[1:1] || c_name[1:1]) AS initials,
         trim(regexp_replace(c_name || ' <"a/b">: ?' || c_mktsegment, '[<>:"/\\|?*\x00-\x1f]', '', 'g')[1:60]) AS safe, ' x' || c_name AS folder, 'https://books.example/x/k/' || c_custkey || '/' AS link, regexp_replace(c_name || 'ö+ş', '[^A-Za-z0-9._ -]', '_', 'g') AS ascii FROM d""",
@@ -183,7 +183,7 @@ SQL: dict[str, str] = {
     "corpus_paragraphs": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{BLANK}+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents) SELECT doc_id, len(p)::INT AS n, md5(array_to_string(p, '|')) AS md5 FROM p""",
     "book_statistics": f"""WITH {LINES}, l AS (SELECT source AS book_id, coalesce(median(length(text)) FILTER (length(text) > 20), 60.0) AS typical FROM lines GROUP BY 1), d AS (SELECT source AS book_id, sum(n_chars)::BIGINT AS n_chars, sum(n_chars) / count(*) AS mean_chars FROM documents GROUP BY 1)
       SELECT book_id, typical, n_chars, mean_chars, mean_chars < 2400 AS rejected FROM l JOIN d USING (book_id)""",
-    "bookmark_levels": "WITH c AS (SELECT p_brand AS book_id, p_size % 7 AS level, count(*) AS n FROM part WHERE p_partkey % 17 = p_size % 7 OR p_size % 7 > 4 GROUP BY 1, 2) SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1",
+    "bookmark_levels": "WITH c AS (SELECT p_brand AS book_id, p_size % 7 AS level, count(*) AS n FROM part GROUP BY 1, 2) SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1",
     "page_titles": "WITH b AS (SELECT p_brand AS book_id, p_size % 7 AS level, p_partkey % 11 AS page_no, p_partkey AS ord, p_name AS title FROM part), c AS (SELECT book_id, level, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1) SELECT book_id, page_no, string_agg(title, '|' ORDER BY ord) AS titles FROM b JOIN t USING (book_id, level) WHERE ord % 5 <> 0 GROUP BY 1, 2",
     "toc_chapters": """WITH s AS (SELECT l_orderkey AS book_id, l_linenumber AS ord, CASE WHEN l_orderkey % 3 = 0 AND l_suppkey % 2 = 0 THEN 'T' || l_suppkey END AS label, CASE WHEN l_partkey % 3 = 0 THEN 'H' || l_partkey END AS head, CASE WHEN l_orderkey % 2 = 0 THEN 'B' ELSE '' END AS book FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
       n AS (SELECT *, coalesce(label, CASE WHEN count(label) OVER (PARTITION BY book_id) = 0 THEN head END) AS name, row_number() OVER (PARTITION BY book_id ORDER BY ord) = 1 AS is_first FROM s),
