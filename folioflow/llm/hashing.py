@@ -49,6 +49,12 @@ def column_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes and row offsets of a string column; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+        # read in place, as Spark gives nulls no bytes
+        offsets = np.frombuffer(column.buffers()[1], dtype=np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+        if not column.null_count or not np.diff(offsets)[np.asarray(column.is_null())].any():
+            body = column.buffers()[2]
+            return (np.frombuffer(body, dtype=np.uint8) if body is not None and body.size else np.zeros(0, np.uint8)), offsets
     column = column.cast(pa.large_binary()).fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]

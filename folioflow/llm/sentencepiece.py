@@ -142,6 +142,7 @@ def _text_batches(column) -> Iterator[tuple[int, int, list[bytes]]]:
     data, offsets = column_bytes(column)
     for i, j in mini_batches(offsets):
         yield i, j, [data[offsets[k] : offsets[k + 1]].tobytes() for k in range(i, j)]
+    pa.default_memory_pool().release_unused()  # workers are kept for later stages
 
 
 def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> DataFrame:
