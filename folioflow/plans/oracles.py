@@ -1,4 +1,4 @@
-"""The same queries as SQL for DuckDB, written independently of the DataFrame code."""
+"""The same queries as SQL for DuckDB; word and letter tables are those of the library."""
 
 from __future__ import annotations
 
