@@ -7,7 +7,7 @@ at least ``percent`` per cent Jaccard similarity with it, whether or not that ea
 line is itself kept. Results therefore do not depend on processing order.
 
 1. Lines with equal text are grouped by two 64-bit hashes; all but the first go.
-2. Tokens (shingles) are ordered by rarity: the least count of their five words, from a
+2. Tokens (shingles) are ordered by rarity: the count of their last word, from a
    table of 16,384 word-hash buckets, then the hash. A token is 16 bits of rarity above
    47 bits of hash.
 3. Each line lists its prefix, n - ceil(t n) + 1 rarest tokens; two similar lines share
@@ -102,25 +102,21 @@ def rarity_steps(docs: DataFrame, text_col: str = "text") -> Column:
 def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
     """``lines`` with tokens: distinct, rarest first.
 
-    A word becomes its rarity above part of its hash, so that the least of a shingle's
-    words carries the shingle's rarity.
+    A shingle's rarity is that of its last word.
     """
-    w, p, q = free_names(lines, "w", "p", "q")
+    (w,) = free_names(lines, "w")
 
-    def coded(value: Column) -> Column:
-        return F.get(steps, value.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(value, 64 - HASH_BITS))
+    def token(shingle: Column) -> Column:
+        # never null, so that Spark sorts plain longs
+        rarity = F.coalesce(F.get(steps, shingle[str(SHINGLE - 1)].bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
+        return rarity.bitwiseOR(F.shiftrightunsigned(F.xxhash64(shingle), 64 - HASH_BITS))
 
-    def joined(a: Column, b: Column) -> Column:
-        return F.least(a, b).bitwiseXOR(F.shiftrightunsigned(F.xxhash64(a, b), 64 - HASH_BITS))
-
-    # windows of five by doubling: pairs, pairs of pairs, and one word more; missing words are null
-    rows = lines.withColumn(w, F.transform(words_of_line(F.col("line")), lambda x: coded(F.xxhash64(x))))
+    rows = lines.withColumn(w, F.transform(words_of_line(F.col("line")), lambda x: F.xxhash64(x)))
     n = F.size(w)
-    rows = rows.withColumn(p, F.zip_with(w, F.slice(w, F.lit(2), n), joined))
-    rows = rows.withColumn(q, F.zip_with(p, F.slice(p, F.lit(3), n), joined))
-    windows = F.slice(F.zip_with(q, F.slice(w, F.lit(SHINGLE), n), joined), F.lit(1), F.greatest(n - (SHINGLE - 1), F.lit(1)))
+    # shingles as structs in one pass; the missing words of a short line are null
+    shingles = F.arrays_zip(*[F.slice(w, F.lit(1 + k), F.greatest(n - (SHINGLE - 1), F.lit(1))) for k in range(SHINGLE)])
     none = F.array().cast("array<long>")
-    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(windows))).otherwise(none)).drop(w, p, q)
+    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(F.transform(shingles, token)))).otherwise(none)).drop(w)
 
 
 def hashed_lines(lines: DataFrame) -> DataFrame:
