@@ -26,41 +26,30 @@ def _pick(words: list[str], index: Column) -> Column:
 
 
 def _whole(n: Column, by: int) -> Column:
-    """Whole quotient of a long that is not negative."""
-    return (n - n % by) / by if by == 1 else F.floor((n - n % by).cast("decimal(20,0)") / by).cast("long")
+    """Whole quotient of a long."""
+    return F.call_function("div", n, F.lit(by).cast("long"))
 
 
-def _below_thousand(n: Column) -> Column:
-    hundreds, tens, ones = _whole(n, 100), _whole(n, 10) % 10, n % 10
-    hundred = F.when(hundreds == 0, "").when(hundreds == 1, "yüz").otherwise(F.concat(_pick(ONES, hundreds), F.lit(" yüz")))
-    return _words(hundred, _pick(TENS, tens), _pick(ONES, ones))
-
-
-def _words(*parts: Column) -> Column:
-    return F.array_join(F.array_remove(F.array(*parts), ""), " ")
+def _group(n: Column, scale: int, name: str) -> Column:
+    """Words of the three digits of ``n`` at ``scale``, each followed by a blank; one look-up in a constant table."""
+    words = ("" if k == 0 else f"{name} " if (scale, k) == (1000, 1) else f"{spelt(k)} {name} " if name else f"{spelt(k)} " for k in range(1000))
+    return F.get(_table(words), (_whole(n, scale) % 1000).cast("int"))
 
 
 def _below_trillion(n: Column) -> Column:
-    parts = []
-    for scale, name in SCALES[1:]:
-        group = _whole(n, scale) % 1000
-        words = F.when(group == 0, "")
-        if scale == 1000:
-            words = words.when(group == 1, name)
-        parts.append(words.otherwise(F.concat(let(group, _below_thousand), F.lit(f" {name}"))))
-    return _words(*parts, _below_thousand(n % 1000))
+    return F.concat(*[_group(n, scale, name) for scale, name in SCALES[1:]], _group(n, 1, ""))
 
 
 def cardinal(n: Column) -> Column:
     """Cardinal words of a long; a count of trillions is itself spelt out."""
 
-    def spelt(n: Column) -> Column:
+    def words(n: Column) -> Column:
         size = F.abs(n)
-        trillions, rest = _whole(size, 10**12), size % 10**12
-        words = _words(F.when(trillions == 0, "").otherwise(F.concat(let(trillions, _below_trillion), F.lit(" trilyon"))), let(rest, _below_trillion))
-        return F.when(n == 0, "sıfır").when(n < 0, F.concat(F.lit("eksi "), words)).otherwise(words)
+        trillions = F.when(size < SCALES[0][0], "").otherwise(F.concat(_below_trillion(_whole(size, SCALES[0][0])), F.lit(f"{SCALES[0][1]} ")))
+        sign = F.when(n < 0, "eksi ").otherwise("")
+        return F.when(n == 0, "sıfır").otherwise(F.rtrim(F.concat(sign, trillions, _below_trillion(size % SCALES[0][0]))))
 
-    return let(n.cast("long"), spelt)
+    return let(n.cast("long"), words)
 
 
 def ordinal(n: Column) -> Column:

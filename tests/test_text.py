@@ -36,6 +36,7 @@ def test_sentences(spark):
 def test_numbers(spark):
     pairs = {0: "sıfır", 7: "yedi", 10: "on", 100: "yüz", 101: "yüz bir", 1000: "bin", 1923: "bin dokuz yüz yirmi üç", 2000: "iki bin", 3500: "üç bin beş yüz", 1000000: "bir milyon", 21450007: "yirmi bir milyon dört yüz elli bin yedi", -3: "eksi üç", 10**15: "bin trilyon"}
     assert apply(spark, list(pairs), numbers.cardinal, "long") == list(pairs.values())
+    assert apply(spark, [None], numbers.cardinal, "long") == [None]
     places = {1: "birinci", 3: "üçüncü", 4: "dördüncü", 6: "altıncı", 19: "on dokuzuncu", 40: "kırkıncı", 100: "yüzüncü", 1000: "bininci"}
     assert apply(spark, list(places), numbers.ordinal, "long") == list(places.values())
     letters = {"IV": 4, "XIV": 14, "MCMXXIII": 1923, "IIII": None, "MIX": 1009, "VX": None, "ABC": None, "": None}
