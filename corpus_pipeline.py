@@ -50,7 +50,7 @@ STAGES = [
     ("SentencePiece encoding", encode_pieces),
 ]
 
-# a trained classifier and a merge fold have no SQL; tests hold the stages against brute force
+# a trained classifier and a fold over pieces have no SQL; tests/llm/test_pipeline.py holds every stage against plain Python
 ORACLE_SQL = None
 
 
