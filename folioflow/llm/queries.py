@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, linedup, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
+from folioflow.llm import ann, linedup, manifest, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +208,61 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
 
 
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle leaf, roots and proof of every document, checked against texts of which half lost their line ends."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, F.lit(False))
+    text = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    claimed = manifest.digest_of([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])
+    proved = manifest.dataset_proofs(docs, docs.columns, "doc_id", "source", claimed)
+    return manifest.verify(proved, F.col("claimed")).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+# CRC-32 of a text of ASCII characters: a fold over eight bit steps a byte
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({0}) + 1), lambda k: [ascii(({0})[k])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+
+def _leaf_sql(text: str) -> str:
+    field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+    return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
+
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS tree, {_leaf_sql('text')} AS leaf,
+    CASE WHEN {CRC32.format('doc_id::VARCHAR')} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")} ELSE {_leaf_sql('text')} END AS claimed FROM documents
+), placed AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n FROM leaves
+), nodes AS (
+  SELECT tree, n, 0 AS level, pos, leaf AS digest FROM placed
+  UNION ALL
+  SELECT tree, (n + 2) // 3, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM nodes WHERE n > 1 GROUP BY tree, n, level, pos // 3
+), ranked AS (SELECT tree, digest, row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS n FROM nodes WHERE n = 1
+), tops AS (
+  SELECT n, 0 AS level, pos, digest FROM ranked
+  UNION ALL
+  SELECT (n + 2) // 3, level + 1, pos // 3, sha256(string_agg(digest, '' ORDER BY pos)) FROM tops WHERE n > 1 GROUP BY n, level, pos // 3
+), sides AS (
+  SELECT a.tree, a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL
+), top_sides AS (
+  SELECT a.level, a.pos, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos < a.pos), '') AS l, coalesce(string_agg(b.digest, '' ORDER BY b.pos) FILTER (b.pos > a.pos), '') AS r
+  FROM tops a JOIN tops b ON a.level = b.level AND a.pos // 3 = b.pos // 3 WHERE a.n > 1 GROUP BY ALL
+), walk AS (
+  SELECT r, tree, 0 AS level, pos, claimed AS h, '' AS proof FROM placed
+  UNION ALL
+  SELECT w.r, w.tree, w.level + 1, w.pos // 3, sha256(s.l || w.h || s.r), w.proof || s.l || s.r FROM walk w JOIN sides s ON w.tree = s.tree AND w.level = s.level AND w.pos = s.pos
+), under AS (SELECT w.r, k.pos, w.h, w.proof, k.digest AS subroot FROM (SELECT r, tree, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM walk GROUP BY r, tree) w JOIN ranked k ON w.tree = k.tree
+), over_walk AS (
+  SELECT r, 0 AS level, pos, h, proof, subroot FROM under
+  UNION ALL
+  SELECT w.r, w.level + 1, w.pos // 3, sha256(s.l || w.h || s.r), w.proof || s.l || s.r, w.subroot FROM over_walk w JOIN top_sides s ON w.level = s.level AND w.pos = s.pos
+), done AS (SELECT r, any_value(subroot) AS subroot, arg_max(h, level) AS h, arg_max(proof, level) AS proof FROM over_walk GROUP BY r)
+SELECT p.doc_id, p.leaf, d.subroot, t.digest AS root, sha256(d.proof) AS proof_sha256, d.h AS folded_root, d.h = t.digest AS verified
+FROM placed p JOIN done d ON p.r = d.r CROSS JOIN (SELECT digest FROM tops WHERE n = 1) t
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_mixing": op2_mixing,
@@ -219,6 +274,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urllist": op8_urllist,
     "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
+    "op13_manifest": op13_manifest,
 }
 
 SQL: dict[str, str] = {
@@ -226,4 +282,5 @@ SQL: dict[str, str] = {
     "op6_toolcalls": OP6_SQL,
     "op8_urllist": OP8_SQL,
     "op9_linedup": OP9_SQL,
+    "op13_manifest": OP13_SQL,
 }
