@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.llm.ordered import numbered
+from folioflow.llm.ordered import null_key, numbered
 from folioflow.store import materialize, shared_dir
 
 FAN = 3
@@ -44,11 +44,6 @@ def digest_of(columns: list[Column]) -> Column:
     return F.sha2(F.concat(*[F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
 
 
-def tree_key(source: Column) -> Column:
-    """A key that is never null and orders null first, then by bytes."""
-    return F.coalesce(F.concat(F.lit("s"), source.cast("string")), F.lit("n"))
-
-
 def _joined(parts: list[str]) -> str:
     return hashlib.sha256("".join(parts).encode()).hexdigest()
 
@@ -224,7 +219,7 @@ def dataset_proofs(docs: DataFrame, columns: list[str], row_id: str, source: str
     ``claimed`` is a second digest that goes along, as of rows that someone presents later; the row's own if not given.
     """
     leaf = digest_of([F.col(f"`{c}`") for c in columns])
-    made = docs.select(F.col(f"`{row_id}`").alias("id"), tree_key(F.col(f"`{source}`")).alias("tree"), leaf.alias("digest"), (claimed if claimed is not None else leaf).alias("claimed"))
+    made = docs.select(F.col(f"`{row_id}`").alias("id"), null_key(F.col(f"`{source}`")).alias("tree"), leaf.alias("digest"), (claimed if claimed is not None else leaf).alias("claimed"))
     kind = made.schema["id"].dataType
     # hashed once: sorting reads its input twice
     sources = build(materialize(numbered(materialize(made), "tree", [F.col("id"), F.col("digest")])))

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 
+def null_key(value: Column) -> Column:
+    """A text key that is never null: null first, then values by the bytes of their text."""
+    return F.coalesce(F.concat(F.lit("s"), value.cast("string")), F.lit("n"))
+
+
 def sorted_runs(df: DataFrame, cut: list, order: list, run: str = "run", at: str = "at") -> DataFrame:
     """``df`` as sorted runs in the shared folder, with ``run`` and ``at`` (place in the run, from 0).
 

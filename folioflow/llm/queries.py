@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, linedup, manifest, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
+from folioflow.llm import ann, convrepair, linedup, manifest, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -208,6 +208,73 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maxent.lm_scores(_read(spark, sf_dir, "documents").select("doc_id", "text"), held_out)
 
 
+# CRC-32 of a text of ASCII characters: a fold over eight bit steps a byte
+CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({0}) + 1), lambda k: [ascii(({0})[k])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
+
+
+def op12_convrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations damaged by a stated rule, their faults, and the cheapest repair.
+
+    The remainder by 20 of a checksum of ``conv_id:turn`` decides: 0 drops the row, 1 empties its text, 2 takes out its
+    terminators, 3 repeats it, 4 gives it to the user.
+    """
+    rows = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    filled = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")]
+    kind = F.crc32(F.concat(filled[0], F.lit(":"), filled[1])) % 20
+    role = F.when(kind == 4, "user").otherwise(filled[2])
+    text = F.when(kind == 1, "").when(kind == 2, F.regexp_replace(filled[3], "[.!?]", "")).otherwise(filled[3])
+    damaged = rows.where(kind != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(F.when(kind == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("copy"))
+    report, _ = convrepair.repair(damaged)
+    whole = rows.groupBy("conv_id").agg(F.lit(1).alias("one")).select("conv_id", convrepair.null_key(F.col("conv_id")).alias("conv"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    nothing = F.sha2(F.lit(""), 256)
+    return whole.join(report.drop("conv_id"), "conv", "left").select(
+        "conv_id", *(zero(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")), F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", nothing).alias("repaired_sha256")
+    )
+
+
+OP12_SQL = f"""
+WITH RECURSIVE filled AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind FROM conversations
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+    unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM filled WHERE kind <> 0
+), placed AS (
+  SELECT *, coalesce('s' || conv_id, 'n') AS conv, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, encode(role), encode(text), copy) AS t FROM damaged
+), judged AS (
+  SELECT *, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY t) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'fine' END AS fault, lag(ini) OVER (PARTITION BY conv ORDER BY t) || ini AS pair FROM placed
+), priced AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 1000000 WHEN fault = 'truncated' THEN 5 ELSE 0 END AS k FROM judged
+), back AS (
+  SELECT conv, max(t) + 1 AS t, 0 AS v0, 10 AS v1, 5 AS v2, 0 AS v3 FROM priced GROUP BY conv
+  UNION ALL
+  SELECT conv, t, least(m0, 5 + least(m2, 5 + m3)), least(m1, 5 + least(m2, 5 + m3)), least(m2, 5 + m3), least(m3, 5 + m2) FROM (
+    SELECT p.conv, p.t, least(2 + v0, p.k + 1 + v2, CASE ini WHEN 's' THEN p.k + v1 WHEN 'u' THEN p.k + v2 ELSE 1000000 END) AS m0, least(2 + v1, p.k + 1 + v2, CASE ini WHEN 'u' THEN p.k + v2 ELSE 1000000 END) AS m1,
+      least(2 + v2, p.k + 1 + v3, CASE ini WHEN 'a' THEN p.k + v3 ELSE 1000000 END) AS m2, least(2 + v3, p.k + 1 + v2, CASE ini WHEN 'u' THEN p.k + v2 ELSE 1000000 END) AS m3
+    FROM back b JOIN priced p ON p.conv = b.conv AND p.t = b.t - 1)
+), togo AS (SELECT conv, t, [v0, v1, v2, v3] AS v FROM back
+), walk AS (
+  SELECT conv, 1::BIGINT AS t, 0 AS q, '' AS audit, NULL::VARCHAR AS lines FROM togo WHERE t = 1
+  UNION ALL
+  SELECT conv, CASE WHEN step = 'I' THEN t ELSE t + 1 END, CASE step WHEN 'D' THEN q WHEN 'K' THEN kept ELSE made END, audit || step,
+    CASE step WHEN 'D' THEN lines WHEN 'K' THEN concat_ws(chr(10), lines, role || ':' || text) ELSE concat_ws(chr(10), lines, CASE made WHEN 2 THEN 'user:' ELSE 'assistant:' END || CASE WHEN step = 'R' THEN text ELSE '' END) END FROM (
+    SELECT *, CASE WHEN text IS NULL THEN 'I' WHEN 2 + after[q + 1] = here[q + 1] THEN 'D' WHEN 5 + here[made + 1] = here[q + 1] THEN 'I' WHEN kept IS NOT NULL AND k + after[kept + 1] = here[q + 1] THEN 'K' ELSE 'R' END AS step FROM (
+      SELECT w.*, p.role, p.text, p.k, g.v AS here, h.v AS after, CASE WHEN q = 2 THEN 3 ELSE 2 END AS made, CASE WHEN q = 0 AND ini = 's' THEN 1 WHEN q <> 2 AND ini = 'u' THEN 2 WHEN q = 2 AND ini = 'a' THEN 3 END AS kept
+      FROM walk w JOIN togo g ON g.conv = w.conv AND g.t = w.t LEFT JOIN togo h ON h.conv = w.conv AND h.t = w.t + 1 LEFT JOIN priced p ON p.conv = w.conv AND p.t = w.t
+      WHERE h.t IS NOT NULL OR q IN (1, 2)))
+), best AS (SELECT conv, arg_max(audit, t * 1000000 + length(audit)) AS audit, arg_max(coalesce(lines, ''), t * 1000000 + length(audit)) AS lines FROM walk GROUP BY conv
+), counted AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM judged GROUP BY conv
+)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(g.v[1], 0)::BIGINT AS cost, coalesce(audit, '') AS audit, sha256(coalesce(lines, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, coalesce('s' || conv_id, 'n') AS conv FROM conversations) o LEFT JOIN counted c USING (conv) LEFT JOIN best b USING (conv) LEFT JOIN togo g ON g.conv = o.conv AND g.t = 1
+"""
+
+
 def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle leaf, roots and proof of every document, checked against texts of which half lost their line ends."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
@@ -218,11 +285,6 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.verify(proved, F.col("claimed")).select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
-# CRC-32 of a text of ASCII characters: a fold over eight bit steps a byte
-CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(range(1, length({0}) + 1), lambda k: [ascii(({0})[k])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
-  lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
-
-
 def _leaf_sql(text: str) -> str:
     field = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
     return f"sha256({' || '.join(field(c) for c in ('doc_id', 'source', 'lang', 'n_chars', text))})"
@@ -274,6 +336,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urllist": op8_urllist,
     "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
+    "op12_convrepair": op12_convrepair,
     "op13_manifest": op13_manifest,
 }
 
@@ -282,5 +345,6 @@ SQL: dict[str, str] = {
     "op6_toolcalls": OP6_SQL,
     "op8_urllist": OP8_SQL,
     "op9_linedup": OP9_SQL,
+    "op12_convrepair": OP12_SQL,
     "op13_manifest": OP13_SQL,
 }
