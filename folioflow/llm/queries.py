@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import ann, convrepair, linedup, manifest, maxent, mixing, neardup, quality, sentencepiece, tiff, toolchat, urllist
+from folioflow.llm import ann, convrepair, linedup, manifest, maxent, mixing, neardup, quality, sentencepiece, suffixdedup, tiff, toolchat, urllist
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -213,6 +213,14 @@ CRC32 = """xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transf
   lambda c, b: xor(xor(c, b) >> 1, 3988292384 * (xor(c, b) & 1))), 4294967295)"""
 
 
+def op11_suffixdedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the bytes of passages of 200 bytes that occur again."""
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = suffixdedup.remove_repeats(docs.withColumn("n_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return cut.select("doc_id", "n_bytes", gone.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_convrepair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversations damaged by a stated rule, their faults, and the cheapest repair.
 
@@ -336,6 +344,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_urllist": op8_urllist,
     "op9_linedup": op9_linedup,
     "op10_lm": op10_lm,
+    "op11_suffixdedup": op11_suffixdedup,
     "op12_convrepair": op12_convrepair,
     "op13_manifest": op13_manifest,
 }
