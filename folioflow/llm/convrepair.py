@@ -181,19 +181,26 @@ _TURNS = pa.schema([("conv", pa.string()), ("run", pa.int32()), ("piece", pa.int
 
 def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Turns that stay, by piece; inserted ones have no number."""
+
+    def made(held: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), _TURNS)], schema=_TURNS)
+
     for batch in batches:
-        for k in range(batch.num_rows):
-            conv, run, piece, codes, rows = (c[k].as_py() for c in batch.columns)
-            out, at = [], 0
+        held: list[tuple] = []
+        for conv, run, piece, codes, rows in (tuple(c[k].as_py() for c in batch.columns) for k in range(batch.num_rows)):
+            at = 0
             for place, code in enumerate(codes):
                 if code in "UA":
-                    out.append((conv, run, piece, place, "I", None, WRITTEN[code.lower()], ""))
+                    held.append((conv, run, piece, place, "I", None, WRITTEN[code.lower()], ""))
                     continue
                 row, at = rows[at], at + 1
                 if code != "D":
-                    out.append((conv, run, piece, place, "K" if code == "K" else "R", row["turn"], row["role"] if code == "K" else WRITTEN[code], row["text"]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _TURNS)], schema=_TURNS)
+                    held.append((conv, run, piece, place, "K" if code == "K" else "R", row["turn"], row["role"] if code == "K" else WRITTEN[code], row["text"]))
+            if len(held) >= PIECE:
+                yield made(held)
+                held = []
+        if held:
+            yield made(held)
 
 
 def repaired_turns(ordered: DataFrame, plan: DataFrame) -> DataFrame:
