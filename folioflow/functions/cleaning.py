@@ -16,6 +16,7 @@ BLANK = r"(?U)[\s\x1c-\x1f]+"
 PAGE_NUMBER = r"(?iuU)^[\s\-–—.]*(?:sayfa\s*|s\.\s*|page\s*)?(\d{1,4}|[ivxlcdm]{1,8})[\s\-–—.]*$"
 FOOTNOTE = r"(?U)(?<=[a-zçğıöşüâîû])\d{1,2}(?=[\s.,;:!?)\"”’]|$)"
 DIALOGUE = r"(?U)^[—–-]\s"
+LINE_BREAK = r"\r\n|[\n\x0b\x0c\r\x1c-\x1e\x85\u2028\u2029]"
 PARAGRAPH_END = r"[.!?…:\"”»’)]$"
 
 
@@ -72,12 +73,28 @@ def ends_paragraph(text: Column, typical: Column) -> Column:
     return text.rlike(PARAGRAPH_END) & (F.length(text) < typical * 0.8)
 
 
+def line_breaks(text: Column) -> Column:
+    """Lines of a page's text, at every break that Unicode knows, as an array; a break at the very end opens no line."""
+    parts = F.split(text, LINE_BREAK, -1)
+    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+
+
+def ends_in_hyphen(line: Column) -> Column:
+    """Whether a word may go on in the next line."""
+    return line.rlike(r"(?U)\p{L}-$")
+
+
+def joined_part(line: Column, before: Column, after: Column) -> Column:
+    """What ``line`` adds to a paragraph between its neighbours (null where there is none).
+
+    A trailing hyphen after a letter goes if the next line starts in lower case, else stays; other lines meet at a space.
+    """
+    dropped = ends_in_hyphen(line) & F.coalesce(F.lit(LOWER).contains(F.nullif(F.left(after, F.lit(1)), F.lit(""))), F.lit(False))
+    body = F.when(dropped, F.left(line, F.length(line) - 1)).otherwise(line)
+    return F.when(before.isNull() | ends_in_hyphen(before), body).otherwise(F.concat(F.lit(" "), body))
+
+
 def join_lines(before: Column, after: Column) -> Column:
-    """A trailing hyphen after a letter goes if the next line starts in lower case, else stays; other lines meet at a space."""
-    hyphen = before.rlike(r"(?U)\p{L}-$") & (F.length(after) > 0)
-    return (
-        F.when(F.length(before) == 0, after)
-        .when(hyphen & F.lit(LOWER).contains(F.substring(after, 1, 1)), F.concat(F.left(before, F.length(before) - 1), after))
-        .when(hyphen, F.concat(before, after))
-        .otherwise(F.concat(before, F.lit(" "), after))
-    )
+    """Two lines as one; an empty one before the other leaves no mark."""
+    last = F.nullif(before, F.lit(""))
+    return F.concat(F.coalesce(joined_part(last, F.lit(None).cast("string"), after), F.lit("")), joined_part(after, last, F.lit(None).cast("string")))

@@ -73,6 +73,16 @@ def is_variant(text: Column) -> Column:
     return text.rlike("^[a-z]+-[a-z0-9]+$")
 
 
+def variant_key(engine: Column, voice: Column) -> Column:
+    """Name of an engine and voice, as ``is_variant`` accepts it."""
+    return F.concat_ws("-", engine, voice)
+
+
+def variant_path(book_id: Column, engine: Column, voice: Column, file: Column | None = None) -> Column:
+    """Where a variant's audio of a book lies, or one file of it."""
+    return F.concat_ws("/", book_id, F.lit("ses"), variant_key(engine, voice), *([] if file is None else [file]))
+
+
 def local_name(tag: Column) -> Column:
     return F.regexp_replace(tag, r"^.*\}", "")
 

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioflow.functions.cleaning import LOWER, collapse, ends_paragraph, is_dialogue, title_key, without_footnote_marks
+from folioflow.functions.binding import let
+from folioflow.functions.cleaning import clean_line, collapse, ends_paragraph, is_dialogue, joined_part, line_breaks, title_key, without_footnote_marks
+from folioflow.store import materialize
 
 
 def bookmark_level(bookmarks: DataFrame) -> DataFrame:
@@ -53,79 +53,130 @@ def typical_length(lines: DataFrame, longer_than: int = 20, default: float = 60.
     return lines.groupBy("book_id").agg(F.coalesce(F.median(F.when(n > longer_than, n)), F.lit(default)).alias("typical"))
 
 
-def mark_headings(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """``lines`` with heading (the bookmark title that a line shows, else null) and left (titles its page never showed).
+def page_lines(pages: DataFrame) -> DataFrame:
+    """(book_id, page_no, line_no, text) of cleaned lines of ``pages`` (book_id, page_no, text); pages without text have none."""
+    each = pages.select("book_id", "page_no", F.posexplode(line_breaks(F.col("text"))).alias("line_no", "text"))
+    return each.withColumn("text", clean_line(F.col("text")))
 
-    A page's pending titles are a cursor: a line whose squeezed text lies in the first pending title
+
+def _headed(rows: Column, titles: Column) -> Column:
+    """struct(at, found) of a page: how many of its titles its lines show, and which line shows which.
+
+    A page's titles wait in order: a line whose squeezed text lies in the first waiting title
     takes it, and the next title comes up. The fold runs over one page's lines.
     """
-    rows = F.array_sort(F.collect_list(F.struct("line_no", title_key(F.col("text")).alias("key"))))
-    pages = lines.join(titles, ["book_id", "page_no"], "left_semi").groupBy("book_id", "page_no").agg(rows.alias("rows")).join(titles, ["book_id", "page_no"])
-    keys = F.transform("titles", lambda t: title_key(t))
+    keys = F.transform(titles, lambda t: title_key(t))
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<line_no:int,title:string>>").alias("found"))
 
-    def step(state, row):
-        pending = F.get(keys, state["at"])
-        hit = pending.isNotNull() & (row["key"] != "") & pending.contains(row["key"])
-        found = F.struct(row["line_no"].cast("int").alias("line_no"), F.get("titles", state["at"]).alias("title"))
+    def step(state: Column, row: Column) -> Column:
+        hit = let(title_key(row["text"]), lambda key: (key != "") & F.coalesce(F.get(keys, state["at"]).contains(key), F.lit(False)))
+        found = F.struct(row["line_no"].cast("int").alias("line_no"), F.get(titles, state["at"]).alias("title"))
         return F.when(hit, F.struct((state["at"] + 1).alias("at"), F.concat(state["found"], F.array(found)).alias("found"))).otherwise(state)
 
-    done = pages.withColumn("s", F.aggregate("rows", start, step))
-    hits = done.select("book_id", "page_no", F.explode("s.found").alias("f")).select("book_id", "page_no", F.col("f.line_no").alias("line_no"), F.col("f.title").alias("heading"))
-    rest = done.select("book_id", "page_no", (F.size("titles") - F.col("s.at")).alias("left"))
-    return lines.join(hits, ["book_id", "page_no", "line_no"], "left").join(rest, ["book_id", "page_no"], "left").withColumn("left", F.coalesce("left", F.lit(0)))
-
+    return F.when(F.size(titles) > 0, F.aggregate(rows, start, step)).otherwise(start)
+
+
+def _marked_pages(lines: DataFrame, titles: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """One row a page: its lines with what they do to paragraphs, its titles, and how many of these it never shows."""
+    keys = ["book_id", "page_no"]
+    all_pages = (lines if pages is None else pages).select(*keys)
+    if titles is None:
+        none = F.array().cast("array<string>")
+        titled = lines.select(*keys, none.alias("titles")).limit(0)
+    else:
+        titled = titles.select(*keys, "titles")
+        all_pages = all_pages.union(titled.select(*keys))
+    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
+    whole = all_pages.distinct().join(rows, keys, "left").join(titled, keys, "left").join(typical_length(lines), "book_id", "left")
+    filled = whole.select(*keys, "typical", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
+    headed = filled.withColumn("h", _headed(F.col("rows"), F.col("titles")))
+
+    def line(r: Column) -> Column:
+        title = F.get(F.filter("h.found", lambda f: f["line_no"] == r["line_no"]), F.lit(0))["title"]
+        return let(title, lambda t: F.struct(
+            r["line_no"].alias("line_no"), r["text"].alias("text"), t.isNotNull().alias("heading"), (r["text"] != "").alias("filled"),
+            (t.isNotNull() | is_dialogue(r["text"])).alias("opens"), ((r["text"] == "") | t.isNotNull() | ends_paragraph(r["text"], F.col("typical"))).alias("closes"),
+        ))
+
+    # a line opens a paragraph by itself or after one that closes; the first of a page may depend on pages before
+    flagged = let(F.transform("rows", line), lambda ls: F.transform(ls, lambda x, i: F.struct(
+        x["line_no"].alias("line_no"), x["text"].alias("text"), x["heading"].alias("heading"), x["filled"].alias("filled"), x["closes"].alias("closes"),
+        (x["filled"] & (x["opens"] | F.coalesce(F.get(ls, i - 1)["closes"] & (i > 0), F.lit(False)))).alias("starts"))))
+    return headed.select(*keys, "titles", (F.size("titles") - F.col("h.at")).alias("left"), flagged.alias("lines"))
+
+
+def _page_scan(marked: DataFrame) -> DataFrame:
+    """(book_id, page_no, carry, before, chapters_before, opens) by windows over one row a page.
+
+    carry: whether the page's first line opens a paragraph whatever it is; before: paragraphs that opened on pages before;
+    chapters_before: titles of pages before; opens: 1 if the book's first page has a title, else 0.
+    """
+    book = Window.partitionBy("book_id").orderBy("page_no")
+    earlier = book.rowsBetween(Window.unboundedPreceding, -1)
+    n = F.size("lines")
+    summary = marked.select(
+        "book_id", "page_no", n.alias("n"), F.size(F.filter("lines.starts", lambda x: x)).alias("starts"), F.size(F.filter("lines.heading", lambda x: x)).alias("shown"), "left", F.size("titles").alias("titles"),
+        F.coalesce(F.get("lines.filled", F.lit(0)) & ~F.get("lines.starts", F.lit(0)), F.lit(False)).alias("waits"),
+        F.when(F.col("left") > 0, True).when(n > 0, F.get("lines.closes", n - 1)).alias("closes"),
+    )
+    carried = summary.withColumn("carry", F.coalesce(F.last("closes", ignorenulls=True).over(earlier), F.lit(True)))
+    opened = F.col("starts") + F.when(F.col("carry") & F.col("waits"), 1).otherwise(0)
+    return carried.select(
+        "book_id", "page_no", "carry", F.coalesce(F.sum(opened).over(earlier), F.lit(0)).alias("before"), F.coalesce(F.sum(F.col("shown") + F.col("left")).over(earlier), F.lit(0)).alias("chapters_before"),
+        F.when(F.first("titles").over(book) > 0, 1).otherwise(0).alias("opens"),
+    )
 
-BOUND = T.StructType([T.StructField("pos", T.IntegerType()), T.StructField("page", T.IntegerType())])
 
+def _bounds(rows: Column) -> Column:
+    """Where each page begins in a paragraph's text: array of (pos, page). A hyphen that goes still counts, as the next line comes after it."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<struct<pos:int,page:int>>").alias("found"))
 
-@F.pandas_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("bounds", T.ArrayType(BOUND))]))
-def _joined(lines: pd.Series, pages: pd.Series) -> pd.DataFrame:
-    """Text of a paragraph's lines and where each page begins in it."""
-    def one(parts, numbers):
-        text, bounds, last = "", [], None
-        for line, page in zip(parts, numbers):
-            if page != last:
-                bounds.append({"pos": len(text) + (1 if text else 0), "page": int(page)})
-                last = page
-            if not text:
-                text = line
-            elif text.endswith("-") and text[-2:-1].isalpha():
-                text = text[:-1] + line if line[0] in LOWER else text + line
-            else:
-                text = f"{text} {line}"
-        return text, bounds
+    def step(state: Column, row: Column) -> Column:
+        before = F.get(rows, state["i"] - 1)
+        first = (state["i"] == 0) | (before["page_no"] != row["page_no"])
+        bound = F.struct((state["n"] + F.when(state["i"] > 0, 1).otherwise(0)).cast("int").alias("pos"), row["page_no"].cast("int").alias("page"))
+        part = F.when(state["i"] == 0, row["text"]).otherwise(joined_part(row["text"], before["text"], F.lit(None).cast("string")))
+        gone = F.when((state["i"] > 0) & (F.length(joined_part(before["text"], F.lit(None).cast("string"), row["text"])) < F.length(before["text"])), 1).otherwise(0)
+        return F.struct((state["n"] - gone + F.length(part)).alias("n"), (state["i"] + 1).alias("i"), F.when(first, F.concat(state["found"], F.array(bound))).otherwise(state["found"]).alias("found"))
 
-    return pd.DataFrame([one(a, b) for a, b in zip(lines, pages)], columns=["text", "bounds"])
+    return F.aggregate(rows, start, step)["found"]
 
 
-def paragraphs(lines: DataFrame, titles: DataFrame | None = None) -> DataFrame:
+def paragraphs(lines: DataFrame, titles: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
     """Blocks (book_id, block_no, text, chapter, is_heading, bounds) from cleaned lines (book_id, page_no, line_no, text).
 
+    ``titles`` (book_id, page_no, titles) are bookmarks as ``page_titles`` makes them, on any page; ``pages`` (book_id, page_no)
+    lists all pages, which matters for pages without lines: titles there begin chapters too.
+
     A paragraph begins at the first line, after a blank line or a heading, at a line of
-    dialogue, after a short line that ends a sentence, and on a page after one with titles left over. None of
-    these depends on paragraphs before, so flags and a running sum replace the fold; only lines within a
-    paragraph are joined in order. A book's rows are ordered by one window of its lines.
+    dialogue, after a short line that ends a sentence, and after a page with titles left over. None of
+    these depends on paragraphs before, so the fold becomes a scan in two levels: flags within each page, windows over
+    one row a page, and numbers within each page again.
     """
-    marked = mark_headings(lines, titles) if titles is not None else lines.withColumn("heading", F.lit(None).cast("string")).withColumn("left", F.lit(0))
-    typical = typical_length(lines)
-    order = Window.partitionBy("book_id").orderBy("page_no", "line_no")
-    flagged = marked.join(typical, "book_id").withColumn("blank", F.col("text") == "")
-    new_page = F.col("page_no") != F.lag("page_no").over(order)
-    broke = F.lag(F.col("blank") | F.col("heading").isNotNull() | ends_paragraph(F.col("text"), F.col("typical"))).over(order)
-    left_before = new_page & (F.lag("left").over(order) > 0)
-    starts = F.coalesce(broke, F.lit(True)) | F.col("heading").isNotNull() | is_dialogue(F.col("text")) | F.coalesce(left_before, F.lit(False))
-    # titles shown so far, and those left over on pages before, give the chapter
-    shown = F.sum(F.when(F.col("heading").isNotNull(), 1).otherwise(0)).over(order)
-    missed = F.sum(F.when(new_page, F.lag("left").over(order)).otherwise(0)).over(order)
-    numbered = flagged.withColumn("para", F.sum(starts.cast("int")).over(order)).withColumn("chapter", F.coalesce(shown, F.lit(0)) + F.coalesce(missed, F.lit(0)))
+    marked = materialize(_marked_pages(lines, titles, pages))
+    page = Window.partitionBy("book_id", "page_no").orderBy("line_no")
+    each = marked.select("book_id", "page_no", "lines").join(_page_scan(marked), ["book_id", "page_no"])
+    each = each.select("book_id", "page_no", "carry", "before", "chapters_before", "opens", F.posexplode("lines").alias("i", "l"))
+    starts = F.col("l.starts") | (F.col("carry") & (F.col("i") == 0) & F.col("l.filled"))
+    numbered = each.select("book_id", "page_no", F.col("l.line_no").alias("line_no"), F.col("l.text").alias("text"), F.col("l.heading").alias("heading"), F.col("l.filled").alias("filled"), "before", "chapters_before", "opens", starts.cast("int").alias("starts"))
+    numbered = numbered.withColumn("block_no", (F.col("before") + F.sum("starts").over(page) - 1).cast("int"))
+    numbered = numbered.withColumn("chapter", F.greatest(F.col("chapters_before") + F.sum(F.col("heading").cast("int")).over(page) - F.col("opens"), F.lit(0)).cast("int"))
     rows = F.array_sort(F.collect_list(F.struct("page_no", "line_no", "text")))
-    grouped = numbered.where("not blank").groupBy("book_id", "para").agg(rows.alias("r"), F.min("chapter").alias("chapter"), F.max(F.col("heading").isNotNull()).alias("is_heading"))
-    made = grouped.withColumn("j", _joined(F.col("r.text"), F.col("r.page_no"))).withColumn("text", F.trim(without_footnote_marks(F.col("j.text")))).where("text <> ''")
-    opens = F.lit(0) if titles is None else F.when(F.col("first_page"), 1).otherwise(0)
-    if titles is not None:
-        first = lines.groupBy("book_id").agg(F.min("page_no").alias("page_no")).join(titles, ["book_id", "page_no"], "left_semi").select("book_id").distinct().withColumn("first_page", F.lit(True))
-        made = made.join(first, "book_id", "left").withColumn("first_page", F.coalesce("first_page", F.lit(False)))
-    return made.select(
-        "book_id", (F.row_number().over(Window.partitionBy("book_id").orderBy("para")) - 1).alias("block_no"), "text", F.greatest(F.col("chapter") - opens, F.lit(0)).cast("int").alias("chapter"), "is_heading", F.col("j.bounds").alias("bounds")
-    )
+    made = numbered.where("filled").groupBy("book_id", "block_no").agg(rows.alias("r"), F.min("chapter").alias("chapter"), F.max("heading").alias("is_heading"))
+    parts = let(F.col("r.text"), lambda ts: F.transform(ts, lambda t, i: joined_part(t, F.when(i > 0, F.get(ts, i - 1)), F.get(ts, i + 1))))
+    text = F.trim(without_footnote_marks(F.array_join(parts, "")))
+    return made.select("book_id", "block_no", text.alias("text"), "chapter", "is_heading", let(F.col("r"), _bounds).alias("bounds"))
+
+
+def chapter_titles(titles: DataFrame, books: DataFrame, default: str = "Kitap") -> DataFrame:
+    """(book_id, chapter, title) as ``paragraphs`` numbers them; ``books`` has book_id, book_title (or null) and first_page.
+
+    Chapter 0 is the book's own title, unless its first page has a bookmark.
+    """
+    pages = titles.where(F.size("titles") > 0).join(books, "book_id")
+    own = books.join(titles.where(F.size("titles") > 0).select("book_id", F.col("page_no").alias("first_page")), ["book_id", "first_page"], "left_anti")
+    opening = own.select("book_id", F.lit(0).alias("chapter"), F.coalesce(F.nullif("book_title", F.lit("")), F.lit(default)).alias("title"))
+    earlier = Window.partitionBy("book_id").orderBy("page_no").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.when(F.min("page_no").over(Window.partitionBy("book_id")) == F.col("first_page"), 0).otherwise(1)
+    placed = pages.withColumn("base", F.coalesce(F.sum(F.size("titles")).over(earlier), F.lit(0)) + shift)
+    return opening.union(placed.select("book_id", "base", F.posexplode("titles").alias("i", "title")).select("book_id", (F.col("base") + F.col("i")).cast("int").alias("chapter"), "title"))

@@ -22,18 +22,21 @@ def edge_lines(lines: DataFrame) -> DataFrame:
     return numbered.withColumn("edge", edge).drop("__first", "__all")
 
 
-def repeated_keys(edges: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
-    """(book_id, edge, key) on at least max(least, floor(share * pages)) pages of the book."""
+def repeated_keys(edges: DataFrame, share: float = 0.3, least: int = 3, pages: DataFrame | None = None) -> DataFrame:
+    """(book_id, edge, key) on at least max(least, floor(share * pages)) pages of the book.
+
+    ``pages`` (book_id, page_no) lists all pages, those without a line included; else the pages of ``edges`` count.
+    """
     keyed = edges.where("edge is not null").select("book_id", "page_no", "edge", header_key(F.col("text")).alias("key")).where("key <> ''")
     counts = keyed.groupBy("book_id", "edge", "key").agg(F.count(F.lit(1)).alias("n"))
-    pages = edges.select("book_id", "page_no").distinct().groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"))
-    return counts.join(pages, "book_id").where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("book_id", "edge", "key")
+    all_pages = (edges if pages is None else pages).select("book_id", "page_no").distinct().groupBy("book_id").agg(F.count(F.lit(1)).alias("pages"))
+    return counts.join(all_pages, "book_id").where(F.col("n") >= F.greatest(F.lit(least), F.floor(F.col("pages") * share))).select("book_id", "edge", "key")
 
 
-def drop_headers(lines: DataFrame, share: float = 0.3, least: int = 3) -> DataFrame:
-    """``lines`` without repeated edge lines and bare page numbers at page edges."""
+def drop_headers(lines: DataFrame, share: float = 0.3, least: int = 3, pages: DataFrame | None = None) -> DataFrame:
+    """``lines`` without repeated edge lines and bare page numbers at page edges; ``pages`` as in ``repeated_keys``."""
     edges = edge_lines(lines).withColumn("key", header_key(F.col("text")))
-    hits = repeated_keys(edges.drop("key"), share, least).withColumn("__hit", F.lit(True))
+    hits = repeated_keys(edges.drop("key"), share, least, pages).withColumn("__hit", F.lit(True))
     marked = edges.join(hits, ["book_id", "edge", "key"], "left")
     gone = F.col("edge").isNotNull() & (F.col("__hit").isNotNull() | is_page_number(F.col("text")))
     return marked.where(~gone).select(*lines.columns)

@@ -77,5 +77,35 @@ def real_time_factor(trials: DataFrame) -> DataFrame:
 
 
 def change_signature(entries: DataFrame) -> DataFrame:
-    """(book_id, signature) from directory entries (book_id, name, mtime): changes whenever a name or time does."""
-    return entries.groupBy("book_id").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "mtime")))), 256).alias("signature"))
+    """(book_id, signature) of directory entries (book_id, name, mtime): equal for equal multisets of entries, whatever their order.
+
+    Entries are hashed one by one and the hashes added up, in two lanes of 60 bits, so partial sums of any partitioning merge and
+    nothing is gathered. Adding or removing one entry changes a signature by that entry's hash.
+    """
+    mark = F.md5(F.concat_ws("|", F.length("name").cast("string"), "name", F.coalesce(F.unix_micros(F.col("mtime").cast("timestamp")).cast("string"), F.lit("-"))))
+    lane = lambda first: F.sum(F.conv(F.substring(mark, first, 15), 16, 10).cast("decimal(38,0)"))
+    return entries.groupBy("book_id").agg(F.concat_ws("-", F.count(F.lit(1)), lane(1).cast("string"), lane(16).cast("string")).alias("signature"))
+
+
+def changed_entries(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(book_id, name, change) between two listings (book_id, name, mtime) with one row a name: added, removed or changed.
+
+    Only books whose signatures differ are compared entry by entry.
+    """
+    old, new = change_signature(before), change_signature(after)
+    moved = old.join(new.withColumnRenamed("signature", "now"), "book_id", "full").where(~F.col("signature").eqNullSafe(F.col("now"))).select("book_id")
+    held = before.join(moved, "book_id", "left_semi").select("book_id", "name", F.struct("mtime").alias("a"))
+    found = held.join(after.join(moved, "book_id", "left_semi").select("book_id", "name", F.struct("mtime").alias("b")), ["book_id", "name"], "full")
+    change = F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").when(~F.col("a.mtime").eqNullSafe(F.col("b.mtime")), "changed")
+    return found.select("book_id", "name", change.alias("change")).where("change is not null")
+
+
+def summary_line(summary: DataFrame) -> DataFrame:
+    """``run_summary`` as one JSON text a book, with ``ok`` false if a page failed."""
+    fields = ["book_id", "selected", "skipped", "produced", "failed", "audio_s", "first_failures"]
+    return summary.select("book_id", F.to_json(F.struct(*fields)).alias("line"), (F.col("failed") == 0).alias("ok"))
+
+
+def newest_first(books: DataFrame) -> DataFrame:
+    """Books by time, the newest first; equal times by id."""
+    return books.orderBy(F.col("mtime").desc_nulls_last(), "book_id")

@@ -221,7 +221,9 @@ def book_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").select(F.col("p_brand").alias("book_id"), (F.col("p_size") % 7).alias("level"), (F.col("p_partkey") % 11).alias("page_no"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  "))).alias("title"))
+    """Parts as bookmarks of their brand; levels differ by brand, and some brands have a lone bookmark or two above."""
+    level = F.when(F.col("p_partkey") % 97 == 0, F.col("p_partkey") % 3).otherwise(3 + F.right("p_brand", F.lit(1)).cast("int") % 4 + F.col("p_size") % 3).cast("int")
+    return _read(spark, sf_dir, "part").select(F.col("p_brand").alias("book_id"), level.alias("level"), (F.col("p_partkey") % 11).alias("page_no"), F.col("p_partkey").alias("ord"), F.when(F.col("p_partkey") % 5 == 0, "  ").otherwise(F.concat(F.lit(" "), "p_name", F.lit("  "))).alias("title"))
 
 
 def bookmark_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -240,10 +242,60 @@ def toc_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chapters.spine_chapters(spine, toc).select("book_id", "ord", "chapter", "title")
 
 
+def _block_columns(blocks: DataFrame) -> DataFrame:
+    last = F.get("bounds", F.size("bounds") - 1)
+    return blocks.select(
+        "book_id", "block_no", "chapter", "is_heading", F.length("text").alias("n_chars"), F.md5("text").alias("md5"), F.get("bounds", F.lit(0))["page"].alias("first_page"), F.size("bounds").alias("n_pages"), last["pos"].alias("last_pos"), last["page"].cast("long").alias("last_page")
+    )
+
+
 def page_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of a source as pages of a book: lines to paragraphs across pages."""
-    lines = _lines(spark, sf_dir).select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_no"), F.col("block_no").alias("line_no"), cleaning.clean_line(F.col("text")).alias("text"))
-    return chapters.paragraphs(lines).select("book_id", "block_no", "chapter", F.length("text").alias("n_chars"), F.md5("text").alias("md5"), F.get("bounds", F.lit(0))["page"].alias("first_page"), F.size("bounds").alias("n_pages"))
+    pages = _read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_no"), "text")
+    return _block_columns(chapters.paragraphs(chapters.page_lines(pages), pages=pages))
+
+
+def _bookmarked_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents as pages, each thirteenth without text, and bookmarks: on some pages a first line, a last line, a title that no line shows."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("source").alias("book_id"), F.col("doc_id").alias("page_no"), "text")
+    lines = F.split("text", "\n")
+    marks = F.array(
+        F.struct((F.col("page_no") % 5 == 0).alias("on"), F.concat(F.lit("Bölüm: "), F.element_at(lines, 1)).alias("title")),
+        F.struct((F.col("page_no") % 10 == 0).alias("on"), F.concat(F.element_at(lines, -1), F.lit("  !")).alias("title")),
+        F.struct((F.col("page_no") % 7 == 0).alias("on"), F.lit("Kayıp Başlık").alias("title")),
+    )
+    marked = docs.select("book_id", "page_no", F.posexplode(marks).alias("ord", "m")).where("m.on").select("book_id", F.lit(0).alias("level"), "page_no", "ord", "m.title")
+    return docs.withColumn("text", F.when(F.col("page_no") % 13 == 0, "").otherwise(F.col("text"))), marked
+
+
+def _bookmarked_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages, marked = _bookmarked_pages(spark, sf_dir)
+    return chapters.paragraphs(chapters.page_lines(pages), chapters.page_titles(marked), pages)
+
+
+def bookmarked_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs with headings and chapters from bookmarks, on pages with and without lines."""
+    return _block_columns(_bookmarked_blocks(spark, sf_dir))
+
+
+def bookmark_chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of the chapters that ``bookmarked_paragraphs`` numbers."""
+    pages, marked = _bookmarked_pages(spark, sf_dir)
+    books = pages.groupBy("book_id").agg(F.min("page_no").alias("first_page")).withColumn("book_title", F.when(F.col("book_id") != "src1", F.concat(F.lit("T "), "book_id")))
+    return chapters.chapter_titles(chapters.page_titles(marked), books).select("book_id", "chapter", F.md5("title").alias("md5"))
+
+
+def heading_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of bookmarked books: headings stay whole, and each sentence knows the page that it begins on."""
+    blocks = _bookmarked_blocks(spark, sf_dir)
+    return segmentation.sentences(blocks.select("book_id", "block_no", "text", "is_heading")).select("book_id", "block_no", "sent_no", "gap", F.md5("sentence").alias("md5"))
+
+
+def sparse_page_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Header removal where two of three pages have no text: the share counts all pages."""
+    pages = _read(spark, sf_dir, "documents").select(F.lit("all").alias("book_id"), F.col("doc_id").alias("page_no"), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("Kitap "), F.col("doc_id") % 4, F.when(F.col("doc_id") % 6 == 0, " a").otherwise(" b"), F.lit("\n"), "text")).alias("text"))
+    lines = chapters.page_lines(pages.where("text is not null"))
+    return headers.drop_headers(lines, 0.2, pages=pages).groupBy("book_id", "page_no").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("line_no").alias("line_sum"))
 
 
 def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -311,6 +363,10 @@ QUERIES: dict[str, Query] = {
     "page_titles": page_titles,
     "toc_chapters": toc_chapters,
     "page_paragraphs": page_paragraphs,
+    "bookmarked_paragraphs": bookmarked_paragraphs,
+    "bookmark_chapters": bookmark_chapters,
+    "heading_sentences": heading_sentences,
+    "sparse_page_headers": sparse_page_headers,
     "html_blocks": html_blocks,
     "html_contents": html_contents,
     "epub_blocks": epub_blocks,

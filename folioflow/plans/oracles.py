@@ -1,11 +1,27 @@
-"""The same queries as SQL for DuckDB; word and letter tables are those of the library."""
+"""The same queries as SQL for DuckDB. Words and letters are written out here, so that an error in the library's tables shows."""
 
 from __future__ import annotations
 
-from folioflow.functions import numbers
-from folioflow.functions.cleaning import INVISIBLE, LIGATURES, LOWER
-from folioflow.functions.sentences import ABBREVIATIONS
-
+# fixed values
+ONES = ["", "bir", "iki", "üç", "dört", "beş", "altı", "yedi", "sekiz", "dokuz"]
+TENS = ["", "on", "yirmi", "otuz", "kırk", "elli", "altmış", "yetmiş", "seksen", "doksan"]
+SCALES = [(10**9, "milyar"), (10**6, "milyon"), (10**3, "bin")]
+ORDINALS = {
+    "bir": "birinci", "iki": "ikinci", "üç": "üçüncü", "dört": "dördüncü", "beş": "beşinci", "altı": "altıncı", "yedi": "yedinci", "sekiz": "sekizinci", "dokuz": "dokuzuncu", "on": "onuncu",
+    "yirmi": "yirminci", "otuz": "otuzuncu", "kırk": "kırkıncı", "elli": "ellinci", "altmış": "altmışıncı", "yetmiş": "yetmişinci", "seksen": "sekseninci", "doksan": "doksanıncı", "yüz": "yüzüncü",
+    "bin": "bininci", "milyon": "milyonuncu", "milyar": "milyarıncı", "trilyon": "trilyonuncu", "sıfır": "sıfırıncı",
+}
+ROMAN_PLACES = [
+    ["", "I", "II", "III", "IV", "V", "VI", "VII", "VIII", "IX"], ["", "X", "XX", "XXX", "XL", "L", "LX", "LXX", "LXXX", "XC"],
+    ["", "C", "CC", "CCC", "CD", "D", "DC", "DCC", "DCCC", "CM"], ["", "M", "MM", "MMM"],
+]
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
+INVISIBLE = "\u200b\u200c\u200d\u2060\ufeff\u00ad"
+LOWER = "abcçdefgğhıijklmnoöprsştuüvyzâîûqwx"
+ABBREVIATIONS = [
+    "dr", "prof", "doç", "doc", "yrd", "av", "sn", "st", "vb", "vs", "vd", "örn", "bkz", "no", "nr", "s", "sf", "ss", "c", "haz", "çev", "ed", "mah", "cad", "sok", "apt",
+    "tel", "alb", "yzb", "bnb", "org", "gen", "kur", "ltd", "şti", "hz", "mr", "mrs", "ms", "bay", "bayan", "op", "uzm", "ord", "müh",
+]
 BLANK = r"[\s\x0b\x1c-\x1f\x85\p{Z}]"
 
 
@@ -17,7 +33,7 @@ LINES = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS
 
 CLOSERS = "[\"''”»’)\\]]*"
 
-SENTENCES = rf"""{LINES}, toks AS (
+SPLIT = rf"""toks AS (
   SELECT doc_id, block_no, generate_subscripts(string_split(text, ' '), 1) AS i, unnest(string_split(text, ' ')) AS t FROM lines
 ), looked AS (
   SELECT *, lead(nullif(t, '') IGNORE NULLS) OVER (PARTITION BY doc_id, block_no ORDER BY i) AS nt, regexp_extract(t, '((?:[.!?]+|…){CLOSERS})$', 1) AS tail FROM toks
@@ -42,6 +58,8 @@ SENTENCES = rf"""{LINES}, toks AS (
   SELECT doc_id, block_no, row_number() OVER (PARTITION BY doc_id, block_no ORDER BY sid, k) - 1 AS sent_no, piece AS sentence, lead(piece) OVER (PARTITION BY doc_id, block_no ORDER BY sid, k) IS NULL AS last FROM cut WHERE piece IS NOT NULL
 )"""
 
+SENTENCES = f"{LINES}, {SPLIT}"
+
 PAGED = """, numbered AS (
   SELECT *, length(sentence) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY block_no, sent_no) AS r FROM sents
 ), walk AS (
@@ -58,13 +76,13 @@ PAGED = """, numbered AS (
 
 def _below_thousand(n: str) -> str:
     h, t, o = f"(({n}) // 100)", f"((({n}) // 10) % 10)", f"(({n}) % 10)"
-    ones, tens = f"[{_quoted(numbers.ONES)}]", f"[{_quoted(numbers.TENS)}]"
+    ones, tens = f"[{_quoted(ONES)}]", f"[{_quoted(TENS)}]"
     return f"concat_ws(' ', CASE WHEN {h} = 0 THEN NULL WHEN {h} = 1 THEN 'yüz' ELSE {ones}[{h} + 1] || ' yüz' END, nullif({tens}[{t} + 1], ''), nullif({ones}[{o} + 1], ''))"
 
 
 def _below_trillion(n: str) -> str:
     parts = []
-    for scale, name in numbers.SCALES[1:]:
+    for scale, name in SCALES:
         g = f"((({n}) // {scale}) % 1000)"
         one = f"WHEN {g} = 1 THEN '{name}' " if scale == 1000 else ""
         parts.append(f"CASE WHEN {g} = 0 THEN NULL {one}ELSE {_below_thousand(g)} || ' {name}' END")
@@ -78,12 +96,12 @@ def cardinal_sql(n: str) -> str:
 
 
 def ordinal_sql(n: str) -> str:
-    forms = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in numbers.ORDINALS.items()) + "}"
+    forms = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ORDINALS.items()) + "}"
     return f"(SELECT array_to_string(list_concat(w[:-2], [{forms}[w[-1]]]), ' ') FROM (SELECT string_split({cardinal_sql(n)}, ' ') AS w))"
 
 
 def roman_sql(n: str) -> str:
-    places = " || ".join(f"[{_quoted(p)}][(({n}) // {10**k}) % 10 + 1]" for k, p in reversed(list(enumerate(numbers.ROMAN_PLACES))))
+    places = " || ".join(f"[{_quoted(p)}][(({n}) // {10**k}) % 10 + 1]" for k, p in reversed(list(enumerate(ROMAN_PLACES))))
     return f"CASE WHEN ({n}) BETWEEN 1 AND 3999 THEN {places} END"
 
 
@@ -122,6 +140,49 @@ WHERE edge IS NULL OR NOT (EXISTS (SELECT 1 FROM hits h WHERE h.book_id = k.book
 GROUP BY 1, 2"""
 
 
+TITLE_KEY = r"regexp_replace(lower({0}), '[^\pL\pN_]+', '', 'g')"
+PAGE_PARTS = r"regexp_split_to_array(text, '\r\n|[\n\x0b\x0c\r\x1c-\x1e\x{85}\x{2028}\x{2029}]')"
+NO_MARKS = "marks AS (SELECT NULL::VARCHAR AS book_id, NULL::BIGINT AS page_no, NULL::INT AS ord, NULL::VARCHAR AS title, false AS is_on WHERE false)"
+MARKS = """marks AS (
+  SELECT source AS book_id, doc_id AS page_no, unnest([0, 1, 2]) AS ord, unnest(['Bölüm: ' || string_split(text, chr(10))[1], string_split(text, chr(10))[-1] || '  !', 'Kayıp Başlık']) AS title, unnest([doc_id % 5 = 0, doc_id % 10 = 0, doc_id % 7 = 0]) AS is_on FROM documents)"""
+BLOCKS = rf"""titles AS (
+  SELECT book_id, page_no, title, {TITLE_KEY.format('title')} AS key, row_number() OVER (PARTITION BY book_id, page_no ORDER BY ord) AS k FROM (SELECT book_id, page_no, ord, trim(regexp_replace(title, '{BLANK}+', ' ', 'g')) AS title FROM marks WHERE is_on) WHERE title <> ''
+), split AS (SELECT book_id, page_no, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT book_id, page_no, {PAGE_PARTS} AS parts FROM paged)
+), raw AS (SELECT book_id, page_no, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM split
+), clean AS (SELECT book_id, page_no, line_no, {_clean('line')} AS text FROM raw
+), hits AS (
+  SELECT book_id, page_no, 0::BIGINT AS k, -1::BIGINT AS line_no FROM titles WHERE k = 1
+  UNION ALL
+  SELECT h.book_id, h.page_no, h.k + 1, min(c.line_no) FROM hits h JOIN titles t ON t.book_id = h.book_id AND t.page_no = h.page_no AND t.k = h.k + 1
+    JOIN (SELECT *, {TITLE_KEY.format('text')} AS key FROM clean) c ON c.book_id = h.book_id AND c.page_no = h.page_no AND c.line_no > h.line_no AND c.key <> '' AND contains(t.key, c.key) GROUP BY h.book_id, h.page_no, h.k
+), leftover AS (
+  SELECT book_id, page_no, count(*) - coalesce(max(n), 0) AS n FROM titles LEFT JOIN (SELECT book_id, page_no, max(k) AS n FROM hits GROUP BY 1, 2) USING (book_id, page_no) GROUP BY 1, 2
+), typical AS (SELECT book_id, coalesce(median(length(text)) FILTER (length(text) > 20), 60.0) AS typical FROM clean GROUP BY 1
+), events AS (
+  SELECT c.book_id, c.page_no, c.line_no, text, h.k IS NOT NULL AS heading, (h.k IS NOT NULL)::BIGINT AS chapters FROM clean c LEFT JOIN hits h ON h.book_id = c.book_id AND h.page_no = c.page_no AND h.line_no = c.line_no
+  UNION ALL SELECT book_id, page_no, 1000000000, '', false, n FROM leftover WHERE n > 0
+), told AS (
+  SELECT e.*, text <> '' AS filled, text = '' OR heading OR (regexp_matches(text, '[.!?…:"”»’)]$') AND length(text) < typical * 0.8) AS closes, heading OR regexp_matches(text, '^[—–-]\s') AS opens FROM events e LEFT JOIN typical USING (book_id)
+), flagged AS (
+  SELECT *, filled AND (opens OR coalesce(lag(closes) OVER w, true)) AS starts, sum(chapters) OVER w AS chapter_no FROM told WINDOW w AS (PARTITION BY book_id ORDER BY page_no, line_no)
+), paras AS (SELECT *, sum(starts::INT) OVER (PARTITION BY book_id ORDER BY page_no, line_no) - 1 AS block_no FROM flagged
+), near AS (
+  SELECT *, lag(text) OVER w AS prev, lead(text) OVER w AS next, lag(page_no) OVER w AS prev_page FROM paras WHERE filled WINDOW w AS (PARTITION BY book_id, block_no ORDER BY page_no, line_no)
+), glued AS (
+  SELECT *, CASE WHEN prev IS NULL OR regexp_matches(prev, '\pL-$') THEN '' ELSE ' ' END || CASE WHEN regexp_matches(text, '\pL-$') AND next IS NOT NULL AND contains('{LOWER}', next[1:1]) THEN text[:-2] ELSE text END AS part,
+    (prev IS NOT NULL AND regexp_matches(prev, '\pL-$') AND contains('{LOWER}', text[1:1]))::INT AS gone FROM near
+), measured AS (
+  SELECT *, coalesce(sum(length(part)) OVER (PARTITION BY book_id, block_no ORDER BY page_no, line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + gone + 1, 0) AS pos FROM glued
+), blocks AS (
+  SELECT book_id, block_no::INT AS block_no, greatest(min(chapter_no) - any_value(coalesce(o.opens, 0)), 0)::INT AS chapter, bool_or(heading) AS is_heading,
+    trim(regexp_replace(string_agg(part, '' ORDER BY page_no, line_no), '([a-zçğıöşüâîû])\d{{1,2}}([\s.,;:!?)"”’]|$)', '\1\2', 'g')) AS text, min(page_no)::INT AS first_page, count(DISTINCT page_no)::INT AS n_pages,
+    arg_max(pos, page_no * 10000000000 + line_no) FILTER (prev_page IS NULL OR prev_page <> page_no)::INT AS last_pos, max(page_no) AS last_page
+  FROM measured LEFT JOIN (SELECT book_id, 1 AS opens FROM titles JOIN (SELECT book_id, min(page_no) AS page_no FROM paged GROUP BY 1) USING (book_id, page_no) GROUP BY 1) o USING (book_id) GROUP BY book_id, block_no
+)"""
+BLOCK_COLUMNS = "SELECT book_id, block_no, chapter, is_heading, length(text)::INT AS n_chars, md5(text) AS md5, first_page, n_pages, last_pos, last_page FROM blocks"
+PAGED_TEXT = "paged AS (SELECT source AS book_id, doc_id AS page_no, {0} AS text FROM documents)"
+SPARSE = "CASE WHEN doc_id % 13 = 0 THEN '' ELSE text END"
+
 BOOK = "pages AS (SELECT doc_id // 2 AS chapter, doc_id AS page_no, n_chars FROM documents), audio AS (SELECT doc_id AS page_no, n_chars * 10 AS duration_ms FROM labels JOIN documents USING (doc_id))"
 CATALOG = r"""entries AS (
   SELECT o_custkey AS book_id, lower(o_orderstatus) AS variant, o_orderkey AS chapter, floor(o_totalprice * 100)::BIGINT AS size,
@@ -183,8 +244,23 @@ SQL: dict[str, str] = {
     "corpus_paragraphs": rf"""WITH p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '{BLANK}+', ' ', 'g'))), lambda x: x <> '') AS p FROM documents) SELECT doc_id, len(p)::INT AS n, md5(array_to_string(p, '|')) AS md5 FROM p""",
     "book_statistics": f"""WITH {LINES}, l AS (SELECT source AS book_id, coalesce(median(length(text)) FILTER (length(text) > 20), 60.0) AS typical FROM lines GROUP BY 1), d AS (SELECT source AS book_id, sum(n_chars)::BIGINT AS n_chars, sum(n_chars) / count(*) AS mean_chars FROM documents GROUP BY 1)
       SELECT book_id, typical, n_chars, mean_chars, mean_chars < 2400 AS rejected FROM l JOIN d USING (book_id)""",
-    "bookmark_levels": "WITH c AS (SELECT p_brand AS book_id, p_size % 7 AS level, count(*) AS n FROM part GROUP BY 1, 2) SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1",
-    "page_titles": "WITH b AS (SELECT p_brand AS book_id, p_size % 7 AS level, p_partkey % 11 AS page_no, p_partkey AS ord, p_name AS title FROM part), c AS (SELECT book_id, level, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1) SELECT book_id, page_no, string_agg(title, '|' ORDER BY ord) AS titles FROM b JOIN t USING (book_id, level) WHERE ord % 5 <> 0 GROUP BY 1, 2",
+    "bookmark_levels": "WITH c AS (SELECT p_brand AS book_id, CASE WHEN p_partkey % 97 = 0 THEN p_partkey % 3 ELSE 3 + right(p_brand, 1)::INT % 4 + p_size % 3 END::INT AS level, count(*) AS n FROM part GROUP BY 1, 2) SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1",
+    "page_titles": "WITH b AS (SELECT p_brand AS book_id, CASE WHEN p_partkey % 97 = 0 THEN p_partkey % 3 ELSE 3 + right(p_brand, 1)::INT % 4 + p_size % 3 END::INT AS level, p_partkey % 11 AS page_no, p_partkey AS ord, p_name AS title FROM part), c AS (SELECT book_id, level, count(*) AS n FROM b GROUP BY 1, 2), t AS (SELECT book_id, coalesce(min(level) FILTER (n >= 2), min(level)) AS level FROM c GROUP BY 1) SELECT book_id, page_no, string_agg(title, '|' ORDER BY ord) AS titles FROM b JOIN t USING (book_id, level) WHERE ord % 5 <> 0 GROUP BY 1, 2",
+    "page_paragraphs": f"WITH RECURSIVE {PAGED_TEXT.format('text')}, {NO_MARKS}, {BLOCKS} {BLOCK_COLUMNS}",
+    "bookmarked_paragraphs": f"WITH RECURSIVE {PAGED_TEXT.format(SPARSE)}, {MARKS}, {BLOCKS} {BLOCK_COLUMNS}",
+    "bookmark_chapters": f"""WITH RECURSIVE {PAGED_TEXT.format(SPARSE)}, {MARKS}, {BLOCKS}, own AS (SELECT book_id, min(page_no) AS page_no FROM paged GROUP BY 1), shifts AS (SELECT book_id, CASE WHEN (book_id, page_no) IN (SELECT (book_id, page_no) FROM titles) THEN 0 ELSE 1 END AS shift FROM own)
+      SELECT book_id, 0 AS chapter, md5(CASE WHEN book_id = 'src1' THEN 'Kitap' ELSE 'T ' || book_id END) AS md5 FROM shifts WHERE shift = 1
+      UNION ALL SELECT book_id, (row_number() OVER (PARTITION BY book_id ORDER BY page_no, k) - 1 + shift)::INT, md5(title) FROM titles JOIN shifts USING (book_id)""",
+    "heading_sentences": f"""WITH RECURSIVE {PAGED_TEXT.format(SPARSE)}, {MARKS}, {BLOCKS}, lines AS (SELECT book_id AS doc_id, block_no, text FROM blocks WHERE NOT is_heading), {SPLIT}
+      SELECT doc_id AS book_id, block_no, sent_no::INT AS sent_no, CASE WHEN last THEN 'paragraph' ELSE 'sentence' END AS gap, md5(sentence) AS md5 FROM sents UNION ALL SELECT book_id, block_no, 0, 'heading', md5(text) FROM blocks WHERE is_heading""",
+    "sparse_page_headers": f"""WITH base AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'Kitap ' || doc_id % 4 || CASE WHEN doc_id % 6 = 0 THEN ' a' ELSE ' b' END || chr(10) || text END AS text FROM documents),
+      split AS (SELECT doc_id AS page_no, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM (SELECT doc_id, {PAGE_PARTS} AS parts FROM base WHERE text IS NOT NULL)),
+      l AS (SELECT page_no, unnest(parts) AS line, generate_subscripts(parts, 1) - 1 AS line_no FROM split), c AS (SELECT page_no, line_no, {_clean('line')} AS text FROM l),
+      n AS (SELECT *, CASE WHEN text <> '' THEN count(*) FILTER (text <> '') OVER (PARTITION BY page_no ORDER BY line_no) END AS up, count(*) FILTER (text <> '') OVER (PARTITION BY page_no) AS total FROM c),
+      e AS (SELECT *, {_header_key('text')} AS key, CASE WHEN up IS NULL OR total <= 2 THEN NULL WHEN total - up + 1 <= 2 THEN -(total - up + 1) WHEN up <= 2 THEN up END AS edge FROM n),
+      hits AS (SELECT edge, key FROM e WHERE edge IS NOT NULL AND key <> '' GROUP BY 1, 2 HAVING count(*) >= greatest(3, (SELECT floor(count(*) * 0.2) FROM documents)))
+      SELECT 'all' AS book_id, page_no, count(*) AS n_lines, sum(line_no)::BIGINT AS line_sum FROM e WHERE edge IS NULL OR NOT (EXISTS (SELECT 1 FROM hits h WHERE h.edge = e.edge AND h.key = e.key)
+        OR regexp_matches(text, '^[\\s\\-–—.]*(?:[sS][aA][yY][fF][aA]\\s*|[sS]\\.\\s*|[pP][aA][gG][eE]\\s*)?(\\d{{1,4}}|[ivxlcdmIVXLCDMıİ]{{1,8}})[\\s\\-–—.]*$')) GROUP BY 2""",
     "toc_chapters": """WITH s AS (SELECT l_orderkey AS book_id, l_linenumber AS ord, CASE WHEN l_orderkey % 3 = 0 AND l_suppkey % 2 = 0 THEN 'T' || l_suppkey END AS label, CASE WHEN l_partkey % 3 = 0 THEN 'H' || l_partkey END AS head, CASE WHEN l_orderkey % 2 = 0 THEN 'B' ELSE '' END AS book FROM (SELECT l_orderkey, l_linenumber, max(l_partkey) AS l_partkey, max(l_suppkey) AS l_suppkey FROM lineitem GROUP BY 1, 2)),
       n AS (SELECT *, coalesce(label, CASE WHEN count(label) OVER (PARTITION BY book_id) = 0 THEN head END) AS name, row_number() OVER (PARTITION BY book_id ORDER BY ord) = 1 AS is_first FROM s),
       c AS (SELECT *, (sum((name IS NOT NULL OR is_first)::INT) OVER (PARTITION BY book_id ORDER BY ord) - 1)::INT AS chapter FROM n)

@@ -2,20 +2,35 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions.cleaning import collapse
+from folioflow.functions.entities import unescaped_html
 from folioflow.functions.formats import content_id
 
+KINDS = ("epub", "pdf")
 SIDECAR = "sayfa int, dosya string, sure_ms bigint, zamanlar array<array<bigint>>, uretim_sn double"
 
 
-def book_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, kind, book_id, content) of book files, and kind null for suffixes that are not read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    suffix = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    return found.select("path", F.when(suffix.isin("epub", "pdf"), suffix).alias("kind"), content_id(F.col("content")).alias("book_id"), "content")
+def book_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects) of a folder: see ``dispatch``."""
+    return dispatch(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content"))
+
+
+def dispatch(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(files, rejects) of files (path, content): files (path, kind, book_id, content) have a suffix that is read, in any case."""
+    suffix = F.lower(F.regexp_extract(F.element_at(F.split("path", "/"), -1), r"[^.].*\.([^.]+)$|^[^.]\.([^.]+)$", 1))
+    kind = F.coalesce(F.nullif(suffix, F.lit("")), F.lit("none"))
+    sorted_ = found.withColumn("kind", kind)
+    files = sorted_.where(F.col("kind").isin(*KINDS)).select("path", "kind", content_id(F.col("content")).alias("book_id"), "content")
+    refused = sorted_.where(~F.col("kind").isin(*KINDS))
+    return files, rejects(refused, "dispatch", F.lit("suffix"), F.col("kind"))
+
+
+def rejects(rows: DataFrame, stage: str, reason: Column, detail: Column) -> DataFrame:
+    """Rows that a source refuses, in the one shape that all sources share: (path, stage, reason, detail)."""
+    return rows.select("path", F.lit(stage).alias("stage"), reason.alias("reason"), F.left(detail.cast("string"), F.lit(200)).alias("detail"))
 
 
 def listing(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -29,11 +44,24 @@ def chapter_files(listed: DataFrame) -> DataFrame:
     return listed.withColumn("chapter", F.left("name", F.lit(3)).try_cast("int") - 1)
 
 
-def sidecars(spark: SparkSession, path: str) -> DataFrame:
-    """Page records (file_path, page_no, file, duration_ms, spans, synth_s); broken files are left out."""
-    rows = spark.read.schema(SIDECAR).option("mode", "DROPMALFORMED").option("multiLine", "true").json(path)
-    span = F.transform("zamanlar", lambda z: F.struct(F.get(z, F.lit(0)).alias("start_ms"), F.get(z, F.lit(1)).alias("end_ms")))
-    return rows.select(F.col("_metadata.file_path").alias("file_path"), F.col("sayfa").alias("page_no"), F.col("dosya").alias("file"), F.col("sure_ms").alias("duration_ms"), span.alias("spans"), F.col("uretim_sn").alias("synth_s")).where("page_no is not null")
+def sidecars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of the page records below a folder: see ``parse_sidecars``."""
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    return parse_sidecars(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
+
+
+def parse_sidecars(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, rejects) of JSON texts (path, value): records (path, page_no, file, duration_ms, spans, synth_s).
+
+    A record counts only with a duration. Refused are texts that are no JSON, fields of another type, and records without a duration.
+    """
+    kept = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    read = raw.withColumn("r", F.from_json("value", f"{SIDECAR}, broken string", kept))
+    reason = F.when(F.try_parse_json("value").isNull(), "not json").when(F.col("r.broken").isNotNull(), "type").when(F.col("r.sure_ms").isNull(), "no duration")
+    judged = read.withColumn("reason", reason)
+    span = F.transform("r.zamanlar", lambda z: F.struct(F.get(z, F.lit(0)).alias("start_ms"), F.get(z, F.lit(1)).alias("end_ms")))
+    good = judged.where("reason is null").select("path", F.col("r.sayfa").alias("page_no"), F.col("r.dosya").alias("file"), F.col("r.sure_ms").alias("duration_ms"), span.alias("spans"), F.col("r.uretim_sn").alias("synth_s"))
+    return good, rejects(judged.where("reason is not null"), "sidecar", F.col("reason"), F.col("value"))
 
 
 def settings(text: DataFrame, col: str = "value") -> DataFrame:
@@ -47,8 +75,8 @@ def voices(listed: DataFrame) -> DataFrame:
 
 
 def corpus_paragraphs(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """``rows`` with paragraphs: lines collapsed, blank ones left out."""
-    return rows.withColumn("paragraphs", F.filter(F.transform(F.split(text_col, "\n"), lambda p: collapse(p)), lambda p: p != ""))
+    """``rows`` with paragraphs: entities decoded, lines collapsed, blank ones left out."""
+    return rows.withColumn("paragraphs", F.filter(F.transform(F.split(unescaped_html(F.col(text_col)), "\n"), lambda p: collapse(p)), lambda p: p != ""))
 
 
 def uncached(files: DataFrame, parsed: DataFrame, parser_version: int) -> DataFrame:
