@@ -256,7 +256,8 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     r1, r2 = _row_keys(F.col(f"`{doc_id}`"), body)
     texts = docs.select(r1.alias("r1"), r2.alias("r2"), body.alias("text"))
     pieces = texts.where(F.octet_length("text") >= length).mapInArrow(_find_pieces(params), PIECES)
-    anchors = pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n")
+    # written first, so that the join below deals both sides anew and a hot anchor's pieces can be split
+    anchors = materialize(pieces.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), (F.min("whole") != F.max("whole")).alias("mixed")).where("n > 1").drop("n"))
     shared = materialize(pieces.join(anchors, "anchor"))
     span = [F.col("a").alias("s"), (F.col("b") + length).alias("e")]
     spans = shared.where("not mixed").select("r1", "r2", *span)
@@ -265,7 +266,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     kinds = materialize(mixed.groupBy("anchor", "whole").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("r1", "r2", "a", "b")).alias("one")))
     spans = spans.union(mixed.join(kinds.where("n > 1").select("anchor", "whole"), ["anchor", "whole"], "left_semi").select("r1", "r2", *span))
 
-    large = kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / params.part_pieces).cast("int").alias("parts")).where("parts > 1")
+    large = materialize(kinds.groupBy("anchor").agg(F.ceil(F.count(F.lit(1)) / params.part_pieces).cast("int").alias("parts")).where("parts > 1"))
     dealt = kinds.join(large, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     wanted = dealt.select("one.r1", "one.r2", F.struct("anchor", F.pmod("whole", "parts").cast("int").alias("part"), (F.col("parts") > 1).alias("split"), (F.col("n") == 1).alias("open"), F.col("one.a").alias("a"), F.col("one.b").alias("b")).alias("w"))
     wanted = wanted.groupBy("r1", "r2").agg(F.collect_list("w").alias("wanted"))

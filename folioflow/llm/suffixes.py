@@ -29,7 +29,7 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     for k in range(HEAD):
         key = (key << np.uint64(8)) | np.where(rest > k, padded[k : k + n], np.uint64(0))
     key = (key << np.uint64(8)) | np.minimum(rest, HEAD).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     ranked = key[order]
     new = np.ones(n, bool)
     new[1:] = ranked[1:] != ranked[:-1]
@@ -42,7 +42,7 @@ def suffix_array(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         own = group[at]
         # a suffix that ends within the part compared equals the others of its group, so its position decides
         onward = np.where(rest[at] > depth, group[np.minimum(at + depth, n - 1)], at - n)
-        by = np.lexsort((onward, own))
+        by = np.argsort(own * (2 * n) + onward + n)
         at, onward = at[by], onward[by]
         order[places] = at
         new = np.ones(places.size, bool)
