@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession  # noqa: E402
 
 from folioflow.plans import narration  # noqa: E402
 
-HEADLINE = ["greedy_pages", "sentences", "clean_lines", "drop_headers", "number_words", "audio_timeline", "variant_totals", "html_blocks"]
+HEADLINE = ["greedy_pages", "sentences", "clean_lines", "drop_headers", "number_words", "audio_timeline", "variant_totals", "html_blocks", "spoken_lines", "page_paragraphs"]
 
 
 def main() -> None:

@@ -7,12 +7,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioflow.functions.binding import let
+
 # fixed values
 LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st"}
 INVISIBLE = "​‌‍⁠﻿­"
 LOWER = "abcçdefgğhıijklmnoöprsştuüvyzâîûqwx"
 # blanks as the source format sees them: Unicode white space and the four separators that Java leaves out
 BLANK = r"(?U)[\s\x1c-\x1f]+"
+UNEVEN = r"(?U)[\s\x1c-\x1f&&[^\x20]]|\x20\x20|^\x20|\x20$"
 PAGE_NUMBER = r"(?iuU)^[\s\-–—.]*(?:sayfa\s*|s\.\s*|page\s*)?(\d{1,4}|[ivxlcdm]{1,8})[\s\-–—.]*$"
 FOOTNOTE = r"(?U)(?<=[a-zçğıöşüâîû])\d{1,2}(?=[\s.,;:!?)\"”’]|$)"
 DIALOGUE = r"(?U)^[—–-]\s"
@@ -31,16 +34,25 @@ def composed(text: Column) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of blanks become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, BLANK, " "))
+    """Runs of blanks become one space; none at the ends. Texts with single spaces only are left alone."""
+    return F.when(text.rlike(UNEVEN), F.trim(F.regexp_replace(text, BLANK, " "))).otherwise(text)
 
 
 def clean_line(text: Column, nfc: bool = True) -> Column:
-    out = composed(text) if nfc else text
-    for ligature, letters in LIGATURES.items():
-        out = F.replace(out, F.lit(ligature), F.lit(letters))
-    out = F.replace(out, F.lit("\x02"), F.lit("-"))
-    return collapse(F.translate(out, INVISIBLE, ""))
+    """A line without ligatures, invisible characters and uneven blanks, in composed form.
+
+    ``nfc`` False leaves composition out: composing a whole page before it is cut into lines gives the same lines for one trip to Python a page.
+    """
+
+    def replaced(t: Column) -> Column:
+        for ligature, letters in LIGATURES.items():
+            t = F.replace(t, F.lit(ligature), F.lit(letters))
+        return F.translate(t, "\x02" + INVISIBLE, "-")
+
+    def plain(t: Column) -> Column:
+        return F.when(t.rlike(f"[\x02{INVISIBLE}{''.join(LIGATURES)}]"), replaced(t)).otherwise(t)
+
+    return let(let(composed(text) if nfc else text, plain), collapse)
 
 
 def without_footnote_marks(text: Column) -> Column:

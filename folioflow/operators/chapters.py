@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.binding import let
-from folioflow.functions.cleaning import clean_line, collapse, ends_paragraph, is_dialogue, joined_part, line_breaks, title_key, without_footnote_marks
+from folioflow.functions.cleaning import clean_line, collapse, composed, ends_paragraph, is_dialogue, joined_part, line_breaks, title_key, without_footnote_marks
 from folioflow.store import materialize
 
 
@@ -55,8 +55,8 @@ def typical_length(lines: DataFrame, longer_than: int = 20, default: float = 60.
 
 def page_lines(pages: DataFrame) -> DataFrame:
     """(book_id, page_no, line_no, text) of cleaned lines of ``pages`` (book_id, page_no, text); pages without text have none."""
-    each = pages.select("book_id", "page_no", F.posexplode(line_breaks(F.col("text"))).alias("line_no", "text"))
-    return each.withColumn("text", clean_line(F.col("text")))
+    each = pages.select("book_id", "page_no", composed(F.col("text")).alias("text")).select("book_id", "page_no", F.posexplode(line_breaks(F.col("text"))).alias("line_no", "text"))
+    return each.withColumn("text", clean_line(F.col("text"), nfc=False))
 
 
 def _headed(rows: Column, titles: Column) -> Column:

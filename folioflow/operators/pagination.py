@@ -1,48 +1,57 @@
 """Sentences to pages.
 
-Sequential state ends with a chapter, so chapters are the unit of parallel work: one task
-holds the lengths and gaps of one chapter at a time, never its text.
+Sequential state ends with a book, so books are the unit of parallel work: rows are dealt by book, sorted within
+their partitions, and folded as they stream by. A task holds one batch of rows and the fill of one page.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 TARGET = 1500
 
 
-@F.pandas_udf(T.ArrayType(T.IntegerType()))
-def _greedy(lengths: pd.Series, headings: pd.Series, target: pd.Series) -> pd.Series:
-    """Page of each sentence: a new one if the target would be passed, or before a heading on a page more than 0.6 full."""
+def _numbered(target: int):
+    """Batches sorted by book and chapter, their last columns size and heading, to the same rows with page_no in place of these two.
+
+    A new page begins with a chapter, if the target would be passed, or before a heading on a page more than 0.6 full.
+    """
 
-    def chapter(sizes, heads, most) -> np.ndarray:
-        out, page, used = np.zeros(len(sizes), np.int32), 0, 0
-        for k, (n, head) in enumerate(zip(sizes, heads)):
-            if used and (used + n > most or head and used > most * 0.6):
-                page, used = page + 1, 0
-            out[k] = page
-            used += n + 1
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        book, chapter, page, used, begun = None, None, 0, 0, False
+        for batch in batches:
+            books, chapters, sizes, heads = (batch.column(k).to_pylist() for k in (0, 1, -2, -1))
+            out = np.empty(batch.num_rows, np.int32)
+            for k, (b, c, n, head) in enumerate(zip(books, chapters, sizes, heads)):
+                if not begun or b != book:
+                    book, chapter, page, used, begun = b, c, 1, 0, True
+                elif c != chapter:
+                    chapter, page, used = c, page + 1, 0
+                elif used and (used + n > target or head and used > target * 0.6):
+                    page, used = page + 1, 0
+                out[k] = page
+                used += n + 1
+            names = batch.schema.names
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(out)], names=[*names[:-2], "page_no"])
 
-    return pd.Series([chapter(a, b, c) for a, b, c in zip(lengths, headings, target)])
+    return run
 
 
-def greedy_pages(sentences: DataFrame, target: int = TARGET) -> DataFrame:
-    """``sentences`` (book_id, chapter, block_no, sent_no, sentence, gap) with page_no, from 1 through the whole book."""
-    order = F.array_sort(F.collect_list(F.struct("block_no", "sent_no", F.length("sentence").alias("n"), (F.col("gap") == "heading").alias("h"))))
-    chapters = sentences.groupBy("book_id", "chapter").agg(order.alias("s"))
-    paged = chapters.withColumn("p", _greedy(F.col("s.n"), F.col("s.h"), F.lit(target)))
-    # pages before a chapter: those of the chapters before it
-    before = Window.partitionBy("book_id").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
-    counted = paged.withColumn("first", F.coalesce(F.sum(F.array_max("p") + 1).over(before), F.lit(0)))
-    keys = counted.select("book_id", "chapter", "first", F.explode(F.arrays_zip("s", "p")).alias("z")).select(
-        "book_id", "chapter", F.col("z.s.block_no").alias("block_no"), F.col("z.s.sent_no").alias("sent_no"), (F.col("first") + F.col("z.p") + 1).cast("int").alias("page_no")
-    )
-    return sentences.join(keys, ["book_id", "chapter", "block_no", "sent_no"])
+def greedy_pages(sentences: DataFrame, target: int = TARGET, size: Column | None = None) -> DataFrame:
+    """``sentences`` (book_id, chapter, block_no, sent_no, gap, ...) with page_no, from 1 through the whole book.
+
+    ``size`` is a sentence's length, that of the column ``sentence`` if not given; callers that need no text leave it out of the rows.
+    """
+    order = ["book_id", "chapter", "block_no", "sent_no"]
+    others = [F.col(f"`{c}`") for c in sentences.columns if c not in (*order, "page_no")]
+    sized = sentences.select(*order, *others, (F.length("sentence") if size is None else size).cast("int").alias("__size"), (F.col("gap") == "heading").alias("__heading"))
+    shape = sized.drop("__size", "__heading").withColumn("page_no", F.lit(0)).schema
+    return sized.repartition("book_id").sortWithinPartitions(*order).mapInArrow(_numbered(target), shape)
 
 
 def physical_pages(sentences: DataFrame) -> DataFrame:
@@ -52,12 +61,16 @@ def physical_pages(sentences: DataFrame) -> DataFrame:
     return sentences.withColumn("page_no", F.sum(changed.cast("int")).over(order).cast("int"))
 
 
-def sentence_offsets(paged: DataFrame) -> DataFrame:
-    """``paged`` with start and end of each sentence in its page's text; a paragraph or heading is followed by two characters, a sentence by one."""
+def sentence_offsets(paged: DataFrame, size: Column | None = None) -> DataFrame:
+    """``paged`` with start and end of each sentence in its page's text; a paragraph or heading is followed by two characters, a sentence by one.
+
+    ``size`` as in ``greedy_pages``.
+    """
+    n = F.length("sentence") if size is None else size
     page = Window.partitionBy("book_id", "page_no").orderBy("block_no", "sent_no")
-    step = F.length("sentence") + F.when(F.col("gap").isin("paragraph", "heading"), 2).otherwise(1)
+    step = n + F.when(F.col("gap").isin("paragraph", "heading"), 2).otherwise(1)
     start = F.coalesce(F.sum(step).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
-    return paged.withColumn("start", start).withColumn("end", (F.col("start") + F.length("sentence")).cast("int"))
+    return paged.withColumn("start", start).withColumn("end", (F.col("start") + n).cast("int"))
 
 
 def page_texts(paged: DataFrame) -> DataFrame:

@@ -29,16 +29,20 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segmentation.sentences(blocks).select("doc_id", "block_no", "sent_no", "gap", F.length("sentence").alias("chars"), F.md5("sentence").alias("md5"))
 
 
+def _sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segmentation.sentences(_lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter"), "block_no", "text", F.lit(False).alias("is_heading")))
+
+
 def _paged(spark: SparkSession, sf_dir: str, target: int = pagination.TARGET) -> DataFrame:
-    blocks = _lines(spark, sf_dir).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("chapter"), "block_no", "text", F.lit(False).alias("is_heading"))
-    return pagination.greedy_pages(segmentation.sentences(blocks), target)
+    return pagination.greedy_pages(_sentences(spark, sf_dir), target)
 
 
 def greedy_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Flagship: documents to sentences to pages of about 1500 characters."""
-    step = F.length("sentence") + F.when(F.col("gap") == "sentence", 1).otherwise(2)
-    last = F.max_by(F.when(F.col("gap") == "sentence", 1).otherwise(2), F.struct("block_no", "sent_no"))
-    return _paged(spark, sf_dir).groupBy(F.col("book_id").alias("doc_id"), "page_no").agg(F.count(F.lit(1)).alias("n_sentences"), (F.sum(step) - last).cast("long").alias("n_chars"))
+    sized = _sentences(spark, sf_dir).withColumn("n", F.length("sentence")).drop("sentence")
+    gap = F.when(F.col("gap") == "sentence", 1).otherwise(2)
+    paged = pagination.greedy_pages(sized, size=F.col("n"))
+    return paged.groupBy(F.col("book_id").alias("doc_id"), "page_no").agg(F.count(F.lit(1)).alias("n_sentences"), (F.sum(F.col("n") + gap) - F.max_by(gap, F.struct("block_no", "sent_no"))).cast("long").alias("n_chars"))
 
 
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +62,9 @@ def roman_numerals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    clean = _lines(spark, sf_dir).withColumn("clean", cleaning.clean_line(F.col("text")))
+    docs = _read(spark, sf_dir, "documents").select("doc_id", cleaning.composed(F.col("text")).alias("text"))
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_no", "text"))
+    clean = lines.withColumn("clean", cleaning.clean_line(F.col("text"), nfc=False))
     return clean.select(
         "doc_id", "block_no", F.md5("clean").alias("clean"), F.md5(cleaning.without_footnote_marks(F.col("clean"))).alias("unmarked"), F.md5(cleaning.header_key(F.col("clean"))).alias("header_key"),
         cleaning.is_dialogue(F.col("clean")).alias("dialogue"),
@@ -82,6 +88,22 @@ def spoken_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lines(spark, sf_dir).select("doc_id", "block_no", spoken_form(F.col("text"), F.col("block_no") == 0).alias("spoken"))
 
 
+def spoken_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every rule of spoken forms on texts that orders fill with numbers; some are headings."""
+    k, n = F.col("o_orderkey") % 20, F.col("o_orderkey") % 3000 + 1
+    m = n % 100 + 1
+    letters = numbers.roman(m)
+    texts = [
+        F.concat(F.lit("Dr. Selim "), n, F.lit("'te geldi.")), F.concat(m, F.lit(". yüzyılda")), F.concat(F.lit("bkz. s. "), n, F.lit(", No. "), m), F.concat(letters, F.lit(". Abdülhamit")), F.concat(F.lit("BÖLÜM "), letters),
+        F.concat(letters, F.lit(". Kısım")), F.lit("Ali & Veli * x | y"), F.concat(F.lit("Bilgi için https://ornek.com/"), n, F.lit(" ve a"), n, F.lit("@b.co adresine")), F.concat(m, F.lit(".500’den fazla")), F.lit("Elma vb. şeyler [ed.n.]....."),
+        F.lit("Prof. Dr. Av. Op. Uzm. Sn. Hz. Doç. Yrd. Doç. x"), F.concat(F.lit("M.Ö. "), n, F.lit(" ve M.S. "), m), F.lit("Cad. Sok. Mah. Ltd. Şti. A.Ş."), F.lit("Örn. çev. haz. vs. vd. [ç.n.] y. n. x"), F.lit("x 🙝 y ★ z\t\tq"),
+        F.lit("Aleko"), F.lit("Bitti!"), F.concat(n, F.lit(". Bölüm")), F.concat(F.lit("~ "), n, F.lit(" ~")), F.lit("  - Ali"),
+    ]
+    text = F.coalesce(*[F.when(k == i, t) for i, t in enumerate(texts)])
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey", text.alias("text"), k.isin(4, 5, 15, 16).alias("heading"))
+    return rows.select("o_orderkey", "text", spoken_form(F.col("text"), F.col("heading")).alias("spoken"))
+
+
 def audio_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns of a conversation as sentences of one page; read as written, so that SQL can follow."""
     turns = _read(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book_id"), F.lit(1).alias("page_no"), F.col("turn").alias("sent_no"), F.col("text").alias("sentence"))
@@ -323,7 +345,8 @@ def header_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sentence_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pagination.sentence_offsets(_paged(spark, sf_dir, 600)).select(F.col("book_id").alias("doc_id"), "block_no", "sent_no", "page_no", "start", "end")
+    sized = _sentences(spark, sf_dir).withColumn("n", F.length("sentence")).drop("sentence")
+    return pagination.sentence_offsets(pagination.greedy_pages(sized, 600, F.col("n")), F.col("n")).select(F.col("book_id").alias("doc_id"), "block_no", "sent_no", "page_no", "start", "end")
 
 
 QUERIES: dict[str, Query] = {
@@ -339,6 +362,7 @@ QUERIES: dict[str, Query] = {
     "drop_headers": _headers(0.3),
     "drop_headers_low": _headers(0.05),
     "spoken_lines": spoken_lines,
+    "spoken_rules": spoken_rules,
     "audio_timeline": audio_timeline,
     "page_durations": page_durations,
     "page_selection": page_selection,

@@ -212,6 +212,13 @@ SQL: dict[str, str] = {
     "header_candidates": f"WITH {EDGES} SELECT book_id, page_no, line_no, edge FROM edges WHERE edge IS NOT NULL",
     "drop_headers": _headers(0.3),
     "drop_headers_low": _headers(0.05),
+    "spoken_rules": f"""WITH o AS (SELECT o_orderkey, o_orderkey % 20 AS k, o_orderkey % 3000 + 1 AS n, (o_orderkey % 3000 + 1) % 100 + 1 AS m FROM orders), r AS (SELECT *, {roman_sql('m')} AS r FROM o), w AS (SELECT *, {cardinal_sql('n')} AS nw, {cardinal_sql('m')} AS mw, {ordinal_sql('m')} AS mo, {cardinal_sql('(m * 1000 + 500)')} AS th FROM r)
+      SELECT o_orderkey, CASE k WHEN 0 THEN 'Dr. Selim ' || n || chr(39) || 'te geldi.' WHEN 1 THEN m || '. yüzyılda' WHEN 2 THEN 'bkz. s. ' || n || ', No. ' || m WHEN 3 THEN r || '. Abdülhamit' WHEN 4 THEN 'BÖLÜM ' || r WHEN 5 THEN r || '. Kısım' WHEN 6 THEN 'Ali & Veli * x | y'
+          WHEN 7 THEN 'Bilgi için https://ornek.com/' || n || ' ve a' || n || '@b.co adresine' WHEN 8 THEN m || '.500’den fazla' WHEN 9 THEN 'Elma vb. şeyler [ed.n.].....' WHEN 10 THEN 'Prof. Dr. Av. Op. Uzm. Sn. Hz. Doç. Yrd. Doç. x' WHEN 11 THEN 'M.Ö. ' || n || ' ve M.S. ' || m
+          WHEN 12 THEN 'Cad. Sok. Mah. Ltd. Şti. A.Ş.' WHEN 13 THEN 'Örn. çev. haz. vs. vd. [ç.n.] y. n. x' WHEN 14 THEN 'x 🙝 y ★ z' || chr(9) || chr(9) || 'q' WHEN 15 THEN 'Aleko' WHEN 16 THEN 'Bitti!' WHEN 17 THEN n || '. Bölüm' WHEN 18 THEN '~ ' || n || ' ~' ELSE '  - Ali' END AS text,
+        CASE k WHEN 0 THEN 'Doktor Selim ' || nw || 'te geldi.' WHEN 1 THEN mo || ' yüzyılda' WHEN 2 THEN 'bakınız sayfa ' || n || ', numara ' || m WHEN 3 THEN CASE WHEN length(r) > 1 THEN mo ELSE r || '.' END || ' Abdülhamit' WHEN 4 THEN 'BÖLÜM ' || mw || '.' WHEN 5 THEN mo || ' Kısım.' WHEN 6 THEN 'Ali ve Veli x y'
+          WHEN 7 THEN 'Bilgi için ve adresine' WHEN 8 THEN th || 'den fazla' WHEN 9 THEN 'Elma ve benzeri şeyler editörün notu...' WHEN 10 THEN 'Profesör Doktor Avukat Operatör Uzman Sayın Hazreti Doçent Yardımcı Doçent x' WHEN 11 THEN 'milattan önce ' || n || ' ve milattan sonra ' || m
+          WHEN 12 THEN 'Caddesi Sokağı Mahallesi Limitet Şirketi Anonim Şirketi' WHEN 13 THEN 'örneğin çeviren hazırlayan vesaire ve diğerleri çevirmenin notu yazarın notu x' WHEN 14 THEN 'x y z q' WHEN 15 THEN 'Aleko.' WHEN 16 THEN 'Bitti!' WHEN 17 THEN n || '. Bölüm' WHEN 18 THEN n::VARCHAR ELSE '- Ali' END AS spoken FROM w""",
     "audio_timeline": r"""WITH s AS (SELECT conv_id, turn, CASE WHEN regexp_matches(text, '[\pL\pN]') THEN length(text) * 80 ELSE 0 END AS speech, CASE WHEN turn = 0 THEN 7200 WHEN turn % 3 = 2 THEN 4800 ELSE 2000 END AS silence FROM conversations),
       t AS (SELECT *, coalesce(sum(speech + silence) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM s)
       SELECT conv_id, turn, round_even(start / 8.0, 0)::BIGINT AS start_ms, round_even((start + speech) / 8.0, 0)::BIGINT AS end_ms FROM t""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import entities, formats
-from folioflow.operators import library, pagination, segmentation, selection
+from folioflow.operators import library, pagination, production, segmentation, selection
 from folioflow.plans.oracles import BLANK, PAGED, SENTENCES
 from folioflow.sources import cache, files, versions
 from folioflow.store import materialize, shared_dir
@@ -66,6 +66,17 @@ def page_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return said.select("doc_id", "page_no", "sent_no", F.md5("sentence").alias("md5"))
 
 
+def produced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over all pages: the first engine fails on pages with an ü, the second, which gets only those, on two of them in a row."""
+    shelf = cache.open_cache(spark, _folder(spark, "shelf"), 16)
+    cache.parse_new(shelf, _book_files(spark, sf_dir), _parse, 1)
+    wanted = materialize(shelf.read("pages").select("book_id", "page_no"))
+    same = lambda text, heading: text
+    first, second = (production.run_production(shelf, production.mock_engine(refused), wanted, same) for refused in ("ü", "üü"))
+    both = first.select("book_id", "page_no", F.col("state").alias("first")).join(second.withColumnRenamed("state", "second"), ["book_id", "page_no"])
+    return both.select("book_id", "page_no", "first", "second", "duration_ms", "error")
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as directory entries of their customers."""
     return _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.concat(F.lit("f"), "o_orderkey").alias("name"), F.col("o_orderdate").cast("timestamp").alias("mtime"), F.col("o_orderkey").alias("k"))
@@ -177,6 +188,7 @@ def variant_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "parsed_cache": parsed_cache,
     "page_requests": page_requests,
+    "produced_pages": produced_pages,
     "change_signatures": change_signatures,
     "snapshot_changes": snapshot_changes,
     "summary_lines": summary_lines,
@@ -201,6 +213,10 @@ SQL: dict[str, str] = {
         CASE WHEN doc_id % 3 <> 0 AND l.book_id IS NOT NULL THEN chars * 10 ELSE 0 END::BIGINT AS audio_ms, 0::BIGINT AS parsed_again FROM named b JOIN sums USING (doc_id) LEFT JOIN (SELECT book_id FROM labelled) l ON l.book_id = b.book_id""",
     "page_requests": rf"""WITH RECURSIVE {SENTENCES}{PAGED.format(target=1500)}, {BOOKS}
       SELECT doc_id, page_no::INT AS page_no, sent AS sent_no, md5(sentence) AS md5 FROM (SELECT *, (row_number() OVER (PARTITION BY doc_id, page_no ORDER BY r) - 1)::INT AS sent FROM placed) JOIN labelled USING (doc_id) WHERE page_no = doc_id % 3 + 1 AND regexp_matches(sentence, '[\pL\pN]')""",
+    "produced_pages": rf"""WITH RECURSIVE {SENTENCES}{PAGED.format(target=1500)}, {BOOKS}, said AS (SELECT book_id, page_no, r, sentence, last, regexp_matches(sentence, '[\pL\pN]') AS ok FROM placed JOIN named USING (doc_id)),
+      p AS (SELECT book_id, page_no, bool_or(ok AND contains(sentence, 'ü')) AS f1, bool_or(ok AND contains(sentence, 'üü')) AS f2, arg_min(sentence, r) FILTER (ok AND contains(sentence, 'üü')) AS bad, sum(CASE WHEN ok THEN length(sentence) * 80 ELSE 0 END + CASE WHEN last THEN 4800 ELSE 2000 END) AS samples FROM said GROUP BY 1, 2)
+      SELECT book_id, page_no::INT AS page_no, CASE WHEN f1 THEN 'failed' ELSE 'produced' END AS "first", CASE WHEN NOT f1 THEN 'skipped' WHEN f2 THEN 'failed' ELSE 'produced' END AS "second", CASE WHEN NOT f2 THEN round_even(samples / 8.0, 0)::BIGINT END AS duration_ms,
+        CASE WHEN f2 THEN ('cannot read ' || chr(39) || 'üü' || chr(39) || ' in: ' || bad)[1:200] END AS error FROM p""",
     "change_signatures": f"WITH {LISTING}, m AS (SELECT book_id, {MARK} AS h FROM listing) SELECT book_id, count(*) || '-' || sum(('0x' || h[1:15])::BIGINT::HUGEINT) || '-' || sum(('0x' || h[16:30])::BIGINT::HUGEINT) AS signature FROM m GROUP BY 1",
     "snapshot_changes": f"""WITH {LISTING} SELECT book_id, name, 'removed' AS change FROM listing WHERE k % 19 = 0 UNION ALL SELECT book_id, name, 'changed' FROM listing WHERE k % 19 <> 0 AND k % 17 = 0
       UNION ALL SELECT book_id, name || 'x', 'added' FROM listing WHERE k % 23 = 0""",

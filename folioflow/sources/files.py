@@ -46,7 +46,7 @@ def chapter_files(listed: DataFrame) -> DataFrame:
 
 def sidecars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(records, rejects) of the page records below a folder: see ``parse_sidecars``."""
-    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path)
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return parse_sidecars(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 

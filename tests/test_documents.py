@@ -1,7 +1,16 @@
 """Headers, pages, paragraphs, timeline, library and e-books on small fixtures."""
 
+import hashlib
+import itertools
+import random
+import re
+import statistics
+import unicodedata
+
+import pytest
 from pyspark.sql import functions as F
 
+from folioflow.functions import cleaning
 from folioflow.operators import chapters, headers, library, pagination, segmentation, timeline
 from folioflow.sources import epub
 from folioflow.sources.epub_writer import archive
@@ -51,6 +60,136 @@ def test_paragraphs_and_bookmarks(spark):
     assert [tuple(b) for b in found[-1]["bounds"]][0] == (0, 2) and found[-1]["bounds"][1]["page"] == 3
 
 
+def plain_paragraphs(pages, titles):
+    """(text, chapter, is_heading, bounds) of a book: all lines as events, then groups of them, then their texts."""
+    lengths = [len(x) for page in pages for x in page if len(x) > 20]
+    typical = statistics.median(lengths) if lengths else 60
+    squeeze = lambda x: re.sub(r"\W+", "", x.lower())
+    events, chapter = [], -1 if titles.get(0) else 0
+    for number, page in enumerate(pages, 1):
+        waiting = list(titles.get(number - 1, []))
+        for line in page:
+            heading = bool(waiting and squeeze(line) and squeeze(line) in squeeze(waiting[0]))
+            chapter += heading
+            del waiting[:heading]
+            events.append((number, line, heading, max(chapter, 0)))
+        chapter += len(waiting)
+        events += [(number, "", False, 0)] * bool(waiting)
+    closes = lambda e: not e[1] or e[2] or e[1][-1] in ".!?…:\"”»’)" and len(e[1]) < typical * 0.8
+    opens = [bool(e[1]) and (e[2] or bool(re.match(r"[—–-]\s", e[1])) or k == 0 or closes(events[k - 1])) for k, e in enumerate(events)]
+    out = []
+    for _, group in itertools.groupby(zip(itertools.accumulate(opens), events), key=lambda x: x[0]):
+        held = [e for _, e in group if e[1]]
+        if not held:
+            continue
+        hyphen = [e[1][-1] == "-" and e[1][-2:-1].isalpha() for e in held]
+        text, bounds = "", []
+        for k, (number, line, *_) in enumerate(held):
+            if k == 0 or number != held[k - 1][0]:
+                bounds.append((len(text) + (k > 0), number))
+            glue = "" if k == 0 or hyphen[k - 1] else " "
+            text = (text[:-1] if k and hyphen[k - 1] and line[0] in cleaning.LOWER else text) + glue + line
+        out.append((re.sub(r"(?<=[a-zçğıöşüâîû])\d{1,2}(?=[\s.,;:!?)\"”’]|$)", "", text).strip(), held[0][3], held[0][2], bounds))
+    return out
+
+
+def found_paragraphs(spark, pages, titles):
+    given = spark.createDataFrame([("b", n, list(t)) for n, t in titles.items()], "book_id string, page_no int, titles array<string>")
+    all_pages = spark.createDataFrame([("b", n) for n in range(len(pages))], "book_id string, page_no int")
+    rows = [("b", n, k, x) for n, page in enumerate(pages) for k, x in enumerate(page)]
+    got = chapters.paragraphs(spark.createDataFrame(rows, "book_id string, page_no int, line_no int, text string"), given, all_pages).orderBy("block_no").collect()
+    assert [r["block_no"] for r in got] == list(range(len(got)))
+    return [(r["text"], r["chapter"], r["is_heading"], [(b["pos"], b["page"] + 1) for b in r["bounds"]]) for r in got]
+
+
+BOOKS = {
+    "title on a page without lines": ([["Uzunca bir satır burada devam eder ve"], [], ["sonraki sayfada biter."]], {1: ["Resimli"]}),
+    "titles of the first page": ([["Bir", "metin"], ["Son"]], {0: ["Bir", "Yok"], 1: ["Yok"]}),
+    "hyphens over pages": ([["bir kel-"], ["", "sinin"], ["Anka-"], ["Ra-", "ya -", "- gitti", "x-", "-"]], {}),
+    "blank and dialogue": ([["", "— Evet.", "", "", "— Hayır", "dedi."], [""], ["Kısa."], ["Sonra12 geldi"]], {3: ["!!"]}),
+    "empty": ([[], []], {0: ["A"]}),
+}
+
+
+@pytest.mark.parametrize("name", list(BOOKS))
+def test_paragraphs_equal_a_plain_fold(spark, name):
+    pages, titles = BOOKS[name]
+    assert found_paragraphs(spark, pages, titles) == plain_paragraphs(pages, titles)
+
+
+def test_random_paragraphs_equal_a_plain_fold(spark):
+    r = random.Random(2)
+    lines = ["", "Bölüm bir", "Bölüm iki", "kelime kelime kelime kelime kel-", "ime.", "— Evet.", "Uzun bir satır ki hiç bitmez ve sürüp gider,", "Kısa.", "- x", "İstanbul-", "a1 b2", "..."]
+    pages = [[r.choice(lines) for _ in range(r.randrange(6))] for _ in range(120)]
+    titles = {n: [r.choice(["Bölüm bir", "Bölüm iki", "Yok", "IV. Bölüm bir!"]) for _ in range(r.randrange(1, 4))] for n in range(120) if r.random() < 0.3}
+    assert found_paragraphs(spark, pages, titles) == plain_paragraphs(pages, titles)
+
+
+def test_documents_equal_a_plain_fold(spark):
+    """Every source of sf0.001 as a book, in both directions of the scan."""
+    from folioflow.plans import narration
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("source", "doc_id", "text").orderBy("doc_id").collect()
+    books = {}
+    for r in docs:
+        books.setdefault(r["source"], []).append((r["doc_id"], [" ".join(unicodedata.normalize("NFC", x).translate(dict.fromkeys(map(ord, cleaning.INVISIBLE))).split()) for x in r["text"].splitlines()]))
+    expected = set()
+    for source, pages in books.items():
+        for k, (text, chapter, _, bounds) in enumerate(plain_paragraphs([p for _, p in pages], {})):
+            expected.add((source, k, chapter, hashlib.md5(text.encode()).hexdigest(), pages[bounds[0][1] - 1][0], len(bounds), bounds[-1][0]))
+    got = narration.page_paragraphs(spark, "/root/testdata/sf0.001").collect()
+    assert {(r["book_id"], r["block_no"], r["chapter"], r["md5"], r["first_page"], r["n_pages"], r["last_pos"]) for r in got} == expected
+
+
+def test_chapter_titles(spark):
+    titles = spark.createDataFrame([("b", 3, ["İki"]), ("b", 1, ["Bir", "Bir buçuk"]), ("c", 0, ["Ön"]), ("c", 5, ["Son"])], "book_id string, page_no int, titles array<string>")
+    books = spark.createDataFrame([("b", "Kitap adı", 0), ("c", None, 0), ("d", "", 0)], "book_id string, book_title string, first_page int")
+    assert sorted(map(tuple, chapters.chapter_titles(titles, books).collect())) == [("b", 0, "Kitap adı"), ("b", 1, "Bir"), ("b", 2, "Bir buçuk"), ("b", 3, "İki"), ("c", 0, "Ön"), ("c", 1, "Son"), ("d", 0, "Kitap")]
+
+
+def test_headers_count_pages_without_lines(spark):
+    pages = [["Kitap", f"ilk {x}", "gövde", f"son {x}", str(n)] for n, x in enumerate("pqrs")] + [[] for _ in range(16)]
+    all_pages = spark.createDataFrame([("b", n) for n in range(1, 21)], "book_id string, page_no int")
+    assert kept(headers.drop_headers(lines(spark, pages)))[1] == ["ilk p", "gövde", "son p"]
+    # six of twenty pages would have to show the line; bare page numbers go all the same
+    assert kept(headers.drop_headers(lines(spark, pages), pages=all_pages))[1] == ["Kitap", "ilk p", "gövde", "son p"]
+
+
+def test_edge_lines_that_stay(spark):
+    """A sentence that happens to stand at a page's edge, elsewhere on each page, is no header."""
+    pages = [[f"üst {x} {'p' * k}" for k in range(n % 6)] + ["— Evet."] + [f"alt {x} {'q' * k}" for k in range(3)] for n, x in enumerate("abcdefghijklmnopqrst")]
+    found = kept(headers.drop_headers(lines(spark, pages)))
+    assert all(found[n + 1] == page for n, page in enumerate(pages))
+
+
+def test_headings_stay_whole(spark):
+    long = "Bölüm başlığı. " * 100
+    blocks = spark.createDataFrame([("b", 0, long, True), ("b", 1, "Bir. İki.", False)], "book_id string, block_no int, text string, is_heading boolean")
+    assert [(r["sent_no"], r["gap"]) for r in segmentation.sentences(blocks).orderBy("block_no", "sent_no").collect()] == [(0, "heading"), (0, "sentence"), (1, "paragraph")]
+
+
+def test_greedy_pages_over_batches(spark):
+    """Books and chapters that cross Arrow batches, against a plain count; other columns go along."""
+    r = random.Random(6)
+    rows = [(b, c, k, 0, "x" * r.randrange(1, 400), r.choice(["sentence", "paragraph", "paragraph", "heading"]), k * 7) for b in ("a", "b", "c") for c in range(4) for k in range(c * 60, c * 60 + 60)]
+    df = spark.createDataFrame(rows, "book_id string, chapter int, block_no int, sent_no int, sentence string, gap string, extra int")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+        found = {(x["book_id"], x["block_no"]): (x["page_no"], x["extra"]) for x in pagination.greedy_pages(df.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    page = used = 0
+    last = None
+    for b, c, k, _, text, gap, extra in rows:
+        if last != (b, c):
+            page, used = (1 if last is None or last[0] != b else page + 1), 0
+        elif used and (used + len(text) > 1500 or gap == "heading" and used > 900):
+            page, used = page + 1, 0
+        used, last = used + len(text) + 1, (b, c)
+        assert found[b, k] == (page, extra)
+
+
 def test_timeline(spark):
     rows = [("b", 1, 0, "Başlık", "heading"), ("b", 1, 1, "Dr. Ali 1923'te geldi.", "paragraph"), ("b", 1, 2, "— ......", "sentence")]
     timed = timeline.timeline(spark.createDataFrame(rows, "book_id string, page_no int, sent_no int, sentence string, gap string"))
