@@ -15,7 +15,9 @@ INVISIBLE = "​‌‍⁠﻿­"
 LOWER = "abcçdefgğhıijklmnoöprsştuüvyzâîûqwx"
 # blanks as the source format sees them: Unicode white space and the four separators that Java leaves out
 BLANK = r"(?U)[\s\x1c-\x1f]+"
-UNEVEN = r"(?U)[\s\x1c-\x1f&&[^\x20]]|\x20\x20|^\x20|\x20$"
+# wider than need be, so that one look at each character tells whether a text needs work: blanks besides the space, and all that cleaning replaces
+ODD_BLANK = r"[\x00-\x1f\x85\xa0\u1680\u2000-\u3000]"
+ODD = r"[\x00-\x1f\x85\xa0\xad\u1680\u2000-\uffff]"
 PAGE_NUMBER = r"(?iuU)^[\s\-–—.]*(?:sayfa\s*|s\.\s*|page\s*)?(\d{1,4}|[ivxlcdm]{1,8})[\s\-–—.]*$"
 FOOTNOTE = r"(?U)(?<=[a-zçğıöşüâîû])\d{1,2}(?=[\s.,;:!?)\"”’]|$)"
 DIALOGUE = r"(?U)^[—–-]\s"
@@ -35,7 +37,13 @@ def composed(text: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     """Runs of blanks become one space; none at the ends. Texts with single spaces only are left alone."""
-    return F.when(text.rlike(UNEVEN), F.trim(F.regexp_replace(text, BLANK, " "))).otherwise(text)
+    uneven = text.contains("  ") | text.startswith(" ") | text.endswith(" ") | text.rlike(ODD_BLANK)
+    return F.when(uneven, F.trim(F.regexp_replace(text, BLANK, " "))).otherwise(text)
+
+
+def trimmed(text: Column) -> Column:
+    """``text`` without blanks of any kind at its ends."""
+    return F.when(F.left(text, F.lit(1)).rlike(BLANK) | F.right(text, F.lit(1)).rlike(BLANK), F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).otherwise(text)
 
 
 def clean_line(text: Column, nfc: bool = True) -> Column:
@@ -44,15 +52,15 @@ def clean_line(text: Column, nfc: bool = True) -> Column:
     ``nfc`` False leaves composition out: composing a whole page before it is cut into lines gives the same lines for one trip to Python a page.
     """
 
-    def replaced(t: Column) -> Column:
+    def cleaned(t: Column) -> Column:
         for ligature, letters in LIGATURES.items():
             t = F.replace(t, F.lit(ligature), F.lit(letters))
-        return F.translate(t, "\x02" + INVISIBLE, "-")
+        return F.trim(F.regexp_replace(F.translate(t, "\x02" + INVISIBLE, "-"), BLANK, " "))
 
-    def plain(t: Column) -> Column:
-        return F.when(t.rlike(f"[\x02{INVISIBLE}{''.join(LIGATURES)}]"), replaced(t)).otherwise(t)
+    def by_need(t: Column) -> Column:
+        return F.when(t.contains("  ") | t.startswith(" ") | t.endswith(" ") | t.rlike(ODD), cleaned(t)).otherwise(t)
 
-    return let(let(composed(text) if nfc else text, plain), collapse)
+    return let(composed(text) if nfc else text, by_need)
 
 
 def without_footnote_marks(text: Column) -> Column:
@@ -65,7 +73,7 @@ def turkish_lower(text: Column) -> Column:
 
 def header_key(text: Column) -> Column:
     """Key under which running headers are counted: lower case, digit runs as #."""
-    return F.regexp_replace(F.regexp_replace(turkish_lower(text), r"(?U)\d+", "#"), r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return let(F.regexp_replace(turkish_lower(text), r"(?U)\d+", "#"), trimmed)
 
 
 def title_key(text: Column) -> Column:

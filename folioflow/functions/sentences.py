@@ -37,15 +37,27 @@ def boundary_pattern() -> str:
 
 
 def split_sentences(text: Column) -> Column:
-    """Sentences of a paragraph as an array of strings; over-long ones are cut."""
+    """Sentences of a paragraph as an array of strings; over-long ones are cut.
+
+    Spaces after a terminator or closer and before a possible beginning are marked first, by a pattern that starts at the
+    space. Whether such a place ends a sentence depends on the word before it and the letter after it alone, so ``boundary_pattern`` looks at these only.
+    """
     blank = r"(?U)[\s\x1c-\x1f]+"
+    possible = rf"(?s)\x20(?<=[.!?…\"'”»’)\]]\x20)(\x20*+)(?=[^\x20{LOWER},;:])"
+
+    def ends(before: Column, after: Column) -> Column:
+        return F.concat(F.substring_index(before, " ", -1), F.lit(" "), F.left(F.ltrim(after), F.lit(1))).rlike(boundary_pattern())
+
+    def marked(parts: Column) -> Column:
+        return F.transform(parts, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.when(ends(F.get(parts, i - 1), p), MARK).otherwise(""), p)))
 
     def pieces(raw: Column) -> Column:
         last = F.size(raw) - 1
-        trimmed = F.transform(raw, lambda s, i: F.regexp_replace(F.when(i == last, F.regexp_replace(s, f"{blank}$", "")).otherwise(s), f"^{blank}", ""))
-        return F.flatten(F.transform(F.filter(trimmed, lambda s: s != ""), lambda s: cut_long(s)))
+        clean = F.transform(raw, lambda s, i: F.regexp_replace(F.when(i == last, F.regexp_replace(s, f"{blank}$", "")).otherwise(s), rf"(?U)\A[\s\x1c-\x1f]+", ""))
+        return F.flatten(F.transform(F.filter(clean, lambda s: s != ""), lambda s: cut_long(s)))
 
-    return let(F.split(F.regexp_replace(text, boundary_pattern(), f"$1{MARK}"), MARK), pieces)
+    parts = F.split(F.regexp_replace(text, possible, f"{MARK} $1"), MARK)
+    return let(F.split(F.array_join(let(parts, marked), ""), MARK), pieces)
 
 
 def cut_long(sentence: Column, longest: int = LONGEST) -> Column:
