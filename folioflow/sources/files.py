@@ -45,10 +45,9 @@ def chapter_files(listed: DataFrame) -> DataFrame:
 
 
 def sidecars(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(records, rejects) of the page records below a folder: see ``parse_sidecars``."""
-    # as bytes, since reading them as texts would pass over empty files
-    raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").option("recursiveFileLookup", "true").load(path)
-    return parse_sidecars(raw.select("path", F.col("content").cast("string").alias("value")))
+    """(records, rejects) of the page records below a folder: see ``parse_sidecars``. Spark's scans pass over files of no bytes, so these are in neither."""
+    raw = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
+    return parse_sidecars(raw.select(F.col("_metadata.file_path").alias("path"), "value"))
 
 
 def parse_sidecars(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -160,7 +160,7 @@ def test_change_signature(spark):
 def test_rejects_add_up(spark, tmp_path):
     side = tmp_path / "ses"
     side.mkdir()
-    texts = {"0001.json": '{"sayfa": 1, "dosya": "0001.mp3",\n "sure_ms": 40, "zamanlar": [[0, 40]], "uretim_sn": 0.5}', "0002.json": "{", "0003.json": '{"sayfa": 3}', "0004.json": '{"sure_ms": "x"}', "0005.json": ""}
+    texts = {"0001.json": '{"sayfa": 1, "dosya": "0001.mp3",\n "sure_ms": 40, "zamanlar": [[0, 40]], "uretim_sn": 0.5}', "0002.json": "{", "0003.json": '{"sayfa": 3}', "0004.json": '{"sure_ms": "x"}', "0005.json": "\n"}
     for name, text in texts.items():
         (side / name).write_text(text)
     (side / "0001.mp3").write_bytes(b"x")
