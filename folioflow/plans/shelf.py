@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from folioflow.functions import entities, formats
 from folioflow.operators import library, pagination, production, segmentation, selection
 from folioflow.plans.oracles import BLANK, PAGED, SENTENCES
-from folioflow.sources import cache, files, versions
+from folioflow.sources import cache, epub, files, versions
+from folioflow.sources.epub_writer import pack_books
 from folioflow.store import materialize, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,47 @@ def produced_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("book_id", "page_no", "first", "second", "duration_ms", "error")
 
 
+def _shelved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten documents each as an e-book, a file a document, whose lines stand in markup of several kinds.
+
+    By place in the book: files 3 and 4 have no heading, 7 is outside the reading order, 8 is no page, 9 has an item before it of the same id, 2 and 5
+    are in the contents. By book: contents as nav, ncx or none; titles missing; parts encrypted as fonts or otherwise; archives cut off.
+    """
+    place, number = F.col("doc_id") % 10, F.floor(F.col("doc_id") / 10)
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", place.alias("p"), number.alias("b"))
+    safe = lambda x: formats.escaped_html(x)
+    forms = [
+        lambda x: F.concat(F.lit("<p>"), safe(x), F.lit("</p>")), lambda x: F.concat(F.lit("<div>"), safe(x), F.lit("<sup>3</sup></div>")),
+        lambda x: F.concat(F.lit("<ul><li>"), safe(x), F.lit('<a epub:type="noteref" href="#n1">[1]</a></li></ul>')),
+        lambda x: F.concat(F.lit("<blockquote><em> "), safe(x), F.lit("</em><script>var x = 1;</script><img src='x'/></blockquote>")),
+        lambda x: F.concat(F.lit('<aside epub:type="footnote"><p>'), safe(x), F.lit("</p></aside>")),
+    ]
+    line = lambda x, i: F.coalesce(*[F.when(i % len(forms) == k, form(x)) for k, form in enumerate(forms)])
+    head = F.when(F.col("p").isin(3, 4), "").otherwise(F.concat(F.lit("<h2>Title <i>"), "doc_id", F.lit("</i></h2>")))
+    markup = F.concat(F.lit("<html><head><title>t</title><style>p {}</style></head><body>"), head, F.array_join(F.transform(F.split("text", "\n"), line), "\n"), F.lit("</body></html>"))
+    b = F.col("b")
+    return docs.select(
+        F.concat(F.lit("b"), "b").alias("book_id"), F.col("doc_id").alias("ord"), F.concat(F.lit("bölüm "), "doc_id", F.lit(".xhtml")).alias("name"), markup.alias("markup"), F.when(F.col("p").isin(2, 5), F.concat(F.lit("Part "), "doc_id")).alias("label"),
+        (F.col("p") != 7).alias("linear"), F.when(F.col("p") == 8, "image/svg+xml").otherwise("application/xhtml+xml").alias("media_type"), (F.col("p") == 9).alias("twice"), F.when(b % 4 == 1, "").otherwise(F.concat(F.lit("Kitap "), "b")).alias("title"),
+        F.concat(F.lit("Yazar & "), "b").alias("author"), F.when(b % 2 == 0, "en").otherwise("").alias("lang"), F.when(b % 3 == 0, "nav").when(b % 3 == 1, "ncx").otherwise("none").alias("contents"),
+        F.when(b % 7 == 3, "http://www.idpf.org/2008/embedding").when(b % 7 == 4, "http://www.w3.org/2001/04/xmlenc#aes128-cbc").alias("scheme"), F.when(b % 11 == 10, 200).alias("broken"),
+    )
+
+
+def shelved_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of e-books that were packed from documents: texts, headings, chapters and their titles."""
+    _, blocks, _ = epub.read_epubs(pack_books(_shelved(spark, sf_dir)))
+    return blocks.select("book_id", "block_no", F.md5("text").alias("md5"), "is_heading", "chapter", "chapter_title")
+
+
+def shelved_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the same e-books say of themselves, or why they are refused, and how many members their archives list."""
+    packed = materialize(pack_books(_shelved(spark, sf_dir)))
+    books, _, refused = epub.read_epubs(packed)
+    totals = epub.archive_totals(packed).select("book_id", "entries")
+    return totals.join(books, "book_id", "left").join(refused, "book_id", "left").select("book_id", "entries", "title", "author", "lang", "reason")
+
+
 def _listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as directory entries of their customers."""
     return _read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.concat(F.lit("f"), "o_orderkey").alias("name"), F.col("o_orderdate").cast("timestamp").alias("mtime"), F.col("o_orderkey").alias("k"))
@@ -189,6 +231,8 @@ QUERIES: dict[str, Query] = {
     "parsed_cache": parsed_cache,
     "page_requests": page_requests,
     "produced_pages": produced_pages,
+    "shelved_blocks": shelved_blocks,
+    "shelved_books": shelved_books,
     "change_signatures": change_signatures,
     "snapshot_changes": snapshot_changes,
     "summary_lines": summary_lines,
@@ -217,6 +261,17 @@ SQL: dict[str, str] = {
       p AS (SELECT book_id, page_no, bool_or(ok AND contains(sentence, 'ü')) AS f1, bool_or(ok AND contains(sentence, 'üü')) AS f2, arg_min(sentence, r) FILTER (ok AND contains(sentence, 'üü')) AS bad, sum(CASE WHEN ok THEN length(sentence) * 80 ELSE 0 END + CASE WHEN last THEN 4800 ELSE 2000 END) AS samples FROM said GROUP BY 1, 2)
       SELECT book_id, page_no::INT AS page_no, CASE WHEN f1 THEN 'failed' ELSE 'produced' END AS "first", CASE WHEN NOT f1 THEN 'skipped' WHEN f2 THEN 'failed' ELSE 'produced' END AS "second", CASE WHEN NOT f2 THEN round_even(samples / 8.0, 0)::BIGINT END AS duration_ms,
         CASE WHEN f2 THEN ('cannot read ' || chr(39) || 'üü' || chr(39) || ' in: ' || bad)[1:200] END AS error FROM p""",
+    "shelved_blocks": rf"""WITH d AS (SELECT doc_id, doc_id % 10 AS p, doc_id // 10 AS b, text FROM documents), open AS (SELECT * FROM d WHERE NOT coalesce(b % 7 = 4, false) AND b % 11 <> 10),
+      lines AS (SELECT doc_id, p, b, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM open WHERE p NOT IN (7, 8)),
+      blocks AS (SELECT doc_id, p, b, -1 AS i, 'Title ' || doc_id AS text, true AS head FROM open WHERE p NOT IN (3, 4, 7, 8) UNION ALL SELECT doc_id, p, b, i, trim(regexp_replace(line, '{BLANK}+', ' ', 'g')), false FROM lines WHERE i % 5 <> 4),
+      full_blocks AS (SELECT * FROM blocks WHERE text <> ''), tocs AS (SELECT b FROM open WHERE b % 3 <> 2 AND p IN (2, 5) GROUP BY 1),
+      files AS (SELECT DISTINCT doc_id, p, b FROM full_blocks), named AS (SELECT f.*, CASE WHEN t.b IS NOT NULL AND p IN (2, 5) THEN 'Part ' || doc_id WHEN t.b IS NULL AND p NOT IN (3, 4) THEN 'Title ' || doc_id END AS name, row_number() OVER (PARTITION BY f.b ORDER BY doc_id) = 1 AS is_first FROM files f LEFT JOIN tocs t USING (b)),
+      chapters AS (SELECT *, (sum((name IS NOT NULL OR is_first)::INT) OVER (PARTITION BY b ORDER BY doc_id) - 1)::INT AS chapter FROM named),
+      titled AS (SELECT *, first_value(coalesce(name, CASE WHEN b % 4 = 1 THEN 'Giriş' ELSE 'Kitap ' || b END)) OVER (PARTITION BY b, chapter ORDER BY doc_id) AS title FROM chapters)
+      SELECT 'b' || x.b AS book_id, (row_number() OVER (PARTITION BY x.b ORDER BY x.doc_id, i) - 1)::INT AS block_no, md5(text) AS md5, head AS is_heading, chapter, title AS chapter_title FROM full_blocks x JOIN titled USING (doc_id)""",
+    "shelved_books": """WITH d AS (SELECT doc_id // 10 AS b, count(*) AS n FROM documents GROUP BY 1)
+      SELECT 'b' || b AS book_id, CASE WHEN b % 11 = 10 THEN 0 ELSE n + 3 + (b % 3 <> 2)::INT + (b % 7 IN (3, 4))::INT END::BIGINT AS entries, CASE WHEN r IS NULL THEN CASE WHEN b % 4 = 1 THEN '' ELSE 'Kitap ' || b END END AS title, CASE WHEN r IS NULL THEN 'Yazar & ' || b END AS author,
+        CASE WHEN r IS NULL THEN CASE WHEN b % 2 = 0 THEN 'en' ELSE 'tr' END END AS lang, r AS reason FROM (SELECT *, CASE WHEN b % 11 = 10 THEN 'unreadable: BadZipFile' WHEN b % 7 = 4 THEN 'DRM' END AS r FROM d)""",
     "change_signatures": f"WITH {LISTING}, m AS (SELECT book_id, {MARK} AS h FROM listing) SELECT book_id, count(*) || '-' || sum(('0x' || h[1:15])::BIGINT::HUGEINT) || '-' || sum(('0x' || h[16:30])::BIGINT::HUGEINT) AS signature FROM m GROUP BY 1",
     "snapshot_changes": f"""WITH {LISTING} SELECT book_id, name, 'removed' AS change FROM listing WHERE k % 19 = 0 UNION ALL SELECT book_id, name, 'changed' FROM listing WHERE k % 19 <> 0 AND k % 17 = 0
       UNION ALL SELECT book_id, name || 'x', 'added' FROM listing WHERE k % 23 = 0""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from urllib.parse import quote
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
@@ -42,6 +43,60 @@ def archive(chapters: list[tuple[str, str]], title: str = "", author: str = "",
     return buffer.getvalue()
 
 
+def _written(members: dict[str, str]) -> bytes:
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w", zipfile.ZIP_DEFLATED) as out:
+        for name, text in members.items():
+            out.writestr(zipfile.ZipInfo(name), text, zipfile.ZIP_DEFLATED)
+    return buffer.getvalue()
+
+
+def book(files: list[dict], title: str, author: str, lang: str, contents: str, scheme: str | None) -> bytes:
+    """An e-book whose package spells out what readers must cope with.
+
+    ``files`` have name (in folder ``text``), markup, label, linear, media_type and twice (an item of the same id before it that leads nowhere).
+    ``contents`` is nav (in a folder of its own), ncx or none; ``scheme`` names the encryption of a part.
+    """
+    href = lambda f: "text/" + quote(f["name"])
+    labelled = [f for f in files if f["label"] is not None]
+    items, refs = [], []
+    for n, f in enumerate(files):
+        lost = [("lost.xhtml", f["media_type"])] if f["twice"] else []
+        items += [f'<item id="f{n}" href={quoteattr(h)} media-type={quoteattr(m)}/>' for h, m in [*lost, (href(f), f["media_type"])]]
+        refs.append(f'<itemref idref="f{n}"{"" if f["linear"] else " linear=" + quoteattr("no")}/>')
+    members = {"mimetype": "application/epub+zip", "META-INF/container.xml": CONTAINER}
+    if contents == "nav":
+        items.append('<item id="toc" href="nav/toc.xhtml" media-type="application/xhtml+xml" properties="scripted nav"/>')
+        refs.insert(0, '<itemref idref="toc"/>')
+        links = "".join(f'<li><a href={quoteattr("../" + href(f) + "#top")}> {escape(f["label"])}</a></li><li><a href={quoteattr("../" + href(f) + "#more")}>later</a></li>' for f in labelled)
+        members["OPS/nav/toc.xhtml"] = f'<html><body><nav epub:type="landmarks"><a href="x">x</a></nav><nav epub:type="toc"><ol>{links}</ol></nav></body></html>'
+    elif contents == "ncx":
+        items.append('<item id="toc" href="toc.ncx" media-type="application/x-dtbncx+xml"/>')
+        points = "".join(f'<navPoint><navLabel><text>{escape(f["label"])}</text></navLabel><content src={quoteattr("./" + href(f))}/></navPoint>' for f in labelled)
+        members["OPS/toc.ncx"] = f'<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{points}</navMap></ncx>'
+    if scheme is not None:
+        members["META-INF/encryption.xml"] = f'<encryption><EncryptedData><EncryptionMethod Algorithm={quoteattr(scheme)}/></EncryptedData></encryption>'
+    meta = f"<dc:title>{escape(title)}</dc:title><dc:creator>{escape(author)}</dc:creator>" + (f"<dc:language>{escape(lang)}</dc:language>" if lang else "")
+    spine = f'<spine{" toc=" + quoteattr("toc") if contents == "ncx" else ""}>{"".join(refs)}</spine>'
+    members["OPS/book.opf"] = f'<package xmlns="http://www.idpf.org/2007/opf"><metadata xmlns:dc="http://purl.org/dc/elements/1.1/">{meta}</metadata><manifest>{"".join(items)}</manifest>{spine}</package>'
+    return _written(members | {"OPS/text/" + f["name"]: f["markup"] for f in files})
+
+
+def pack_books(files: DataFrame) -> DataFrame:
+    """(book_id, content) of files (book_id, ord and the columns of ``book``); the book's own columns repeat on each. A book must fit a task.
+
+    ``broken`` cuts an archive off after so many bytes.
+    """
+
+    def build(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows = pdf.sort_values("ord").astype(object).where(pdf.sort_values("ord").notna(), None).to_dict("records")
+        one = rows[0]
+        content = book(rows, one["title"], one["author"], one["lang"], one["contents"], one["scheme"])
+        return pd.DataFrame({"book_id": [one["book_id"]], "content": [content if one["broken"] is None else content[: int(one["broken"])]]})
+
+    return files.groupBy("book_id").applyInPandas(build, "book_id string, content binary")
+
+
 def pack(pages: DataFrame, book_col: str, order_col: str, markup_col: str) -> DataFrame:
     """(book_id, content): each book's pages, in order, as chapters of an archive. A book must fit a task."""
 
