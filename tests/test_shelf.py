@@ -12,7 +12,7 @@ from folioflow.functions.entities import unescaped_html
 from folioflow.functions.speech import ABBREVIATIONS, expand_abbreviations
 from folioflow.operators import library, production
 from folioflow.plans import narration, shelf
-from folioflow.sources import cache, epub, files, versions
+from folioflow.sources import cache, epub, epub_writer, files, versions
 from folioflow.sources.epub_writer import archive
 
 
@@ -241,5 +241,13 @@ def test_archive_limits(spark, monkeypatch):
     assert {r["book_id"] for r in refused.collect()} == {"many", "large"} and {r["book_id"] for r in blocks.collect()} == {"fine"}
 
 
+def test_the_manifest_says_what_is_read(spark):
+    odd = archive([("a", "<p>\0 Bir.</p>"), ("b", "<p>İki.</p>")], nav=[("a.xhtml", "Bölüm")], extra={"OPS/loose.xhtml": "<p>Dışarıda.</p>", "OPS/cover.bin": "\1\2"})
+    books = spark.createDataFrame([("odd", bytearray(odd)), ("empty", bytearray(epub_writer._written({})))], "book_id string, content binary")
+    members = {(r["book_id"], r["name"], r["reason"]) for r in epub.members(books).collect()}
+    assert members == {("odd", n, None) for n in ("META-INF/container.xml", "OPS/book.opf", "OPS/a.xhtml", "OPS/b.xhtml", "OPS/nav.xhtml")} | {("empty", None, "no text")}
+    assert [r["text"] for r in epub.read_epubs(books)[1].orderBy("block_no").collect()] == ["\0 Bir.", "İki."]
+
+
 def test_queries_on_the_smallest_tables(spark):
     assert narration.heading_sentences(spark, "/root/testdata/sf0.001").where("gap = 'heading'").count() > 0
