@@ -47,9 +47,9 @@ def scanned_books(pages: DataFrame, least: int = 80) -> DataFrame:
     return pages.groupBy("book_id").agg((F.sum("n_chars") / F.count(F.lit(1))).alias("mean_chars")).where(F.col("mean_chars") < least)
 
 
-def typical_length(lines: DataFrame, longer_than: int = 20, default: float = 60.0) -> DataFrame:
-    """(book_id, typical): median length of lines longer than 20 characters; 60 if there are none."""
-    n = F.length("text")
+def typical_length(lines: DataFrame, longer_than: int = 20, default: float = 60.0, size: Column | None = None) -> DataFrame:
+    """(book_id, typical): median length of lines longer than 20 characters; 60 if there are none. ``size`` stands for the length of ``text`` where that was taken before."""
+    n = F.length("text") if size is None else size
     return lines.groupBy("book_id").agg(F.coalesce(F.median(F.when(n > longer_than, n)), F.lit(default)).alias("typical"))
 
 
@@ -76,8 +76,8 @@ def _headed(rows: Column, titles: Column) -> Column:
     return F.when(F.size(titles) > 0, F.aggregate(rows, start, step)).otherwise(start)
 
 
-def _marked_pages(lines: DataFrame, titles: DataFrame | None, pages: DataFrame | None) -> DataFrame:
-    """One row a page: its lines with what they do to paragraphs, its titles, and how many of these it never shows."""
+def _filled_pages(lines: DataFrame, titles: DataFrame | None, pages: DataFrame | None) -> DataFrame:
+    """One row a page, as a table: its lines (line_no, text, n) in order and its titles."""
     keys = ["book_id", "page_no"]
     all_pages = (lines if pages is None else pages).select(*keys)
     if titles is None:
@@ -86,23 +86,35 @@ def _marked_pages(lines: DataFrame, titles: DataFrame | None, pages: DataFrame |
     else:
         titled = titles.select(*keys, "titles")
         all_pages = all_pages.union(titled.select(*keys))
-    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("rows"))
-    whole = all_pages.distinct().join(rows, keys, "left").join(titled, keys, "left").join(typical_length(lines), "book_id", "left")
-    filled = whole.select(*keys, "typical", F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles"))
-    headed = filled.withColumn("h", _headed(F.col("rows"), F.col("titles")))
+    rows = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("line_no", "text", F.length("text").alias("n")))).alias("rows"))
+    whole = all_pages.distinct().join(rows, keys, "left").join(titled, keys, "left")
+    return materialize(whole.select(*keys, F.coalesce("rows", F.array().cast(rows.schema["rows"].dataType)).alias("rows"), F.coalesce("titles", F.array().cast("array<string>")).alias("titles")))
 
-    def line(r: Column) -> Column:
-        title = F.get(F.filter("h.found", lambda f: f["line_no"] == r["line_no"]), F.lit(0))["title"]
+
+def _marked_pages(filled: DataFrame) -> DataFrame:
+    """Pages with what their lines do to paragraphs, and how many of their titles they never show.
+
+    The lengths that are typical of a book come as a table, one row a book, so that Spark may split a book of many pages where they meet.
+    """
+    keys = ["book_id", "page_no"]
+    typical = materialize(typical_length(filled.select("book_id", F.explode("rows.n").alias("n")), size=F.col("n")))
+
+    def line(r: Column, found: Column) -> Column:
+        title = F.get(F.filter(found, lambda f: f["line_no"] == r["line_no"]), F.lit(0))["title"]
         return let(title, lambda t: F.struct(
             r["line_no"].alias("line_no"), r["text"].alias("text"), t.isNotNull().alias("heading"), (r["text"] != "").alias("filled"),
             (t.isNotNull() | is_dialogue(r["text"])).alias("opens"), ((r["text"] == "") | t.isNotNull() | ends_paragraph(r["text"], F.col("typical"))).alias("closes"),
         ))
 
     # a line opens a paragraph by itself or after one that closes; the first of a page may depend on pages before
-    flagged = let(F.transform("rows", line), lambda ls: F.transform(ls, lambda x, i: F.struct(
-        x["line_no"].alias("line_no"), x["text"].alias("text"), x["heading"].alias("heading"), x["filled"].alias("filled"), x["closes"].alias("closes"),
-        (x["filled"] & (x["opens"] | F.coalesce(F.get(ls, i - 1)["closes"] & (i > 0), F.lit(False)))).alias("starts"))))
-    return headed.select(*keys, "titles", (F.size("titles") - F.col("h.at")).alias("left"), flagged.alias("lines"))
+    def flagged(found: Column) -> Column:
+        return let(F.transform("rows", lambda r: line(r, found)), lambda ls: F.transform(ls, lambda x, i: F.struct(
+            x["line_no"].alias("line_no"), x["text"].alias("text"), x["heading"].alias("heading"), x["filled"].alias("filled"), x["closes"].alias("closes"),
+            (x["filled"] & (x["opens"] | F.coalesce(F.get(ls, i - 1)["closes"] & (i > 0), F.lit(False)))).alias("starts"))))
+
+    # bound here, as a column of its own would be put into the lambdas and worked out for every line
+    marks = let(_headed(F.col("rows"), F.col("titles")), lambda h: F.struct((F.size("titles") - h["at"]).alias("left"), flagged(h["found"]).alias("lines")))
+    return filled.join(typical, "book_id", "left").select(*keys, "titles", marks.alias("m")).select(*keys, "titles", "m.left", "m.lines")
 
 
 def _page_scan(marked: DataFrame) -> DataFrame:
@@ -153,7 +165,7 @@ def paragraphs(lines: DataFrame, titles: DataFrame | None = None, pages: DataFra
     these depends on paragraphs before, so the fold becomes a scan in two levels: flags within each page, windows over
     one row a page, and numbers within each page again.
     """
-    marked = materialize(_marked_pages(lines, titles, pages))
+    marked = _marked_pages(_filled_pages(lines, titles, pages))
     page = Window.partitionBy("book_id", "page_no").orderBy("line_no")
     each = marked.select("book_id", "page_no", "lines").join(_page_scan(marked), ["book_id", "page_no"])
     each = each.select("book_id", "page_no", "carry", "before", "chapters_before", "opens", F.posexplode("lines").alias("i", "l"))
