@@ -24,29 +24,29 @@ def open_cache(spark: SparkSession, path: str, buckets: int = 32) -> Versions:
 
 
 def parse_new(cache: Versions, files: DataFrame, parse: Callable[[DataFrame], DataFrame], parser_version: int) -> DataFrame:
-    """Parse the ``files`` (book_id, source, ...) that this parser version has not seen, and return them.
+    """Parse the ``files`` (book_id, source, ...) that this parser version has not seen, and return their book_id.
 
     ``parse`` makes pages (book_id, page_no, chapter, text, sentences) of files. Books, pages and the loss of audio
     become visible together; a file without pages is not kept, so it comes up again. A book of an older version loses its audio,
     as its pages may have moved.
     """
-    fresh = materialize(uncached(files.dropDuplicates(["book_id"]), cache.read("books"), parser_version))
-    if fresh.isEmpty():
-        return fresh
-    pages = materialize(parse(fresh).select("book_id", "page_no", "chapter", "text", "sentences"))
+    new = materialize(uncached(files.select("book_id", "source"), cache.read("books"), parser_version).groupBy("book_id").agg(F.min("source").alias("source")))
+    ids = new.select("book_id")
+    if new.isEmpty():
+        return ids
+    pages = materialize(parse(files.join(new, ["book_id", "source"], "left_semi").dropDuplicates(["book_id"])).select("book_id", "page_no", "chapter", "text", "sentences"))
     totals = pages.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("pages"), F.sum(F.length("text")).cast("long").alias("chars"))
-    books = fresh.join(totals, "book_id").select("book_id", F.lit(parser_version).alias("parser_version"), "source", "pages", "chars")
-    cache.replace(totals.select("book_id"), books=books, pages=pages)
-    return fresh
+    books = materialize(new.join(totals, "book_id").select("book_id", F.lit(parser_version).alias("parser_version"), "source", "pages", "chars"))
+    cache.replace(books.select("book_id"), drop=["audio"], books=books, pages=pages)
+    return ids
 
 
 def add_audio(cache: Versions, made: DataFrame) -> int:
-    """Add page audio (as table ``audio``) of cached books; rows of the same book, variant and page are replaced."""
+    """Add page audio (as table ``audio``) of cached books; rows of the same book, variant and page are replaced. Books and pages stay as they lie."""
     made = materialize(made.join(cache.read("books").select("book_id"), "book_id", "left_semi"))
     touched = made.select("book_id").distinct()
-    kept = {t: cache.read(t).join(touched, "book_id", "left_semi") for t in ("books", "pages")}
     old = cache.read("audio").join(touched, "book_id", "left_semi").join(made, ["book_id", "variant", "page_no"], "left_anti")
-    return cache.replace(touched, audio=old.unionByName(made), **kept)
+    return cache.replace(touched, audio=old.unionByName(made))
 
 
 def spoken_sentences(pages: DataFrame, speak: Callable[[Column, Column], Column] = spoken_form) -> DataFrame:

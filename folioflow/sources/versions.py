@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOG = "version long, buckets array<int>"
+LOG = "version long, tables array<string>, buckets array<int>"
 
 
 class Versions:
@@ -29,17 +29,27 @@ class Versions:
     def bucket_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key), F.lit(self.buckets)).cast("int")
 
-    def live(self) -> dict[int, int]:
-        """Bucket to the version that last replaced it; at most ``buckets`` entries."""
+    def _log(self) -> DataFrame | None:
         try:
-            log = self.spark.read.schema(LOG).parquet(f"{self.path}/log")
-            rows = log.select("version", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max("version").alias("version")).collect()
+            return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
         except AnalysisException as problem:
             if problem.getCondition() != "PATH_NOT_FOUND":
                 raise
+            return None
+
+    def live(self, table: str) -> dict[int, int]:
+        """Bucket to the version that last replaced it in ``table``; at most ``buckets`` entries."""
+        log = self._log()
+        if log is None:
             return {}
+        rows = log.where(F.array_contains("tables", table)).select("version", F.explode("buckets").alias("bucket")).groupBy("bucket").agg(F.max("version").alias("version")).collect()
         return {r["bucket"]: r["version"] for r in rows}
 
+    def last(self) -> int:
+        """The last version, 0 before the first."""
+        log = self._log()
+        return 0 if log is None else log.agg(F.max("version")).first()[0] or 0
+
     def _schema(self, table: str) -> T.StructType:
         return T.StructType.fromDDL(self.tables[table][0])
 
@@ -47,7 +57,7 @@ class Versions:
         """Rows with their bucket, from the live folders of the wanted buckets."""
         schema = self._schema(table)
         by_version: dict[int, list[int]] = {}
-        for bucket, version in self.live().items():
+        for bucket, version in self.live(table).items():
             if wanted is None or bucket in wanted:
                 by_version.setdefault(version, []).append(bucket)
         found = self.spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType())]))
@@ -72,10 +82,10 @@ class Versions:
         rows = self._scan(table)
         return requests.withColumn("bucket", self.bucket_of(F.col(self.key))).join(rows, ["bucket", *on]).drop("bucket")
 
-    def replace(self, keys: DataFrame, **rows: DataFrame) -> int:
-        """In every table, the rows of ``keys`` and of the keys in ``rows`` give way to ``rows``; a table not named keeps none of them.
+    def replace(self, keys: DataFrame, drop: Iterable[str] = (), **rows: DataFrame) -> int:
+        """In the tables of ``rows``, the rows of ``keys`` and of the keys given give way to those given; tables in ``drop`` lose them. Others stay as they are.
 
-        Returns the version. Callers pass tables they have written before, as rows are read more than once.
+        All of it becomes visible at once. Returns the version. Callers pass tables they have written before, as rows are read more than once.
         """
         key = F.col(self.key)
         gone = keys.select(key)
@@ -83,23 +93,23 @@ class Versions:
             gone = gone.union(new.select(key))
         gone = gone.distinct()
         touched = sorted(r[0] for r in gone.select(self.bucket_of(key)).distinct().collect())
-        live = self.live()
-        version = max(live.values(), default=0) + 1
+        version = self.last() + 1
         if not touched:
             return version - 1
-        for table, (_, order) in self.tables.items():
+        changed = [t for t in self.tables if t in rows or t in set(drop)]
+        for table in changed:
             held = self._scan(table, set(touched)).drop("bucket").join(gone, self.key, "left_anti")
             whole = held.unionByName(rows[table].select(*held.columns)) if table in rows else held
-            sort = ["bucket", self.key, *order]
+            sort = ["bucket", self.key, *self.tables[table][1]]
             self._write(table, version, whole.withColumn("bucket", self.bucket_of(key)).repartitionByRange(*sort).sortWithinPartitions(*sort))
-        self._commit(version, touched)
+        self._commit(version, changed, touched)
         return version
 
     def _write(self, table: str, version: int, rows: DataFrame) -> None:
         rows.write.mode("overwrite").format(self.fmt).partitionBy("bucket").save(f"{self.path}/{table}/version={version}")
 
-    def _commit(self, version: int, touched: list[int]) -> None:
-        self.spark.createDataFrame([(version, touched)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+    def _commit(self, version: int, changed: list[str], touched: list[int]) -> None:
+        self.spark.createDataFrame([(version, changed, touched)], LOG).coalesce(1).write.mode("append").parquet(f"{self.path}/log")
 
 
 def json_documents(spark: SparkSession, path: str, key: str, schema: str, buckets: int = 32) -> Versions:

@@ -31,14 +31,17 @@ def test_versions_replace_by_key(spark, tmp_path, fmt):
     keys = lambda *ks: make([(k,) for k in ks], "k string")
     assert store.read("t").count() == 0 and store.lookup("t", "a").count() == 0
     assert store.replace(keys(*"abcde"), t=make([(k, n) for k in "abcde" for n in range(3)], "k string, n int"), u=make([("a", 1), ("b", 2)], "k string, m int")) == 1
-    # a replaced key loses its rows in every table that is not given; a key without rows is gone
-    assert store.replace(keys("a", "z"), t=make([("a", 9)], "k string, n int")) == 2
+    # a replaced key loses its rows in tables to drop, too; others stay as they are, and a key without rows is gone
+    assert store.replace(keys("b"), t=make([("b", 7)], "k string, n int")) == 2
+    assert rows(store.read("u")) == [("a", 1), ("b", 2)] and rows(store.lookup("t", "b")) == [("b", 7)]
+    store.replace(keys(), t=make([("b", n) for n in range(3)], "k string, n int"))
+    assert store.replace(keys("a", "z"), drop=["u"], t=make([("a", 9)], "k string, n int")) == 4
     assert rows(store.read("t")) == sorted([("a", 9), *((k, n) for k in "bcde" for n in range(3))]) and rows(store.read("u")) == [("b", 2)]
     assert rows(store.lookup("t", "a", "e", "nobody")) == [("a", 9), ("e", 0), ("e", 1), ("e", 2)]
     asked = make([("a", 9, "x"), ("b", 7, "y"), ("b", 1, "z")], "k string, n int, why string")
     assert sorted(r["why"] for r in store.lookups("t", asked, ["k", "n"]).collect()) == ["x", "z"]
-    assert store.replace(keys()) == 2
-    store.replace(keys("b"))
+    assert store.replace(keys()) == 4
+    store.replace(keys("b"), drop=["t", "u"])
     assert rows(store.lookup("t", "b")) == [] and rows(store.read("u")) == []
 
 
