@@ -16,15 +16,16 @@ How groups are kept linear
   of what is left, only pairs whose components still differ.
 * In a larger bucket every class is compared with ``PIVOTS`` pivots: the classes
   nearest to the bucket's consensus sketch (a family's original, its leader) and the smallest ids.
-  Classes that this leaves outside the leader's component find partners by what sets them apart. With D(x) the
-  symmetric difference of x and the leader, |x ^ y| = |D(x) ^ D(y)|, so similar classes share much
-  of D; an exact prefix and positional join on D (shingles that the leader lacks first) finds them without
-  meeting the part that the whole bucket shares. In long lists of such a join, too, all classes meet the first
-  one, and then only classes whose components still differ meet.
+  The members of buckets with one leader form a list.
+* A list of up to ``SMALL`` classes yields the pairs in different components. In a longer one all classes
+  are compared with its smallest set L, and what they hold beyond L, rarest in the list first, is dealt
+  into new lists, one for each shingle of an exact prefix; these are treated in the same way. The larger set of a pair
+  looks up its prefix, the smaller is listed under a shorter one, so that what a list shares by and large, which comes last, lists nobody.
+  A list under which at most ``SMALL`` classes stand, or that is not half as long as the one it comes from, yields its pairs. A list in one component ends.
 
-Bounds, with c = (100 - percent) / (100 + percent) and l the leader's size: x and y match if
-|D(x)| + |D(y)| - 2 o <= c (|x| + |y|), o their common part. A class y that the leader does not match has
-|D(y)| > c (|y| + l), so o > (|D(x)| + c (l - |x|)) / 2; and o >= |D| - |own| (100 - percent) / percent for both.
+Bounds, with i(x) the part of x in L and percent = 100 p: x and y match if |x ^ y| >= p (|x| + |y|) / (1 + p), which is at least p |x| for the larger and
+2 p |y| / (1 + p) for the smaller. At most min(i(x), i(y)) of that lies in L, so p |x| - i(x) and 2 p |y| / (1 + p) - i(y) lie beyond it in both. If y and L do not match,
+i(y) < p (|y| + |L|) / (1 + p), and as |L| <= |x| something lies beyond L in any case; if both match L, they are in one component.
 
 The sketch holds two bits of each of the 32 minhashes. Pairs that agree in fewer than
 ``AGREE`` of them are dropped; at similarity 0.75 that happens to 1 pair in 10^5.
@@ -240,49 +241,94 @@ def pivot_pairs(hot: DataFrame, pivots: DataFrame) -> DataFrame:
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
-def differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, token, id, n, d, at, first, later): prefixes of the members' differences from their leaders.
+def beyond_leaders(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(leader, token, id, n, d): what members (leader, id) hold beyond their leaders.
 
-    ``first``: the row may stand for any class of a pair; ``later``: for one outside the leader's component.
+    n is a member's size, d that of its part beyond the leader. One row more, its token null, names each member that is similar to its leader.
     """
-    up, down = 100 + percent, 100 - percent
-    schema = "leader long, token long, id long, n long, d long, at long, first boolean, later boolean"
+    schema = "leader long, token long, id long, n long, d long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table(rows):
+            leader, own, n, d = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
+            near = np.array([r[5] for r in rows])
+            each = np.concatenate((np.repeat(np.arange(len(rows)), d), np.flatnonzero(near)))
+            tokens = np.concatenate([*(r[4] for r in rows), np.zeros(near.sum(), np.uint64)]).view(np.int64)
+            none = np.arange(len(each)) >= d.sum()
+            return pa.RecordBatch.from_arrays([pa.array(leader[each]), pa.array(tokens, mask=none), pa.array(own[each]), pa.array(n[each]), pa.array(d[each])], names=["leader", "token", "id", "n", "d"])
+
+        rows, held = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                leader, own, is_open = (batch.column(c)[k].as_py() for c in range(3))
-                x, lead = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
-                diff = np.concatenate((np.setdiff1d(x, lead, True), np.setdiff1d(lead, x, True)))
-                n, l, d = len(x), len(lead), len(diff)
-                far = d - down * n // percent
-                as_first = d + 1 - max((d * up + down * (l - n)) // (2 * up) + 1, far)
-                as_later = d + 1 - max(1, far) if is_open else 0
-                size = max(as_first, as_later, 0)
-                at = np.arange(size)
-                same = lambda value: np.full(size, value, np.int64)  # noqa: B023, E731
-                if size:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(c) for c in (same(leader), diff[:size].view(np.int64), same(own), same(n), same(d), at, at < as_first, at < as_later)],
-                        names=["leader", "token", "id", "n", "d", "at", "first", "later"],
-                    )
+                x, lead = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                beyond = np.setdiff1d(x, lead, True)
+                n, d = len(x), len(beyond)
+                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), n, d, beyond, 100 * (n - d) >= percent * (len(lead) + d)))
+                held += d + 1
+                if held > 1 << 17:
+                    yield table(rows)
+                    rows, held = [], 0
+        if rows:
+            yield table(rows)
 
     lead = sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))
-    return members.join(sets, "id").join(lead, "leader").select("leader", "id", "open", "set", "lead").mapInArrow(work, schema)
+    return members.join(sets, "id").join(lead, "leader").select("leader", "id", "set", "lead").mapInArrow(work, schema)
 
 
-def _apart(firsts: DataFrame, laters: DataFrame, percent: int) -> DataFrame:
+def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
+    """(leader, token, id, n, d, at, listed): rows whose token several members of the leader hold, cut to prefixes, the rarest first.
+
+    ``at`` counts the tokens of one member alone, too. ``listed``: the row may stand for the smaller set of a pair.
+    """
+    key = ["leader", "token"]
+    shared = rows.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("f")).where("f > 1"), key)
+    own = Window.partitionBy("leader", "id")
+    at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "token")) - 1
+    cut = lambda least: F.expr(f"d + 1 - greatest(1, {least} - (n - d))")
+    longer, shorter = cut(f"({percent} * n + 99) div 100"), cut(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")
+    return shared.withColumn("at", at).where(F.col("at") < longer).select(*key, "id", "n", "d", "at", (F.col("at") < shorter).alias("listed"))
+
+
+def _apart(lists: DataFrame, percent: int) -> DataFrame:
     """(a, b) of rows that share (leader, token), in different components, as lengths and positions allow."""
     key = ["leader", "token"]
     side = lambda x, rows: rows.select(*key, *[F.col(c).alias(f"{x}_{c}") for c in ("id", "n", "d", "at", "component")])
     n, m = F.col("a_n"), F.col("b_n")
-    common = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at"))
-    enough = common * 2 * (100 + percent) >= (F.col("a_d") + F.col("b_d")) * (100 + percent) - (n + m) * (100 - percent)
-    lengths = F.least(n, m) * 100 >= F.greatest(n, m) * percent
-    met = side("a", firsts).join(side("b", laters), key).where((F.col("a_component") != F.col("b_component")) & lengths & enough)
+    common = F.least(F.col("a_d") - F.col("a_at"), F.col("b_d") - F.col("b_at")) + F.least(n - F.col("a_d"), m - F.col("b_d"))
+    enough = common * (100 + percent) >= (n + m) * percent
+    smaller = (m < n) | ((m == n) & (F.col("b_id") < F.col("a_id")))
+    met = side("a", lists).join(side("b", lists.where("listed")), key)
+    met = met.where(smaller & (m * 100 >= n * percent) & (F.col("a_component") != F.col("b_component")) & enough)
     return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
+def _links_in_lists(lists: DataFrame, sets: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``links`` with those between the components of each list (leader, token, id, n, d, at, listed), level by level as told above."""
+    key = ["leader", "token"]
+    whole = None
+    while True:
+        now = _with_component(lists, found)
+        least = F.min(F.struct("n", "id"))["id"].alias("head")
+        heads = now.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.count_if("listed").alias("under"), F.min("component").alias("lo"), F.max("component").alias("hi"), least)
+        heads = heads.where("lo < hi and under > 0")
+        short = F.col("under") <= SMALL
+        if whole is not None:
+            heads = heads.join(whole, "leader")
+            short = short | (F.col("size") * 2 > F.col("whole"))
+        now = materialize(now.join(heads.select(*key, "head", short.alias("short")), key))
+        near = similar(materialize(_apart(now.where("short"), percent).distinct()), sets, percent)
+        members = materialize(now.where("not short and id <> head").select(F.col("head").alias("leader"), "id").distinct())
+        deeper = bool(members.limit(1).count())
+        if deeper:
+            rows = materialize(beyond_leaders(members, sets, percent))
+            near = near.union(rows.where("token is null").select(F.col("leader").alias("a"), F.col("id").alias("b")))
+        links = links.union(materialize(near))
+        if not deeper:
+            return links
+        whole = members.groupBy("leader").agg(F.count(F.lit(1)).alias("whole"))
+        lists, found = materialize(_prefixes(rows.where("token is not null"), percent)), materialize(connected_components(links))
+
+
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
 
@@ -359,31 +405,19 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
     others = raw.where("kind = 1").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
-    leaders = pivots.where("leads").select("key", F.col("pivot").alias("leader"))
-    members = hot.select("key", F.col("a").alias("id")).join(leaders, "key").where("id <> leader").select("leader", "id").distinct()
-    members = _with_component(members, found).join(found.select(F.col("node").alias("leader"), F.col("component").alias("led")), "leader", "left").withColumn("open", F.col("component") != F.coalesce("led", "leader"))
-    members = materialize(members.select("leader", "id", "open"))
-    members = materialize(members.join(members.where("open").select("leader").distinct(), "leader", "left_semi"))
-    crowded = bool(members.limit(1).count())
-    if crowded:
-        sets = sets_of(members.select("id").union(members.select("leader")), docs, id_col, text_col)
-        rows = materialize(differences(members, sets, percent))
-        sizes = rows.groupBy("leader", "token").agg(F.count(F.lit(1)).alias("size"), F.max("first").alias("firsts"), F.max("later").alias("laters")).where("size > 1 and firsts and laters")
-        rows = materialize(rows.join(sizes.select("leader", "token", "size"), ["leader", "token"]))
-        now = _with_component(rows, found)
-        long = now.where(f"size > {SMALL} and first")
-        heads = long.groupBy("leader", "token").agg(F.min(F.struct("id", "n", "d", "at", "component")).alias("f")).select("leader", "token", "f.*")
-        few = now.where(f"size <= {SMALL}")
-        others = others.union(_apart(few.where("first"), few.where("later"), percent)).union(_apart(heads, now.where(f"size > {SMALL} and later"), percent)).distinct()
     more = materialize(verified(materialize(others), docs, percent, id_col, text_col))
     if more.limit(1).count():
         links = links.union(more)
         found = materialize(connected_components(links))
-    if crowded and rows.where(f"size > {SMALL}").limit(1).count():
-        now = _with_component(rows.where(f"size > {SMALL}"), found)
-        more = materialize(similar(materialize(_apart(now.where("first"), now.where("later"), percent).distinct()), sets, percent))
-        if more.limit(1).count():
-            found = materialize(connected_components(links.union(more)))
+    leaders = pivots.where("leads").select("key", F.col("pivot").alias("leader"))
+    members = _with_component(hot.select("key", F.col("a").alias("id")).join(leaders, "key").select("leader", "id").distinct(), found)
+    several = members.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    members = materialize(members.join(several, "leader", "left_semi").select("leader", "id"))
+    if members.limit(1).count():
+        sized = members.join(usable.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n")), "id")
+        lists = sized.select("leader", F.lit(0).cast("long").alias("token"), "id", "n", F.col("n").alias("d"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("listed"))
+        links = _links_in_lists(lists, sets_of(members.select("id"), docs, id_col, text_col), links, found, percent)
+        found = materialize(connected_components(links))
 
     in_class = member.groupBy("doc_id").agg(F.min("class_id").alias("node"))
     labelled = in_class.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))

@@ -194,3 +194,32 @@ def test_pieces_are_the_librarys(spark, unigram):
     for r in sentencepiece.decode(sentencepiece.encode(df, vocabulary, top_units=40), vocabulary).collect():
         text = texts[r["doc_id"]]
         assert (r["ids"], r["decoded"]) == ((None, None) if text is None else (own.encode(text), text))
+
+
+def test_neardup_work_grows_with_the_rows(spark, monkeypatch):
+    """Families of two in one template: rows that meet in lists keep their share when documents double, and components equal brute force."""
+    met, whole = [], neardup._apart
+
+    def counted(lists, percent):
+        sides = lists.groupBy("leader", "token").agg(F.count("id").alias("all"), F.count_if("listed").alias("under"))
+        met[-1] += sides.agg(F.coalesce(F.sum(F.col("all") * F.col("under")), F.lit(0))).first()[0]
+        return whole(lists, percent)
+
+    monkeypatch.setattr(neardup, "_apart", counted)
+    base = prose(5, 150).split()
+    for documents_made in (200, 400):
+        rng, rows = random.Random(documents_made), []
+        for k in range(documents_made // 2):
+            own = list(base)
+            for at in rng.sample(range(0, 150, 6), 6):
+                own[at] = f"family{k}at{at}"
+            for c in range(2):
+                text = list(own)
+                text[rng.randrange(150)] = f"edit{k}c{c}"
+                rows.append((len(rows), " ".join(text)))
+        sets = [shingles(t) for _, t in rows]
+        want = {i: i - i % 2 if similar(sets[i], sets[i - i % 2]) else i for i in range(len(rows))}
+        met.append(0)
+        found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r["doc_id"]: r["component_id"] for r in found} == want
+        assert met[-1] <= 10 * len(rows)
