@@ -10,6 +10,7 @@ Work is per row inside Arrow batches; Spark deals the rows.
 Defined cases
 * null text counts as empty; the payload is then 64 zero bytes.
 * a file that is not a readable TIFF, or a null one, gives one row with page -1 and ``error``.
+* strips and tiles are decoded up to their size in the directory, whatever more their data hold.
 * repeated rows: equal bytes give equal rows. An empty table gives an empty result.
 * names of added columns replace input columns of the same name; other columns pass through ``encode_texts``.
 """
@@ -58,9 +59,9 @@ def packbits_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, limit: int = 1 << 62) -> bytes:
     out, at = bytearray(), 0
-    while at < len(data):
+    while at < len(data) and len(out) < limit:
         head = data[at]
         if head < 128:
             out += data[at + 1 : at + 2 + head]
@@ -112,11 +113,11 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (acc << pad).to_bytes((kept + pad) >> 3, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, limit: int = 1 << 62) -> bytes:
     base = [bytes((k,)) for k in range(256)] + [b"", b""]
     table, width, previous = list(base), 9, None
-    out, acc, bits, at = [], 0, 0, 0
-    while True:
+    out, acc, bits, at, made = [], 0, 0, 0, 0
+    while made < limit:
         while bits < width:
             if at >= len(data):
                 return b"".join(out)
@@ -139,11 +140,22 @@ def lzw_decode(data: bytes) -> bytes:
             if len(table) == 511 or len(table) == 1023 or len(table) == 2047:
                 width += 1
         out.append(entry)
+        made += len(entry)
         previous = entry
+    return b"".join(out)
+
+
+def inflate(data: bytes, limit: int) -> bytes:
+    """At most ``limit`` bytes of a deflate stream; what a longer one holds beyond is never made."""
+    stream = zlib.decompressobj()
+    out = stream.decompress(data, limit)
+    if not stream.eof and not stream.decompress(stream.unconsumed_tail, 1) and not stream.eof:  # the last step reads the checksum
+        raise ValueError("deflate data end early")
+    return out
 
 
 _ENCODE = {PLAIN: bytes, PACKBITS: packbits_encode, LZW: lzw_encode, DEFLATE: lambda x: zlib.compress(x, 6)}
-_DECODE = {PLAIN: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
+_DECODE = {PLAIN: lambda x, limit: x[:limit], PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: inflate, OLD_DEFLATE: inflate}
 
 
 def _differences(rows: np.ndarray, step: int) -> np.ndarray:
@@ -216,7 +228,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         tiled = TILE_OFFSETS in f
         across, down = (f[TILE_WIDTH][0], f[TILE_LENGTH][0]) if tiled else (width, min(f.get(ROWS_PER_STRIP, [height])[0], height))
         stored = min(len(data), sum(f[TILE_COUNTS if tiled else STRIP_COUNTS]))
-        if across < 1 or down < 1:
+        if across < 1 or down < 1 or samples < 1:
             raise ValueError("empty tiles or strips")
         shape = (-(-height // down) * down, -(-width // across) * across * samples)
         if shape[0] * shape[1] > 2 * EXPANSION * stored:
@@ -224,7 +236,7 @@ def read_pages(data: bytes) -> Iterator[tuple[int, int, int, bytes]]:
         image = np.zeros(shape, np.uint8)
         columns = -(-width // across)
         for k, (offset, count) in enumerate(zip(f[TILE_OFFSETS if tiled else STRIP_OFFSETS], f[TILE_COUNTS if tiled else STRIP_COUNTS])):
-            part = np.frombuffer(decode(data[offset : offset + count]), np.uint8)
+            part = np.frombuffer(decode(data[offset : offset + count], across * samples * down), np.uint8)
             part = part[: len(part) // (across * samples) * across * samples].reshape(-1, across * samples)
             part = _undo_differences(part, samples) if predictor == 2 else part
             y, x = k // columns * down, k % columns * across * samples

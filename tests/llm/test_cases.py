@@ -2,6 +2,8 @@
 
 import random
 import struct
+import tracemalloc
+import zlib
 
 import numpy as np
 import pytest
@@ -131,6 +133,26 @@ def test_tiff_that_asks_for_too_much(spark):
     assert "can hold" in rows[1]["error"] and bytes(rows[2]["pixels"]) == b"x" * 128
 
 
+@pytest.mark.parametrize("scheme", ["inflate", "packbits_decode", "lzw_decode"])
+def test_tiff_decodes_no_more_than_a_page_holds(scheme):
+    """A strip whose data hold far more than its page: only the page's bytes are made."""
+    size = 2_000_000 if scheme == "lzw_decode" else 40_000_000
+    encode = {"inflate": zlib.compress, "packbits_decode": tiff.packbits_encode, "lzw_decode": tiff.lzw_encode}[scheme]
+    data = b"\x81\0" * (size // 128) if scheme == "packbits_decode" else encode(bytes(size))
+    tracemalloc.start()
+    made = getattr(tiff, scheme)(data, 4096)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert made[:4096] == bytes(4096) and len(made) < 4096 + 4096 and peak < 2_000_000
+
+
+def test_tiff_deflate_ends_early():
+    whole = zlib.compress(bytes(range(256)) * 16)
+    assert tiff.inflate(whole, 4096) == bytes(range(256)) * 16
+    with pytest.raises(ValueError):
+        tiff.inflate(whole[: len(whole) // 2], 4096)
+
+
 def _tiff(order, pages):
     """A file of uncompressed pages (width, height, samples, pixels), by hand."""
     mark = b"II*\0" if order == "<" else b"MM\0*"
