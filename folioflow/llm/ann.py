@@ -19,7 +19,7 @@ as the nearest ones come closer.
 
 Defined cases
 * null or zero vectors, and vectors with a null or non-finite component, take no part.
-* null ids take no part. An id given twice counts as two rows.
+* null ids take no part. An id given twice is two candidates; two queries of one id share one merged list of ``top``.
 * vectors of different lengths are never candidates for each other.
 * ties: a block's candidates are ordered by the measure itself, then id, so ties go to smaller ids everywhere.
 * queries that met fewer than ``top + 1`` classes probe every axis of one table in every range, so
