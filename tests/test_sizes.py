@@ -1,6 +1,9 @@
 """Queries of the library do their whole job, and what a task holds does not grow with its rows."""
 
+import pyarrow as pa
+
 from folioflow.plans import narration
+from folioflow.sources import epub_writer, markup
 
 SF = "/root/testdata/sf0.1"
 
@@ -14,3 +17,18 @@ def test_page_titles_take_a_seventh_of_the_bookmarks(spark):
             plain.setdefault((p["p_brand"], p["p_partkey"] % 11), []).append(" ".join(p["p_name"].split()))
     assert {(r["book_id"], r["page_no"]): r["titles"] for r in found} == {k: "|".join(v) for k, v in plain.items()}
     assert sum(map(len, plain.values())) > len(parts) / 10
+
+
+def test_items_come_in_pieces():
+    values = pa.array(["a" * n for n in (0, 3 * markup.MOST_HELD, 10, 0, 20)])
+    found = [list(zip(*piece)) for piece in markup.in_pieces(values, lambda raw: [(raw[k : k + 1000],) for k in range(0, len(raw), 1000)])]
+    assert [(k, x) for piece in found for k, x in piece] == [(k, v[n : n + 1000]) for k, v in enumerate(values.to_pylist()) for n in range(0, len(v), 1000)]
+    assert len(found) == 4 and all(sum(len(x) for _, x in piece) <= markup.MOST_HELD for piece in found)
+    assert list(markup.in_pieces(pa.array([None, ""]), lambda raw: [])) == []
+
+
+def test_books_are_packed_without_pandas(spark):
+    files = spark.createDataFrame([("b", n, f"<p>Satır {n}</p>") for n in (2, 1)], "book string, n int, html string")
+    packed = epub_writer.pack(files, "book", "n", "html")
+    assert "FlatMapGroupsInArrow" in packed._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in packed.collect()] == [("b", epub_writer.archive([("p1", "<p>Satır 1</p>"), ("p2", "<p>Satır 2</p>")], title="b", nav=[("p1.xhtml#top", "Part 0")]))]
