@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html.entities
+import zlib
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,6 +40,15 @@ def _constant(pairs: dict) -> Column:
     return F.map_from_arrays(F.array(*[F.lit(k) for k in pairs]), F.array(*[F.lit(v) for v in pairs.values()]))
 
 
+def _looked_up(pairs: dict[str, str], key: Column, buckets: int = 512) -> Column:
+    """Value of ``key`` in a constant map, else null. Spark looks through a map entry by entry, so entries lie in an array of small maps by checksum."""
+    held: list[dict[str, str]] = [{} for _ in range(buckets)]
+    for k, v in pairs.items():
+        held[zlib.crc32(k.encode()) % buckets][k] = v
+    empty = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
+    return F.try_element_at(F.get(F.array(*[_constant(some) if some else empty for some in held]), (F.crc32(key) % buckets).cast("int")), key)
+
+
 def _is_dropped(n: Column) -> Column:
     """Control characters and non-characters that the standard leaves out."""
     return n.between(0x1, 0x8) | n.between(0xE, 0x1F) | (n == 0x7F) | (n == 0xB) | n.between(0xFDD0, 0xFDEF) | n.bitwiseAND(0xFFFE).eqNullSafe(0xFFFE)
@@ -48,8 +58,9 @@ def _character(n: Column) -> Column:
     """The character of a code point, by way of UTF-32; null stands for a number too large to read."""
     read = F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
     return (
-        F.when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), REPLACEMENT)
-        .otherwise(F.coalesce(F.try_element_at(_constant(_windows()), n.cast("int")), F.when(_is_dropped(n), "").otherwise(read)))
+        F.when(n.between(0x20, 0x7E), F.char(n))
+        .when(n.isNull() | (n > 0x10FFFF) | n.between(0xD800, 0xDFFF), REPLACEMENT)
+        .otherwise(F.coalesce(F.when((n < 0x20) | n.between(0x80, 0x9F), F.try_element_at(_constant(_windows()), n.cast("int"))), F.when(_is_dropped(n), "").otherwise(read)))
     )
 
 
@@ -63,10 +74,12 @@ def _number(reference: Column) -> Column:
 
 def _decoded(reference: Column) -> Column:
     """A reference's text: its own if the whole name is known, else that of the longest known name that it begins with."""
-    named, names = _constant(_named()), F.substring(reference, 2, 40)
-    bare = F.regexp_extract(names, "^(?:" + "|".join(_bare()) + ")", 0)
-    by_name = F.coalesce(F.try_element_at(named, names), F.when(bare != "", F.concat(F.try_element_at(named, bare), F.substring(names, F.length(bare) + 1, F.lit(40)))), reference)
-    return F.when(reference.rlike("^&#"), _character(_number(reference))).otherwise(by_name)
+
+    def by_name(names: Column) -> Column:
+        begun = let(F.regexp_extract(names, "^(?:" + "|".join(_bare()) + ")", 0), lambda bare: F.when(bare != "", F.concat(_looked_up(_named(), bare), F.substring(names, F.length(bare) + 1, F.lit(40)))))
+        return F.coalesce(_looked_up(_named(), names), begun, reference)
+
+    return F.when(reference.startswith("&#"), let(_number(reference), _character)).otherwise(let(F.substring(reference, 2, 40), by_name))
 
 
 def unescaped_html(text: Column) -> Column:

@@ -184,8 +184,9 @@ def unescaped_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     # names with and without semicolon, an unknown one, numbers in both bases
     for plain, written in (("&", "&amp;"), ("é", "&eacute;"), ("ü", "&uuml"), ("ö", "&#246;"), ("ß", "&#xDF;"), (" the ", " &#116;he "), ("ç", "&CCEDIL;"), ("ş", "&#X15f;"), ("k", "&#0107;"), ("- ", "&#45; ")):
         text = F.replace(text, F.lit(plain), F.lit(written))
-    docs = _read(spark, sf_dir, "documents").select("doc_id", text.alias("text"))
-    return files.corpus_paragraphs(docs).select("doc_id", F.size("paragraphs").alias("n"), F.md5(F.array_join("paragraphs", "|")).alias("md5"), F.md5(entities.unescaped_html(F.col("text"))).alias("whole_md5"))
+    # a column of its own, as it is used twice and decoding is the costly part
+    docs = _read(spark, sf_dir, "documents").select("doc_id", entities.unescaped_html(text).alias("whole"))
+    return docs.withColumn("paragraphs", files.paragraphs_of(F.col("whole"))).select("doc_id", F.size("paragraphs").alias("n"), F.md5(F.array_join("paragraphs", "|")).alias("md5"), F.md5("whole").alias("whole_md5"))
 
 
 def selected_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -76,7 +76,12 @@ def voices(listed: DataFrame) -> DataFrame:
 
 def corpus_paragraphs(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """``rows`` with paragraphs: entities decoded, lines collapsed, blank ones left out."""
-    return rows.withColumn("paragraphs", F.filter(F.transform(F.split(unescaped_html(F.col(text_col)), "\n"), lambda p: collapse(p)), lambda p: p != ""))
+    return rows.withColumn("paragraphs", paragraphs_of(unescaped_html(F.col(text_col))))
+
+
+def paragraphs_of(text: Column) -> Column:
+    """Lines of a decoded text, collapsed, blank ones left out."""
+    return F.filter(F.transform(F.split(text, "\n"), lambda p: collapse(p)), lambda p: p != "")
 
 
 def uncached(files: DataFrame, parsed: DataFrame, parser_version: int) -> DataFrame:

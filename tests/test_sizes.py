@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from folioflow.plans import narration
+from folioflow.plans import narration, shelf
 from folioflow.sources import epub_writer, markup
 
 SF = "/root/testdata/sf0.1"
@@ -32,3 +32,8 @@ def test_books_are_packed_without_pandas(spark):
     packed = epub_writer.pack(files, "book", "n", "html")
     assert "FlatMapGroupsInArrow" in packed._jdf.queryExecution().executedPlan().toString()
     assert [tuple(r) for r in packed.collect()] == [("b", epub_writer.archive([("p1", "<p>Satır 1</p>"), ("p2", "<p>Satır 2</p>")], title="b", nav=[("p1.xhtml#top", "Part 0")]))]
+
+
+def test_references_are_decoded_once(spark):
+    plan = shelf.unescaped_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
