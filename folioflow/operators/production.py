@@ -19,6 +19,9 @@ from folioflow.sources.versions import Versions
 from folioflow.store import materialize
 
 ERROR_LENGTH = 200
+# pages that a task reads at once, and bytes of samples that it holds before it hands them on
+MOST_PAGES = 200
+MOST_HELD = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -65,6 +68,15 @@ def page_audio(speak: Callable[[str], bytes], rate: int, sentences: list[dict])
     return bytes(pcm), spans
 
 
+def _page_groups(batch: pa.RecordBatch) -> Iterator[list[dict]]:
+    """Rows of a batch, ``MOST_PAGES`` at a time."""
+    return (batch.slice(at, MOST_PAGES).to_pylist() for at in range(0, batch.num_rows, MOST_PAGES))
+
+
+def _outcomes(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(values, f.type) for values, f in zip(zip(*rows), _OUTCOME)], schema=_OUTCOME)
+
+
 def produce(pages: DataFrame, engine: Engine, speak: Callable[[Column, Column], Column] = spoken_form, keep_pcm: bool = False) -> DataFrame:
     """Outcome of every page (book_id, page_no, text, sentences): ``OUTCOME``, state produced or failed.
 
@@ -76,18 +88,29 @@ def produce(pages: DataFrame, engine: Engine, speak: Callable[[Column, Column],
         text = speak(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]), s["gap"] == "heading")
         return F.struct(text.alias("spoken"), is_speakable(text).alias("speakable"), s["gap"].alias("gap"))
 
+    def outcome(page: dict, voice: Callable[[str], bytes] | None) -> tuple[tuple, Callable[[str], bytes] | None]:
+        began = time.perf_counter()
+        try:
+            voice = voice or engine.load()
+            pcm, spans = page_audio(voice, engine.rate, page["sentences"])
+            return (page["book_id"], page["page_no"], "produced", round(len(pcm) / 2 * 1000 / engine.rate), spans, time.perf_counter() - began, pcm if keep_pcm else None, None), voice
+        except Exception as problem:  # one page must not end the run
+            return (page["book_id"], page["page_no"], "failed", None, None, None, None, str(problem)[:ERROR_LENGTH]), voice
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voice = None
         for batch in batches:
-            for book_id, page_no, sentences in zip(*(c.to_pylist() for c in batch.columns)):
-                began = time.perf_counter()
-                try:
-                    voice = voice or engine.load()
-                    pcm, spans = page_audio(voice, engine.rate, sentences)
-                    row = (book_id, page_no, "produced", round(len(pcm) / 2 * 1000 / engine.rate), spans, time.perf_counter() - began, pcm if keep_pcm else None, None)
-                except Exception as problem:  # one page must not end the run
-                    row = (book_id, page_no, "failed", None, None, None, None, str(problem)[:ERROR_LENGTH])
-                yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, _OUTCOME)], schema=_OUTCOME)
+            for rows in _page_groups(batch):
+                made, held = [], 0
+                for page in rows:
+                    row, voice = outcome(page, voice)
+                    made.append(row)
+                    held += len(row[6] or b"")
+                    if held >= MOST_HELD:
+                        yield _outcomes(made)
+                        made, held = [], 0
+                if made:
+                    yield _outcomes(made)
 
     ready = pages.select(F.col("book_id").cast("string").alias("book_id"), F.col("page_no").cast("int").alias("page_no"), F.transform("sentences", sentence).alias("sentences"))
     return ready.mapInArrow(run, OUTCOME)

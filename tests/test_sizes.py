@@ -1,7 +1,9 @@
 """Queries of the library do their whole job, and what a task holds does not grow with its rows."""
 
 import pyarrow as pa
+from pyspark.sql import functions as F
 
+from folioflow.operators import production
 from folioflow.plans import narration, shelf
 from folioflow.sources import epub_writer, markup
 
@@ -37,3 +39,14 @@ def test_books_are_packed_without_pandas(spark):
 def test_references_are_decoded_once(spark):
     plan = shelf.unescaped_text(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 1
+
+
+def test_outcomes_of_many_pages_leave_together(spark):
+    batch = pa.record_batch({"book_id": ["b"] * 450, "page_no": pa.array(range(450), pa.int32()), "sentences": [[{"spoken": "a", "speakable": True, "gap": "sentence"}]] * 450})
+    groups = list(production._page_groups(batch))
+    assert [len(g) for g in groups] == [200, 200, 50] and [p["page_no"] for g in groups for p in g] == list(range(450))
+    rows = [("b", k, "failed", None, None, None, None, "x") for k in range(3)]
+    assert production._outcomes(rows).num_rows == 3
+    pages = spark.createDataFrame([("b", k, "Bir. İki.", [(0, 4, "sentence"), (5, 9, "paragraph")]) for k in range(450)], "book_id string, page_no int, text string, sentences array<struct<start:int,end:int,gap:string>>").coalesce(1)
+    made = production.produce(pages, production.mock_engine("x"), lambda text, heading: text, keep_pcm=True).select("page_no", "state", "duration_ms", F.length("pcm").alias("n")).collect()
+    assert [tuple(r) for r in made] == [(k, "produced", 930, 14880) for k in range(450)]
