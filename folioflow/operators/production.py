@@ -57,15 +57,23 @@ _OUTCOME = pa.schema([("book_id", pa.string()), ("page_no", pa.int32()), ("state
 OUTCOME = "book_id string, page_no int, state string, duration_ms long, spans array<struct<start_ms:long,end_ms:long>>, synth_s double, pcm binary, error string"
 
 
+def _synthesised(speak: Callable[[str], bytes], rate: int, sentences: list[dict], keep: bool) -> tuple[list[bytes], int, list[dict]]:
+    """Parts of a page's PCM (none unless kept), its bytes, and where each sentence lies."""
+    parts, size, spans = [], 0, []
+    for s in sentences:
+        said = speak(s["spoken"]) if s["speakable"] else b""
+        pause = 2 * int(SILENCE[s["gap"]] * rate)
+        spans.append({"start_ms": round(size // 2 * 1000 / rate), "end_ms": round((size + len(said)) // 2 * 1000 / rate)})
+        size += len(said) + pause
+        if keep:
+            parts += [said, bytes(pause)]
+    return parts, size, spans
+
+
 def page_audio(speak: Callable[[str], bytes], rate: int, sentences: list[dict]) -> tuple[bytes, list[dict]]:
     """PCM of a page and where each sentence (spoken, speakable, gap) lies in it; the silence after a sentence is not part of it."""
-    pcm, spans = bytearray(), []
-    for s in sentences:
-        start = len(pcm) // 2
-        pcm += speak(s["spoken"]) if s["speakable"] else b""
-        spans.append({"start_ms": round(start * 1000 / rate), "end_ms": round(len(pcm) // 2 * 1000 / rate)})
-        pcm += bytes(2 * int(SILENCE[s["gap"]] * rate))
-    return bytes(pcm), spans
+    parts, _, spans = _synthesised(speak, rate, sentences, True)
+    return b"".join(parts), spans
 
 
 def _page_groups(batch: pa.RecordBatch) -> Iterator[list[dict]]:
@@ -92,8 +100,8 @@ def produce(pages: DataFrame, engine: Engine, speak: Callable[[Column, Column],
         began = time.perf_counter()
         try:
             voice = voice or engine.load()
-            pcm, spans = page_audio(voice, engine.rate, page["sentences"])
-            return (page["book_id"], page["page_no"], "produced", round(len(pcm) / 2 * 1000 / engine.rate), spans, time.perf_counter() - began, pcm if keep_pcm else None, None), voice
+            parts, size, spans = _synthesised(voice, engine.rate, page["sentences"], keep_pcm)
+            return (page["book_id"], page["page_no"], "produced", round(size / 2 * 1000 / engine.rate), spans, time.perf_counter() - began, b"".join(parts) if keep_pcm else None, None), voice
         except Exception as problem:  # one page must not end the run
             return (page["book_id"], page["page_no"], "failed", None, None, None, None, str(problem)[:ERROR_LENGTH]), voice
 
