@@ -50,3 +50,8 @@ def test_outcomes_of_many_pages_leave_together(spark):
     pages = spark.createDataFrame([("b", k, "Bir. İki.", [(0, 4, "sentence"), (5, 9, "paragraph")]) for k in range(450)], "book_id string, page_no int, text string, sentences array<struct<start:int,end:int,gap:string>>").coalesce(1)
     made = production.produce(pages, production.mock_engine("x"), lambda text, heading: text, keep_pcm=True).select("page_no", "state", "duration_ms", F.length("pcm").alias("n")).collect()
     assert [tuple(r) for r in made] == [(k, "produced", 930, 14880) for k in range(450)]
+
+
+def test_blocks_of_books_are_parsed_once(spark):
+    plan = shelf.shelved_blocks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.split("\n") if "MapInArrow" in line and "is_heading" in line]
