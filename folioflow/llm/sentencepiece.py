@@ -51,6 +51,7 @@ from folioflow.llm.names import free_names
 from folioflow.store import materialize
 
 MAX_UNIT = 192
+UNITS_A_TASK = 1 << 15
 FILL_ROWS = 512
 SPACE = "▁"
 OWN_SPACE = "\ufdd0"
@@ -171,10 +172,14 @@ def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> D
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, hash, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``."""
+    """(unit, hash, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``.
+
+    A task sorts all edges of its units, some hundred times a unit's own bytes, so tasks follow the count of units and not their size.
+    """
     units = materialize(units)
     long = F.octet_length("unit") > MAX_UNIT
-    return lattice_ids(units.where(~long).repartition("unit"), vocabulary).unionByName(encode_long_units(units.where(long), vocabulary))
+    tasks = units.count() // UNITS_A_TASK + 1
+    return lattice_ids(units.where(~long).repartition(tasks, "unit"), vocabulary).unionByName(encode_long_units(units.where(long), vocabulary))
 
 
 def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:

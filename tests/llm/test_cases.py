@@ -218,6 +218,22 @@ def test_pieces_are_the_librarys(spark, unigram):
         assert (r["ids"], r["decoded"]) == ((None, None) if text is None else (own.encode(text), text))
 
 
+def test_lattice_tasks_follow_the_count_of_units(spark, monkeypatch):
+    """A task of the lattice sorts a bounded count of units, however few bytes these have."""
+    dealt, whole = [], sentencepiece.lattice_ids
+
+    def counted(units, vocabulary):
+        dealt.append((units.count(), units.rdd.getNumPartitions()))
+        return whole(units, vocabulary)
+
+    monkeypatch.setattr(sentencepiece, "UNITS_A_TASK", 4)
+    monkeypatch.setattr(sentencepiece, "lattice_ids", counted)
+    df = spark.createDataFrame([(k, f"word{k} {prose(k, 60)}") for k in range(200)], "doc_id long, text string")
+    assert sentencepiece.encode(df, sentencepiece.as_unigram(sentencepiece.load_vocabulary())).count() == 200
+    units, tasks = dealt[0]
+    assert tasks >= units // 4 > 2
+
+
 def test_neardup_work_grows_with_the_rows(spark, monkeypatch):
     """Families of two in one template: rows that meet in lists keep their share when documents double, and components equal brute force."""
     met, whole = [], neardup._apart
