@@ -26,7 +26,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     marks = None
     for _ in range(max_rounds):
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # an edge makes one row here at most, so repeats need not be dropped
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         ranked = _with_least(large)
         small = ranked.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
         now = materialize(small)
@@ -38,3 +39,16 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def joined_components(found: DataFrame, links: DataFrame) -> DataFrame:
+    """``found`` (node, component), a table, after ``links`` (a, b) too; only the components that links join are worked out."""
+    of = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"{name}_in"))
+    met = links.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("a_in", "a").alias("a"), F.coalesce("b_in", "b").alias("b"))
+    pairs = materialize(met.where("a <> b").distinct())
+    if pairs.isEmpty():
+        return found
+    moved = materialize(connected_components(pairs))
+    new = moved.join(found.select("node"), "node", "left_anti")
+    kept = found.join(moved.select(F.col("node").alias("component"), F.col("component").alias("onto")), "component", "left").select("node", F.coalesce("onto", "component").alias("component"))
+    return materialize(kept.union(new))

@@ -49,7 +49,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.broadcasts import small_side
-from folioflow.llm.components import connected_components
+from folioflow.llm.components import connected_components, joined_components
 from folioflow.llm.hashing import column_bytes, mini_batches, mix, words_of
 from folioflow.llm.names import free_names
 from folioflow.store import materialize
@@ -241,30 +241,24 @@ def pivot_pairs(hot: DataFrame, pivots: DataFrame) -> DataFrame:
     return met.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b"))
 
 
-def beyond_leaders(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(leader, token, id, n, d): what members (leader, id) hold beyond their leaders.
-
-    n is a member's size, d that of its part beyond the leader. One row more, its token null, names each member that is similar to its leader.
-    """
-    schema = "leader long, token long, id long, n long, d long"
+def beyond_leaders(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(leader, token, id, component, n, d): what members (leader, id, component) hold beyond their leaders; n is a member's size, d that of its part beyond the leader."""
+    schema = "leader long, token long, id long, component long, n long, d long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def table(rows):
-            leader, own, n, d = (np.array(c, np.int64) for c in list(zip(*rows))[:4])
-            near = np.array([r[5] for r in rows])
-            each = np.concatenate((np.repeat(np.arange(len(rows)), d), np.flatnonzero(near)))
-            tokens = np.concatenate([*(r[4] for r in rows), np.zeros(near.sum(), np.uint64)]).view(np.int64)
-            none = np.arange(len(each)) >= d.sum()
-            return pa.RecordBatch.from_arrays([pa.array(leader[each]), pa.array(tokens, mask=none), pa.array(own[each]), pa.array(n[each]), pa.array(d[each])], names=["leader", "token", "id", "n", "d"])
+            leader, own, component, n, d = (np.array(c, np.int64) for c in list(zip(*rows))[:5])
+            each = np.repeat(np.arange(len(rows)), d)
+            tokens = np.concatenate([r[5] for r in rows]).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (leader[each], tokens, own[each], component[each], n[each], d[each])], names=["leader", "token", "id", "component", "n", "d"])
 
         rows, held = [], 0
         for batch in batches:
             for k in range(batch.num_rows):
-                x, lead = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (2, 3))
+                x, lead = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (3, 4))
                 beyond = np.setdiff1d(x, lead, True)
-                n, d = len(x), len(beyond)
-                rows.append((batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), n, d, beyond, 100 * (n - d) >= percent * (len(lead) + d)))
-                held += d + 1
+                rows.append((*(batch.column(c)[k].as_py() for c in range(3)), len(x), len(beyond), beyond))
+                held += len(beyond) + 1
                 if held > 1 << 17:
                     yield table(rows)
                     rows, held = [], 0
@@ -272,21 +266,22 @@ def beyond_leaders(members: DataFrame, sets: DataFrame, percent: int) -> DataFra
             yield table(rows)
 
     lead = sets.select(F.col("id").alias("leader"), F.col("set").alias("lead"))
-    return members.join(sets, "id").join(lead, "leader").select("leader", "id", "set", "lead").mapInArrow(work, schema)
+    return members.join(sets, "id").join(lead, "leader").select("leader", "id", "component", "set", "lead").mapInArrow(work, schema)
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(leader, token, id, n, d, at, listed): rows whose token several members of the leader hold, cut to prefixes, the rarest first.
+    """(leader, token, id, component, n, d, at, listed): rows whose token members of several components hold, cut to prefixes, the rarest of those that several members hold first.
 
     ``at`` counts the tokens of one member alone, too. ``listed``: the row may stand for the smaller set of a pair.
     """
     key = ["leader", "token"]
-    shared = rows.join(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("f")).where("f > 1"), key)
+    held = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("f"), (F.min("component") < F.max("component")).alias("several"))
+    shared = rows.join(held.where("f > 1"), key)
     own = Window.partitionBy("leader", "id")
     at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "token")) - 1
     cut = lambda least: F.expr(f"d + 1 - greatest(1, {least} - (n - d))")
     longer, shorter = cut(f"({percent} * n + 99) div 100"), cut(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")
-    return shared.withColumn("at", at).where(F.col("at") < longer).select(*key, "id", "n", "d", "at", (F.col("at") < shorter).alias("listed"))
+    return shared.withColumn("at", at).where(F.col("several") & (F.col("at") < longer)).select(*key, "id", "component", "n", "d", "at", (F.col("at") < shorter).alias("listed"))
 
 
 def _apart(lists: DataFrame, percent: int) -> DataFrame:
@@ -302,31 +297,36 @@ def _apart(lists: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("a_id", "b_id").alias("a"), F.greatest("a_id", "b_id").alias("b"))
 
 
-def _links_in_lists(lists: DataFrame, sets: DataFrame, links: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """``links`` with those between the components of each list (leader, token, id, n, d, at, listed), level by level as told above."""
+def _joined_in_lists(lists: DataFrame, sets: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """``found`` with the links between the components of each list (leader, token, id, component, n, d, at, listed), level by level as told above.
+
+    Components meet members before these are dealt into lists, so that only one row a member and leader looks them up.
+    """
     key = ["leader", "token"]
     whole = None
     while True:
-        now = _with_component(lists, found)
         least = F.min(F.struct("n", "id"))["id"].alias("head")
-        heads = now.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.count_if("listed").alias("under"), F.min("component").alias("lo"), F.max("component").alias("hi"), least)
+        heads = lists.groupBy(*key).agg(F.count(F.lit(1)).alias("size"), F.count_if("listed").alias("under"), F.min("component").alias("lo"), F.max("component").alias("hi"), least)
         heads = heads.where("lo < hi and under > 0")
         short = F.col("under") <= SMALL
         if whole is not None:
             heads = heads.join(whole, "leader")
             short = short | (F.col("size") * 2 > F.col("whole"))
-        now = materialize(now.join(heads.select(*key, "head", short.alias("short")), key))
-        near = similar(materialize(_apart(now.where("short"), percent).distinct()), sets, percent)
+        now = materialize(lists.join(heads.select(*key, "head", short.alias("short")), key))
         members = materialize(now.where("not short and id <> head").select(F.col("head").alias("leader"), "id").distinct())
-        deeper = bool(members.limit(1).count())
-        if deeper:
-            rows = materialize(beyond_leaders(members, sets, percent))
-            near = near.union(rows.where("token is null").select(F.col("leader").alias("a"), F.col("id").alias("b")))
-        links = links.union(materialize(near))
-        if not deeper:
-            return links
+        met = _apart(now.where("short"), percent).union(members.select("leader", "id"))
+        found = joined_components(found, similar(materialize(met.distinct()), sets, percent))
+        members = _several(_with_component(members, found))
+        if members.isEmpty():
+            return found
         whole = members.groupBy("leader").agg(F.count(F.lit(1)).alias("whole"))
-        lists, found = materialize(_prefixes(rows.where("token is not null"), percent)), materialize(connected_components(links))
+        lists = materialize(_prefixes(materialize(beyond_leaders(members, sets)), percent))
+
+
+def _several(members: DataFrame) -> DataFrame:
+    """``members`` (leader, id, component) of leaders that have several components, as a table."""
+    several = members.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
+    return materialize(members.join(several, "leader", "left_semi").select("leader", "id", "component"))
 
 
 def _with_component(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -406,18 +406,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75, id_col: str = "doc_id",
     others = raw.where("kind = 1").select("a", "b").distinct().join(of("a"), "a", "left").join(of("b"), "b", "left")
     others = others.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
     more = materialize(verified(materialize(others), docs, percent, id_col, text_col))
-    if more.limit(1).count():
-        links = links.union(more)
-        found = materialize(connected_components(links))
+    found = joined_components(found, more)
     leaders = pivots.where("leads").select("key", F.col("pivot").alias("leader"))
-    members = _with_component(hot.select("key", F.col("a").alias("id")).join(leaders, "key").select("leader", "id").distinct(), found)
-    several = members.groupBy("leader").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("leader")
-    members = materialize(members.join(several, "leader", "left_semi").select("leader", "id"))
-    if members.limit(1).count():
+    members = _several(_with_component(hot.select("key", F.col("a").alias("id")).join(leaders, "key").select("leader", "id").distinct(), found))
+    if not members.isEmpty():
         sized = members.join(usable.groupBy(F.col("doc_id").alias("id")).agg(F.max("n_shingles").alias("n")), "id")
-        lists = sized.select("leader", F.lit(0).cast("long").alias("token"), "id", "n", F.col("n").alias("d"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("listed"))
-        links = _links_in_lists(lists, sets_of(members.select("id"), docs, id_col, text_col), links, found, percent)
-        found = materialize(connected_components(links))
+        lists = sized.select("leader", F.lit(0).cast("long").alias("token"), "id", "component", "n", F.col("n").alias("d"), F.lit(0).cast("long").alias("at"), F.lit(True).alias("listed"))
+        found = _joined_in_lists(lists, sets_of(members.select("id"), docs, id_col, text_col), found, percent)
 
     in_class = member.groupBy("doc_id").agg(F.min("class_id").alias("node"))
     labelled = in_class.join(found, "node", "left").select("doc_id", F.coalesce("component", "node").alias("component_id"))

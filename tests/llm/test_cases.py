@@ -261,3 +261,25 @@ def test_neardup_work_grows_with_the_rows(spark, monkeypatch):
         found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
         assert {r["doc_id"]: r["component_id"] for r in found} == want
         assert met[-1] <= 10 * len(rows)
+
+
+def test_neardup_looks_components_up_once_a_member(spark, monkeypatch):
+    """A large group of one template: its members, and not the rows of what each holds beyond its leader, look components up."""
+    looked, whole = [], neardup._with_component
+
+    def counted(rows, found):
+        looked.append((sorted(rows.columns), rows.count()))
+        return whole(rows, found)
+
+    monkeypatch.setattr(neardup, "_with_component", counted)
+    base, rng = prose(5, 150).split(), random.Random(3)
+    rows = []
+    for k in range(100):
+        own = list(base)
+        for at in rng.sample(range(0, 150, 6), 6):
+            own[at] = f"family{k}at{at}"
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join([*own[:75], f"edit{k}", *own[76:]]))]
+    sets = [shingles(t) for _, t in rows]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 if similar(sets[i], sets[i - i % 2]) else i for i in range(len(rows))}
+    assert looked[0][1] > neardup.SMALL and all(columns == ["id", "leader"] for columns, _ in looked)
