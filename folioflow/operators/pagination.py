@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,3 +81,51 @@ def page_texts(paged: DataFrame) -> DataFrame:
     last = F.size("r") - 1
     parts = F.transform("r", lambda x, i: F.concat(x["sentence"], F.when(i == last, "").when(x["gap"] == "sentence", " ").otherwise("\n\n")))
     return grouped.select("book_id", "page_no", "chapter", F.array_join(parts, "").alias("text"), F.transform("r", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["gap"].alias("gap"))).alias("sentences"))
+
+
+def _texts_of(page: pa.RecordBatch) -> pa.RecordBatch:
+    """Whole pages of sentences (book_id, chapter, block_no, sent_no, gap, sentence, page_no) in order, one row a page."""
+    gap, sentence = page.column("gap"), page.column("sentence")
+    first = np.append(_page_starts(page), page.num_rows)
+    size = pc.utf8_length(sentence).to_numpy(zero_copy_only=False).astype(np.int64)
+    wide = pc.is_in(gap, pa.array(["paragraph", "heading"])).to_numpy(zero_copy_only=False)
+    step = size + 1 + wide
+    start = np.cumsum(step) - step
+    start -= np.repeat(start[first[:-1]], np.diff(first))
+    mark = np.where(pc.equal(gap, "sentence").to_numpy(zero_copy_only=False), " ", "\n\n").astype(object)
+    mark[first[1:] - 1] = ""
+    bounds = pa.array(first, pa.int32())
+    text = pc.binary_join(pa.ListArray.from_arrays(bounds, pc.binary_join_element_wise(sentence, pa.array(mark, sentence.type), pa.scalar("", sentence.type))), pa.scalar("", sentence.type))
+    spans = pa.StructArray.from_arrays([pa.array(start, pa.int32()), pa.array(start + size, pa.int32()), gap], names=["start", "end", "gap"])
+    at = pa.array(first[:-1])
+    own = [page.column(c).take(at) for c in ("book_id", "page_no", "chapter")]
+    return pa.RecordBatch.from_arrays([*own, text, pa.ListArray.from_arrays(bounds, spans)], names=["book_id", "page_no", "chapter", "text", "sentences"])
+
+
+def _page_starts(rows: pa.RecordBatch) -> np.ndarray:
+    book = rows.column("book_id").dictionary_encode(null_encoding="encode").indices.to_numpy()
+    page = rows.column("page_no").to_numpy()
+    return np.flatnonzero(np.concatenate(([True], (book[1:] != book[:-1]) | (page[1:] != page[:-1]))))
+
+
+def filled_pages(sentences: DataFrame, target: int = TARGET) -> DataFrame:
+    """``page_texts`` of ``greedy_pages``, in the pass that numbers the pages: texts are dealt and sorted once, and a task holds a batch and one page."""
+    order = ["book_id", "chapter", "block_no", "sent_no"]
+    sized = sentences.select(*order, "gap", "sentence", F.length("sentence").cast("int").alias("__size"), (F.col("gap") == "heading").alias("__heading"))
+    number = _numbered(target)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in number(batches):
+            if not batch.num_rows:
+                continue
+            (rows,) = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()
+            last = int(_page_starts(rows)[-1])
+            if last:
+                yield _texts_of(rows.slice(0, last))
+            held = [rows.slice(last)]
+        for rows in held:
+            yield _texts_of(rows)
+
+    book, chapter = (f"{c} {sized.schema[c].dataType.simpleString()}" for c in ("book_id", "chapter"))
+    return sized.repartition("book_id").sortWithinPartitions(*order).mapInArrow(run, f"{book}, page_no int, {chapter}, text string, sentences array<struct<start:int,end:int,gap:string>>")

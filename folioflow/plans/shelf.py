@@ -35,7 +35,7 @@ def _book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _parse(found: DataFrame) -> DataFrame:
     blocks = found.select("book_id", F.lit(0).alias("chapter"), F.posexplode(F.split("text", "\n")).alias("block_no", "text"), F.lit(False).alias("is_heading"))
-    return pagination.page_texts(pagination.greedy_pages(segmentation.sentences(blocks)))
+    return pagination.filled_pages(segmentation.sentences(blocks))
 
 
 def _filled_cache(spark: SparkSession, sf_dir: str) -> tuple[versions.Versions, DataFrame]:

@@ -254,3 +254,22 @@ def test_the_manifest_says_what_is_read(spark):
 
 def test_queries_on_the_smallest_tables(spark):
     assert narration.heading_sentences(spark, "/root/testdata/sf0.001").where("gap = 'heading'").count() > 0
+
+
+def test_pages_are_filled_in_the_pass_that_numbers_them(spark):
+    """One row a page, as numbering, offsets and grouping give, for pages that run over Arrow batches, with rows dealt once."""
+    from pyspark.sql import functions as F
+
+    from folioflow.operators import pagination
+
+    rows = [(f"b{b}", c, k, s, f"Satır {b} {c} {k} {s} " + "ğé" * (k % 90), gap) for b in range(3) for c in range(2) for k in range(60) for s, gap in enumerate(("sentence", "heading" if k % 9 == 0 else "paragraph"))]
+    df = spark.createDataFrame(rows, "book_id string, chapter int, block_no int, sent_no int, sentence string, gap string")
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = pagination.filled_pages(df, 300)
+        want = pagination.page_texts(pagination.greedy_pages(df, 300)).select(*found.columns)
+        assert sorted(map(str, found.collect())) == sorted(map(str, want.collect()))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert found.select(F.countDistinct("book_id")).first()[0] == 3
