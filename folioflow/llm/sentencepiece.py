@@ -15,9 +15,10 @@ vocabulary become byte pieces.
    which equi-join to the piece table (broadcast; its size is the vocabulary's). Edges are
    grouped by unit, where they already lie, and a higher-order aggregate folds the best
    path over end positions, or the merges.
-3. Texts look up the ``top_units`` most frequent units in a broadcast table (about 30 bytes each) and
+3. Texts look up the most frequent units in a broadcast table (about 30 bytes each), at most ``top_units`` and at most
+   half of all, so that the share of the rest does not jump where a corpus outgrows the table, and
    leave gaps for the rest; the rest meet the unit table in a shuffle join, one row per
-   text and rare unit, and fill the gaps.
+   text and rare unit, and fill the gaps. Ids travel in two bytes, the more frequent the smaller, by planes and compressed.
 
 Decoding joins the pieces' bytes again, so decode(encode(text)) = text for every text:
 U+2581, which the format uses for the space, is encoded by its bytes where it stands in a text.
@@ -35,7 +36,6 @@ from __future__ import annotations
 
 import heapq
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 
@@ -147,7 +147,7 @@ def _text_batches(column) -> Iterator[tuple[int, int, list[bytes]]]:
 
 
 def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(unit, hash, n): distinct units, their hashes and counts; Python hands over one row per unit of some megabytes, and Spark combines them before the shuffle."""
+    """(unit, n): distinct units and their counts; Python hands over one row per unit of some megabytes, and Spark combines them before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,29 +161,40 @@ def count_units(docs: DataFrame, pairs: np.ndarray, text_col: str = "text") -> D
                     units = pa.StringArray.from_buffers(len(n), pa.py_buffer(offsets), pa.py_buffer(data[_spread(starts[first], sizes)]))
                     yield pa.RecordBatch.from_arrays([units, pa.array(n)], names=["unit", "n"])
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = column_bytes(batch.column(0))
-            hashes = span_hashes(data, offsets[:-1], offsets[1:], lower=False) if batch.num_rows else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(hashes.view(np.int64)), batch.column(1)], names=["unit", "hash", "n"])
-
-    counted = docs.select(text_col).mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(hashed, "unit string, hash long, n long")
+    return docs.select(text_col).mapInArrow(work, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, hash, n, ids); units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``.
+    """(hash, n, ids) by ``unit_table``; units of up to ``MAX_UNIT`` bytes by the lattice, longer ones by ``encode_long_units``.
 
     A task sorts all edges of its units, some hundred times a unit's own bytes, so tasks follow the count of units and not their size.
     """
     units = materialize(units)
     long = F.octet_length("unit") > MAX_UNIT
     tasks = units.count() // UNITS_A_TASK + 1
-    return lattice_ids(units.where(~long).repartition(tasks, "unit"), vocabulary).unionByName(encode_long_units(units.where(long), vocabulary))
+    return unit_table(lattice_ids(units.where(~long).repartition(tasks, "unit"), vocabulary)).unionByName(encode_long_units(units.where(long), vocabulary))
+
+
+def _table_rows(units: pa.Array, n: pa.Array, ids: pa.Array) -> pa.RecordBatch:
+    data, offsets = column_bytes(units)
+    hashes = span_hashes(data, offsets[:-1], offsets[1:], lower=False) if len(units) else np.zeros(0, np.uint64)
+    ends = np.concatenate(([0], 2 * np.cumsum(ids.value_lengths().to_numpy()))).astype(np.int32)
+    packed = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(ids.flatten().to_numpy().astype(np.uint16))])
+    return pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), n, packed], names=["hash", "n", "ids"])
+
+
+def unit_table(encoded: DataFrame) -> DataFrame:
+    """(hash, n, ids) of encoded units (unit, n, ids), ids in two bytes each. Only here a unit gets its hash, as hashes do not compress on their way."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _table_rows(*batch.columns)
+
+    return encoded.select("unit", "n", "ids").mapInArrow(work, "hash long, n long, ids binary")
 
 
 def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, hash, n, ids), each unit whole, in time that grows as n log n."""
+    """(hash, n, ids) as in ``unit_table``, each unit whole, in time that grows as n log n."""
     shared = units.sparkSession.sparkContext.broadcast(vocabulary)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,9 +203,9 @@ def encode_long_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             v = shared.value
             table = table or {piece: (k, score) for piece, k, score in v.pieces}
             ids = [long_unit_ids(unit.as_py(), table, v) for unit in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], names=["unit", "hash", "n", "ids"])
+            yield _table_rows(*batch.columns, pa.array(ids, pa.list_(pa.int32())))
 
-    return units.select("unit", "hash", "n").mapInArrow(work, "unit string, hash long, n long, ids array<int>")
+    return units.select("unit", "n").mapInArrow(work, "hash long, n long, ids binary")
 
 
 def long_unit_ids(unit: str, table: dict, v: Vocabulary) -> list[int]:
@@ -257,21 +268,21 @@ def _best_cuts(shown: str, table: dict, v: Vocabulary) -> list[int]:
 
 
 def lattice_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, hash, n, ids) by the lattice. ``units`` has one row per unit; the grouping keeps its partitioning."""
+    """(unit, n, ids) by the lattice. ``units`` has one row per unit; the grouping keeps its partitioning."""
     v = vocabulary
     pieces = F.broadcast(units.sparkSession.createDataFrame(v.pieces, "piece string, id int, score double"))
     # a unit's own U+2581 is put out of reach of pieces, its spaces become U+2581
     shown = units.withColumn("shown", F.translate(F.translate("unit", SPACE, OWN_SPACE), " ", SPACE))
-    ends = shown.select("unit", "hash", "n", "shown", F.explode(F.sequence(F.lit(2), F.length("shown") + 1)).alias("upto"))
-    spans = ends.select("unit", "hash", "n", "shown", "upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - v.longest), F.col("upto") - 1)).alias("at"))
-    cut = spans.select("unit", "hash", "n", "at", "upto", F.substring("shown", F.col("at"), F.col("upto") - F.col("at")).alias("piece"))
+    ends = shown.select("unit", "n", "shown", F.explode(F.sequence(F.lit(2), F.length("shown") + 1)).alias("upto"))
+    spans = ends.select("unit", "n", "shown", "upto", F.explode(F.sequence(F.greatest(F.lit(1), F.col("upto") - v.longest), F.col("upto") - 1)).alias("at"))
+    cut = spans.select("unit", "n", "at", "upto", F.substring("shown", F.col("at"), F.col("upto") - F.col("at")).alias("piece"))
     met = cut.join(pieces, "piece", "left").where(F.col("id").isNotNull() | (F.col("upto") - F.col("at") == 1))
     if v.kind == "unigram":
         # an edge is one number: end, start, and the id plus 1 (0 for a character without a piece)
         edge = F.shiftleft(F.col("upto").cast("long"), 48).bitwiseOR(F.shiftleft(F.col("at").cast("long"), 32)).bitwiseOR((F.coalesce("id", F.lit(-1)) + 1).cast("long"))
     else:
         edge = F.struct((-F.coalesce("score", F.lit(v.unknown_score))).alias("cost"), "at", "upto", F.coalesce("id", F.lit(-1)).alias("id"))
-    grouped = met.groupBy("unit").agg(F.first("hash").alias("hash"), F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
+    grouped = met.groupBy("unit").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(edge)).alias("edges"))
 
     def letters(character):
         code = F.hex(F.encode(character, "UTF-8"))
@@ -281,7 +292,7 @@ def lattice_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         # a character without a piece stands as minus its place in the path
         path = grouped.withColumn("path", best_path(v))
         spelt = F.flatten(F.transform("path", lambda k: F.when(k < 0, letters(F.substring(F.col("unit"), -k, F.lit(1)))).otherwise(F.array(k))))
-        return path.select("unit", "hash", "n", F.when(F.exists("path", lambda k: k < 0), spelt).otherwise(F.col("path")).alias("ids"))
+        return path.select("unit", "n", F.when(F.exists("path", lambda k: k < 0), spelt).otherwise(F.col("path")).alias("ids"))
 
     cuts = grouped.withColumn("cuts", merged_path())
 
@@ -291,7 +302,7 @@ def lattice_ids(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         return F.when(own.isNotNull(), F.array(own)).otherwise(letters(F.substring(F.col("unit"), at, upto - at)))
 
     ids = F.flatten(F.transform(F.sequence(F.lit(0), F.size("cuts") - 2), piece_ids))
-    return cuts.select("unit", "hash", "n", ids.alias("ids"))
+    return cuts.select("unit", "n", ids.alias("ids"))
 
 
 def best_path(v: Vocabulary):
@@ -391,10 +402,11 @@ class UnitTable:
         return place, there
 
 
-def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int]:
-    """The most frequent units of up to ``MAX_UNIT`` ids, at most ``most``, and the count from which they are in."""
-    table = table.where(F.size("ids") <= MAX_UNIT)
+def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int, np.ndarray]:
+    """The most frequent units of up to ``MAX_UNIT`` ids, at most ``most`` and half of all, the count from which they are in, and all ids, those that stand most often in them first."""
+    table = table.where(F.octet_length("ids") <= 2 * MAX_UNIT)
     steps = sorted(((r["step"], r["units"], r["least"]) for r in table.groupBy(F.floor(F.log2("n") * 16).alias("step")).agg(F.count(F.lit(1)).alias("units"), F.min("n").alias("least")).collect()), reverse=True)
+    most = min(most, sum(units for _, units, _ in steps) // 2)
     total, cut = 0, 1 << 62
     for _, units, least in steps:
         total += units
@@ -404,15 +416,17 @@ def frequent_units(table: DataFrame, most: int) -> tuple[UnitTable, int]:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts = batch.column(1).value_lengths().to_numpy().astype(np.uint16)
-            ids = batch.column(1).flatten().to_numpy().astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in (batch.column(0).to_numpy().tobytes(), counts.tobytes(), ids.tobytes())], names=["hashes", "counts", "ids"])
+            data, offsets = column_bytes(batch.column(1))
+            counts = (np.diff(offsets) // 2).astype(np.uint16)
+            often = np.minimum(batch.column(2).to_numpy(), (1 << 32) - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (batch.column(0).to_numpy(), counts, data[offsets[0] : offsets[-1]], often)], names=["hashes", "counts", "ids", "often"])
 
-    parts = table.where(F.col("n") >= cut).select("hash", "ids").mapInArrow(pack, "hashes binary, counts binary, ids binary").collect()
-    hashes, counts, ids = (np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in (("hashes", np.uint64), ("counts", np.uint16), ("ids", np.uint16)))
+    parts = table.where(F.col("n") >= cut).select("hash", "ids", "n").mapInArrow(pack, "hashes binary, counts binary, ids binary, often binary").collect()
+    hashes, counts, ids, often = (np.frombuffer(b"".join(r[c] for r in parts), kind) for c, kind in (("hashes", np.uint64), ("counts", np.uint16), ("ids", np.uint16), ("often", np.uint32)))
     counts = counts.astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(counts[:-1], dtype=np.int64))).astype(np.int32) if len(counts) else np.zeros(0, np.int32)
-    return UnitTable(hashes, starts, counts, ids), cut
+    order = np.argsort(-np.bincount(ids, np.repeat(often, counts), 1 << 16), kind="stable").astype(np.uint16)
+    return UnitTable(hashes, starts, counts, ids), cut, order
 
 
 def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -426,8 +440,8 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
     v = vocabulary or load_vocabulary()
     if len(v.surface) > 1 << 16:
         raise ValueError("ids do not fit 16 bits")
-    table = materialize(encode_units(count_units(docs, v.pairs, text_col), v).select("hash", "n", "ids"))
-    frequent, cut = frequent_units(table, top_units)
+    table = materialize(encode_units(count_units(docs, v.pairs, text_col), v))
+    frequent, cut, order = frequent_units(table, top_units)
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
     pairs = v.pairs
 
@@ -443,7 +457,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                     yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (_text_keys(hashes, bounds)[row[gone]], hashes[gone])], names=["key", "hash"])
 
     rare = docs.select(text_col).mapInArrow(tail, "key long, hash long")
-    others = table.where((F.col("n") < cut) | (F.size("ids") > MAX_UNIT)).select("hash", "ids")
+    others = table.where((F.col("n") < cut) | (F.octet_length("ids") > 2 * MAX_UNIT)).select("hash", "ids")
     found = rare.join(others, "hash").groupBy("key").agg(F.collect_set(F.struct("hash", "ids")).alias("rare"))
 
     kept = [f for f in docs.schema.fields if f.name != "ids" and f.name != text_col]
@@ -451,7 +465,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Ids of frequent units, 0 for a gap, and the gaps' hashes, packed."""
-        t = shared.value
+        t, codec = shared.value, pa.Codec("zstd", 3)
+        place = np.empty(1 << 16, np.uint16)
+        place[order] = np.arange(1 << 16)
         for batch in batches:
             for i, j, texts in _text_batches(batch.column(text_col)):
                 data, starts, ends, bounds = units_of(texts, pairs)
@@ -462,18 +478,22 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                 where = np.repeat(there, counts)
                 if where.any():
                     ids[where] = t.ids[_spread(t.starts[at[there]], t.counts[at[there]])]
+                ids = place[ids]
                 edges = np.concatenate(([0], np.cumsum(counts)))[bounds]
                 gaps = hashes[~there]
                 gap_at = np.concatenate(([0], np.cumsum(~there)))[bounds]
                 rows = []
                 for k in range(len(texts)):
                     lost = gaps[gap_at[k] : gap_at[k + 1]]
-                    rows.append(zlib.compress(np.uint32(len(lost)).tobytes() + lost.tobytes() + ids[edges[k] : edges[k + 1]].tobytes(), 1))
+                    own = ids[edges[k] : edges[k + 1]]
+                    planes = own.view(np.uint8).reshape(-1, 2).T.tobytes()
+                    rows.append(np.array([len(lost), len(own)], np.uint32).tobytes() + lost.tobytes() + codec.compress(planes, asbytes=True))
                 null = np.array(batch.column(text_col).slice(i, j - i).is_null())
                 own = [batch.column(f.name).slice(i, j - i) for f in kept]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(_text_keys(hashes, bounds).view(np.int64)), pa.array(rows, pa.binary(), mask=null)], names=[*(f.name for f in kept), key, packed])
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = pa.Codec("zstd", 3)
         for batch in batches:
             for i in range(0, batch.num_rows, FILL_ROWS):
                 part = batch.slice(i, FILL_ROWS)
@@ -482,15 +502,17 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                     if not raw.is_valid:
                         out.append(None)
                         continue
-                    raw = zlib.decompress(raw.as_buffer())
-                    lost = np.frombuffer(raw, np.int64, int(np.frombuffer(raw, np.uint32, 1)[0]), 4)
-                    ids = np.frombuffer(raw, np.uint16, offset=4 + 8 * len(lost)).astype(np.int32)
+                    raw = raw.as_buffer()
+                    n_lost, n_ids = np.frombuffer(raw, np.uint32, 2).tolist()
+                    lost = np.frombuffer(raw, np.int64, n_lost, 8)
+                    planes = np.frombuffer(codec.decompress(raw[8 + 8 * n_lost :], 2 * n_ids, asbytes=True), np.uint8)
+                    ids = order[planes.reshape(2, -1).T.copy().view(np.uint16).ravel()].astype(np.int32)
                     if len(lost):
                         units = rare.values
-                        known, at = units.field(0).to_numpy(), units.field(1)
-                        starts, values = at.offsets.to_numpy(), at.values.to_numpy()
-                        order = np.argsort(known)
-                        own = order[np.searchsorted(known[order], lost)]
+                        known, (data, ends) = units.field(0).to_numpy(), column_bytes(units.field(1))
+                        starts, values = ends // 2, data[: ends[-1]].view(np.uint16)
+                        sort = np.argsort(known)
+                        own = sort[np.searchsorted(known[sort], lost)]
                         sizes = (starts[1:] - starts[:-1])[own]
                         gaps = ids == 0
                         counts = np.ones(len(ids), np.int64)

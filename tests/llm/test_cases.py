@@ -234,6 +234,17 @@ def test_lattice_tasks_follow_the_count_of_units(spark, monkeypatch):
     assert tasks >= units // 4 > 2
 
 
+def test_rare_units_keep_their_share(spark):
+    """However few units there are, half of them at least are looked up by the join, so that its rows grow with the texts; hashes do not travel with counts."""
+    vocabulary = sentencepiece.as_unigram(sentencepiece.load_vocabulary())
+    for n in (40, 400):
+        df = spark.createDataFrame([(" ".join(f"w{j}x" for j in range(k, n)),) for k in range(0, n, 10)], "text string")
+        units = sentencepiece.count_units(df, vocabulary.pairs)
+        assert units.columns == ["unit", "n"]
+        frequent, cut, _ = sentencepiece.frequent_units(sentencepiece.encode_units(units, vocabulary), 10_000)
+        assert 0 < len(frequent.hashes) <= units.count() // 2 and cut > 1
+
+
 def test_neardup_work_grows_with_the_rows(spark, monkeypatch):
     """Families of two in one template: rows that meet in lists keep their share when documents double, and components equal brute force."""
     met, whole = [], neardup._apart
