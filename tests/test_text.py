@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import cleaning, formats, numbers
 from folioflow.functions.sentences import split_sentences
 from folioflow.functions.speech import spoken_form
+from folioflow.operators import chapters
 from folioflow.operators.selection import selected_pages
 
 
@@ -73,3 +74,14 @@ def test_formats(spark):
     assert apply(spark, [1024 * 5 // 2, 1 << 20, 3 << 19], formats.byte_size, "long") == ["2 KB", "1 MB", "2 MB"]
     assert apply(spark, [90000, 150000, 3600000], formats.duration, "long") == ["2 dk", "2 dk", "1 sa 0 dk"]
     assert apply(spark, ["bytes=10-19", "bytes=-5", "bytes=-", None, "bytes=200-"], lambda c: formats.byte_range(c, F.lit(100)).cast("string")) == ["{206, 10, 19}", "{206, 95, 99}", "{206, 0, 99}", "{200, 0, 99}", "{416, null, null}"]
+
+
+def test_paragraph_lines_are_looked_up_once(spark):
+    """Patterns run where lines become rows of a page; what reads the pages' table has none of them."""
+    lines = spark.createDataFrame([("b", 1, k, t) for k, t in enumerate(["— Bir kelime bölün-", "mez. Kısa.", "", "İki3 satır-", "Üç"])], "book_id string, page_no int, line_no int, text string")
+    marked = chapters._marked_pages(chapters._filled_pages(lines, None, None))
+    plan = marked._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "regexp" not in plan
+    made = chapters.paragraphs(lines).orderBy("block_no").select("text", "bounds").collect()
+    assert [r["text"] for r in made] == ["— Bir kelime bölünmez. Kısa.", "İki satır-Üç"]
+    assert [[tuple(b) for b in r["bounds"]] for r in made] == [[(0, 1)], [(0, 1)]]
