@@ -228,10 +228,11 @@ def pivots_of(hot: DataFrame) -> DataFrame:
     bit = lambda k: F.shiftrightunsigned(F.col("sketch"), k).bitwiseAND(F.lit(1))
     votes = hot.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *[F.sum(bit(k)).alias(f"b{k}") for k in range(64)])
     consensus = votes.select("key", sum((F.when(F.col(f"b{k}") * 2 > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)) for k in range(64)), F.lit(0).cast("long")).alias("consensus"))
-    rated = hot.select("key", F.col("a").alias("id"), "sketch").join(consensus, "key").withColumn("near", _agreement_column("sketch", "consensus"))
+    own = hot.select("key", F.col("a").alias("id"), "sketch")
+    rated = own.join(consensus, "key").withColumn("near", _agreement_column("sketch", "consensus"))
     nearest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("near"), "id"))).where(f"r <= {PIVOTS // 2}").withColumn("leads", F.col("r") == 1)
-    smallest = rated.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(f"r <= {PIVOTS - PIVOTS // 2}").withColumn("leads", F.lit(False))
-    return nearest.unionByName(smallest).groupBy("key", F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")).agg(F.max("leads").alias("leads"))
+    smallest = own.withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(f"r <= {PIVOTS - PIVOTS // 2}").withColumn("leads", F.lit(False))
+    return nearest.drop("near", "consensus").unionByName(smallest).groupBy("key", F.col("id").alias("pivot"), F.col("sketch").alias("pivot_sketch")).agg(F.max("leads").alias("leads"))
 
 
 def pivot_pairs(hot: DataFrame, pivots: DataFrame) -> DataFrame:
@@ -270,18 +271,20 @@ def beyond_leaders(members: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _prefixes(rows: DataFrame, percent: int) -> DataFrame:
-    """(leader, token, id, component, n, d, at, listed): rows whose token members of several components hold, cut to prefixes, the rarest of those that several members hold first.
+    """(leader, token, id, component, n, d, at, listed): rows whose token members of several components hold, cut to prefixes, the rarest of those tokens first.
 
-    ``at`` counts the tokens of one member alone, too. ``listed``: the row may stand for the smaller set of a pair.
+    ``at`` counts the tokens that one component holds, which link nobody and come before the others, too.
+    ``listed``: the row may stand for the smaller set of a pair. A token is counted where its rows meet, so no table of counts is joined to them.
     """
     key = ["leader", "token"]
-    held = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("f"), (F.min("component") < F.max("component")).alias("several"))
-    shared = rows.join(held.where("f > 1"), key)
+    holders = Window.partitionBy(*key)
+    held = rows.select("*", F.count(F.lit(1)).over(holders).alias("f"), (F.min("component").over(holders) < F.max("component").over(holders)).alias("several"))
+    shared = held.where("several").drop("several")
     own = Window.partitionBy("leader", "id")
     at = F.col("d") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "token")) - 1
     cut = lambda least: F.expr(f"d + 1 - greatest(1, {least} - (n - d))")
     longer, shorter = cut(f"({percent} * n + 99) div 100"), cut(f"({2 * percent} * n + {99 + percent}) div {100 + percent}")
-    return shared.withColumn("at", at).where(F.col("several") & (F.col("at") < longer)).select(*key, "id", "component", "n", "d", "at", (F.col("at") < shorter).alias("listed"))
+    return shared.withColumn("at", at).where(F.col("at") < longer).select(*key, "id", "component", "n", "d", "at", (F.col("at") < shorter).alias("listed"))
 
 
 def _apart(lists: DataFrame, percent: int) -> DataFrame:

@@ -294,3 +294,13 @@ def test_neardup_looks_components_up_once_a_member(spark, monkeypatch):
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r["doc_id"]: r["component_id"] for r in found} == {i: i - i % 2 if similar(sets[i], sets[i - i % 2]) else i for i in range(len(rows))}
     assert looked[0][1] > neardup.SMALL and all(columns == ["id", "leader"] for columns, _ in looked)
+
+
+def test_neardup_prefixes_join_no_counts(spark):
+    """Tokens of several components, those in one component counted before them, the rarest first, without a join as large as all tokens of a group."""
+    held = {1: (1, [10, 11, 12, 13]), 2: (2, [11, 12, 13, 14]), 3: (2, [12, 14, 15]), 4: (4, [12, 13])}
+    rows = [(0, t, i, c, 4, len(own)) for i, (c, own) in held.items() for t in own]
+    found = neardup._prefixes(spark.createDataFrame(rows, "leader long, token long, id long, component long, n long, d long"), 75)
+    assert "Join" not in found._jdf.queryExecution().toString()
+    at = {(r["id"], r["token"]): (r["at"], r["listed"]) for r in found.collect()}
+    assert at == {(1, 11): (1, False), (2, 11): (1, False), (4, 13): (0, True), (4, 12): (1, False)}
