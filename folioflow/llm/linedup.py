@@ -7,9 +7,9 @@ at least ``percent`` per cent Jaccard similarity with it, whether or not that ea
 line is itself kept. Results therefore do not depend on processing order.
 
 1. Lines with equal text are grouped by two 64-bit hashes; all but the first go.
-2. Tokens (shingles) are ordered by rarity: the count of their last word, from a
-   table of 16,384 word-hash buckets, then the hash. A token is 16 bits of rarity above
-   47 bits of hash.
+2. Tokens (shingles) are ordered by how rare they are likely to be, which takes no count: those
+   that end in longer words first, then by hash. A token is 6 bits of rank above 57 bits of hash.
+   Any order gives the same result.
 3. Each line lists its prefix, n - ceil(t n) + 1 rarest tokens; two similar lines share
    a prefix token. Length and positional filters drop most chance meetings.
 4. A token's list of up to ``SMALL`` lines yields its pairs, which are verified on full sets.
@@ -40,6 +40,8 @@ Defined cases
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,8 +52,8 @@ from folioflow.store import materialize
 SHINGLE = 5
 SMALL = 32
 MAX_GROUPS = 300_000
-BUCKETS = 1 << 14
-HASH_BITS = 47
+RANK_BITS = 6
+HASH_BITS = 57
 WORD_GAP = r"[\x20\x09-\x0D]+"
 
 
@@ -80,43 +82,36 @@ def lines_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
 
 def words_of_line(line: Column) -> Column:
     """Words in lower case. Most lines hold no white space but blanks, and one-character splits are fast."""
-    plain = F.when(line.rlike(r"[\x09-\x0D]"), F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)
+    other = reduce(Column.__or__, [F.contains(line, F.lit(x)) for x in "\t\x0b\x0c\r"])
+    plain = F.when(other, F.regexp_replace(line, WORD_GAP, " ")).otherwise(line)
     return F.array_remove(F.split(F.lower(plain), " "), "")
 
 
-def rarity_steps(docs: DataFrame, text_col: str = "text") -> Column:
-    """Constant array of word counts by hash bucket, in steps of 16 to a doubling, above the hash bits.
-
-    The counts of ``BUCKETS`` buckets, whatever the corpus holds, pass the driver and
-    become a literal, since a subquery cannot stand inside a higher-order function.
-    """
-    lines = docs.select(F.explode(F.split(text_col, "\n")).alias("line"))
-    words = lines.select(F.explode(words_of_line(F.col("line"))).alias("w"))
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("k")).count()
-    steps = [0] * BUCKETS
-    for r in counts.select("k", F.floor(F.log2(F.col("count") + 1) * 16).cast("int").alias("s")).collect():
-        steps[r["k"]] = r["s"] << HASH_BITS
-    return F.split(F.lit(",".join(map(str, steps))), ",").cast("array<long>")
-
-
-def tokenised(lines: DataFrame, steps: Column) -> DataFrame:
-    """``lines`` with tokens: distinct, rarest first.
+def tokenised(lines: DataFrame) -> DataFrame:
+    """``lines`` with tokens: distinct, those first that are likely rare.
 
-    A shingle's rarity is that of its last word.
+    Shingles come from hashes of words by way of pairs and fours, so that no shingle is a row of its own.
     """
-    (w,) = free_names(lines, "w")
-
-    def token(shingle: Column) -> Column:
+    w, pairs, fours = free_names(lines, "w", "pairs", "fours")
+    n = F.size(w)
+    rank = F.lit((1 << RANK_BITS) - 1).cast("long")
+    below = 64 - HASH_BITS
+    # a word is its hash above the rank of its length
+    word = lambda x: F.shiftleft(F.xxhash64(x), RANK_BITS).bitwiseOR(rank - F.least(F.length(x).cast("long"), rank))
+    part = lambda x, at: F.slice(x, F.lit(at), F.greatest(n - (SHINGLE - 1), F.lit(0)))
+    both = lambda x, y: F.xxhash64(x, y)
+
+    def token(four: Column, last: Column) -> Column:
         # never null, so that Spark sorts plain longs
-        rarity = F.coalesce(F.get(steps, shingle[str(SHINGLE - 1)].bitwiseAND(F.lit(BUCKETS - 1)).cast("int")), F.lit(0).cast("long"))
-        return rarity.bitwiseOR(F.shiftrightunsigned(F.xxhash64(shingle), 64 - HASH_BITS))
+        return F.coalesce(F.shiftleft(last.bitwiseAND(rank), HASH_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(four, last), below)), F.lit(0).cast("long"))
 
-    rows = lines.withColumn(w, F.transform(words_of_line(F.col("line")), lambda x: F.xxhash64(x)))
-    n = F.size(w)
-    # shingles as structs in one pass; the missing words of a short line are null
-    shingles = F.arrays_zip(*[F.slice(w, F.lit(1 + k), F.greatest(n - (SHINGLE - 1), F.lit(1))) for k in range(SHINGLE)])
+    rows = lines.withColumn(w, F.transform(words_of_line(F.col("line")), word))
+    rows = rows.withColumn(pairs, F.zip_with(F.slice(w, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(n - 1, F.lit(0))), both))
+    rows = rows.withColumn(fours, F.zip_with(part(pairs, 1), part(pairs, 3), both))
+    long = F.sort_array(F.array_distinct(F.zip_with(fours, part(w, SHINGLE), token)))
+    short = F.array(F.shiftrightunsigned(F.xxhash64(w), below))
     none = F.array().cast("array<long>")
-    return rows.withColumn("tokens", F.when(n > 0, F.sort_array(F.array_distinct(F.transform(shingles, token)))).otherwise(none)).drop(w)
+    return rows.withColumn("tokens", F.when(n >= SHINGLE, long).when(n > 0, short).otherwise(none)).drop(w, pairs, fours)
 
 
 def hashed_lines(lines: DataFrame) -> DataFrame:
@@ -172,12 +167,12 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
 
 
-def _tokens_of(named: DataFrame, docs: DataFrame, steps: Column, id_col: str, text_col: str, copy: str) -> DataFrame:
+def _tokens_of(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, copy: str) -> DataFrame:
     """(doc_id, line_no, tokens) of the lines named; only their documents are read."""
     (own,) = free_names(docs, "named_id")
     own_docs = docs.join(small_side(named.select(F.col("doc_id").alias(own)).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col(own), "left_semi")
     wanted = lines_of(own_docs, id_col, text_col, copy).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
-    return tokenised(wanted, steps).select("doc_id", "line_no", "tokens")
+    return tokenised(wanted).select("doc_id", "line_no", "tokens")
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -198,9 +193,9 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return rows.select(F.xxhash64("lead_doc", "lead_line").alias("leader"), "token", "doc_id", "line_no", "n", "d", "at", (F.col("at") < F.col("as_first")).alias("first"), (F.col("at") < F.col("as_later")).alias("later"))
 
 
-def _token_lists(once: DataFrame, steps: Column, percent: int) -> DataFrame:
+def _token_lists(once: DataFrame, percent: int) -> DataFrame:
     """(token, doc_id, line_no, n, d, at, size): the prefix rows whose token several lines list."""
-    sets = tokenised(once, steps)
+    sets = tokenised(once)
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # an outer explode, as Spark would push the inner one's size filter below the projection and evaluate the tokens again
@@ -221,11 +216,10 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     later = (F.col("doc_id") != F.col("first_doc")) | (F.col("line_no") != F.col("first_line"))
     copies = hashed.join(groups, ["h1", "h2"]).where(later).select("doc_id", "line_no")
 
-    steps = rarity_steps(docs, text_col)
     hot = small_side(_most_copied(groups, MAX_GROUPS).drop("n"), MAX_GROUPS)
     once = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")).join(hot, ["h1", "h2"], "left")
     once = once.where(F.col("first_doc").isNull() | ~later).select("doc_id", "line_no", "line")
-    shared = materialize(_token_lists(once, steps, percent))
+    shared = materialize(_token_lists(once, percent))
 
     line, row = ["doc_id", "line_no"], ["doc_id", "line_no", "n", "d", "at"]
     key = ["token"]
@@ -234,7 +228,7 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     pairs = materialize(_near(small, small, key, percent).union(_near(heads, large, key, percent)).distinct())
     ends = F.array(*[F.struct(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line_no")) for x in "ab"])
     named = materialize(pairs.select(F.explode(ends).alias("k")).select("k.*").union(large.select(*line)).distinct())
-    sets = materialize(_tokens_of(named, docs, steps, id_col, text_col, copy))
+    sets = materialize(_tokens_of(named, docs, id_col, text_col, copy))
     found = materialize(_similar(pairs, sets, percent))
 
     members = large.join(heads.select(*key, F.col("doc_id").alias("lead_doc"), F.col("line_no").alias("lead_line")), key).where("doc_id <> lead_doc or line_no <> lead_line")

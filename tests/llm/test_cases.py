@@ -296,6 +296,19 @@ def test_neardup_looks_components_up_once_a_member(spark, monkeypatch):
     assert looked[0][1] > neardup.SMALL and all(columns == ["id", "leader"] for columns, _ in looked)
 
 
+def test_linedup_orders_tokens_without_a_count(spark):
+    """Tokens are ranked by what a line shows by itself, so plans hold no table of counts."""
+    text = "\n".join(["a b", "", "the of\tand  in to shingle", " one Two three four five ", "one two three four five", "x x x x x x x"])
+    lines = linedup.lines_of(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    sets = linedup.tokenised(lines)
+    assert len(sets._jdf.queryExecution().toString()) < 50_000
+    found = {r["line_no"]: r["tokens"] for r in sets.collect()}
+    assert [len(found[k]) for k in range(6)] == [1, 0, 2, 1, 1, 1]
+    assert found[3] == found[4] and all(x == sorted(x) for x in found.values())
+    rank = [x >> linedup.HASH_BITS for x in found[2]]
+    assert rank == [63 - len("shingle"), 63 - len("to")]
+
+
 def test_neardup_prefixes_join_no_counts(spark):
     """Tokens of several components, those in one component counted before them, the rarest first, without a join as large as all tokens of a group."""
     held = {1: (1, [10, 11, 12, 13]), 2: (2, [11, 12, 13, 14]), 3: (2, [12, 14, 15]), 4: (4, [12, 13])}
