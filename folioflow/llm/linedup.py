@@ -12,6 +12,10 @@ line is itself kept. Results therefore do not depend on processing order.
    Any order gives the same result.
 3. Each line lists its prefix, n - ceil(t n) + 1 rarest tokens; two similar lines share
    a prefix token. Length and positional filters drop most chance meetings.
+   Tokens that more than ``SMALL`` prefixes list (at most ``MOST_COMMON``, the most listed) are
+   phrases that otherwise different lines share. Two lines that share no other prefix token both
+   list one of these, so the lines that do are listed anew among themselves, in an order that has
+   these tokens last; their first lists are dropped.
 4. A token's list of up to ``SMALL`` lines yields its pairs, which are verified on full sets.
 5. In a longer list (a family of near copies) every line is verified against the list's
    first line, its leader. Lines that still have no match are joined with the others by
@@ -40,6 +44,7 @@ Defined cases
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +57,7 @@ from folioflow.store import materialize
 SHINGLE = 5
 SMALL = 32
 MAX_GROUPS = 300_000
+MOST_COMMON = 16_384
 RANK_BITS = 6
 HASH_BITS = 57
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -167,12 +173,11 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return good.select(F.col("b_doc").alias("doc_id"), F.col("b_line").alias("line_no")).distinct()
 
 
-def _tokens_of(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, copy: str) -> DataFrame:
-    """(doc_id, line_no, tokens) of the lines named; only their documents are read."""
+def _lines_named(named: DataFrame, docs: DataFrame, id_col: str, text_col: str, copy: str) -> DataFrame:
+    """(doc_id, line_no, line) of the lines named; only their documents are read."""
     (own,) = free_names(docs, "named_id")
     own_docs = docs.join(small_side(named.select(F.col("doc_id").alias(own)).distinct(), 4_000_000), F.col(id_col).cast("long") == F.col(own), "left_semi")
-    wanted = lines_of(own_docs, id_col, text_col, copy).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
-    return tokenised(wanted).select("doc_id", "line_no", "tokens")
+    return lines_of(own_docs, id_col, text_col, copy).join(small_side(named, 2_000_000), ["doc_id", "line_no"], "left_semi")
 
 
 def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -193,9 +198,12 @@ def _differences(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame
     return rows.select(F.xxhash64("lead_doc", "lead_line").alias("leader"), "token", "doc_id", "line_no", "n", "d", "at", (F.col("at") < F.col("as_first")).alias("first"), (F.col("at") < F.col("as_later")).alias("later"))
 
 
-def _token_lists(once: DataFrame, percent: int) -> DataFrame:
-    """(token, doc_id, line_no, n, d, at, size): the prefix rows whose token several lines list."""
+def _token_lists(once: DataFrame, percent: int, last: list[int] | None = None) -> DataFrame:
+    """(token, doc_id, line_no, n, d, at, size): the prefix rows whose token several lines list; the tokens ``last`` end the order."""
     sets = tokenised(once)
+    if last:
+        among = f"x in ({', '.join(f'{x}L' for x in last)})"
+        sets = sets.withColumn("tokens", F.expr(f"concat(filter(tokens, x -> not {among}), filter(tokens, x -> {among}))"))
     n = F.size("tokens")
     prefix = F.slice("tokens", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
     # an outer explode, as Spark would push the inner one's size filter below the projection and evaluate the tokens again
@@ -204,6 +212,18 @@ def _token_lists(once: DataFrame, percent: int) -> DataFrame:
     return sized.select("token", "doc_id", "line_no", "n", F.col("n").alias("d"), "at", "size")
 
 
+def _without_common(shared: DataFrame, lines_named: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """``shared`` with the lists of common tokens made anew: among their lines, these tokens last. New lists have negative tokens."""
+    common = materialize(shared.where(f"size > {SMALL}").select("token", "size").distinct().orderBy(F.desc("size"), "token").limit(MOST_COMMON).select("token"))
+    last = [r["token"] for r in common.collect()]
+    if not last:
+        return shared
+    common = F.broadcast(common)
+    held = materialize(shared.join(common, "token", "left_semi").select("doc_id", "line_no").distinct())
+    anew = _token_lists(lines_named(held), percent, last).withColumn("token", F.bitwise_not("token"))
+    return materialize(shared.join(common, "token", "left_anti").unionByName(anew))
+
+
 def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", text_col: str = "text", copy: str | None = None) -> DataFrame:
     """(doc_id, line_no) of every line with an earlier match; line_no as in ``lines_of``, with the column ``copy`` or one made here."""
     if copy is None:
@@ -219,7 +239,8 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     hot = small_side(_most_copied(groups, MAX_GROUPS).drop("n"), MAX_GROUPS)
     once = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), "line")).join(hot, ["h1", "h2"], "left")
     once = once.where(F.col("first_doc").isNull() | ~later).select("doc_id", "line_no", "line")
-    shared = materialize(_token_lists(once, percent))
+    lines_named = lambda named: _lines_named(named, docs, id_col, text_col, copy)
+    shared = _without_common(materialize(_token_lists(once, percent)), lines_named, percent)
 
     line, row = ["doc_id", "line_no"], ["doc_id", "line_no", "n", "d", "at"]
     key = ["token"]
@@ -228,7 +249,7 @@ def later_matches(docs: DataFrame, percent: int = 75, id_col: str = "doc_id", te
     pairs = materialize(_near(small, small, key, percent).union(_near(heads, large, key, percent)).distinct())
     ends = F.array(*[F.struct(F.col(f"{x}_doc").alias("doc_id"), F.col(f"{x}_line").alias("line_no")) for x in "ab"])
     named = materialize(pairs.select(F.explode(ends).alias("k")).select("k.*").union(large.select(*line)).distinct())
-    sets = materialize(_tokens_of(named, docs, id_col, text_col, copy))
+    sets = materialize(tokenised(lines_named(named)).select("doc_id", "line_no", "tokens"))
     found = materialize(_similar(pairs, sets, percent))
 
     members = large.join(heads.select(*key, F.col("doc_id").alias("lead_doc"), F.col("line_no").alias("lead_line")), key).where("doc_id <> lead_doc or line_no <> lead_line")

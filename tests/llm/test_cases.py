@@ -69,6 +69,34 @@ def test_linedup_families(spark, edits):
     assert {r["doc_id"]: r["removed"] for r in linedup.removed_lines(df).collect() if r["removed"]} == want
 
 
+def test_linedup_phrases_bring_no_lines_together(spark, monkeypatch):
+    """Lines that share a phrase and little else are not held against the phrase's first line; near copies among them are found."""
+    rng = random.Random(5)
+    phrase = "considerations notwithstanding extraordinarily misunderstood responsibilities acknowledgements institutionalised".split()
+    rows = []
+    for k in range(160):
+        text = rows[rng.randrange(len(rows))][1].split() if k % 4 == 3 else prose(3000 + k, 40).split()
+        if k % 4 == 3:
+            text[rng.choice((0, 8, 20, 46))] = f"edit{k}"
+        else:
+            text[10:10] = phrase
+        rows.append((k, " ".join(text)))
+    seen, whole = [], linedup._differences
+
+    def counted(members, *rest):
+        seen.append(members.count())
+        return whole(members, *rest)
+
+    monkeypatch.setattr(linedup, "_differences", counted)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = removed_by_brute_force(rows)
+    assert len(want) >= 30
+    for most in (linedup.MOST_COMMON, 2):  # with a bound below the tokens of the phrase, the others keep their lists
+        monkeypatch.setattr(linedup, "MOST_COMMON", most)
+        assert {r["doc_id"]: r["removed"] for r in linedup.removed_lines(df).collect() if r["removed"]} == want
+    assert seen[0] == 0 < seen[1]
+
+
 def test_linedup_rows_that_share_an_id(spark):
     line = prose(7, 9)
     rows = [(1, prose(1, 8)), (2, line + "\nunrelated second line that stays in place"), (2, prose(3, 8) + "\n" + prose(4, 8)), (3, line), (None, line), (4, None), (5, "")]
