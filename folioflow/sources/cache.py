@@ -15,6 +15,7 @@ from folioflow.store import materialize
 TABLES = {
     "books": ("book_id string, parser_version int, source string, pages int, chars long", []),
     "pages": ("book_id string, page_no int, chapter int, text string, sentences array<struct<start:int,end:int,gap:string>>", ["page_no"]),
+    "blank": ("book_id string, parser_version int", []),
     "audio": ("book_id string, variant string, page_no int, file string, duration_ms long", ["variant", "page_no"]),
 }
 
@@ -27,10 +28,11 @@ def parse_new(cache: Versions, files: DataFrame, parse: Callable[[DataFrame], Da
     """Parse the ``files`` (book_id, source, ...) that this parser version has not seen, and return their book_id.
 
     ``parse`` makes pages (book_id, page_no, chapter, text, sentences) of files. Books, pages and the loss of audio
-    become visible together; a file without pages is not kept, so it comes up again. A book of an older version loses its audio,
-    as its pages may have moved.
+    become visible together. A file without pages is no book, and is kept as blank, so that this version does not parse it again; a book of an older version
+    stays then. A book that an older version parsed loses its audio, as its pages may have moved.
     """
-    new = materialize(uncached(files.select("book_id", "source"), cache.read("books"), parser_version).groupBy("book_id").agg(F.min("source").alias("source")))
+    seen = cache.read("books").select("book_id", "parser_version").union(cache.read("blank"))
+    new = materialize(uncached(files.select("book_id", "source"), seen, parser_version).groupBy("book_id").agg(F.min("source").alias("source")))
     ids = new.select("book_id")
     if new.isEmpty():
         return ids
@@ -38,6 +40,8 @@ def parse_new(cache: Versions, files: DataFrame, parse: Callable[[DataFrame], Da
     totals = pages.groupBy("book_id").agg(F.count(F.lit(1)).cast("int").alias("pages"), F.sum(F.length("text")).cast("long").alias("chars"))
     books = materialize(new.join(totals, "book_id").select("book_id", F.lit(parser_version).alias("parser_version"), "source", "pages", "chars"))
     cache.replace(books.select("book_id"), drop=["audio"], books=books, pages=pages)
+    blank = materialize(ids.join(books.select("book_id"), "book_id", "left_anti").select("book_id", F.lit(parser_version).alias("parser_version")))
+    cache.replace(blank.select("book_id"), blank=blank)
     return ids
 
 

@@ -105,6 +105,31 @@ def test_cache_parses_once_and_drops_dependents(spark, tmp_path):
     assert [r["sentence"] for r in said.orderBy("sent_no").collect()] == ["Bir cümle.", "İki cümle."]
 
 
+def test_cache_parses_blank_files_once(spark, tmp_path):
+    shelf_ = cache.open_cache(spark, str(tmp_path / "c"), 4)
+    found = book_files(spark, {"a": "Bir cümle.", "b": "Üç.", "c": " \n ", "d": ""})
+    assert {r["book_id"] for r in cache.parse_new(shelf_, found, shelf._parse, 1).collect()} == {"a", "b", "c", "d"}
+
+    def never(_):
+        raise AssertionError("nothing to parse")
+
+    assert cache.parse_new(shelf_, found, never, 1).count() == 0
+    assert rows(shelf_.read("books").select("book_id", "parser_version")) == [("a", 1), ("b", 1)]
+    # a version that finds nothing in a book leaves it, one that finds text in a blank file makes it a book
+    later = book_files(spark, {"b": " ", "c": "Artık dolu."})
+    assert cache.parse_new(shelf_, later, shelf._parse, 2).count() == 2 and cache.parse_new(shelf_, later, never, 2).count() == 0
+    assert rows(shelf_.read("books").select("book_id", "parser_version")) == [("a", 1), ("b", 1), ("c", 2)] and shelf_.read("pages").count() == 3
+    assert cache.parse_new(shelf_, found.where("book_id <> 'c'"), never, 1).count() == 0
+
+
+def test_parsed_cache_counts_blank_documents_once(spark, tmp_path):
+    texts = ["Bir cümle.", "", "  ", "İki.", "\n"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(0,), (2,), (3,)], "doc_id long").write.parquet(str(tmp_path / "labels.parquet"))
+    found = shelf.parsed_cache(spark, str(tmp_path)).orderBy("source").select("source", "parser_version", "pages", "chars", "audio_pages", "parsed_again").collect()
+    assert [tuple(r) for r in found] == [("doc0", 2, 1, 10, 0, 0), ("doc3", 2, 1, 4, 0, 0)]
+
+
 def test_production_takes_up_what_is_left(spark, tmp_path):
     shelf_ = cache.open_cache(spark, str(tmp_path / "c"), 4)
     texts = {f"b{k}": "\n".join(f"Sayfa satırı {j} burada. {'KIRIK' if j in (5, 80) and k < 2 else 'Sağlam'} cümle. — ......" for j in range(120)) for k in range(3)}
